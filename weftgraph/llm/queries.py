@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from weftgraph.llm import piece_codec, quality_rules, simhash
+from weftgraph.llm import chat, packing, piece_codec, quality_rules, simhash
 from weftgraph.llm.common import table
 
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -26,6 +26,14 @@ def op6_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_codec.roundtrip(table(spark, sf_dir, "documents"), PIECE_MODEL)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_quality_rules, op3_simhash, op6_piece_codec)}
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), BYTE_VOCABULARY)
+
+
+def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.digests(chat.with_adversary(table(spark, sf_dir, "conversations")))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_quality_rules, op3_simhash, op6_piece_codec, op8_packing, op9_chat)}
 
 ORACLES: dict[str, str] = {}
