@@ -147,3 +147,36 @@ def per_doc(values: np.ndarray, first: np.ndarray) -> np.ndarray:
     """Sums of values between successive bounds."""
     total = np.concatenate(([0], np.cumsum(values, dtype=np.int64)))
     return total[first[1:]] - total[first[:-1]]
+
+
+def sorted_groups(batches, keys: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Tables of whole groups, with the bounds of the groups, from rows sorted by non-null numeric keys."""
+
+    def bounds(t: pa.Table) -> np.ndarray:
+        change = np.zeros(t.num_rows, dtype=bool)
+        change[0] = True
+        for k in keys:
+            v = t.column(k).to_numpy()
+            change[1:] |= v[1:] != v[:-1]
+        return np.flatnonzero(change)
+
+    held: list[pa.RecordBatch] = []
+    last = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        ends = tuple(b.column(b.schema.get_field_index(k))[b.num_rows - 1].as_py() for k in keys)
+        held.append(b)
+        if ends == last and len(held) < 64:  # a long group: look again when more of it has come
+            continue
+        last = ends
+        t = pa.Table.from_batches(held).combine_chunks()
+        at = bounds(t)
+        if len(at) > 1:
+            yield t.slice(0, at[-1]).combine_chunks(), at
+            held = t.slice(at[-1]).combine_chunks().to_batches()
+        else:
+            held = t.to_batches()
+    if held:
+        t = pa.Table.from_batches(held).combine_chunks()
+        yield t, np.append(bounds(t), t.num_rows)

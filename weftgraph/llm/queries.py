@@ -7,13 +7,17 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from weftgraph.llm import chat, packing, piece_codec, quality_rules, simhash
+from weftgraph.llm import chat, lattice, packing, piece_codec, quality_rules, simhash
 from weftgraph.llm.common import table
 
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
 BYTE_VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_lattice_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.repetition_rules(table(spark, sf_dir, "documents"))
 
@@ -34,6 +38,6 @@ def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.with_adversary(table(spark, sf_dir, "conversations")))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_quality_rules, op3_simhash, op6_piece_codec, op8_packing, op9_chat)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_lattice_dedup, op2_quality_rules, op3_simhash, op6_piece_codec, op8_packing, op9_chat)}
 
 ORACLES: dict[str, str] = {}
