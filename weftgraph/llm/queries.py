@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from weftgraph.llm import chat, lattice, packing, piece_codec, quality_rules, simhash, site_quality
+from weftgraph.llm import chat, lattice, packing, piece_codec, quality_rules, simhash, site_quality, warc
 from weftgraph.llm.common import table
 
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -34,6 +34,10 @@ def op6_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_codec.roundtrip(table(spark, sf_dir, "documents"), PIECE_MODEL)
 
 
+def op7_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.fixity_drill(table(spark, sf_dir, "pages"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), BYTE_VOCABULARY)
 
@@ -42,6 +46,6 @@ def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.with_adversary(table(spark, sf_dir, "conversations")))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_lattice_dedup, op2_quality_rules, op3_simhash, op4_quality_classifier, op6_piece_codec, op8_packing, op9_chat)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_lattice_dedup, op2_quality_rules, op3_simhash, op4_quality_classifier, op6_piece_codec, op7_warc_fixity, op8_packing, op9_chat)}
 
 ORACLES: dict[str, str] = {}
