@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,3 +40,16 @@ def connected_components(edges: DataFrame, spark: SparkSession) -> DataFrame:
         before = now
     stars = held.select(F.col("u").alias("v"), F.col("v").alias("label"))
     return stars.unionByName(held.select("v", F.col("v").alias("label")).distinct())
+
+
+def forest(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """For each of n places the least place that links a-b reach."""
+    label = np.arange(n)
+    while True:
+        before = label.copy()
+        low = np.minimum(label[a], label[b])
+        np.minimum.at(label, a, low)
+        np.minimum.at(label, b, low)
+        label = label[label]
+        if (label == before).all():
+            return label

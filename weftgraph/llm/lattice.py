@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftgraph.llm.common import materialize, mix, sorted_groups
-from weftgraph.llm.components import connected_components
+from weftgraph.llm.components import connected_components, forest
 
 
 @dataclass(frozen=True)
@@ -164,19 +164,6 @@ def entries(distinct: DataFrame, kind: str, spec: Lattice) -> DataFrame:
     return distinct.select("uid", "vec").mapInArrow(run, "cell long, uid long, home boolean")
 
 
-def forest(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
-    """For each of n places the least place that links a-b reach."""
-    label = np.arange(n)
-    while True:
-        before = label.copy()
-        low = np.minimum(label[a], label[b])
-        np.minimum.at(label, a, low)
-        np.minimum.at(label, b, low)
-        label = label[label]
-        if (label == before).all():
-            return label
-
-
 def first_meeting(ca: np.ndarray, cb: np.ndarray) -> np.ndarray:
     """For pairs of vectors with the given cells: the first cell in which they meet; in a table with two, the lesser."""
     out = np.zeros(len(ca), dtype=np.int64)

@@ -21,6 +21,8 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from weftgraph.llm.common import IS_POINT, Words, mix, per_doc, text_slices
 
@@ -146,3 +148,14 @@ def repetition_rules(docs: DataFrame, rules: RepetitionRules = RepetitionRules()
             yield pa.RecordBatch.from_arrays([ids.cast(pa.int64()), *(pa.array(v) for v in got.values())], names=["doc_id", *got])
 
     return docs.select(docs["doc_id"].cast("long"), docs["text"]).mapInArrow(run, SCHEMA)
+
+
+def keep_passing(docs: DataFrame, rules: RepetitionRules = RepetitionRules()) -> DataFrame:
+    """The documents that repetition_rules() keeps, with their own columns."""
+
+    def run(column: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for col in column:
+            parts = [measure(buf, off, rules)["kept"] for _, buf, off in text_slices([pa.RecordBatch.from_arrays([col, col], names=["i", "t"])])]
+            yield pa.array(np.concatenate(parts) if parts else np.zeros(0, bool))
+
+    return docs.where(F.arrow_udf(run, T.BooleanType())(docs["text"]))

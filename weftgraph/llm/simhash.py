@@ -24,9 +24,10 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from weftgraph.llm.common import Words, materialize, text_slices
-from weftgraph.llm.components import connected_components
+from weftgraph.llm.common import Words, materialize, mix, sorted_groups, text_slices
+from weftgraph.llm.components import connected_components, forest
 
 SEED = 42
 
@@ -123,3 +124,136 @@ def simhash_groups(docs: DataFrame, shingle: int = 3, bits: int = 2) -> DataFram
     printed = materialize(fingerprints(docs, shingle), "simhash-fingerprints")
     out = components(printed, bits)
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+# Similar documents rather than near-equal fingerprints: what a pipeline stage keeps one of.
+#
+# At a Jaccard similarity of 0.8 over five words, a tenth of the bits of one 64-bit fingerprint differs even
+# over short shingles, so the segments of several fingerprints are searched, and similarity is judged on a
+# longer fingerprint of five-word shingles.
+
+SEARCH_WORDS, SEARCH_SHINGLE, SEGMENT_BITS = 2, 2, 21
+JUDGE_WORDS, JUDGE_SHINGLE = 4, 5
+FP = [f"f{i}" for i in range(SEARCH_WORDS + JUDGE_WORDS)]
+
+
+def most_bits(similarity: float, bits: int = 64 * JUDGE_WORDS, spread: float = 1.5) -> int:
+    """The bits in which texts of this Jaccard similarity differ on average, and ``spread`` standard deviations more."""
+    cosine = 2 * similarity / (1 + similarity)
+    p = float(np.arccos(cosine) / np.pi)
+    return int(bits * p + spread * (bits * p * (1 - p)) ** 0.5)
+
+
+def word_hashes(w: Words) -> np.ndarray:
+    code, words = w.codes()
+    digest = np.array([xxhash.xxh64_intdigest(x, SEED) for x in words.to_pylist()], dtype=np.uint64)
+    return digest[code] if len(code) else np.zeros(0, np.uint64)
+
+
+def wide_prints(buf: np.ndarray, off: np.ndarray) -> list[np.ndarray]:
+    """Search and judge words of each text. A shingle's hashes are mixed from those of its words."""
+    w = Words(buf, off, lower=True)
+    words = word_hashes(w)
+    n = np.diff(w.first)
+    out = []
+    for size, parts in ((SEARCH_SHINGLE, SEARCH_WORDS), (JUDGE_SHINGLE, JUDGE_WORDS)):
+        count = np.where(n > 0, np.maximum(n - size + 1, 1), 0)
+        first = np.concatenate(([0], np.cumsum(count)))
+        at = np.arange(first[-1]) - np.repeat(first[:-1], count) + np.repeat(w.first[:-1], count)
+        end = np.repeat(w.first[1:], count)
+        h = np.zeros(len(at), dtype=np.uint64)
+        for j in range(size):
+            inside = at + j < end
+            h = mix(h * np.uint64(3) + np.where(inside, words[np.minimum(at + j, max(len(words) - 1, 0))], np.uint64(0)) if len(words) else h)
+        for k in range(parts):
+            out.append(majority(mix(h + np.uint64(k)).astype(">u8").view(np.uint8).reshape(-1, 8), first))
+    return out
+
+
+def print_batches(column: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    for col in column:
+        parts = [np.stack(wide_prints(buf, off)) for _, buf, off in text_slices([pa.RecordBatch.from_arrays([col, col], names=["i", "t"])], 1 << 20)]
+        flat = np.concatenate(parts, axis=1) if parts else np.zeros((len(FP), 0), np.uint64)
+        yield pa.StructArray.from_arrays([pa.array(x.view(np.int64)) for x in flat], names=FP)
+
+
+def with_prints(docs: DataFrame) -> DataFrame:
+    """(row, key, doc, f0 ...): key is equal for rows with equal id and fingerprints."""
+    kind = T.StructType([T.StructField(f, T.LongType()) for f in FP])
+    printed = docs.select(F.struct(*docs.columns).alias("row"), docs["doc_id"].cast("long").alias("doc"), F.arrow_udf(print_batches, kind)(docs["text"]).alias("fp"))
+    printed = printed.select("row", "doc", *(F.col("fp")[f].alias(f) for f in FP))
+    return printed.withColumn("key", F.concat_ws(" ", F.coalesce(F.col("doc").cast("string"), F.lit("-")), *(F.hex(f) for f in FP)))
+
+
+def search_cells(distinct: DataFrame) -> DataFrame:
+    """(cell, uid, home): the segments of the search words, and all within one bit of them."""
+    per = 64 // SEGMENT_BITS
+    low = F.lit((1 << SEGMENT_BITS) - 1)
+    seg = [F.shiftrightunsigned(FP[i], SEGMENT_BITS * j).bitwiseAND(low) + F.lit((i * per + j) << SEGMENT_BITS) for i in range(SEARCH_WORDS) for j in range(per)]
+    masks = F.array(*[F.lit(m).cast("long") for m in ball(SEGMENT_BITS, 1)])
+    keys = distinct.select("uid", F.explode(F.array(*seg)).alias("key"))
+    return keys.select("uid", F.posexplode(F.transform(masks, lambda m: F.col("key").bitwiseXOR(m))).alias("nth", "cell")).select("cell", "uid", (F.col("nth") == 0).alias("home"))
+
+
+def judge_blocks(rows: DataFrame, most: int) -> DataFrame:
+    """(uid, toward): for members of a block one link each toward the component of texts within ``most`` bits."""
+    judged = FP[SEARCH_WORDS:]
+
+    def run(batches) -> Iterator[pa.RecordBatch]:
+        for t, at in sorted_groups(batches, ["cell", "lo", "hi"]):
+            lo, hi, part, home, uid = (t.column(c).to_numpy() for c in ("lo", "hi", "part", "home", "uid"))
+            fp = np.stack([t.column(f).to_numpy() for f in judged], axis=1).view(np.uint64)
+            out = []
+            for x, y in zip(at[:-1].tolist(), at[1:].tolist()):
+                if y - x < 2:
+                    continue
+                same = lo[x] == hi[x]
+                a, b = (np.arange(x, y),) * 2 if same else (x + np.flatnonzero(part[x:y] == lo[x]), x + np.flatnonzero(part[x:y] != lo[x]))
+                away = np.bitwise_count(fp[a][:, None, :] ^ fp[b][None, :, :]).sum(axis=2, dtype=np.int64)
+                i, j = np.nonzero((away <= most) & (home[a][:, None] | home[b][None, :]))
+                i, j = a[i], b[j]
+                i, j = i[i != j], j[i != j]
+                if len(i):
+                    inside, k = np.unique(np.concatenate((i, j)), return_inverse=True)
+                    out.append((uid[inside], uid[inside][forest(k[: len(i)], k[len(i) :], len(inside))]))
+            if out:
+                u, v = (np.concatenate(c) for c in zip(*out))
+                yield pa.RecordBatch.from_arrays([pa.array(u[u != v]), pa.array(v[u != v])], names=["uid", "toward"])
+
+    return rows.mapInArrow(run, "uid long, toward long")
+
+
+def similar_groups(prints: DataFrame, similarity: float = 0.8, block: int = 512) -> DataFrame:
+    """(uid, f..., least, label) of distinct fingerprints, label being the same in a group; prints has doc and f0 ... ."""
+    distinct = prints.groupBy(*FP).agg(F.min("doc").alias("least")).withColumn("uid", F.monotonically_increasing_id())
+    distinct = materialize(distinct, "simhash-wide")
+    placed = search_cells(distinct)
+    active = placed.groupBy("cell").agg(F.count("*").alias("n"), F.max("home").alias("any_home")).where("n > 1 and any_home")
+    split = F.ceil(F.col("n") / F.lit(block)).cast("long")
+    dealt = placed.join(active, "cell").select("cell", "uid", "home", F.pmod(F.xxhash64("uid"), split).alias("part"), F.explode(F.sequence(F.lit(0).cast("long"), split - 1)).alias("other"))
+    dealt = dealt.select("cell", "uid", "home", "part", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"))
+    full = dealt.join(distinct.select("uid", *FP[SEARCH_WORDS:]), "uid").repartition("cell", "lo", "hi").sortWithinPartitions("cell", "lo", "hi")
+    links = judge_blocks(full, most_bits(similarity))
+    comps = connected_components(links.select(F.col("uid").alias("u"), F.col("toward").alias("v")), prints.sparkSession)
+    return distinct.join(comps, distinct["uid"] == comps["v"], "left").select(*FP, "uid", "least", F.coalesce("label", "uid").alias("label"))
+
+
+def keep_one(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
+    """docs with one row of each group of similar texts: the one with the least doc_id, and of rows alike in id and text one.
+
+    Every text without words is in one group. A row with a null doc_id stays only if its group has no id.
+    """
+    printed = with_prints(docs)
+    prints = materialize(printed.drop("row"), "simhash-prints")
+    named = materialize(similar_groups(prints, similarity), "simhash-groups")
+    winner = named.groupBy("label").agg(F.min(F.struct(F.col("least").isNull().alias("none"), "least", "uid")).alias("best")).select("label", "best.least", "best.uid")
+    winner = winner.select("label", F.col("least").alias("kept_doc"), F.col("uid").alias("kept_uid"))
+    verdict = prints.select("key", "doc", *FP).join(named.select(*FP, "uid", "label"), FP).join(winner, "label")
+    lost = verdict.where(~((F.col("uid") == F.col("kept_uid")) & F.col("doc").eqNullSafe(F.col("kept_doc")))).select("key").distinct()
+    lost = materialize(lost, "simhash-lost")
+    kept = printed.join(lost, "key", "left_anti")
+    again = materialize(prints.groupBy("key").count().where("count > 1").select("key").join(lost, "key", "left_anti"), "simhash-again")
+    if not again.take(1):
+        return kept.select("row.*")
+    single, repeated_rows = kept.join(again, "key", "left_anti"), kept.join(again, "key", "left_semi")
+    return single.select("row.*").unionByName(repeated_rows.groupBy("key").agg(F.first("row").alias("row")).select("row.*"))
