@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from weftgraph.llm import chat, lattice, packing, piece_codec, quality_rules, repeats, simhash, site_quality, warc
+from weftgraph.llm import attention_lm, chat, lattice, packing, piece_codec, quality_rules, repeats, simhash, site_quality, warc
 from weftgraph.llm.common import table
 
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -30,6 +30,10 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return site_quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_attention_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return attention_lm.score_documents(table(spark, sf_dir, "documents"), BYTE_VOCABULARY)
+
+
 def op6_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_codec.roundtrip(table(spark, sf_dir, "documents"), PIECE_MODEL)
 
@@ -50,6 +54,6 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.spans(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_lattice_dedup, op2_quality_rules, op3_simhash, op4_quality_classifier, op6_piece_codec, op7_warc_fixity, op8_packing, op9_chat, op10_suffix_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_lattice_dedup, op2_quality_rules, op3_simhash, op4_quality_classifier, op5_attention_lm, op6_piece_codec, op7_warc_fixity, op8_packing, op9_chat, op10_suffix_dedup)}
 
 ORACLES: dict[str, str] = {}
