@@ -1,0 +1 @@
+"""Column functions: pure expressions over paths, texts and ids."""

@@ -1,0 +1 @@
+"""Iterative plans: rounds of DataFrame joins with durable intermediates."""
