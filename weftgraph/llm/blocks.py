@@ -14,7 +14,7 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from weftgraph.llm.common import materialize, texts
+from weftgraph.llm.common import give_back, materialize, texts
 
 BLOCK_BYTES = 4 << 20
 SCHEMA = "block long, ids binary, known binary, lens binary, body binary, rest binary, n_bytes long"
@@ -75,6 +75,7 @@ def make_blocks(docs: DataFrame, carry: bool = False, most: int = BLOCK_BYTES) -
                 if size >= most or at < b.num_rows or sum(x.num_rows for x in held) >= 60_000:
                     yield block()
                     held, size, n = [], 0, n + 1
+                    give_back()
         if held:
             yield block()
 
@@ -88,3 +89,4 @@ def each_block(batches) -> Iterator[tuple[Block, dict]]:
         for i in range(b.num_rows):
             row = {name: b.column(j)[i].as_py() for j, name in enumerate(b.schema.names)}
             yield Block(row), row
+            give_back()

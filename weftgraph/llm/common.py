@@ -6,6 +6,7 @@ names, so a lost executor costs a re-read and never a lost block.
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -27,7 +28,28 @@ IS_POINT = (np.arange(256) & 0xC0) != 0x80
 SLICE_BYTES = 2 << 20
 
 
+#: Rows that travel to Python together: texts are wide, and a batch is held on both sides.
+BATCH_ROWS = 1000
+BATCH_CONF = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def narrow_batches(spark: SparkSession) -> None:
+    """Lower the session's batch size to what wide rows need."""
+    if int(spark.conf.get(BATCH_CONF)) not in range(1, BATCH_ROWS + 1):
+        spark.conf.set(BATCH_CONF, str(BATCH_ROWS))
+
+
+def give_back() -> None:
+    """Return freed memory to the system: workers live on between stages, and what one keeps the others lack."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library keeps what it wants
+        pass
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    narrow_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -43,6 +65,7 @@ def shared_dir(spark: SparkSession) -> str:
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write df once to the shared folder and go on from the written table."""
     spark = df.sparkSession
+    narrow_batches(spark)
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
@@ -83,6 +106,8 @@ def text_slices(batches, most: int = SLICE_BYTES) -> Iterator[tuple[pa.Array, np
             j = max(i + 1, int(np.searchsorted(off, off[i] + most, side="right")) - 1)
             yield batch.column(0).slice(i, j - i), buf[off[i] : off[j]], off[i : j + 1] - off[i]
             i = j
+        del buf, off
+        give_back()
 
 
 def set_apart(buf: np.ndarray, off: np.ndarray, mark: int = 10) -> tuple[np.ndarray, np.ndarray]:

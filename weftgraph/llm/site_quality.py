@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weftgraph.llm.common import IS_POINT, SLICE_BYTES, Words, materialize, mix, per_doc, texts
+from weftgraph.llm.common import IS_POINT, SLICE_BYTES, Words, give_back, materialize, mix, per_doc, texts
 from weftgraph.llm.quality_rules import SYMBOLS, covered, later, repeated
 
 
@@ -117,6 +117,8 @@ def measure_batches(column: Iterator[pa.Array]) -> Iterator[pa.Array]:
             parts.append(measures(buf[off[i] : off[j]], off[i : j + 1] - off[i]))
             i = j
         flat = np.concatenate(parts)
+        del buf, off, parts
+        give_back()
         yield pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * len(MEASURES)), pa.array(flat.ravel()))
 
 
