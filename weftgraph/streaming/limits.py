@@ -24,7 +24,7 @@ class Rule:
 
 
 MINUTE = 60_000
-#: Budgets of the reference's routes (fixed values).
+#: Budgets by route (fixed values).
 RULES = {
     "aiPerClient": (Rule("ai-client-minute", MINUTE, 6), Rule("ai-client-hour", 60 * MINUTE, 40)),
     "aiGlobal": (Rule("ai-global-minute", MINUTE, 20),),
