@@ -50,16 +50,16 @@ nodes AS (SELECT path, CAST(key + 10 AS BIGINT) AS line_count FROM names)"""
 
 
 def customer_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(path, line_count): src/region/nation/segment/customer; every seventh nation's customers lie in tests/."""
+    """(path, line_count): src/region/nation/segment/customer; every third customer lies in tests/."""
     c = table(spark, sf_dir, "customer")
     names = nation_paths(spark, sf_dir)
-    top = F.when(F.col("c_nationkey") % 7 == 3, "tests").otherwise("src")
+    top = F.when(F.col("c_custkey") % 3 == 0, "tests").otherwise("src")
     path = F.concat_ws("/", top, "path", "c_mktsegment", "c_name")
     return c.join(F.broadcast(names), c["c_nationkey"] == names["key"]).select(path.alias("path"), (F.col("c_custkey") % 200 + 1).cast("long").alias("line_count"), "c_custkey")
 
 
 FILES = """names AS (SELECT n_nationkey AS key, r_name || '/' || n_name AS path FROM nation JOIN region ON n_regionkey = r_regionkey),
-files AS (SELECT (CASE WHEN c_nationkey % 7 = 3 THEN 'tests' ELSE 'src' END) || '/' || path || '/' || c_mktsegment || '/' || c_name AS path,
+files AS (SELECT (CASE WHEN c_custkey % 3 = 0 THEN 'tests' ELSE 'src' END) || '/' || path || '/' || c_mktsegment || '/' || c_name AS path,
   CAST(c_custkey % 200 + 1 AS BIGINT) AS line_count, c_custkey FROM customer JOIN names ON c_nationkey = key)"""
 
 

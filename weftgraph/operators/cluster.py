@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftgraph.functions import paths
+from weftgraph.plans.fixpoint import written
 
 #: A region splits above so many files, into sub-folders of at least so many, at most so deep (fixed values).
 MAX_REGION, MIN_REGION, MAX_DEPTH = 30, 3, 3
@@ -67,10 +68,10 @@ def sink_chains(clusters: DataFrame, tree: DataFrame) -> DataFrame:
 
 def adaptive_clusters(files: DataFrame) -> DataFrame:
     """(path, folder): proposed folders, small ones merged, large ones split up to three deep."""
-    tree = folder_tree(files)
+    tree = written(folder_tree(files).select("path", "shown"))
     at = merge_small(proposed(files)).withColumn("place", F.col("folder")).withColumn("goes", F.lit(False))
     for _ in range(MAX_DEPTH):
-        at = sink_chains(split_once(sink_chains(at, tree)), tree)
+        at = written(sink_chains(split_once(sink_chains(at, tree)), tree))
     return at.select("path", "folder")
 
 

@@ -39,7 +39,7 @@ def expand(sizes: dict[str, dict[str, int]], loose: dict[str, int], budget: int,
     rest, if it has two parts or more and the figure still fits.
     """
     total = {u: sum(c.values()) + loose.get(u, 0) for u, c in sizes.items()}
-    units = {u: (total[u], 0) for u in sizes if "/" not in u or u.startswith("src/")}
+    units = {u: (total[u], 0) for u in sizes if ("/" not in u and not (u == "src" and sizes[u])) or u.rpartition("/")[0] == "src"}
     while True:
         best = None
         for u, (n, depth) in sorted(units.items()):

@@ -1,10 +1,817 @@
-"""Queries over the driver tables and the SQL that gives the same rows: name -> f(spark, sf_dir), name -> SQL."""
+"""Queries over the driver tables and the SQL that gives the same rows: name -> f(spark, sf_dir), name -> SQL.
+
+Iterative operators, user functions and streaming have no SQL; tests hold them against brute force.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from weftgraph import adapters as ad
+from weftgraph.functions import identity, paths, texts
+from weftgraph.operators import boundaries, cluster, confidence, cycles, diagram, entrypoints, evidence, graph, ir, reach, resolve, search, tour
+from weftgraph.plans import fixpoint
+from weftgraph.sources import extract, scan
+from weftgraph.streaming import limits, retention
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Register a query under its function's name, with its SQL."""
+
+    def put(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return put
+
+
+def trade(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    return ad.trade_nodes(s, d), ad.trade_edges(s, d)
+
+
+def regions(nodes: DataFrame) -> DataFrame:
+    """Nations lie in their region's folder."""
+    return nodes.select("path", paths.directory(F.col("path")).alias("folder"))
+
+
+T, FS, PE = f"WITH RECURSIVE {ad.TRADE}", f"WITH {ad.FILES}", f"WITH {ad.PART_EDGES}"
+DEG = """, deg AS (SELECT path, (SELECT count(*) FROM edges WHERE dst = path) AS in_degree, (SELECT count(*) FROM edges WHERE src = path) AS out_degree FROM nodes)"""
+FOLD = """, fold AS (SELECT path, regexp_replace(path, '/?[^/]*$', '') AS folder FROM nodes)"""
+ASIA = "ASIA/NATION_17"
+FIRST = "(SELECT min(path) FROM nodes)"
+
+
+def first_path(nodes: DataFrame) -> str:
+    return nodes.agg(F.min("path")).first()[0]
+
+
+# --- graph --------------------------------------------------------------------------------------------------
+
+
+@query(T + " SELECT id, src, dst FROM edges")
+def g1_build_graph(s, d):
+    nodes, edges = trade(s, d)
+    extra = F.array(F.lit("nowhere"))
+    files = nodes.join(edges.groupBy(F.col("src").alias("path")).agg(F.collect_list("dst").alias("own")), "path", "left")
+    return graph.build_graph(files.select("path", F.concat(F.coalesce("own", F.array().cast("array<string>")), extra).alias("imports")))
+
+
+@query(T + f" SELECT path, line_count FROM nodes WHERE path = '{ASIA}'")
+def g2_get_node(s, d):
+    return graph.get_node(ad.trade_nodes(s, d), ASIA)
+
+
+@query(T + " SELECT id, src, dst FROM edges WHERE id = (SELECT min(id) FROM edges)")
+def g3_get_edge(s, d):
+    nodes, edges = trade(s, d)
+    return graph.get_edge(nodes, edges, edges.agg(F.min("id")).first()[0])
+
+
+@query(T + f" SELECT path, line_count FROM nodes WHERE path IN (SELECT dst FROM edges WHERE src = {FIRST} UNION SELECT src FROM edges WHERE dst = {FIRST})")
+def g4_neighbors(s, d):
+    nodes, edges = trade(s, d)
+    return graph.neighbors(nodes, edges, first_path(nodes), "both")
+
+
+REACH_ALL = ", back AS (SELECT path AS seed, path AS node FROM nodes UNION SELECT seed, src FROM back JOIN edges ON dst = node)"
+
+
+@query(T + REACH_ALL + f" SELECT node AS path FROM back WHERE seed = (SELECT dst FROM edges GROUP BY dst ORDER BY count(*) DESC, dst LIMIT 1) AND node <> seed")
+def g5_impact(s, d):
+    nodes, edges = trade(s, d)
+    top = edges.groupBy("dst").count().orderBy(F.desc("count"), "dst").first()["dst"]
+    return graph.impact(nodes, edges, top)
+
+
+@query(T + REACH_ALL + " SELECT seed AS path, count(*) - 1 AS n_impacted FROM back GROUP BY seed")
+def g5_all_impacts(s, d):
+    return graph.all_impacts(*trade(s, d))
+
+
+@query()
+def g6_find_cycles(s, d):
+    nodes, edges = trade(s, d)
+    one = F.lit("trade").alias("repo_id")
+    return cycles.find_cycles(nodes.select(one, "path"), edges.select(one, "src", "dst"))
+
+
+SCC = ", fwd AS (SELECT path AS a, path AS b FROM nodes UNION SELECT a, dst FROM fwd JOIN edges ON src = b), scc AS (SELECT x.a AS node, min(x.b) AS component FROM fwd x JOIN fwd y ON x.a = y.b AND x.b = y.a GROUP BY x.a)"
+
+
+@query(T + SCC + " SELECT node, component FROM scc")
+def g7_strong_components(s, d):
+    nodes, edges = trade(s, d)
+    return fixpoint.strong_components(nodes.select(F.col("path").alias("node")), edges)
+
+
+@query(T + ", sym AS (SELECT src, dst FROM edges UNION SELECT dst, src FROM edges), und AS (SELECT path AS a, path AS b FROM nodes UNION SELECT a, dst FROM und JOIN sym ON src = b) SELECT a AS node, min(b) AS component FROM und GROUP BY a")
+def g7_components(s, d):
+    nodes, edges = trade(s, d)
+    return fixpoint.components(nodes.select(F.col("path").alias("node")), edges)
+
+
+@query(T + " SELECT e.src AS a, e.dst AS b, CASE WHEN e.src < e.dst THEN e.src || '|' || e.dst ELSE e.dst || '|' || e.src END AS form FROM edges e JOIN edges f ON e.src = f.dst AND e.dst = f.src")
+def g8_canonical_cycles(s, d):
+    _, edges = trade(s, d)
+    back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    form = F.replace(cycles.canonical(F.array("src", "dst")), F.lit("\x00"), F.lit("|"))
+    return edges.join(back, ["src", "dst"], "left_semi").select(F.col("src").alias("a"), F.col("dst").alias("b"), form.alias("form"))
+
+
+# --- observations -------------------------------------------------------------------------------------------
+
+
+@query(T + DEG + " SELECT path, in_degree, out_degree FROM deg")
+def a1_degrees(s, d):
+    return graph.degrees(*trade(s, d))
+
+
+@query(T + DEG + " SELECT path, in_degree FROM deg, (SELECT quantile_disc(in_degree, 0.95) AS p FROM deg) WHERE in_degree >= p AND in_degree > 0")
+def a2_hubs(s, d):
+    return graph.hubs(graph.degrees(*trade(s, d)))
+
+
+PDEG = ", pdeg AS (SELECT p.path, count(e.src) AS in_degree FROM parts p LEFT JOIN pedges e ON e.dst = p.path GROUP BY p.path)"
+
+
+@query(PE + PDEG + " SELECT path, in_degree FROM pdeg, (SELECT quantile_disc(in_degree, 0.95) AS p FROM pdeg) WHERE in_degree >= p AND in_degree > 0")
+def a2_part_hubs(s, d):
+    return graph.hubs(graph.degrees(ad.part_files(s, d), ad.part_edges(s, d)))
+
+
+@query(T + " SELECT path FROM nodes WHERE path NOT IN (SELECT dst FROM edges)")
+def a3_orphans(s, d):
+    return graph.orphans(*trade(s, d))
+
+
+RE = ", re AS (SELECT a.folder AS source, b.folder AS target, count(*) AS n_edges FROM edges JOIN fold a ON src = a.path JOIN fold b ON dst = b.path WHERE a.folder <> b.folder GROUP BY 1, 2)"
+
+
+@query(T + FOLD + RE + " SELECT source, target, n_edges FROM re")
+def a5_region_edges(s, d):
+    nodes, edges = trade(s, d)
+    return graph.region_edges(regions(nodes), edges)
+
+
+@query(T + FOLD + RE + " SELECT source, target, round(least(greatest(1.25 + 0.75 * log2(greatest(1, n_edges)), 1.25), 4.5), 6) AS width, round(n_edges / (max(n_edges) OVER ())::DOUBLE, 6) AS share FROM re")
+def a6_stroke_and_share(s, d):
+    nodes, edges = trade(s, d)
+    r = graph.region_edges(regions(nodes), edges)
+    return r.select("source", "target", F.round(graph.stroke_width(F.col("n_edges")), 6).alias("width"), F.round(graph.size_share(F.col("n_edges")), 6).alias("share"))
+
+
+@query(f"WITH {ad.PARTS} SELECT count(*) AS n_files, (SELECT count(DISTINCT regexp_replace(path, '/?[^/]*$', '')) FROM parts) AS n_folders, (SELECT count(DISTINCT s_name) FROM supplier) AS n_dependencies, 'TypeScript' AS language FROM parts")
+def a7_repo_meta(s, d):
+    f = ad.part_files(s, d)
+    return graph.repo_meta(f, f.select(paths.directory(F.col("path")).alias("folder")), ad.table(s, d, "supplier").select(F.col("s_name").alias("name")))
+
+
+@query("SELECT 'Nuxt' AS framework")
+def a7_framework(s, d):
+    top = s.createDataFrame([("readme.md",), ("vite.config.ts",), ("nuxt.config.ts",)], "name string")
+    return graph.framework(top, s.createDataFrame([("vue",)], "name string"))
+
+
+@query(T + DEG + " SELECT path, in_degree FROM deg ORDER BY in_degree DESC, path LIMIT 5")
+def a8_hub_lens(s, d):
+    return graph.top_lens(graph.degrees(*trade(s, d)).select("path", "in_degree"), "in_degree", 5)
+
+
+REASON = "CASE WHEN o_orderkey % 5 = 0 THEN 'test file' ELSE 'rule ' || o_orderpriority || ' (' || o_orderstatus || ')' END"
+
+
+@query(f"WITH e AS (SELECT CAST(o_orderkey AS VARCHAR) AS path, {REASON} AS reason FROM orders) SELECT regexp_replace(reason, '\\s*\\([^()]*\\)$', '') AS rule, count(*) AS n_entries, min(path) AS least_path FROM e GROUP BY 1")
+def a9_entry_groups(s, d):
+    o = ad.table(s, d, "orders")
+    return graph.entry_groups(o.select(F.col("o_orderkey").cast("string").alias("path"), F.expr(REASON).alias("reason")))
+
+
+@query(f"WITH e AS (SELECT CAST(o_orderkey AS VARCHAR) AS path, {REASON} AS reason FROM orders) SELECT path, 'entry' AS lens FROM e WHERE reason <> 'test file' UNION ALL SELECT CAST(c_custkey AS VARCHAR), 'unreachable' FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+def a10_emphasis(s, d):
+    o, c = ad.table(s, d, "orders"), ad.table(s, d, "customer")
+    dead = c.join(o, c["c_custkey"] == o["o_custkey"], "left_anti").select(F.col("c_custkey").cast("string").alias("path"))
+    return graph.emphasis(o.select(F.col("o_orderkey").cast("string").alias("path"), F.expr(REASON).alias("reason")), dead)
+
+
+# --- clusters and boundaries --------------------------------------------------------------------------------
+
+PROPOSED = ", prop AS (SELECT path, CASE WHEN path LIKE 'src/%' THEN 'src/' || split_part(path, '/', 2) ELSE split_part(path, '/', 1) END AS folder FROM files)"
+
+
+@query(FS + PROPOSED + " SELECT path, folder FROM prop")
+def c1_proposed_folder(s, d):
+    return cluster.proposed(ad.customer_files(s, d))
+
+
+@query(FS + ", seg AS (SELECT path, split_part(path, '/', 3) || '/' || (c_custkey % 97) AS folder FROM files) SELECT path, CASE WHEN count(*) OVER (PARTITION BY folder) < 3 THEN 'other' ELSE folder END AS folder FROM seg")
+def c2_merge_small(s, d):
+    f = ad.customer_files(s, d)
+    return cluster.merge_small(f.select("path", F.concat(F.split("path", "/")[2], F.lit("/"), (F.col("c_custkey") % 97).cast("string")).alias("folder")))
+
+
+def split_sql(level: int, start: str) -> str:
+    """One split round over rows (path, folder, place), for trees without chains."""
+    return f""", k{level} AS (SELECT *, CASE WHEN starts_with(path, place || '/') AND contains(substr(path, length(place) + 2), '/') THEN place || '/' || split_part(substr(path, length(place) + 2), '/', 1) END AS child, count(*) OVER (PARTITION BY folder) AS n FROM {start}),
+m{level} AS (SELECT *, CASE WHEN child IS NOT NULL THEN count(*) OVER (PARTITION BY folder, child) END AS m FROM k{level}),
+q{level} AS (SELECT folder, count(DISTINCT child) FILTER (WHERE m >= 3) AS q FROM m{level} GROUP BY folder),
+s{level} AS (SELECT path, CASE WHEN n > 30 AND q >= 2 AND m >= 3 THEN child ELSE folder END AS folder, CASE WHEN n > 30 AND q >= 2 AND m >= 3 THEN child ELSE place END AS place FROM m{level} JOIN q{level} USING (folder))"""
+
+
+ADAPTIVE = FS + PROPOSED + ", s0 AS (SELECT path, CASE WHEN count(*) OVER (PARTITION BY folder) < 3 THEN 'other' ELSE folder END AS folder, CASE WHEN count(*) OVER (PARTITION BY folder) < 3 THEN 'other' ELSE folder END AS place FROM prop)" + split_sql(1, "s0") + split_sql(2, "s1") + split_sql(3, "s2")
+
+
+@query(ADAPTIVE + " SELECT path, folder FROM s3")
+def c3_adaptive_clusters(s, d):
+    return cluster.adaptive_clusters(ad.customer_files(s, d))
+
+
+@query(FS + PROPOSED + " SELECT path, CASE WHEN count(*) OVER (PARTITION BY folder) < 3 THEN 'other' ELSE folder END AS folder FROM prop")
+def c4_legacy_clusters(s, d):
+    return cluster.legacy_clusters(ad.customer_files(s, d))
+
+
+@query(FS + " SELECT path, line_count, c_custkey, CASE WHEN c_custkey % 2 = 0 THEN 'even' ELSE 'other' END AS folder FROM files")
+def c5_apply_clusters(s, d):
+    f = ad.customer_files(s, d)
+    return cluster.apply_clusters(f, f.where("c_custkey % 2 = 0").select("path", F.lit("even").alias("folder")))
+
+
+ANC = """, anc AS (SELECT path, array_to_string(list_slice(string_split(path, '/'), 1, n), '/') AS folder FROM (SELECT path, unnest(range(1, len(string_split(path, '/')))) AS n FROM {t}))"""
+
+
+@query(FS + ANC.format(t="files") + " SELECT folder AS path, regexp_replace(folder, '/?[^/]*$', '') AS parent, CAST(len(string_split(folder, '/')) AS BIGINT) AS depth, count(*) AS all_files, count(*) FILTER (WHERE regexp_replace(path, '/?[^/]*$', '') = folder) AS own_files FROM anc GROUP BY folder")
+def c6_folder_tree(s, d):
+    return cluster.folder_tree(ad.customer_files(s, d)).select("path", "parent", "depth", "all_files", "own_files")
+
+
+@query(FS + ANC.format(t="files") + " SELECT folder AS path, count(*) AS all_files FROM anc WHERE folder = 'src/ASIA' GROUP BY folder")
+def c7_find_folder(s, d):
+    return cluster.find_folder(cluster.folder_tree(ad.customer_files(s, d)), "src/ASIA").select("path", "all_files")
+
+
+@query(FS + r" SELECT path, regexp_matches(path, '(^|/)(tests?|__tests__|specs?|e2e)/|\.(test|spec)\.[cm]?[jt]sx?$|(^|/)test_[^/]+\.py$|_test\.(go|py)$', 'i') AS is_test FROM files")
+def c8_is_test(s, d):
+    return ad.customer_files(s, d).select("path", paths.is_test(F.col("path")).alias("is_test"))
+
+
+@query(T + " SELECT 'module-root' AS kind, 'trade' AS path, count(*) AS n_files FROM nodes")
+def c9_root_boundaries(s, d):
+    nodes, _ = trade(s, d)
+    roots = s.createDataFrame([("r", "trade", "verified")], "root_id string, root_path string, confidence string")
+    return boundaries.root_boundaries(roots, nodes.select(F.lit("r").alias("root_id"), "path")).select("kind", "path", "n_files")
+
+
+@query(FS + ANC.format(t="files") + " SELECT 'folder' AS kind, folder AS path, CASE WHEN contains(folder, '/') THEN regexp_replace(folder, '/?[^/]*$', '') END AS parent, count(*) AS n_files, min(path) AS first_file FROM anc GROUP BY folder")
+def c10_folder_boundaries(s, d):
+    b = boundaries.folder_boundaries(ad.customer_files(s, d))
+    return b.select("kind", "path", "parent", "n_files", F.col("contained")[0].alias("first_file"))
+
+
+@query(ADAPTIVE + " SELECT folder AS path, count(*) AS n_files, min(path) AS first_file FROM s3 GROUP BY folder")
+def c11_region_boundaries(s, d):
+    return boundaries.region_boundaries(ad.customer_files(s, d)).select("path", "n_files", F.col("contained")[0].alias("first_file"))
+
+
+@query()
+def c12_boundary_ids(s, d):
+    b = boundaries.in_order(boundaries.folder_boundaries(ad.customer_files(s, d)))
+    return b.select("kind", "path", identity.boundary_id(F.col("kind"), F.col("path")).alias("id"))
+
+
+@query(FS + " SELECT 'unknown-member' AS rule, 'folder:' || p AS subject FROM (SELECT DISTINCT unnest(['src', 'src/ASIA', 'src/ASIA/NATION_17']) AS p) WHERE EXISTS (SELECT 1 FROM files WHERE starts_with(path, p || '/') AND path LIKE 'src/ASIA/NATION_17/%') UNION ALL SELECT 'unknown-member', 'folder:src/ASIA/NATION_17/' || g FROM (SELECT DISTINCT split_part(path, '/', 4) AS g FROM files WHERE path LIKE 'src/ASIA/NATION_17/%')")
+def c13_boundary_violations(s, d):
+    f = ad.customer_files(s, d)
+    return boundaries.boundary_violations(boundaries.folder_boundaries(f), f.where("path not like 'src/ASIA/NATION_17/%'"))
+
+
+@query(FS + ANC.format(t="files") + " SELECT 'folder' AS kind, folder AS path FROM anc WHERE path = (SELECT min(path) FROM files)")
+def c14_boundaries_of(s, d):
+    f = ad.customer_files(s, d)
+    return boundaries.boundaries_of(boundaries.folder_boundaries(f), f.agg(F.min("path")).first()[0])
+
+
+@query(ADAPTIVE + " SELECT path, folder FROM s3 WHERE path IN (SELECT path FROM files WHERE c_custkey % 3 = 0)")
+def c15_clusters_from_model(s, d):
+    f = ad.customer_files(s, d)
+    return boundaries.clusters_from(boundaries.region_boundaries(f), f.where("c_custkey % 3 = 0"))
+
+
+@query(FS + " SELECT path, split_part(path, '/', 1) AS layer FROM files")
+def c16_layers(s, d):
+    return ad.customer_files(s, d).select("path", paths.layer(F.col("path")).alias("layer"))
+
+
+@query(FS + " SELECT path, CASE WHEN path LIKE 'src/%' THEN split_part(path, '/', 2) ELSE 'tests' END AS domain FROM files")
+def c17_domains(s, d):
+    return ad.customer_files(s, d).select("path", paths.domain(F.col("path")).alias("domain"))
+
+
+@query(FS + """, own AS (SELECT path, 'layer' AS kind, split_part(path, '/', 1) AS name, c_custkey FROM files UNION ALL SELECT path, 'domain', CASE WHEN path LIKE 'src/%' THEN split_part(path, '/', 2) ELSE 'tests' END, c_custkey FROM files),
+o AS (SELECT kind, CASE WHEN kind = 'domain' AND c_custkey % 10 = 0 THEN 'chosen' ELSE name END AS name, kind = 'domain' AND c_custkey % 10 = 0 AS own FROM own)
+SELECT kind, name, count(*) AS n_files, CASE WHEN bool_and(own) THEN 'user-defined' ELSE 'heuristic' END AS origin FROM o GROUP BY kind, name""")
+def c18_inference_groups(s, d):
+    f = ad.customer_files(s, d)
+    o = f.where("c_custkey % 10 = 0").select("path", F.lit("domain").alias("kind"), F.lit("chosen").alias("name"))
+    return boundaries.inference_groups(boundaries.inferred(f, o))
+
+
+# --- entries and reachability -------------------------------------------------------------------------------
+
+
+@query(FS + " SELECT path, 'test file' AS reason FROM files WHERE path LIKE 'tests/%'")
+def e6_conventions(s, d):
+    return entrypoints.by_convention(ad.customer_files(s, d)).select("path", "reason")
+
+
+@query(f"WITH {ad.PARTS}, t AS (SELECT CASE WHEN p_partkey % 4 = 0 THEN replace(path, '.ts', '.test.ts') WHEN p_partkey % 4 = 1 THEN replace(path, '.ts', '.stories.tsx') ELSE path END AS path, p_partkey FROM parts) SELECT path, CASE WHEN p_partkey % 4 = 0 THEN 'test file' ELSE 'Storybook story' END AS reason FROM t WHERE p_partkey % 4 < 2")
+def e7_anywhere(s, d):
+    p = ad.part_files(s, d)
+    named = F.when(F.col("p_partkey") % 4 == 0, F.replace("path", F.lit(".ts"), F.lit(".test.ts"))).when(F.col("p_partkey") % 4 == 1, F.replace("path", F.lit(".ts"), F.lit(".stories.tsx"))).otherwise(F.col("path"))
+    return entrypoints.anywhere(p.select(named.alias("path"))).select("path", "reason")
+
+
+@query("SELECT CAST(doc_id AS VARCHAR) || '.py' AS path, 'Python main guard' AS reason FROM documents WHERE doc_id % 3 = 0")
+def e8_content_rules(s, d):
+    doc = ad.table(s, d, "documents")
+    body = F.when(F.col("doc_id") % 3 == 0, F.concat("text", F.lit('\nif __name__ == "__main__":\n'))).otherwise(F.col("text"))
+    return entrypoints.by_content(doc.select(F.concat(F.col("doc_id").cast("string"), F.lit(".py")).alias("path"), body.alias("content"))).select("path", "reason")
+
+
+@query("SELECT CAST(doc_id AS VARCHAR) || '.js' AS path FROM documents WHERE doc_id % 5 = 0")
+def e9_dynamic_imports(s, d):
+    doc = ad.table(s, d, "documents")
+    body = F.concat("text", F.when(F.col("doc_id") % 5 == 0, "\nimport(name)\n").otherwise('\nimport("x")\n'))
+    none = s.createDataFrame([], "path string, reason string")
+    return entrypoints.dynamic_import_files(doc.select(F.concat(F.col("doc_id").cast("string"), F.lit(".js")).alias("path"), body.alias("content")), none)
+
+
+@query("SELECT 'web' AS root, 'Astro' AS framework UNION ALL SELECT '', 'Remix'")
+def e10_frameworks(s, d):
+    deps = s.createDataFrame([("web", "astro"), ("web", "react"), ("", "@remix-run/node"), ("", "@remix-run/react")], "root string, name string")
+    return entrypoints.unknown_frameworks(deps)
+
+
+SEEDS = "(SELECT path FROM nodes WHERE path LIKE 'ASIA/%')"
+REACHED = f", hit AS (SELECT path AS node FROM nodes WHERE path IN {SEEDS} UNION SELECT dst FROM hit JOIN edges ON src = node)"
+
+
+@query(T + REACHED + " SELECT node AS path FROM hit")
+def r1_reached(s, d):
+    nodes, edges = trade(s, d)
+    return reach.reached(nodes, edges, nodes.where("path like 'ASIA/%'"))
+
+
+@query(T + REACHED + " SELECT path FROM nodes WHERE path NOT IN (SELECT node FROM hit)")
+def r2_unreachable(s, d):
+    nodes, edges = trade(s, d)
+    return reach.unreachable(nodes, edges, nodes.where("path like 'ASIA/%'"))
+
+
+@query(T + f" SELECT path, 'entry' AS role, 'given' AS reason FROM nodes WHERE path = '{ASIA}'")
+def r4_describe(s, d):
+    nodes, edges = trade(s, d)
+    entries = nodes.where("path like 'ASIA/%'").select("path", F.lit("given").alias("reason"))
+    return reach.describe(entries, reach.unreachable(nodes, edges, entries), ASIA)
+
+
+# --- confidence and views -----------------------------------------------------------------------------------
+
+BAD = "CASE WHEN length(path) % 3 = 0 THEN 'heuristic' ELSE 'verified' END"
+
+
+def known(nodes: DataFrame) -> DataFrame:
+    return confidence.by_path(nodes, nodes.where("length(path) % 3 = 0"))
+
+
+@query(T + f" SELECT path, {BAD} AS confidence FROM nodes")
+def p1_by_path(s, d):
+    return known(ad.trade_nodes(s, d))
+
+
+@query(T + " SELECT id, CASE WHEN length(src) % 3 = 0 THEN 'heuristic' ELSE 'derived' END AS confidence FROM edges")
+def p2_edge_confidence(s, d):
+    nodes, edges = trade(s, d)
+    return confidence.edge_confidence(edges, known(nodes)).select("id", "confidence")
+
+
+HREFS = r"links AS (SELECT CAST(page_id AS VARCHAR) AS path, unnest(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) AS specifier FROM pages)"
+
+
+def hrefs(s: SparkSession, d: str) -> DataFrame:
+    p = ad.table(s, d, "pages")
+    return p.select(F.col("page_id").cast("string").alias("path"), F.explode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), 1)).alias("specifier"))
+
+
+@query(f"WITH {HREFS} SELECT path, count(DISTINCT specifier) AS n_unresolved FROM links GROUP BY path")
+def p3_unresolved_by_file(s, d):
+    return confidence.unresolved_by_file(hrefs(s, d)).select("path", "n_unresolved")
+
+
+@query(T + FOLD + " SELECT folder, count(*) FILTER (WHERE length(path) % 3 = 0) AS n_reduced FROM fold GROUP BY folder")
+def p5_reduced_by_region(s, d):
+    nodes, _ = trade(s, d)
+    return confidence.reduced_by_region(regions(nodes), known(nodes))
+
+
+@query(T + FOLD + " SELECT DISTINCT a.folder AS src_folder, b.folder AS dst_folder FROM edges JOIN fold a ON src = a.path JOIN fold b ON dst = b.path WHERE a.folder <> b.folder")
+def v1_folder_edges(s, d):
+    nodes, edges = trade(s, d)
+    return confidence.folder_edges(edges, regions(nodes))
+
+
+@query(T + FOLD + " SELECT a.folder AS folder, src, dst FROM edges JOIN fold a ON src = a.path JOIN fold b ON dst = b.path WHERE a.folder = b.folder")
+def v2_interior_edges(s, d):
+    nodes, edges = trade(s, d)
+    return confidence.interior_edges(edges, regions(nodes))
+
+
+@query(T + FOLD + ", x AS (SELECT src, dst, a.folder AS sf, b.folder AS df FROM edges JOIN fold a ON src = a.path JOIN fold b ON dst = b.path WHERE a.folder <> b.folder) SELECT DISTINCT sf AS region, src AS path, 'out' AS direction, df AS neighbour FROM x UNION SELECT DISTINCT df, dst, 'in', sf FROM x")
+def v3_boundary_stubs(s, d):
+    nodes, edges = trade(s, d)
+    return confidence.boundary_stubs(edges, regions(nodes))
+
+
+@query(f"WITH {HREFS} SELECT DISTINCT path, specifier FROM links")
+def v4_unresolved_stubs(s, d):
+    return hrefs(s, d).distinct()
+
+
+@query(T + " SELECT path, CAST((rk % 4) * 260 AS BIGINT) AS x, CAST((rk // 4) * 140 AS BIGINT) AS y FROM (SELECT path, row_number() OVER (ORDER BY path) - 1 AS rk FROM nodes)")
+def v6_grid(s, d):
+    return confidence.grid(ad.trade_nodes(s, d).select("path"), "path")
+
+
+# --- diagrams -----------------------------------------------------------------------------------------------
+
+
+def units_of(nodes: DataFrame) -> DataFrame:
+    return diagram.top_units(nodes)
+
+
+UNITS = ", units AS (SELECT path, line_count, split_part(path, '/', 1) AS unit FROM nodes)"
+UE = ", ue AS (SELECT a.unit AS source, b.unit AS target, count(*) AS n FROM edges JOIN units a ON src = a.path JOIN units b ON dst = b.path GROUP BY 1, 2)"
+UX = ", ux AS (SELECT e.*, EXISTS (SELECT 1 FROM ue f WHERE f.source = e.target AND f.target = e.source) AS mutual FROM ue e WHERE source <> target)"
+
+
+@query(FS + " SELECT path, CASE WHEN path LIKE 'src/%' THEN 'src/' || split_part(path, '/', 2) ELSE split_part(path, '/', 1) END AS unit FROM files")
+def d2_top_units(s, d):
+    return diagram.top_units(ad.customer_files(s, d)).select("path", "unit")
+
+
+@query(FS + ", u AS (SELECT path, split_part(path, '/', 3) AS unit FROM files), r AS (SELECT unit, row_number() OVER (ORDER BY count(*), unit) AS rk, count(*) OVER () AS k FROM u GROUP BY unit) SELECT path, CASE WHEN k > 10 AND rk <= k - 9 THEN 'other parts' ELSE u.unit END AS unit FROM u JOIN r ON u.unit = r.unit")
+def d3_merge_smallest(s, d):
+    f = ad.customer_files(s, d).select("path", F.split("path", "/")[2].alias("unit"))
+    return diagram.merge_smallest(f, 10)
+
+
+@query()
+def d4_expand(s, d):
+    tree = cluster.folder_tree(ad.customer_files(s, d))
+    top = tree.where("depth <= 4").select("path", "parent", "own_files", "all_files").collect()  # folders down to four levels: a figure's material
+    kids: dict[str, dict[str, int]] = {}
+    for r in top:
+        kids.setdefault(r.path, {})
+        if r.parent:
+            kids.setdefault(r.parent, {})[r.path] = r.all_files
+    loose = {r.path: r.own_files if r.path.count("/") < 3 else r.all_files for r in top}
+    return s.createDataFrame([(u,) for u in diagram.expand(kids, loose, 24)], "unit string")
+
+
+@query(T + UNITS + ", e AS (SELECT a.unit AS source, b.unit AS target, id, row_number() OVER (PARTITION BY a.unit, b.unit ORDER BY id) AS rk FROM edges JOIN units a ON src = a.path JOIN units b ON dst = b.path) SELECT source, target, count(*) AS n, string_agg(id, ' ' ORDER BY id) FILTER (WHERE rk <= 5) AS samples FROM e GROUP BY 1, 2")
+def d7_unit_edges(s, d):
+    nodes, edges = trade(s, d)
+    return diagram.unit_edges(units_of(nodes), edges).withColumn("samples", F.array_join("samples", " "))
+
+
+@query(T + UNITS + UE + UX + """, w AS (SELECT source AS a, target AS b FROM ux UNION SELECT a, target FROM w JOIN ux ON source = b)
+SELECT source, target, n, mutual, EXISTS (SELECT 1 FROM w WHERE a = target AND b = source) AS in_cycle FROM ux""")
+def d8_d9_flagged(s, d):
+    nodes, edges = trade(s, d)
+    return diagram.flagged(diagram.unit_edges(units_of(nodes), edges)).drop("samples")
+
+
+SHARED = ", shared AS (SELECT target AS unit, count(DISTINCT source) AS importers FROM ux GROUP BY target HAVING count(DISTINCT source) >= 3 AND count(DISTINCT source) >= 0.6 * ((SELECT count(DISTINCT unit) FROM units) - 1) AND (SELECT count(DISTINCT unit) FROM units) >= 4)"
+
+
+@query(T + UNITS + UE + UX + SHARED + " SELECT unit, importers FROM shared")
+def d10_shared_parts(s, d):
+    nodes, edges = trade(s, d)
+    u = units_of(nodes)
+    return diagram.shared_parts(u, diagram.unit_edges(u, edges))
+
+
+@query(T + UNITS + UE + UX + SHARED + """, al AS (SELECT *, target IN (SELECT unit FROM shared) OR (source IN (SELECT unit FROM shared) AND mutual) AS aside FROM ux),
+rk AS (SELECT *, row_number() OVER (PARTITION BY (NOT aside AND NOT mutual) ORDER BY n DESC, source || '->' || target) AS r, count(*) FILTER (WHERE NOT aside AND mutual) OVER () AS many FROM al)
+SELECT source, target, n, mutual, CASE WHEN aside THEN 'set-aside' WHEN mutual OR r <= greatest(4 - many, 0) THEN 'kept' ELSE 'dropped' END AS fate FROM rk""")
+def d11_select_edges(s, d):
+    nodes, edges = trade(s, d)
+    u = units_of(nodes)
+    between = diagram.unit_edges(u, edges)
+    return diagram.select_edges(diagram.flagged(between), diagram.shared_parts(u, between), 4).select("source", "target", "n", "mutual", "fate")
+
+
+@query(T + UNITS + UE + " SELECT u.unit, count(*) AS files, CAST(sum(line_count) AS BIGINT) AS lines, CAST(0 AS BIGINT) AS tests, count(*) FILTER (WHERE length(path) % 3 = 0) AS reduced, coalesce(max(n), 0) AS internal FROM units u LEFT JOIN ue ON source = u.unit AND target = u.unit GROUP BY u.unit")
+def d12_unit_measures(s, d):
+    nodes, edges = trade(s, d)
+    return diagram.unit_measures(units_of(nodes), edges, known(nodes))
+
+
+@query("WITH u AS (SELECT DISTINCT o_orderkey % 50 AS f, split_part(p_name, ' ', 1) AS package FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey) SELECT package, count(DISTINCT f) AS files FROM u GROUP BY package ORDER BY files DESC, package LIMIT 8")
+def d13_external_packages(s, d):
+    line, part = ad.table(s, d, "lineitem").select("l_orderkey", "l_partkey"), ad.table(s, d, "part").select("p_partkey", "p_name")
+    x = line.join(part, line["l_partkey"] == part["p_partkey"]).select((F.col("l_orderkey") % 50).cast("string").alias("path"), F.concat(F.split("p_name", " ")[0], F.lit("/sub")).alias("specifier")).distinct()
+    return diagram.external_packages(x, None)
+
+
+def moved_units(nodes: DataFrame) -> DataFrame:
+    """Two nations in the wrong region, so that they look misplaced."""
+    return nodes.select("path", "line_count", F.when(F.col("path") == ASIA, "AFRICA").otherwise(F.split("path", "/")[0]).alias("unit"))
+
+
+PUNITS = ", punits AS (SELECT path, split_part(path, '/', 1) AS unit FROM parts)"
+
+
+@query(PE + PUNITS + """, sides AS (SELECT src AS path, dst AS far FROM pedges WHERE src <> dst UNION ALL SELECT dst, src FROM pedges WHERE src <> dst),
+per AS (SELECT b.path, u.unit, v.unit AS other, count(*) AS n FROM sides b JOIN punits u ON b.path = u.path JOIN punits v ON far = v.path GROUP BY 1, 2, 3),
+g AS (SELECT path, unit, sum(n) AS total, sum(CASE WHEN other = unit THEN n ELSE 0 END) AS own, max(n) AS most, max_by(other, (n, other)) AS other FROM per GROUP BY 1, 2)
+SELECT path, unit, other, CAST(total AS BIGINT) AS total, most FROM g WHERE total >= 3 AND own = 0 AND most >= 0.8 * total ORDER BY total DESC, path LIMIT 3""")
+def d18_misplaced(s, d):
+    p = ad.part_files(s, d)
+    return diagram.misplaced(p.select("path", F.split("path", "/")[0].alias("unit")), ad.part_edges(s, d))
+
+
+@query(T + UNITS + f", l AS (SELECT path, specifier FROM (SELECT path, unnest(range(length(path) % 4)) AS specifier FROM nodes)), u AS (SELECT unit, count(*) AS bad FROM l JOIN units USING (path) GROUP BY unit), g AS (SELECT unit, count(*) AS good FROM edges JOIN units ON src = path GROUP BY unit) SELECT unit AS subject, bad AS figure FROM u LEFT JOIN g USING (unit) WHERE bad >= 3 AND bad > 0.1 * (bad + coalesce(good, 0))")
+def d19_unresolved_heavy(s, d):
+    nodes, edges = trade(s, d)
+    loose = nodes.where("length(path) % 4 > 0").select("path", F.explode(F.sequence(F.lit(1), (F.length("path") % 4).cast("int"))).alias("specifier"))
+    return diagram.unresolved_heavy(units_of(nodes), edges, loose)
+
+
+@query(T + UNITS + UE + UX + SHARED + """, w AS (SELECT source AS a, target AS b FROM ux UNION SELECT a, target FROM w JOIN ux ON source = b), cyc AS (SELECT source AS x FROM ux WHERE EXISTS (SELECT 1 FROM w WHERE a = target AND b = source)
+ UNION SELECT target FROM ux WHERE EXISTS (SELECT 1 FROM w WHERE a = target AND b = source)), cc AS (SELECT x, (SELECT min(y.x) FROM cyc y WHERE y.x = c.x OR EXISTS (SELECT 1 FROM w WHERE a = c.x AND b = y.x)) AS least FROM cyc c)
+SELECT 'cycle' AS kind, least AS subject, count(*) AS figure FROM cc GROUP BY least UNION ALL SELECT 'hub', unit, importers FROM shared
+UNION ALL SELECT 'isolated', unit, count(*) FROM units WHERE unit NOT IN (SELECT source FROM ux UNION SELECT target FROM ux) GROUP BY unit""")
+def d20_findings(s, d):
+    nodes, edges = trade(s, d)
+    return diagram.findings(units_of(nodes), edges).where("kind in ('cycle', 'hub', 'isolated')")
+
+
+@query(PE + PDEG + PUNITS + " SELECT unit, path, rank FROM (SELECT unit, path, row_number() OVER (PARTITION BY unit ORDER BY in_degree DESC, path) AS rank FROM pdeg JOIN punits USING (path)) WHERE rank <= 3")
+def d23_key_files(s, d):
+    p = ad.part_files(s, d)
+    deg = graph.degrees(p, ad.part_edges(s, d)).select("path", "in_degree")
+    return diagram.key_files(deg, p.select(F.split("path", "/")[0].alias("unit")).distinct())
+
+
+@query(T + UNITS + UE + UX + """, ul AS (SELECT unit, '  ' || regexp_replace(unit, '[^A-Za-z0-9]', '_', 'g') || '["' || unit || '<br/>' || count(*) || CASE WHEN count(*) = 1 THEN ' file' ELSE ' files' END || ' · ' || sum(line_count)::BIGINT || ' lines"]' AS line FROM units GROUP BY unit),
+el AS (SELECT source, target, '  ' || regexp_replace(source, '[^A-Za-z0-9]', '_', 'g') || CASE WHEN n >= 2 THEN ' -->|' || n || '| ' ELSE ' --> ' END || regexp_replace(target, '[^A-Za-z0-9]', '_', 'g') AS line FROM ux),
+cy AS (SELECT DISTINCT regexp_replace(source, '[^A-Za-z0-9]', '_', 'g') AS c FROM ux WHERE mutual)
+SELECT concat_ws(chr(10), 'flowchart LR', (SELECT string_agg(line, chr(10) ORDER BY unit) FROM ul), (SELECT string_agg(line, chr(10) ORDER BY source, target) FROM el), '  classDef cycle stroke:#7A5312,stroke-width:2px', (SELECT '  class ' || string_agg(c, ',' ORDER BY c) || ' cycle' FROM cy)) AS text""")
+def d24_mermaid(s, d):
+    nodes, edges = trade(s, d)
+    u = units_of(nodes)
+    m = diagram.unit_measures(u, edges).select(F.col("unit").alias("id"), F.col("unit").alias("label"), "files", "lines")
+    return diagram.mermaid(m, diagram.flagged(diagram.unit_edges(u, edges)))
+
+
+# --- search, tours, evidence --------------------------------------------------------------------------------
+
+
+@query(T + DEG + r" SELECT path AS id, regexp_extract(path, '([^/]*)$', 1) AS label, regexp_replace(path, '/?[^/]*$', '') AS context, 'file' AS kind, in_degree AS weight FROM deg UNION ALL SELECT path || '#' || regexp_extract(path, '([^/]*)$', 1), regexp_extract(path, '([^/]*)$', 1), path, 'symbol', in_degree FROM deg")
+def s1_search_items(s, d):
+    nodes, edges = trade(s, d)
+    return search.search_items(graph.degrees(nodes, edges), nodes.select("path", paths.name_of(F.col("path")).alias("name")))
+
+
+RANKED = """, items AS (SELECT path AS id, regexp_extract(path, '([^/]*)$', 1) AS label, regexp_replace(path, '/?[^/]*$', '') AS context, in_degree AS weight FROM deg),
+tier AS (SELECT *, CASE WHEN lower(label) = 'in' THEN 1000 WHEN starts_with(lower(label), 'in') THEN 800 WHEN regexp_matches(lower(label), '[/\\-_.@: ]in') THEN 600 WHEN regexp_matches(lower(label), 'i.*n') THEN 400 END AS a,
+ CASE WHEN lower(context) = 'in' THEN 1000 WHEN starts_with(lower(context), 'in') THEN 800 WHEN regexp_matches(lower(context), '[/\\-_.@: ]in') THEN 600 WHEN regexp_matches(lower(context), 'i.*n') THEN 400 END - 150 AS b FROM items),
+scored AS (SELECT id, label, 'file' AS kind, CAST(coalesce(a, b) AS BIGINT) AS score, weight FROM tier WHERE coalesce(a, b) IS NOT NULL)"""
+
+
+@query(T + DEG + RANKED + " SELECT id, label, kind, score, weight, (SELECT count(*) FROM scored) AS total FROM scored ORDER BY score DESC, weight DESC, label, id LIMIT 20")
+def s3_rank(s, d):
+    return search.rank(search.search_items(graph.degrees(*trade(s, d))), "in", 20)
+
+
+@query()
+def t1_tour(s, d):
+    nodes, edges = trade(s, d)
+    entries = nodes.where("path like 'ASIA/%'").select("path", F.lit('package.json "main"').alias("reason"))
+    return tour.tour(nodes, edges, regions(nodes), entries)
+
+
+@query(T + ", w AS (SELECT path, min(line_count % 7) AS nth, row_number() OVER (ORDER BY path) AS i FROM nodes GROUP BY path), r AS (SELECT path, row_number() OVER (ORDER BY path DESC) AS step FROM nodes) SELECT step, path FROM r WHERE step <= 10")
+def t2_chosen_tour(s, d):
+    from pyspark.sql import Window
+
+    nodes = ad.trade_nodes(s, d)
+    n = nodes.select(F.row_number().over(Window.orderBy(F.desc("path"))).alias("nth"), "path")
+    twice = n.unionByName(n.select((F.col("nth") + 100).alias("nth"), "path")).unionByName(s.createDataFrame([(0, "nowhere")], "nth int, path string"))
+    return tour.chosen_tour(twice, nodes)
+
+
+@query(T + DEG + " SELECT path, in_degree, out_degree FROM deg WHERE in_degree = 0 AND out_degree > 0 ORDER BY out_degree DESC, path LIMIT 8")
+def x2_likely_entries(s, d):
+    return evidence.likely_entries(graph.degrees(*trade(s, d)))
+
+
+@query(T + FOLD + RE + ", two AS (SELECT source AS folder, 'out' AS direction, target AS other, n_edges FROM re UNION ALL SELECT target, 'in', source, n_edges FROM re), r AS (SELECT *, row_number() OVER (PARTITION BY folder, direction ORDER BY n_edges DESC, other) AS rank FROM two) SELECT r.folder, f.n_files, direction, other, n_edges, rank FROM r JOIN (SELECT folder, count(*) AS n_files FROM fold GROUP BY folder) f ON r.folder = f.folder WHERE rank <= 4")
+def x2_region_table(s, d):
+    nodes, edges = trade(s, d)
+    return evidence.region_table(regions(nodes), edges)
+
+
+@query(T + DEG + FOLD + ", j AS (SELECT folder, path, in_degree * 1000 + line_count AS weight FROM deg JOIN fold USING (path) JOIN nodes USING (path)), r AS (SELECT *, row_number() OVER (PARTITION BY folder ORDER BY weight DESC, path) AS rank FROM j) SELECT folder, path, weight, rank FROM r WHERE rank <= 6")
+def x3_region_key_files(s, d):
+    nodes, edges = trade(s, d)
+    return evidence.region_key_files(regions(nodes), graph.degrees(nodes, edges), nodes)
+
+
+@query(PE + PDEG + " SELECT path, rank() OVER (ORDER BY in_degree DESC) AS rank FROM pdeg")
+def x4_import_rank(s, d):
+    return evidence.import_rank(graph.degrees(ad.part_files(s, d), ad.part_edges(s, d)))
+
+
+CLAIM = "CAST(conv_id AS VARCHAR) || ':' || CAST(turn AS VARCHAR)"
+
+
+@query(f"WITH c AS (SELECT {CLAIM} AS claim_id, 'doc' AS kind, CAST(conv_id AS VARCHAR) AS id FROM conversations UNION ALL SELECT {CLAIM}, 'doc', CAST(conv_id + turn AS VARCHAR) FROM conversations), e AS (SELECT DISTINCT 'doc' AS kind, CAST(doc_id AS VARCHAR) AS id, TRUE AS ok FROM labels) SELECT claim_id FROM c LEFT JOIN e USING (kind, id) GROUP BY claim_id HAVING bool_and(coalesce(ok, FALSE))")
+def x6_supported_claims(s, d):
+    c = ad.table(s, d, "conversations")
+    cid = F.concat(F.col("conv_id").cast("string"), F.lit(":"), F.col("turn").cast("string")).alias("claim_id")
+    cited = c.select(cid, F.explode(F.array(F.col("conv_id").cast("string"), (F.col("conv_id") + F.col("turn")).cast("string"))).alias("id"))
+    known_ids = ad.table(s, d, "labels").select(F.lit("doc").alias("kind"), F.col("doc_id").cast("string").alias("id"))
+    return evidence.supported_claims(cited.withColumn("kind", F.lit("doc")), known_ids)
+
+
+@query()
+def x7_unsupported_figures(s, d):
+    doc = ad.table(s, d, "documents")
+    return evidence.unsupported_figures(doc.select(F.col("doc_id").alias("claim_id"), "text"), ad.table(s, d, "benchmark").select("text"))
+
+
+@query("SELECT unit, text, 'caption' AS kind FROM (SELECT source AS unit, min_by(lang || ' in ' || source, doc_id) AS text FROM documents WHERE NOT regexp_matches(lang || ' in ' || source, '\\d') GROUP BY source)")
+def x8_final_notes(s, d):
+    doc = ad.table(s, d, "documents")
+    return evidence.final_notes(doc.select(F.col("doc_id").alias("nth"), F.col("source").alias("unit"), F.concat("lang", F.lit(" in "), "source").alias("text")))
+
+
+@query("SELECT vec AS subject, sha256('v1' || chr(10) || vec) AS key FROM (SELECT CAST(doc_id AS VARCHAR) AS vec FROM documents)")
+def x9_cache_keys(s, d):
+    doc = ad.table(s, d, "documents").select(F.col("doc_id").cast("string").alias("subject"), F.lit("v1").alias("version"))
+    return doc.select("subject", evidence.cache_key("version", "subject").alias("key"))
+
+
+@query(FS + " SELECT array_to_string(list_slice(string_split(path, '/'), 1, 2), '/') AS folder, count(*) AS n_files FROM files GROUP BY 1 ORDER BY n_files DESC, folder LIMIT 12")
+def x2_top_folders(s, d):
+    return evidence.top_folders(ad.customer_files(s, d))
+
+
+# --- the provenance graph -----------------------------------------------------------------------------------
+
+
+def extractions(s: SparkSession, d: str) -> DataFrame:
+    nodes, edges = trade(s, d)
+    imp = edges.groupBy(F.col("src").alias("path")).agg(F.collect_list("dst").alias("imports"))
+    none = F.array().cast("array<string>")
+    top = F.array(paths.directory(F.col("path")))
+    return nodes.join(imp, "path", "left").select(
+        "path", "line_count", (F.length("path") % 3 == 0).cast("int").alias("errors"), F.coalesce("imports", none).alias("imports"), none.alias("approximate"), top.alias("externals"), F.when(F.length("path") % 2 == 0, F.array(F.lit("./gone"))).otherwise(none).alias("unresolved"),
+    )
+
+
+@query(T + " SELECT 'file' AS kind, count(*) AS n, count(*) FILTER (WHERE length(path) % 3 = 0) AS reduced FROM nodes UNION ALL SELECT 'module-root', 1, 0 UNION ALL SELECT 'external-dependency', count(DISTINCT split_part(path, '/', 1)), 0 FROM nodes UNION ALL SELECT 'unresolved-import', count(*) FILTER (WHERE length(path) % 2 = 0), 0 FROM nodes")
+def ir1_nodes(s, d):
+    nodes, _ = ir.build(extractions(s, d))
+    return nodes.groupBy("kind").agg(F.count("*").alias("n"), F.count_if(F.col("origin") == "heuristic").alias("reduced"))
+
+
+@query(T + ", x AS (SELECT src, dst FROM edges UNION SELECT path, 'ext' FROM nodes UNION SELECT path, 'gone' FROM nodes WHERE length(path) % 2 = 0) SELECT 'imports' AS kind, CASE WHEN length(src) % 3 = 0 THEN 'heuristic' ELSE 'derived' END AS origin, count(*) AS n FROM x GROUP BY 1, 2 UNION ALL SELECT 'contains', 'derived', count(*) FROM nodes")
+def ir7_edges(s, d):
+    _, edges = ir.build(extractions(s, d))
+    return edges.groupBy("kind", "origin").agg(F.count("*").alias("n"))
+
+
+@query("SELECT 'x' AS rule, 'y' AS subject WHERE FALSE")
+def ir10_violations(s, d):
+    return ir.violations(*ir.build(extractions(s, d)))
+
+
+@query()
+def ir2_ids(s, d):
+    nodes, _ = ir.build(extractions(s, d))
+    return nodes.select("kind", "path", "id")
+
+
+@query("SELECT CAST(l_orderkey AS VARCHAR) AS path, l_returnflag AS kind, l_linestatus AS qualified_name, l_linenumber AS pos, row_number() OVER (PARTITION BY l_orderkey, l_returnflag, l_linestatus ORDER BY l_linenumber) - 1 AS ordinal FROM (SELECT DISTINCT l_orderkey, l_linenumber, min(l_returnflag) AS l_returnflag, min(l_linestatus) AS l_linestatus FROM lineitem GROUP BY 1, 2)")
+def ir3_symbol_ordinals(s, d):
+    line = ad.table(s, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_returnflag").alias("kind"), F.min("l_linestatus").alias("qualified_name"))
+    return ir.symbol_ordinals(line.select(F.col("l_orderkey").cast("string").alias("path"), "kind", "qualified_name", F.col("l_linenumber").alias("pos")))
+
+
+# --- sources, extraction, resolution ------------------------------------------------------------------------
+
+
+@query("SELECT doc_id, CAST(len(string_split_regex(text, '\\r?\\n')) AS BIGINT) AS lines FROM documents")
+def ext11_line_count(s, d):
+    return ad.table(s, d, "documents").select("doc_id", texts.line_count(F.col("text")).cast("long").alias("lines"))
+
+
+@query(f"WITH {HREFS}, p AS (SELECT path, specifier, CASE WHEN starts_with(specifier, '/') THEN 'unresolved' ELSE 'external' END AS status FROM links WHERE NOT starts_with(specifier, '.')) SELECT DISTINCT path, specifier, status FROM p")
+def res4_classification(s, d):
+    links = hrefs(s, d).where("specifier not like '.%'").distinct()
+    none = s.createDataFrame([], "path string")
+    return resolve.resolve_typescript(links, none, none).select("path", "specifier", "status")
+
+
+@query(f"WITH {ad.PART_EDGES} SELECT src AS path, '/' || replace(dst, '.ts', CASE WHEN length(dst) % 2 = 0 THEN '' ELSE '.js' END) AS specifier, dst AS target, 'internal' AS status FROM pedges")
+def res1_typescript(s, d):
+    p, e = ad.part_files(s, d), ad.part_edges(s, d)
+    spec = F.concat(F.lit("/"), F.when(F.length("dst") % 2 == 0, F.replace("dst", F.lit(".ts"), F.lit(""))).otherwise(F.replace("dst", F.lit(".ts"), F.lit(".js"))))
+    return resolve.resolve_typescript(e.select(F.col("src").alias("path"), spec.alias("specifier")), p, p)
+
+
+@query(f"WITH {ad.PARTS} SELECT 'm/' || regexp_replace(path, '/?[^/]*$', '') AS import_path, min(replace(path, '.ts', '.go')) AS target, count(*) AS n_files FROM parts GROUP BY 1")
+def res12_go_packages(s, d):
+    p = ad.part_files(s, d).select(F.replace("path", F.lit(".ts"), F.lit(".go")).alias("path"))
+    return resolve.go_packages(p, "m")
+
+
+@query()
+def ext5_python_imports(s, d):
+    doc = ad.table(s, d, "documents").select(F.concat(F.col("doc_id").cast("string"), F.lit(".py")).alias("path"), F.format_string("import os, m%d\nfrom .a import b\nfrom x import *\n", F.col("doc_id")).alias("content"))
+    return extract.extracted(doc, "python")
+
+
+@query(FS + " SELECT path FROM files WHERE c_custkey % 5 > 0")
+def src3_sources(s, d):
+    f = ad.customer_files(s, d).select(F.concat(F.when(F.col("c_custkey") % 5 == 0, "node_modules/").otherwise(""), "path", F.lit(".ts")).alias("path"))
+    return scan.sources(f).select(F.replace("path", F.lit(".ts"), F.lit("")).alias("path"))
+
+
+@query("SELECT url, CASE WHEN regexp_matches(url, '^[/\\\\]|^[A-Za-z]:') THEN 'absolute' END AS reason FROM pages")
+def src7_valid_paths(s, d):
+    return ad.table(s, d, "pages").select("url", paths.valid_path(F.col("url")).alias("reason"))
+
+
+@query("SELECT doc_id, CASE WHEN length(text) = 0 THEN 'empty' ELSE 'text' END AS kind FROM documents")
+def src9_sniff(s, d):
+    return ad.table(s, d, "documents").select("doc_id", scan.sniff(F.col("text").cast("binary")).alias("kind"))
+
+
+@query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
+def src13_json(s, d):
+    return ad.table(s, d, "events").select("event_id", F.try_variant_get(F.try_parse_json("props"), "$.k", "long").alias("k"))
+
+
+# --- state and time -----------------------------------------------------------------------------------------
+
+
+@query()
+def st1_rate_limit(s, d):
+    e = ad.table(s, d, "events").select(F.col("user_id").cast("string").alias("client"), F.unix_millis(F.col("ts").cast("timestamp")).alias("t_ms"))
+    return limits.limited_batch(e, (limits.Rule("hour", 3_600_000, 2),))
+
+
+NOW = "TIMESTAMP '1996-06-01 00:00:00'"
+
+
+@query(f"SELECT o_orderkey, strftime(due, '%Y-%m-%d') AS expires_at, expired FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN o_orderdate + INTERVAL 7 DAY WHEN o_orderkey % 3 = 1 THEN o_orderdate + INTERVAL 30 DAY END AS due, coalesce(CASE WHEN o_orderkey % 3 = 0 THEN o_orderdate + INTERVAL 7 DAY WHEN o_orderkey % 3 = 1 THEN o_orderdate + INTERVAL 30 DAY END <= {NOW}, FALSE) AS expired FROM orders)")
+def st6_expiry(s, d):
+    o = ad.table(s, d, "orders")
+    choice = F.when(F.col("o_orderkey") % 3 == 0, "7d").when(F.col("o_orderkey") % 3 == 1, "30d").otherwise("manual")
+    at = retention.expires_at(F.col("o_orderdate"), choice)
+    return o.select("o_orderkey", F.date_format(at, "yyyy-MM-dd").alias("expires_at"), retention.is_expired(at, F.expr(NOW)).alias("expired"))
+
+
+@query("SELECT o_orderkey AS id, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS expiry_day FROM orders WHERE CAST(o_orderdate AS DATE) <= DATE '1996-06-01'")
+def st7_sweep(s, d):
+    o = ad.table(s, d, "orders").select(F.col("o_orderkey").alias("id"), F.to_date("o_orderdate").alias("expiry_day"))
+    return retention.sweep(o, F.to_date(F.lit("1996-06-01"))).withColumn("expiry_day", F.col("expiry_day").cast("string"))
+
+
+@query("SELECT 'p' || event_id AS path, 'fatal' AS severity, CASE event_type WHEN 'error' THEN 'timeout' ELSE 'unreadable' END AS reason, props AS message FROM events WHERE event_type IN ('error', 'click')")
+def st10_events_as_errors(s, d):
+    e = ad.table(s, d, "events")
+    kind = F.when(F.col("event_type") == "error", "resource").when(F.col("event_type") == "click", "path").otherwise("other")
+    return retention.as_parse_errors(e.select(kind.alias("type"), F.concat(F.lit("p"), F.col("event_id").cast("string")).alias("path"), F.col("props").alias("detail")))
+
+
+@query("SELECT event_id, coalesce(nullif(trim(split_part(event_type || ', proxy', ',', 1)), ''), 'unknown') AS client FROM events")
+def st10b_client_key(s, d):
+    return ad.table(s, d, "events").select("event_id", limits.client_key(F.concat("event_type", F.lit(", proxy")), F.lit("1.2.3.4")).alias("client"))
+
+
+@query("SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H') AS hour, event_type, count(*) AS n FROM events GROUP BY 1, 2")
+def extra_windowed_counts(s, d):
+    w = retention.windowed_counts(ad.table(s, d, "events"), "ts", "event_type", "1 hour")
+    return w.select(F.date_format("start", "yyyy-MM-dd HH").alias("hour"), "event_type", "n")
