@@ -132,7 +132,7 @@ def simhash_groups(docs: DataFrame, shingle: int = 3, bits: int = 2) -> DataFram
 # over short shingles, so the segments of several fingerprints are searched, and similarity is judged on a
 # longer fingerprint of five-word shingles.
 
-SEARCH_WORDS, SEARCH_SHINGLE, SEGMENT_BITS = 2, 2, 21
+SEARCH_WORDS, SEARCH_SHINGLE, SEGMENT_BITS = 4, 2, 26
 JUDGE_WORDS, JUDGE_SHINGLE = 4, 5
 FP = [f"f{i}" for i in range(SEARCH_WORDS + JUDGE_WORDS)]
 
