@@ -77,6 +77,12 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
             return labels
 
 
+def without(nodes: DataFrame, edges: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame]:
+    left = written(nodes.join(gone, "node", "left_anti"))
+    ends = left.select(F.col("node").alias("src")), left.select(F.col("node").alias("dst"))
+    return left, written(edges.join(ends[0], "src", "left_semi").join(ends[1], "dst", "left_semi").select("src", "dst"))
+
+
 def strong_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(node, component): the least node of its strongly connected component, by forward and backward colouring.
 
@@ -87,6 +93,13 @@ def strong_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     edges = written(edges.select("src", "dst").where("src <> dst").distinct())
     done = None
     while not left.isEmpty():
+        # a node without an edge into it or out of it is a component by itself
+        core = left.join(edges.select(F.col("src").alias("node")), "node", "left_semi").join(edges.select(F.col("dst").alias("node")), "node", "left_semi")
+        single = written(left.join(core, "node", "left_anti").select("node", F.col("node").alias("component")))
+        if not single.isEmpty():
+            done = single if done is None else done.unionByName(single)
+            left, edges = without(left, edges, single)
+            continue
         colour = written(left.select("node", F.col("node").alias("colour")))
         while True:
             sent = edges.join(colour, edges["src"] == colour["node"]).groupBy("dst").agg(F.max("colour").alias("high"))
@@ -100,6 +113,5 @@ def strong_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         back = reachable(inside.select(F.col("dst").alias("src"), F.col("src").alias("dst")), colour.where("node = colour").select("node"))
         found = written(back.groupBy("seed").agg(F.min("node").alias("component")).join(back, "seed").select("node", "component"))
         done = found if done is None else done.unionByName(found)
-        left = written(left.join(found, "node", "left_anti"))
-        edges = written(edges.join(left.select(F.col("node").alias("src")), "src", "left_semi").join(left.select(F.col("node").alias("dst")), "dst", "left_semi"))
+        left, edges = without(left, edges, found)
     return done if done is not None else nodes.select("node", F.col("node").alias("component")).limit(0)
