@@ -46,6 +46,7 @@ def test_cycles(spark, abc):
     nodes, edges = abc
     got = cycles.find_cycles(nodes.select(one, "path"), edges.select(one, "src", "dst")).collect()
     assert [list(r.cycle) for r in got] == [["a", "b", "a"]]
+    assert cycles.find_cycles(nodes.select(one, "path"), edges.where("src = 'b' and dst = 'c'").select(one, "src", "dst")).count() == 0
     spin = spark.createDataFrame([(["c", "a", "b"],), (["b", "c", "a"],)], "c array<string>")
     assert {r.x for r in spin.select(cycles.canonical(F.col("c")).alias("x")).collect()} == {"a\x00b\x00c"}
 

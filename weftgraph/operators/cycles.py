@@ -60,6 +60,6 @@ def find_cycles(nodes: DataFrame, edges: DataFrame) -> DataFrame:
             if a in known and b in known:
                 out.setdefault(a, []).append(b)
         got = walk(names, out)
-        return pd.DataFrame({"repo_id": [pdf["repo_id"].iloc[0]] * len(got), "nth": range(len(got)), "cycle": got})
+        return pd.DataFrame({"repo_id": pd.Series([pdf["repo_id"].iloc[0]] * len(got), dtype=object), "nth": pd.Series(range(len(got)), dtype="int32"), "cycle": pd.Series(got, dtype=object)})
 
     return rows.groupBy("repo_id").applyInPandas(run, "repo_id string, nth int, cycle array<string>")
