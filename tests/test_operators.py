@@ -264,7 +264,7 @@ def test_rate_limits(spark, tmp_path):
     df.where("t_ms > 10001").coalesce(1).write.mode("append").parquet(src)
     stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 10).parquet(src)
     q = limits.limited_stream(stream, rule).writeStream.format("memory").queryName("decided").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
-    q.awaitTermination()
+    assert q.awaitTermination(120), "the stream did not end"
     have = [(r.client, r.t_ms, r.admitted, r.retry_after_s) for r in spark.table("decided").orderBy("client", "t_ms", F.desc("admitted")).collect()]
     assert have == got
 
