@@ -66,3 +66,30 @@ def test_stages_in_order(spark, docs):
     packed = corpus_pipeline.run(spark, DATA)
     assert {"doc_id", "piece", "sequence_id", "offset"} <= set(packed.columns)
     assert packed.select("doc_id").distinct().count() == at.count()
+
+
+def passages(rng, n, share, way):
+    """Pairs of random texts: one has a passage appended or replaced that is this share of its words."""
+    for _ in range(n):
+        words = [f"w{x}" for x in rng.integers(0, 5000, 300)]
+        k = round(300 * share)
+        new = [f"v{x}" for x in rng.integers(0, 5000, k)]
+        at = int(rng.integers(0, 300 - k))
+        yield " ".join(words), " ".join([*words, *new] if way == "appended" else [*words[:at], *new, *words[at + k :]])
+
+
+def kept_ids(spark, docs, texts, **how):
+    df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], docs.schema).repartition(3)
+    return {r.doc_id for r in simhash.keep_one(df, **how).collect()}
+
+
+@pytest.mark.parametrize("way", ["appended", "replaced"])
+def test_every_contiguous_edit_is_found(spark, docs, way):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    shares = {"appended": (0.245, 0.17, 0.11), "replaced": (0.0933, 0.066, 0.04)}[way]
+    pairs = [p for share in shares for p in passages(rng, 60, share, way)]
+    alike = [jaccard(a, b) for a, b in pairs]
+    assert sum(0.8 <= x < 0.82 for x in alike) >= 50 and all(x >= 0.8 for x in alike)
+    assert kept_ids(spark, docs, [t for p in pairs for t in p]) == set(range(0, 2 * len(pairs), 2))
