@@ -112,3 +112,43 @@ def test_held_out_gain_over_plain_subword_counts(spark):
 
 def test_empty(docs):
     assert lm.score_documents(docs.limit(0), VOCABULARY).count() == 0
+
+
+def token_rows(spec, lens, seed=5):
+    rng = np.random.default_rng(seed)
+    n = np.array(lens)
+    flat = rng.integers(0, spec.end, n.sum())
+    bounds = np.concatenate(([0], np.cumsum(n)))
+    ids = np.arange(len(n), dtype=np.int64)
+    return (7, ids.tobytes(), np.ones(len(n), bool).tobytes(), lm.pack(bounds, "<i8"), lm.pack(flat, "<u2"))
+
+
+def test_rounds_train_on_every_window_at_the_production_parameters():
+    spec = lm.ModelSpec()
+    row = token_rows(spec, [*range(0, 60), 400, 1000, 3])
+    t = lm.Tokens(dict(zip(lm.TOKENS.names, row)))
+    want = (np.diff(t.bounds) + 1)[~t.held_out].sum()  # every id and every end
+    rng = np.random.default_rng(0)
+    emb = np.concatenate((rng.normal(size=(spec.ids + 1, spec.dim)), np.zeros((1, spec.dim)))).astype(np.float32)
+    label = np.arange(spec.ids) % spec.classes
+    w = lm.fresh_weights(spec, label, np.ones(spec.ids + 1))
+    seen = [lm.descend(w, emb, label, [lm.batch_of([row], lm.TOKENS)], spec, turn) for turn in range(spec.rounds)]
+    assert sum(x[1] for x in seen) == want
+    assert all(np.isfinite(v).all() for x in seen for v in x[0].values())
+
+
+def test_surroundings_come_from_every_neighbour(spark):
+    spec = lm.ModelSpec()
+    rows = [token_rows(spec, [*range(0, 40), 300], seed) for seed in (5, 6)]
+    count, around = lm.surroundings(spark.createDataFrame(rows, lm.TOKENS_DDL), spec)
+    signs = np.random.default_rng(spec.seed).choice([-1.0, 1.0], size=(spec.ids + 2, 2 * spec.dim))
+    want, n = np.zeros((spec.ids + 1, 2 * spec.dim)), np.zeros(spec.ids + 1)
+    for row in rows:
+        t = lm.Tokens(dict(zip(lm.TOKENS.names, row)))
+        for i in np.flatnonzero(~t.held_out):
+            text = [spec.begin, *t.flat[t.bounds[i] : t.bounds[i + 1]].tolist(), spec.end]
+            for before, mid, after in zip(text, text[1:], text[2:]):
+                want[mid, : spec.dim] += signs[before, : spec.dim]
+                want[mid, spec.dim :] += signs[after, spec.dim :]
+            np.add.at(n, text[1:], 1)
+    assert (count == n).all() and around == pytest.approx(want)

@@ -11,9 +11,11 @@ class by smoothed counts of all training text. So P(id | before) =
 P(class | before) P(id | class), which sums to one over all ids, and a text's
 probability includes its end. The attention is trained in numpy: every part of
 the table takes gradient steps on its own windows, and the parts' weights are
-averaged, round by round. Windows are every ``train_every``-th of each training
-document from a place that depends on the document, so what training sees grows
-with the corpus and comes from all of it.
+averaged, round by round. All windows of all training documents are trained on:
+they are dealt to ``train_every`` parts, from a place that depends on the
+document, and the parts to the rounds, so each window has its turn once (where
+there are fewer parts than rounds, more often). Embeddings and classes come from
+all neighbours in training text.
 
 Scoring. Windows of 2 * ``stride`` ids overlap by half and score the ids after
 their later half, each id once, in masked batches.
@@ -157,14 +159,22 @@ def summed(tokens: DataFrame, width: int, make) -> np.ndarray:
     return flat.reshape(-1, width)
 
 
-def training_windows(t: Tokens, spec: ModelSpec, rotate: int = 0) -> tuple[np.ndarray, np.ndarray] | None:
-    """(windows of 2 * stride + 1 places, their documents): of each training document every train_every-th."""
-    places, first, n = sequences(t.flat, t.bounds, spec)
+def training_text(t: Tokens) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(ids of texts, bounds, document ids) of the training documents."""
+    n = np.diff(t.bounds)
+    return t.flat[np.repeat(~t.held_out, n)], np.concatenate(([0], np.cumsum(n[~t.held_out]))), t.ids[~t.held_out]
+
+
+def training_windows(t: Tokens, spec: ModelSpec, turn: int = 0) -> np.ndarray | None:
+    """Windows of 2 * stride + 1 places of the training documents, those of one round: all rounds together have every window."""
+    flat, bounds, ids = training_text(t)
+    places, first, n = sequences(flat, bounds, spec)
     many = -(-n // spec.stride)
     doc = np.repeat(np.arange(len(n)), many)
     k = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-    shift = (mix(t.ids.astype(np.uint64)) % np.uint64(spec.train_every)).astype(np.int64)
-    take = ~t.held_out[doc] & ((k + shift[doc] + rotate) % spec.train_every == 0)
+    shift = (mix(ids.astype(np.uint64)) % np.uint64(spec.train_every)).astype(np.int64)
+    rounds = min(spec.rounds, spec.train_every)
+    take = (k + shift[doc]) % spec.train_every % rounds == turn % rounds
     begin = first[doc[take]] + k[take] * spec.stride - spec.stride
     return places[begin[:, None] + np.arange(2 * spec.stride + 1)] if len(begin) else None
 
@@ -173,7 +183,7 @@ def training_windows(t: Tokens, spec: ModelSpec, rotate: int = 0) -> tuple[np.nd
 
 
 def surroundings(tokens: DataFrame, spec: ModelSpec) -> tuple[np.ndarray, np.ndarray]:
-    """(counts of ids in all training text, sums of random signs of the neighbours in training windows)."""
+    """(counts of ids in all training text, sums of random signs of their neighbours in all training text)."""
     rng = np.random.default_rng(spec.seed)
     signs = rng.choice([-1.0, 1.0], size=(spec.ids + 2, 2 * spec.dim))
 
@@ -182,13 +192,11 @@ def surroundings(tokens: DataFrame, spec: ModelSpec) -> tuple[np.ndarray, np.nda
         for t, _ in each_tokens(batches):
             if out is None:
                 out = np.zeros((spec.ids + 1, 1 + 2 * spec.dim))
-            train = np.repeat(~t.held_out, np.diff(t.bounds))
-            out[: spec.ids, 0] += np.bincount(t.flat[train], minlength=spec.ids)
-            out[spec.end, 0] += (~t.held_out).sum()
-            w = training_windows(t, spec)
-            if w is None:
-                continue
-            mid, before, after = w[:, 1:-1].ravel(), w[:, :-2].ravel(), w[:, 2:].ravel()
+            flat, bounds, ids = training_text(t)
+            out[: spec.ids, 0] += np.bincount(flat, minlength=spec.ids)
+            out[spec.end, 0] += len(ids)
+            places, _, _ = sequences(flat, bounds, spec)
+            mid, before, after = places[1:-1], places[:-2], places[2:]
             fine = (mid >= 0) & (before >= 0) & (after >= 0)
             mid, before, after = mid[fine], before[fine], after[fine]
             for j in range(spec.dim):
@@ -305,15 +313,16 @@ def descend(w: dict, emb: np.ndarray, label: np.ndarray, batches, spec: ModelSpe
     """Adam steps over the windows of one part, and how many places they had."""
     w = {k: v.copy() for k, v in w.items()}
     m, s = ({k: np.zeros_like(v) for k, v in w.items()} for _ in range(2))
+    emb = emb.astype(np.float32)
     step, seen = 0, 0.0
     for t, _ in each_tokens(batches):
-        windows = training_windows(t, spec, turn * 5)
+        windows = training_windows(t, spec, turn)
         if windows is None:
             continue
         windows = windows[np.random.default_rng(turn).permutation(len(windows))]
         for i in range(0, len(windows), spec.batch):
             inputs, target, weight = examples(windows[i : i + spec.batch], label, spec)
-            g, _ = gradients(w, emb, inputs, target, weight, spec)
+            g, _ = gradients({k: v.astype(np.float32) for k, v in w.items()}, emb, inputs, target, weight.astype(np.float32), spec)
             step, seen = step + 1, seen + weight.sum()
             rate = spec.rate / (1 + turn) / (1 + step / 500)
             for k in w:
