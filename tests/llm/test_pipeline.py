@@ -1,6 +1,7 @@
 """The pipeline's stages against brute force on small fixtures."""
 
 import re
+from collections import Counter
 
 import pytest
 
@@ -78,6 +79,14 @@ def passages(rng, n, share, way):
         yield " ".join(words), " ".join([*words, *new] if way == "appended" else [*words[:at], *new, *words[at + k :]])
 
 
+def groups(pairs_of, texts):
+    label = list(range(len(texts)))
+    for i, j in pairs_of:
+        a, b = label[i], label[j]
+        label = [min(a, b) if x in (a, b) else x for x in label]
+    return label
+
+
 def kept_ids(spark, docs, texts, **how):
     df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], docs.schema).repartition(3)
     return {r.doc_id for r in simhash.keep_one(df, **how).collect()}
@@ -93,3 +102,33 @@ def test_every_contiguous_edit_is_found(spark, docs, way):
     alike = [jaccard(a, b) for a, b in pairs]
     assert sum(0.8 <= x < 0.82 for x in alike) >= 50 and all(x >= 0.8 for x in alike)
     assert kept_ids(spark, docs, [t for p in pairs for t in p]) == set(range(0, 2 * len(pairs), 2))
+
+
+def occurrences(t, n=5):
+    w = re.findall(r"[^\x20\x09-\x0D]+", (t or "").lower())
+    return Counter(tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))) if w else Counter()
+
+
+def similar(a, b):
+    x, y = occurrences(a), occurrences(b)
+    return jaccard(a, b) >= 0.8 or (x & y).total() >= 0.8 * max(1, (x | y).total())
+
+
+@pytest.mark.parametrize("block", [512, 4])
+def test_only_similar_texts_are_linked(spark, docs, block):
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    # a template of which each text has three quarters, chains of growing distance, repeated lines, common passages, short texts
+    base = [f"b{x}" for x in rng.integers(0, 900, 200)]
+    texts = [" ".join([*base, *(f"t{i}x{k}" for k in range(50 + 5 * (i % 3)))]) for i in range(30)]
+    words = [f"c{x}" for x in range(150)]
+    for i in range(30):
+        words = [*words[:5 * i], *(f"d{i}x{k}" for k in range(4 + i % 9)), *words[5 * i + 4 :]]
+        texts.append(" ".join(words))
+    texts += [" ".join(f"e{x}" for x in rng.integers(0, 3, 12)) for _ in range(30)]
+    texts += [" ".join(["this line is in every text of these"] * (i % 4) + [f"f{i}x{k}" for k in range(i % 7)]) for i in range(30)]
+    texts += [" ".join([*base[:120], *(f"g{x}" for x in rng.integers(0, 12, 8))]) for _ in range(20)] + ["one", "ONE", "one two", "", " "]
+    label = groups([(i, j) for i in range(len(texts)) for j in range(i) if similar(texts[i], texts[j]) or not (texts[i].split() or texts[j].split())], texts)
+    assert 30 < len(set(label)) < len(texts) - 30
+    assert kept_ids(spark, docs, texts, **({} if block == 512 else {"block": block})) == set(label)
