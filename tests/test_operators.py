@@ -320,3 +320,18 @@ def test_retention(spark, tmp_path):
     assert col(retention.live(at, F.lit("2024-01-08").cast("timestamp")), "id") == ["b"] and col(retention.live(at, F.lit("2024-01-07").cast("timestamp")), "id") == ["a", "b"]
     retention.save_by_day(at.where("expires_at is not null"), str(tmp_path / "days"))
     assert col(retention.sweep(spark.read.parquet(str(tmp_path / "days")), F.to_date(F.lit("2024-02-01"))), "id") == ["a"]
+
+
+def test_python_imports_of_whole_documents(spark, tmp_path):
+    from weftgraph import queries
+
+    real = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
+    odd = [(9001, None), (9002, ""), (9003, "import a.b, c as d"), (9004, "not python at all\nimport e\n from .f import g"), (9005, "x = 1\n" * 30_000), (9006, "'''\nimport hidden\n'''"), (9007, "(" + "-" * 40_000 + "1)")]
+    spark.createDataFrame([*real, *odd], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = sorted((r.path, r.line, r.specifier) for r in queries.QUERIES["ext5_python_imports"](spark, str(tmp_path)).collect())
+    assert not [t for _, t in real for line in (t or "").split("\n") if line.split()[:1] in (["import"], ["from"])]  # prose imports nothing
+    want = [("9003.py", 1, "a.b"), ("9003.py", 1, "c"), ("9004.py", 2, "e"), ("9004.py", 3, ".f.g")]
+    for d, t in [*real, *odd]:
+        n = (t or "").count("\n") + 1
+        want += [(f"{d}.py", n + 1, "os"), (f"{d}.py", n + 1, f"m{d}"), (f"{d}.py", n + 2, ".a.b"), (f"{d}.py", n + 3, "x")]
+    assert got == sorted(want)

@@ -748,7 +748,7 @@ def res12_go_packages(s, d):
 
 @query()
 def ext5_python_imports(s, d):
-    doc = ad.table(s, d, "documents").select(F.concat(F.col("doc_id").cast("string"), F.lit(".py")).alias("path"), F.format_string("import os, m%d\nfrom .a import b\nfrom x import *\n", F.col("doc_id")).alias("content"))
+    doc = ad.table(s, d, "documents").select(F.concat(F.col("doc_id").cast("string"), F.lit(".py")).alias("path"), F.concat(F.coalesce("text", F.lit("")), F.format_string("\nimport os, m%d\nfrom .a import b\nfrom x import *\n", F.col("doc_id"))).alias("content"))
     return extract.extracted(doc, "python")
 
 

@@ -25,8 +25,8 @@ def python_imports(text: str) -> list[tuple[str, int]]:
     """(specifier, line): a.b for ``import a.b``, m.n for ``from m import n``, m for ``from m import *``, with leading dots."""
     try:
         tree = ast.parse(text)
-    except (SyntaxError, ValueError):
-        return python_imports_by_line(text)
+    except (SyntaxError, ValueError, MemoryError, RecursionError):
+        return python_imports_by_line(text)  # the parser's stack is bounded too
     out = []
     for node in ast.walk(tree):
         if isinstance(node, ast.Import):
