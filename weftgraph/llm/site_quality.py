@@ -150,7 +150,8 @@ def sample_and_fit(docs: DataFrame, labels: DataFrame, spec: FitSpec) -> np.ndar
     """Weights from at most spec.sample labelled documents, those with the least hash of the id."""
     known = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.avg("quality").alias("y"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(spec.sample)
-    held = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text")).join(chosen, "doc_id")
+    # at most ``sample`` rows of two numbers, so it is sent to the texts and not they to it
+    held = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text")).join(F.broadcast(chosen), "doc_id")
     got = held.select(F.xxhash64("doc_id").alias("h"), "y", measures_udf("text").alias("f")).orderBy("h").limit(2 * spec.sample).toPandas()
     if not len(got):
         return np.zeros(1 + len(MEASURES))
@@ -204,34 +205,47 @@ def site_posteriors(evidence: DataFrame) -> tuple[DataFrame, float, float]:
     return materialize(paths.join(posterior, "h"), "quality-sites"), m, by_path
 
 
-def with_scores(docs: DataFrame, labels: DataFrame, spec: FitSpec = FitSpec()) -> DataFrame:
-    """docs with a struct column ``SCORES``: host, path, doc_probability, host_posterior, path_posterior, score, kept."""
-    w = sample_and_fit(docs, labels, spec)
+def log_odds(f: Column, w: np.ndarray) -> Column:
+    return F.aggregate(F.zip_with(f, F.array(*[F.lit(float(x)) for x in w[1:]]), lambda a, b: a * b), F.lit(float(w[0])), lambda a, b: a + b)
+
+
+def with_evidence(docs: DataFrame, w: np.ndarray, *carried: Column) -> DataFrame:
+    """The carried columns, the host h, the path q, the log odds z that the document is good, and its probability p."""
     lang = docs["lang"] if "lang" in docs.columns else F.lit("")
-    dot = F.aggregate(F.zip_with("__f", F.array(*[F.lit(float(x)) for x in w[1:]]), lambda a, b: a * b), F.lit(float(w[0])), lambda a, b: a + b)
-    judged = docs.select(F.struct(*docs.columns).alias("row"), host_of(docs["source"]).alias("h"), path_of(docs["source"], lang).alias("q"), measures_udf(docs["text"]).alias("__f"))
-    judged = judged.withColumn("z", dot).withColumn("p", 1 / (1 + F.exp(-F.col("z")))).drop("__f")
-    bare = docs.select(host_of(docs["source"]).alias("h"), path_of(docs["source"], lang).alias("q"), measures_udf(docs["text"]).alias("__f"))
-    evidence = bare.select("h", "q", (1 / (1 + F.exp(-dot))).alias("p"))
-    sites, m, by_path = site_posteriors(evidence)
+    measured = docs.select(*carried, host_of(docs["source"]).alias("h"), path_of(docs["source"], lang).alias("q"), measures_udf(docs["text"]).alias("__f"))
+    return measured.withColumn("z", log_odds(F.col("__f"), w)).withColumn("p", 1 / (1 + F.exp(-F.col("z")))).drop("__f")
+
+
+def with_scores(evidence: DataFrame, site: tuple[DataFrame, float, float], spec: FitSpec) -> DataFrame:
+    """evidence with a struct column ``judged``: host, path, doc_probability, host_posterior, path_posterior, score, kept."""
+    sites, m, by_path = site
     # the document's own evidence is left out of its path's
     others = (F.lit(by_path) * F.col("host_posterior") + F.col("s") - F.col("p")) / (F.lit(by_path) + F.col("n") - 1)
-    joined = judged.join(sites, ["h", "q"]).withColumn("path_posterior", F.least(F.greatest(others, F.lit(0.0)), F.lit(1.0)))
+    # both sides have a shuffle of their own if sites is too large to send: a host with very many rows is split there
+    joined = evidence.join(sites, ["h", "q"]).withColumn("path_posterior", F.least(F.greatest(others, F.lit(0.0)), F.lit(1.0)))
     score = 1 / (1 + F.exp(-(F.col("z") + F.lit(spec.site_weight) * (logit(F.col("path_posterior")) - logit(F.lit(m))))))
-    return joined.select(
-        "row",
+    return joined.withColumn(
+        "judged",
         F.struct(
             F.col("h").alias("host"), F.col("q").alias("path"), F.col("p").alias("doc_probability"), "host_posterior", "path_posterior",
             score.alias("score"), (score >= spec.threshold).alias("kept"),
-        ).alias("judged"),
+        ),
     )
 
 
 def classify(docs: DataFrame, labels: DataFrame, spec: FitSpec = FitSpec()) -> DataFrame:
-    """One row per document with its evidence, posteriors, score and verdict."""
-    return with_scores(docs, labels, spec).select(F.col("row.doc_id").cast("long").alias("doc_id"), "judged.*")
+    """One row per document with its evidence, posteriors, score and verdict; texts are measured once, into a narrow table."""
+    w = sample_and_fit(docs, labels, spec)
+    evidence = materialize(with_evidence(docs, w, docs["doc_id"].cast("long").alias("doc_id")), "quality-evidence")
+    return with_scores(evidence, site_posteriors(evidence), spec).select("doc_id", "judged.*")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, spec: FitSpec = FitSpec()) -> DataFrame:
-    """The documents that the classifier doesn't reject, with their own columns."""
-    return with_scores(docs, labels, spec).where("judged.kept").select("row.*")
+    """The documents that the classifier doesn't reject, with their own columns.
+
+    Documents go on with their texts, so these are measured twice rather than written with their evidence.
+    """
+    w = sample_and_fit(docs, labels, spec)
+    site = site_posteriors(with_evidence(docs, w).select("h", "q", "p"))
+    scored = with_scores(with_evidence(docs, w, F.struct(*docs.columns).alias("row")), site, spec)
+    return scored.where("judged.kept").select("row.*")
