@@ -63,6 +63,30 @@ def test_probabilities_sum_to_one_and_windows_are_causal():
     assert np.dot(p / p.sum(), np.bincount(label, 10**given, 5)) == pytest.approx(1)
 
 
+@pytest.mark.parametrize("size", [1.0, 40.0])
+def test_scores_against_a_naive_forward_pass(size):
+    """Token by token in plain loops; with weights so large that the exponentials need shifting, too."""
+    rng, emb, label, w = tiny(2)
+    w = {k: v * size for k, v in w.items()}
+    given = np.log10(rng.random(20))
+    model = lm.Model(emb.astype(np.float32), label, w, given, SMALL)
+    texts = [list(rng.integers(0, 19, k)) for k in (0, 1, 3, 4, 5, 8, 9, 31)]
+    bounds = np.concatenate(([0], np.cumsum([len(t) for t in texts])))
+    got = model.log10(np.array(sum(texts, []), dtype=np.int32), bounds)
+    for t, value in zip(texts, got):
+        seq, total = [SMALL.begin, *t, SMALL.end], 0.0
+        for i in range(len(seq) - 1):
+            x = emb[seq[i]]
+            keys = range(max(0, (i // SMALL.stride - 1) * SMALL.stride), i + 1)
+            s = np.array([(x @ w["q"]) @ (emb[seq[j]] @ w["k"]) / SMALL.dim**0.5 + w["near"][i - j] for j in keys])
+            a = np.exp(s - s.max()) / np.exp(s - s.max()).sum()
+            logits = (x @ w["r"] + sum(p * (emb[seq[j]] @ w["v"]) for p, j in zip(a, keys))) @ w["out"] + w["bias"]
+            top = logits.max()
+            # the model's floor for a probability is 1e-37
+            total += max(logits[label[seq[i + 1]]] - top - np.log(np.exp(logits - top).sum()), np.log(1e-37)) / np.log(10) + given[seq[i + 1]]
+        assert value == pytest.approx(total, rel=1e-3 if size > 1 else 1e-5)
+
+
 @pytest.fixture(scope="module")
 def docs(spark):
     odd = [(None, "null id"), (5000, None), (5001, ""), (5002, "\n \t"), (5003, "the the THE É é"), (5003, "the the THE É é"), (5004, "x" * 3000)]

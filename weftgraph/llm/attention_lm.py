@@ -256,45 +256,76 @@ def seam(spec: ModelSpec) -> tuple[np.ndarray, np.ndarray]:
     return np.clip(back, 0, 2 * spec.stride - 1), back >= 0
 
 
+def times(x: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """x @ m over the last axis, as one product of two matrices."""
+    return (x.reshape(-1, x.shape[-1]) @ m).reshape(*x.shape[:-1], m.shape[1])
+
+
+def softmax(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(exponentials, their sums) over the last axis, the former in place of s; rows are shifted by their maxima only where numbers are large."""
+    ones = np.ones(s.shape[-1], dtype=s.dtype)
+    if float(s.max()) > 40:
+        s -= s.max(axis=-1, keepdims=True)
+        np.exp(s, out=s)
+        return s, s @ ones
+    rows = s.reshape(-1, s.shape[-1])
+    held = np.exp(rows)
+    total = held @ ones
+    low = np.flatnonzero(total < 1e-20)
+    if len(low):
+        held[low] = np.exp(rows[low] - rows[low].max(axis=1, keepdims=True))
+        total[low] = held[low] @ ones
+    s[...] = held.reshape(s.shape)
+    return s, total.reshape(s.shape[:-1])
+
+
 def attend(w: dict, emb: np.ndarray, windows: np.ndarray, spec: ModelSpec):
     """Logits of the next id's class after each place in the later halves, and what the backward pass needs."""
     back, seen = seam(spec)
     x = emb[windows]  # padding is -1, the last row: zero
-    late = x[:, spec.stride :]
-    q, k, v = late @ w["q"], x @ w["k"], x @ w["v"]
+    late = np.ascontiguousarray(x[:, spec.stride :])
+    q, k, v = times(late, w["q"]), times(x, w["k"]), times(x, w["v"])
     s = np.matmul(q, k.transpose(0, 2, 1))
     s *= spec.dim**-0.5
     s += np.where(seen, w["near"][back], -1e9).astype(s.dtype)
-    s += np.where(windows < 0, np.float32(-1e9), np.float32(0))[:, None, :]
-    s -= s.max(axis=2, keepdims=True)
-    a = np.exp(s, out=s)
-    a /= a.sum(axis=2, keepdims=True)
+    if (windows[:, 0] < 0).any() or (windows[:, -1] < 0).any():
+        s += np.where(windows < 0, np.float32(-1e9), np.float32(0))[:, None, :]
+    a, total = softmax(s)
+    a /= total[:, :, None]
     mixed = np.matmul(a, v)
-    h = late @ w["r"] + mixed
-    logits = h @ w["out"] + w["bias"]
+    h = times(late, w["r"]) + mixed
+    logits = times(h, w["out"])
+    logits += w["bias"]
     return logits, (x, late, q, k, v, a, h)
 
 
+def pick(table: np.ndarray, target: np.ndarray) -> np.ndarray:
+    """Places in the flat table of the target in each of its rows."""
+    return np.arange(target.size) * table.shape[-1] + target.ravel()
+
+
 def gradients(w: dict, emb: np.ndarray, windows: np.ndarray, target: np.ndarray, weight: np.ndarray, spec: ModelSpec) -> tuple[dict, float]:
     """Of the mean loss over the places with weight 1, and that loss."""
     back, seen = seam(spec)
     logits, (x, late, q, k, v, a, h) = attend(w, emb, windows, spec)
-    logits -= logits.max(axis=2, keepdims=True)
-    p = np.exp(logits)
-    total = p.sum(axis=2, keepdims=True)
+    at = pick(logits, target)
     n = max(weight.sum(), 1)
-    picked = np.take_along_axis(logits, target[:, :, None], 2) - np.log(total)
-    loss = -(picked[:, :, 0] * weight).sum() / n
-    d = p / total
-    np.put_along_axis(d, target[:, :, None], np.take_along_axis(d, target[:, :, None], 2) - 1, 2)
-    d *= weight[:, :, None] / n
+    p, total = softmax(logits)
+    picked = np.log(np.maximum(p.ravel()[at], 1e-37) / total.ravel())
+    loss = -(picked * weight.ravel()).sum() / n
+    share = weight / n
+    d = p
+    d *= (share / total)[:, :, None]
+    d.ravel()[at] -= share.ravel()
     flat = lambda y: y.reshape(-1, y.shape[-1])
-    g = {"out": flat(h).T @ flat(d), "bias": flat(d).sum(axis=0)}
-    dh = d @ w["out"].T
+    g = {"out": flat(h).T @ flat(d), "bias": np.ones(d.shape[0] * d.shape[1], dtype=d.dtype) @ flat(d)}
+    dh = times(d, w["out"].T)
     g["r"] = flat(late).T @ flat(dh)
     da = np.matmul(dh, v.transpose(0, 2, 1))
     dv = np.matmul(a.transpose(0, 2, 1), dh)
-    ds = a * (da - (da * a).sum(axis=2, keepdims=True))
+    da *= a
+    da -= a * (da @ np.ones(da.shape[-1], dtype=da.dtype))[:, :, None]
+    ds = da
     g["near"] = np.bincount(back[seen], ds.sum(axis=0)[seen], 2 * spec.stride)
     ds *= spec.dim**-0.5
     dq, dk = np.matmul(ds, k), np.matmul(ds.transpose(0, 2, 1), q)
@@ -352,7 +383,7 @@ class Model:
     given_class: np.ndarray  # log10 P(id | class)
     spec: ModelSpec
 
-    def log10(self, flat: np.ndarray, bounds: np.ndarray, batch: int = 2048) -> np.ndarray:
+    def log10(self, flat: np.ndarray, bounds: np.ndarray, batch: int = 512) -> np.ndarray:
         """log10 P of each text."""
         spec = self.spec
         places, first, n = sequences(flat, bounds, spec)
@@ -366,9 +397,9 @@ class Model:
             windows = places[begin[i : i + batch, None] + np.arange(2 * spec.stride + 1)]
             inputs, target, fine = examples(windows, self.label, spec)
             logits, _ = attend(w, self.emb, inputs, spec)
-            top = logits.max(axis=2, keepdims=True)
-            total = np.log(np.exp(logits - top).sum(axis=2)) + top[:, :, 0]
-            picked = np.take_along_axis(logits, target[:, :, None], 2)[:, :, 0] - total
+            at = pick(logits, target)
+            p, total = softmax(logits)
+            picked = np.log(np.maximum(p.ravel()[at].reshape(target.shape), 1e-37) / total)
             after = np.where(fine > 0, windows[:, spec.stride + 1 :], 0)
             own = (picked / np.log(10) + self.given_class[after]) * fine
             out += np.bincount(doc[i : i + batch], own.sum(axis=1), len(n))
