@@ -28,15 +28,18 @@ IS_POINT = (np.arange(256) & 0xC0) != 0x80
 SLICE_BYTES = 2 << 20
 
 
-#: Rows that travel to Python together: texts are wide, and a batch is held on both sides.
-BATCH_ROWS = 1000
+#: Rows and bytes that travel to Python together: texts are wide, and a batch is held on both sides.
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
 BATCH_CONF = "spark.sql.execution.arrow.maxRecordsPerBatch"
+BYTES_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def narrow_batches(spark: SparkSession) -> None:
-    """Lower the session's batch size to what wide rows need."""
+    """Lower the session's batch sizes to what wide rows need. They are read when a plan runs, so they stay lowered."""
     if int(spark.conf.get(BATCH_CONF)) not in range(1, BATCH_ROWS + 1):
         spark.conf.set(BATCH_CONF, str(BATCH_ROWS))
+    if spark.conf.get(BYTES_CONF) != f"{BATCH_BYTES}b":
+        spark.conf.set(BYTES_CONF, f"{BATCH_BYTES}b")
 
 
 def give_back() -> None:
@@ -54,21 +57,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; one of our own only where the session names none."""
+    """The folder all executors share; one of our own only in a local session that names none."""
     conf = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not conf:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         conf = f"{tempfile.gettempdir()}/weftgraph-checkpoints"
         spark.conf.set("spark.checkpoint.dir", conf)
     return conf.rstrip("/")
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write df once to the shared folder and go on from the written table."""
+def materialize(df: DataFrame, label: str, by: str | None = None) -> DataFrame:
+    """Write df once to the shared folder, a folder for each value of ``by``, and go on from the written table."""
     spark = df.sparkSession
     narrow_batches(spark)
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path).select(*df.columns)
     out.stored_at = path
     return out
 

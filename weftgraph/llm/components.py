@@ -10,13 +10,16 @@ from weftgraph.llm.common import discard, materialize
 
 
 def connected_components(edges: DataFrame, spark: SparkSession) -> DataFrame:
-    """(v, label) for each end of an edge (u, v); label is the least vertex of its component.
+    """(v, label) for each end of an edge (u, v), as a written table; label is the least vertex of its component.
 
     Each round replaces the edges by stars: every vertex hooks its larger
     neighbours onto the least vertex it sees, first from the larger side, then
-    from the smaller one, so that paths shrink to a logarithm of rounds. Only
-    minima are aggregated, so a vertex with very many edges is combined before
-    the shuffle. Every round is a written table, and the one before is deleted.
+    from the smaller one, so that paths shrink to a logarithm of rounds. Minima
+    are combined before the shuffle. They are written before the edges are
+    joined to them, so that the join has a shuffle of its own on both sides,
+    where a vertex with very many edges is split (adaptive skew join), or none
+    where the minima are few. Every round is a written table, and the one
+    before is deleted.
     """
     held = materialize(
         edges.where("u is not null and v is not null and u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges"
@@ -24,14 +27,15 @@ def connected_components(edges: DataFrame, spark: SparkSession) -> DataFrame:
     before = None
     while True:
         both = held.unionByName(held.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        least = materialize(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "minima")
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = materialize(large.where("u <> v").distinct(), "edges")
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        discard(least)
+        low = materialize(large.groupBy("u").agg(F.min("v").alias("m")), "minima")
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
         grown = materialize(small.where("u <> v").distinct(), "edges")
-        discard(large)
-        discard(held)
+        for old in (low, large, held):
+            discard(old)
         held = grown
         # (edges, sum of ends) stays the same only when all edges are stars on their least vertex
         now = held.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
@@ -39,7 +43,9 @@ def connected_components(edges: DataFrame, spark: SparkSession) -> DataFrame:
             break
         before = now
     stars = held.select(F.col("u").alias("v"), F.col("v").alias("label"))
-    return stars.unionByName(held.select("v", F.col("v").alias("label")).distinct())
+    out = materialize(stars.unionByName(held.select("v", F.col("v").alias("label")).distinct()), "components")
+    discard(held)
+    return out
 
 
 def forest(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:

@@ -18,7 +18,6 @@ table gives no rows. Only doc_id and text are read.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -26,8 +25,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.llm.common import Words, discard, give_back, materialize, mix, per_doc, sorted_groups, text_slices
+from weftgraph.llm.common import Words, materialize, text_slices
 from weftgraph.llm.components import connected_components
+from weftgraph.llm.similar import one_of_each
 
 SEED = 42
 
@@ -126,246 +126,6 @@ def simhash_groups(docs: DataFrame, shingle: int = 3, bits: int = 2) -> DataFram
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-# Similar documents rather than near-equal fingerprints: what a pipeline stage keeps one of.
-#
-# The search is exact. Put the shingles of all texts in one order; of n shingles the first n - ceil(s n) + 1 are
-# a text's prefix. Two texts with a Jaccard similarity of s or more share a shingle of their prefixes, whatever
-# the order is (rare shingles first keeps the groups of texts that share one small). Texts that meet are compared
-# by all their shingles. Similarity is taken twice: over the sets of shingles, and over their occurrences, where the
-# second, third ... of a text is a shingle of its own (one word changed in a text that repeats itself moves the
-# first far more than the second). Either suffices.
-
-SHINGLE, SKETCH_BITS = 5, 18
-
-
-def word_hashes(w: Words) -> np.ndarray:
-    code, words = w.codes()
-    digest = np.array([xxhash.xxh64_intdigest(x, SEED) for x in words.to_pylist()], dtype=np.uint64)
-    return digest[code] if len(code) else np.zeros(0, np.uint64)
-
-
-def shingle_sets(buf: np.ndarray, off: np.ndarray, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
-    """The shingles of each text as 64-bit hashes, and for each text its first one (with the end).
-
-    A shingle's hash is mixed from those of its words; it is even for the first occurrence in a text and odd, with
-    the occurrence mixed in, for the others: the even ones are the set, all are the occurrences.
-    """
-    w = Words(buf, off, lower=True)
-    words = word_hashes(w)
-    n = np.diff(w.first)
-    count = np.where(n > 0, np.maximum(n - size + 1, 1), 0)
-    doc = np.repeat(np.arange(len(n)), count)
-    at = np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(w.first[:-1], count)
-    end = np.repeat(w.first[1:], count)
-    h = np.zeros(len(at), dtype=np.uint64)
-    for j in range(size):
-        inside = at + j < end
-        h = mix(h * np.uint64(3) + np.where(inside, words[np.minimum(at + j, max(len(words) - 1, 0))], np.uint64(0)) if len(words) else h)
-    order = np.lexsort((h, doc))
-    h, doc = h[order], doc[order]
-    new = np.ones(len(h), dtype=bool)
-    new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
-    place = np.arange(len(h))
-    nth = (place - np.maximum.accumulate(np.where(new, place, 0))).astype(np.uint64)
-    h = np.where(new, h & ~np.uint64(1), mix(h + nth) | np.uint64(1))
-    return h, np.concatenate(([0], np.cumsum(count)))
-
-
-def binaries(values: np.ndarray, first: np.ndarray) -> pa.Array:
-    """Runs of 64-bit numbers as binary cells."""
-    return pa.Array.from_buffers(pa.binary(), len(first) - 1, [None, pa.py_buffer((8 * first).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(values))])
-
-
-def numbers(column) -> tuple[np.ndarray, np.ndarray]:
-    """What binaries() made of them."""
-    cells = column.to_pylist()
-    return np.frombuffer(b"".join(cells), np.uint64), np.concatenate(([0], np.cumsum([len(c) // 8 for c in cells], dtype=np.int64)))
-
-
-def few_rows(batches, most: int = 100) -> Iterator[pa.RecordBatch]:
-    """The rows of batches, ``most`` at a time; what they took is given back."""
-    for b in batches:
-        for i in range(0, b.num_rows, most):
-            yield b.slice(i, most)
-        give_back()
-
-
-def row_key(docs: DataFrame):
-    """Equal for rows with equal id and text."""
-    return F.concat_ws(" ", F.coalesce(docs["doc_id"].cast("string"), F.lit("-")), F.md5(F.coalesce(docs["text"].cast("binary"), F.lit("").cast("binary"))))
-
-
-def with_sets(docs: DataFrame) -> DataFrame:
-    """(key, doc, d0, d1, shingles, row): d0 and d1 are equal for equal shingles and occurrences; row numbers the rows."""
-
-    def run(batches) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            at = 0
-            pair = pa.RecordBatch.from_arrays([b.column(0), b.column(2)], names=["key", "text"])
-            for keys, buf, off in text_slices([pair], 1 << 20):
-                h, first = shingle_sets(buf, off)
-                sums = [per_doc(mix(h ^ np.uint64(k)).view(np.int64), first) for k in (0, SEED)]
-                yield pa.RecordBatch.from_arrays([keys, b.column(1).slice(at, len(keys)), *map(pa.array, sums), binaries(h, first)], names=["key", "doc", "d0", "d1", "shingles"])
-                at += len(keys)
-
-    chosen = docs.select(row_key(docs).alias("key"), docs["doc_id"].cast("long").alias("doc"), docs["text"])
-    return chosen.mapInArrow(run, "key string, doc long, d0 long, d1 long, shingles binary").withColumn("row", F.monotonically_increasing_id())
-
-
-def sketch_place(h: np.ndarray) -> np.ndarray:
-    return ((h >> np.uint64(1)) & np.uint64((1 << SKETCH_BITS) - 1)).astype(np.int64)
-
-
-def shingle_counts(sets: DataFrame) -> np.ndarray:
-    """How often shingles occur, by bits of their hashes: all that share these are counted together."""
-    size = 1 << SKETCH_BITS
-
-    def run(batches) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(size, dtype=np.int64)
-        for b in few_rows(batches):
-            h, _ = numbers(b.column(0))
-            total += np.bincount(sketch_place(h), minlength=size)
-        yield pa.RecordBatch.from_arrays([pa.array(range(0, size, 4096), pa.int32()), binaries(total, np.arange(0, size + 1, 4096))], names=["k", "part"])
-
-    def add(t: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(x, np.int64) for x in t.column("part").to_pylist())
-        return pa.table({"k": t.column("k").slice(0, 1), "part": pa.array([total.tobytes()], pa.binary())})
-
-    out = np.zeros(size, dtype=np.int64)
-    for r in sets.select("shingles").mapInArrow(run, "k int, part binary").groupBy("k").applyInArrow(add, "k int, part binary").collect():
-        out[r["k"] : r["k"] + 4096] = np.frombuffer(bytes(r["part"]), np.int64)
-    return out
-
-
-def prefix_cells(sets: DataFrame, least: Fraction) -> DataFrame:
-    """(cell, uid): the shingles of each text's prefixes, of its set and of its occurrences, those that are rare by shingle_counts() first."""
-    shared = sets.sparkSession.sparkContext.broadcast(shingle_counts(sets))  # bounded by SKETCH_BITS
-
-    def run(batches) -> Iterator[pa.RecordBatch]:
-        often = shared.value
-        for b in few_rows(batches):
-            h, first = numbers(b.column(1))
-            doc = np.repeat(np.arange(len(first) - 1), np.diff(first))
-            order = np.lexsort((h, often[sketch_place(h)], doc))
-            once = (h[order] & np.uint64(1)) == 0
-            take = np.zeros(len(h), dtype=bool)
-            for part in (once, np.ones(len(h), dtype=bool)):
-                n = per_doc(part, first)
-                many = n - -(-n * least.numerator // least.denominator) + 1
-                before = np.concatenate(([0], np.cumsum(part)))
-                take |= part & (before[:-1] - before[first[doc]] < many[doc])
-            take = order[take]
-            yield pa.RecordBatch.from_arrays([pa.array(h[take].view(np.int64)), b.column(0).take(pa.array(doc[take]))], names=["cell", "uid"])
-
-    return sets.select("row", "shingles").mapInArrow(run, "cell long, uid long")
-
-
-def link_block(h: np.ndarray, first: np.ndarray, label: np.ndarray, least: Fraction) -> np.ndarray:
-    """For each text of a block the first one of its component, over pairs at least this similar and equal labels.
-
-    Texts are visited by component; one that is visited is compared with all that are not yet.
-    """
-    code = np.unique(h, return_inverse=True)[1]
-    once = (h & np.uint64(1)) == 0
-    measures = [(np.diff(first), None)] + ([] if once.all() else [(per_doc(once, first), once)])
-    begin = first[:-1]
-    has = np.zeros(len(h) + 1, dtype=bool)
-    left = np.ones(len(begin), dtype=bool)
-    out = np.arange(len(begin))
-    for start in range(len(begin)):
-        if not left[start]:
-            continue
-        left[start] = False
-        ahead = [start]
-        while ahead and left.any():
-            i = ahead.pop()
-            own = code[first[i] : first[i + 1]]
-            has[own] = True
-            shared = has[code]
-            has[own] = False
-            hit = label == label[i]
-            for n, part in measures:
-                both = np.add.reduceat(shared if part is None else shared & part, begin, dtype=np.int64)
-                hit |= both * least.denominator >= least.numerator * (n[i] + n - both)
-            hit &= left
-            out[hit] = start
-            left &= ~hit
-            ahead += np.flatnonzero(hit).tolist()
-    return out
-
-
-def judge_blocks(dealt: DataFrame, sets: DataFrame, least: Fraction) -> DataFrame:
-    """(u, v): links within the blocks (cell, lo, hi) of dealt, which also has uid and label, between texts of one component."""
-
-    def run(batches) -> Iterator[pa.RecordBatch]:
-        for t, at in sorted_groups(batches, ["cell", "lo", "hi"]):
-            uid, label = t.column("uid").to_numpy(), t.column("label").to_numpy()
-            u, v = [], []
-            for x, y in zip(at[:-1].tolist(), at[1:].tolist()):
-                h, first = numbers(t.column("shingles").slice(x, y - x))
-                head = link_block(h, first, label[x:y], least)
-                u.append(uid[x:y])
-                v.append(uid[x:y][head])
-            u, v = np.concatenate(u), np.concatenate(v)
-            give_back()
-            yield pa.RecordBatch.from_arrays([pa.array(u[u != v]), pa.array(v[u != v])], names=["u", "v"])
-
-    own = sets.select(F.col("row").alias("uid"), "shingles")
-    full = dealt.select("cell", "lo", "hi", "uid", "label").join(own, "uid").repartition("cell", "lo", "hi").sortWithinPartitions("cell", "lo", "hi")
-    return materialize(full.mapInArrow(run, "u long, v long"), "simhash-links")
-
-
-def similar_links(sets: DataFrame, distinct: DataFrame, least: Fraction, block: int) -> DataFrame:
-    """(v, label) of the components over all pairs of distinct texts at least this similar; texts without such a pair may be missing."""
-    spark = sets.sparkSession
-    cells = materialize(prefix_cells(sets, least), "simhash-cells")
-    meet = cells.join(cells.groupBy("cell").count().where("count > 1").select("cell"), "cell").join(distinct.select("uid"), "uid", "left_semi")
-    meet = materialize(meet.select("cell", "uid"), "simhash-meet")
-    discard(cells)
-    # of cells with the same texts one is enough
-    alike = meet.groupBy("cell").agg(F.count("*").alias("n"), F.min("uid").alias("head"), F.bit_xor(F.xxhash64("uid")).alias("x0"), F.bit_xor(F.xxhash64(F.lit(7), "uid")).alias("x1"))
-    alike = alike.where("n > 1").groupBy("n", "head", "x0", "x1").agg(F.min("cell").alias("cell"))
-    members = materialize(meet.join(alike.select("cell", "n", "head"), "cell"), "simhash-members")
-    discard(meet)
-    # texts that meet over any chain of cells are one block, each text in it once; where that is too many, each cell is a block or more
-    chains = materialize(connected_components(members.select(F.col("uid").alias("u"), F.col("head").alias("v")), spark).select(F.col("v").alias("uid"), F.col("label").alias("chain")), "simhash-chains")
-    many = chains.groupBy("chain").agg(F.count("*").alias("size"))
-    long = many.where(F.col("size") > block).select("chain")
-    whole = chains.join(many.where(F.col("size") <= block), "chain").select(F.col("chain").alias("cell"), F.lit(-1).cast("long").alias("lo"), F.lit(-1).cast("long").alias("hi"), "uid")
-    split = F.ceil(F.col("n") / F.lit(block)).cast("long")
-    part = F.pmod(F.xxhash64("uid", "cell"), split)
-    apart = members.join(chains.join(long, "chain").select("uid"), "uid", "left_semi").select("cell", "uid", "n", part.alias("lo"), part.alias("hi"), (split - 1).alias("last"))
-    apart = materialize(apart, "simhash-apart")
-    links = judge_blocks(whole.unionByName(apart.select("cell", "lo", "hi", "uid")).withColumn("label", F.col("uid")), sets, least)
-    comps = materialize(connected_components(links, spark), "simhash-components")
-    # cells of several blocks: their parts are compared with one another unless all is one component by now
-    several = apart.where("last > 0").join(comps.select(F.col("v").alias("uid"), "label"), "uid", "left").withColumn("label", F.coalesce("label", "uid"))
-    open_ = several.groupBy("cell").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("cell")
-    across = several.join(open_, "cell").select("cell", "uid", "label", F.col("lo").alias("part"), F.explode(F.sequence(F.lit(0).cast("long"), "last")).alias("other"))
-    across = across.where("part <> other").select("cell", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), "uid", "label")
-    across = materialize(across, "simhash-across")
-    if not across.take(1):
-        return comps
-    return connected_components(links.unionByName(judge_blocks(across, sets, least)), spark)
-
-
 def keep_one(docs: DataFrame, similarity: float = 0.8, block: int = 512) -> DataFrame:
-    """docs with one row of each group of similar texts: the one with the least doc_id, and of rows alike in id and text one.
-
-    Groups are the components over all pairs with a Jaccard similarity of at least ``similarity`` over the sets or the
-    occurrences of five-word shingles, found and verified without exception. Every text without words is in one group. A row with
-    a null doc_id stays only if its group has no id.
-    """
-    sets = materialize(with_sets(docs), "simhash-sets")
-    best = F.min(F.struct(F.col("doc").isNull().alias("none"), "doc", "row")).alias("best")
-    distinct = materialize(sets.groupBy("d0", "d1").agg(best).select("best", F.col("best.row").alias("uid")), "simhash-distinct")
-    comps = similar_links(sets, distinct, Fraction(str(similarity)), block)
-    named = distinct.join(comps, distinct["uid"] == comps["v"], "left").select("best", F.coalesce("label", "uid").alias("label"))
-    winner = named.groupBy("label").agg(F.min("best").alias("best")).select(F.col("best.row").alias("row"))
-    stay = materialize(sets.select("row", "key").join(winner, "row", "left_semi").select("key"), "simhash-stay")
-    again = materialize(sets.groupBy("key").count().where("count > 1").select("key").join(stay, "key", "left_semi"), "simhash-again")
-    kept = docs.select(F.struct(*docs.columns).alias("row"), row_key(docs).alias("key")).join(stay, "key", "left_semi")
-    if not again.take(1):
-        return kept.select("row.*")
-    single, repeated_rows = kept.join(again, "key", "left_anti"), kept.join(again, "key", "left_semi")
-    return single.select("row.*").unionByName(repeated_rows.groupBy("key").agg(F.first("row").alias("row")).select("row.*"))
+    """docs with one row of each group of similar texts; see similar.py, which says why fingerprints don't do for this."""
+    return one_of_each(docs, similarity, block)
