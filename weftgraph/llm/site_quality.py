@@ -123,7 +123,8 @@ def measure_batches(column: Iterator[pa.Array]) -> Iterator[pa.Array]:
 
 
 def measures_udf(column: Column | str) -> Column:
-    return F.arrow_udf(measure_batches, T.ArrayType(T.DoubleType()))(column)
+    # said to be nondeterministic so that no plan evaluates it again, as for a filter on what is made of it
+    return F.arrow_udf(measure_batches, T.ArrayType(T.DoubleType())).asNondeterministic()(column)
 
 
 def fit(x: np.ndarray, y: np.ndarray, spec: FitSpec) -> np.ndarray:
