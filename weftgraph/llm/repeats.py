@@ -19,14 +19,17 @@ Suffixes are sorted in shards, and what can't match is never sorted:
 
 Anchors with very many contexts in a block (a common phrase in changing
 surroundings) don't go to one shard: their windows are dealt out by the
-windows' own 128-bit hashes, which finds the same matches.
+windows' own 128-bit hashes, which finds the same matches. A block sends each of
+its distinct windows once, with the least document id it has for it, so a phrase
+in every document is one row a block and window.
 
 Equality of contexts in step 2 rests on 63 + 48 bits of hash within a bucket,
 of windows of very common anchors on 128; all others are compared byte by byte.
 
 Defined cases: a null or empty text has no bytes; texts shorter than the window
 keep all theirs. Rows with the same doc_id don't cover each other; a row with a
-null doc_id loses nothing and covers nothing. An empty table gives no rows.
+null doc_id loses nothing and covers nothing. A text longer than a block is a
+block by itself and is held whole. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -42,13 +45,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftgraph.llm.blocks import Block, each_block, make_blocks
-from weftgraph.llm.common import materialize, mix, partitions
+from weftgraph.llm.common import give_back, materialize, mix, partitions
 from weftgraph.llm.suffixes import suffix_order
 
 WINDOW, K = 50, 16
 BEFORE, REACH = WINDOW - K, 2 * WINDOW - K  # bytes of a context before its anchor, and at most
 W = WINDOW - K + 1  # k-byte strings in a window
 NOTHING, COVERED, ASKED, DEALT = 0, 1, 2, 3
+#: Of text, for each bucket: what a worker holds of one is some eight times as much.
+BUCKET_BYTES = 12 << 20
 
 
 @dataclass(frozen=True)
@@ -309,13 +314,10 @@ def second_round(blocks: DataFrame, answers: DataFrame, spread: Spread, buckets:
                     rows.append((k, block.block, 0, len(p), narrow(a.anchor[p], 8), *ids_bytes(a.least[p]), p.astype("<u4").tobytes(), extent[at].tobytes(), packer.compress(bodies[at].tobytes())))
             dealt = np.flatnonzero(code == DEALT)
             if len(dealt):
-                bodies, left, right = a.contexts(dealt)
-                at, start = windows_of(bodies, left, right)
-                h1, h2 = window_hashes(bodies, at, start)
-                for k, w in by_bucket(bucket_of(h1, buckets)):
-                    p = dealt[at[w]]
-                    key = np.stack((h1[w], h2[w]), axis=1).tobytes()
-                    rows.append((k, block.block, 1, len(p), key, *ids_bytes(a.least[p]), p.astype("<u4").tobytes(), start[w].astype(np.uint8).tobytes(), b""))
+                own = DealtWindows(a, dealt)
+                for k, w in by_bucket(bucket_of(own.h1, buckets)):
+                    key = np.stack((own.h1[w], own.h2[w]), axis=1).tobytes()
+                    rows.append((k, block.block, 1, len(w), key, *ids_bytes(own.least[w]), w.astype("<u4").tobytes(), b"", b""))
             if rows:
                 yield batch_of(rows, SECOND_SCHEMA)
 
@@ -336,7 +338,31 @@ def window_hashes(bodies: np.ndarray, row: np.ndarray, start: np.ndarray) -> tup
     return one, two
 
 
-def match_contexts(anchor: np.ndarray, ids: np.ndarray, extent: np.ndarray, bodies: np.ndarray, most: int = 1 << 20) -> np.ndarray:
+class DealtWindows:
+    """The windows of a block's pairs that are dealt out: pair, start and number of each, and of each distinct one h1, h2 and its least document."""
+
+    def __init__(self, a: Anchors, pairs: np.ndarray):
+        bodies, left, right = a.contexts(pairs)
+        at, self.start = windows_of(bodies, left, right)
+        self.pair = pairs[at]
+        h1, h2 = window_hashes(bodies, at, self.start)
+        order = np.lexsort((h2, h1))
+        new = group_start(h1[order], h2[order])
+        first = np.flatnonzero(new)
+        self.number = np.empty(len(order), dtype=np.int64)
+        self.number[order] = np.cumsum(new) - 1
+        self.h1, self.h2 = h1[order][first], h2[order][first]
+        self.least = np.minimum.reduceat(a.least[self.pair[order]], first) if len(first) else np.zeros(0, np.int64)
+
+    def hits(self, a: Anchors, elsewhere: np.ndarray) -> np.ndarray:
+        """Which windows also start in a smaller document, if ``elsewhere`` has the numbers of those that do in another block."""
+        out = self.least[self.number] < a.least[self.pair]
+        flag = np.zeros(len(self.least), dtype=bool)
+        flag[elsewhere] = True
+        return out | flag[self.number]
+
+
+def match_contexts(anchor: np.ndarray, ids: np.ndarray, extent: np.ndarray, bodies: np.ndarray, most: int = 1 << 18) -> np.ndarray:
     """For each context a mask: bit s is set if its window from s on also starts in a document with a smaller id.
 
     Contexts of one anchor stay together; as many anchors as ``most`` bytes hold are sorted at a time.
@@ -382,50 +408,68 @@ def sorted_matches(ids: np.ndarray, extent: np.ndarray, bodies: np.ndarray) -> n
 
 
 def match(t: pa.Table) -> pa.Table:
-    """(block, pair, mask) of one bucket, as bytes for each block."""
-    found: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+    """(block, kind, masks) of one bucket: of contexts (0) their numbers and masks, of dealt windows (1) the numbers of those found in smaller documents."""
+    found: dict[tuple[int, int], list[tuple[np.ndarray, np.ndarray]]] = {}
 
-    def tell(blocks: np.ndarray, pair: np.ndarray, mask: np.ndarray):
+    def tell(kind: int, blocks: np.ndarray, pair: np.ndarray, mask: np.ndarray):
         some = np.flatnonzero(mask)
         for b, at in by_bucket(blocks[some]):
-            found.setdefault(b, []).append((pair[some[at]], mask[some[at]]))
+            found.setdefault((b, kind), []).append((pair[some[at]], mask[some[at]]))
+
+    def joined(column, kind) -> np.ndarray:
+        return np.frombuffer(b"".join(column.to_pylist()), kind)
 
     for kind in (0, 1):
-        rows = [r for r in t.to_pylist() if r["kind"] == kind]
-        if not rows:
+        own = t.filter(pa.compute.equal(t.column("kind"), kind))
+        if not own.num_rows:
             continue
-        blocks = np.repeat(np.array([r["block"] for r in rows]), [r["n"] for r in rows])
-        ids = np.concatenate([ids_back(r["base"], r["ids"], r["n"]) for r in rows])
-        pair = np.frombuffer(b"".join(r["pair"] for r in rows), "<u4").astype(np.int64)
-        key = b"".join(r["key"] for r in rows)
-        extent = np.frombuffer(b"".join(r["extent"] for r in rows), np.uint8)
+        n = own.column("n").to_numpy()
+        blocks = np.repeat(own.column("block").to_numpy(), n)
+        ids = np.concatenate([ids_back(b, r, k) for b, r, k in zip(own.column("base").to_pylist(), own.column("ids").to_pylist(), n.tolist())])
+        pair = joined(own.column("pair"), "<u4").astype(np.int64)
         if kind == 0:
             unpack = zstandard.ZstdDecompressor()
-            bodies = np.frombuffer(b"".join(unpack.decompress(r["body"]) for r in rows), np.uint8).reshape(-1, REACH)
-            tell(blocks, pair, match_contexts(wide(key, 8), ids, extent.reshape(-1, 2), bodies))
+            bodies = np.empty((int(n.sum()), REACH), dtype=np.uint8)
+            at = 0
+            for x, k in zip(own.column("body"), n.tolist()):
+                bodies[at : at + k] = np.frombuffer(unpack.decompress(x.as_py()), np.uint8).reshape(-1, REACH)
+                at += k
+            tell(0, blocks, pair, match_contexts(wide(joined(own.column("key"), np.uint8).tobytes(), 8), ids, joined(own.column("extent"), np.uint8).reshape(-1, 2), bodies))
+            del bodies
         else:
-            h = np.frombuffer(key, np.uint64).reshape(-1, 2)
+            h = joined(own.column("key"), np.uint64).reshape(-1, 2)
             order = np.lexsort((ids, h[:, 1], h[:, 0]))
             new = group_start(h[order, 0], h[order, 1])
             least = ids[order][np.flatnonzero(new)][np.cumsum(new) - 1]
-            hit = np.zeros(len(ids), dtype=bool)
+            hit = np.zeros(len(ids), dtype=np.uint64)
             hit[order] = least < ids[order]
-            tell(blocks, pair, np.where(hit, np.uint64(1) << extent.astype(np.uint64), np.uint64(0)))
+            tell(1, blocks, pair, hit)
     packer = zstandard.ZstdCompressor(level=1)
     rows = []
-    for b, parts in found.items():
+    for (b, kind), parts in found.items():
         pair, mask = np.concatenate([p for p, _ in parts]), np.concatenate([m for _, m in parts])
-        rows.append((b, packer.compress(pair.astype("<u4").tobytes() + mask.astype("<u8").tobytes())))
-    return pa.table({"block": pa.array([r[0] for r in rows], pa.int64()), "masks": pa.array([r[1] for r in rows], pa.binary())})
+        rows.append((b, kind, packer.compress(pair.astype("<u4").tobytes() + mask.astype("<u8").tobytes())))
+    give_back()
+    return pa.table({"block": pa.array([r[0] for r in rows], pa.int64()), "kind": pa.array([r[1] for r in rows], pa.int32()), "masks": pa.array([r[2] for r in rows], pa.binary())})
 
 
-def covered_bytes(a: Anchors, code: np.ndarray, masks: list[bytes] | None) -> np.ndarray:
+def covered_bytes(a: Anchors, code: np.ndarray, masks: list[dict] | None) -> np.ndarray:
     """Which bytes of the block's text are covered by a window that starts in a smaller document."""
     mask = np.zeros(len(code), dtype=np.uint64)
-    for raw in masks or []:
-        raw = zstandard.ZstdDecompressor().decompress(raw)
+    elsewhere = []
+    for x in masks or []:
+        raw = zstandard.ZstdDecompressor().decompress(x["masks"])
         n = len(raw) // 12
-        np.bitwise_or.at(mask, np.frombuffer(raw, "<u4", n).astype(np.int64), np.frombuffer(raw, "<u8", n, 4 * n))
+        numbers = np.frombuffer(raw, "<u4", n).astype(np.int64)
+        if x["kind"] == 0:
+            np.bitwise_or.at(mask, numbers, np.frombuffer(raw, "<u8", n, 4 * n))
+        else:
+            elsewhere.append(numbers)
+    dealt = np.flatnonzero(code == DEALT)
+    if len(dealt):
+        own = DealtWindows(a, dealt)
+        hit = own.hits(a, np.concatenate(elsewhere) if elsewhere else np.zeros(0, np.int64))
+        np.bitwise_or.at(mask, own.pair[hit], np.uint64(1) << own.start[hit].astype(np.uint64))
     step = np.zeros(len(a.text) + 1, dtype=np.int32)
     ids = a.block.ids[a.doc]
     whole = (ids > a.least[a.pair]) | (code[a.pair] == COVERED)
@@ -445,11 +489,11 @@ def found_repeats(docs: DataFrame, spread: Spread, carry: bool = False) -> tuple
     spark = docs.sparkSession
     blocks = make_blocks(docs, carry)
     total = blocks.agg(F.sum("n_bytes")).first()[0] or 0
-    buckets = max(2 * partitions(spark), -(-total // (64 << 20)))
+    buckets = max(2 * partitions(spark), -(-total // BUCKET_BYTES))
     judged = first_round(blocks, spread, buckets).groupBy("bucket").applyInArrow(lambda t: judge(t, spread), "bucket int, block long, codes binary")
     answers = materialize(judged.groupBy("block").agg(F.collect_list(F.struct("bucket", "codes")).alias("answers")), "repeats-answers")
-    matched = second_round(blocks, answers, spread, buckets).groupBy("bucket").applyInArrow(match, "block long, masks binary")
-    masks = materialize(matched.groupBy("block").agg(F.collect_list("masks").alias("masks")), "repeats-masks")
+    matched = second_round(blocks, answers, spread, buckets).groupBy("bucket").applyInArrow(match, "block long, kind int, masks binary")
+    masks = materialize(matched.groupBy("block").agg(F.collect_list(F.struct("kind", "masks")).alias("masks")), "repeats-masks")
     told = answers.join(masks, "block", "left")
     return blocks.join(told, "block", "left"), buckets
 
