@@ -102,6 +102,29 @@ def test_simhash(docs, bits):
     assert have == want
 
 
+@pytest.mark.parametrize("bits, segments", [(2, 2), (3, 3), (4, 2)])
+def test_crowded_segments_lose_no_link(spark, bits, segments):
+    import random
+
+    rng = random.Random(5)
+    # families that share a segment in full or up to a bit, and what differs by a few bits elsewhere
+    fps = set()
+    for base in (0, 0x123456789ABCDEF0, 1 << 63):
+        for _ in range(120):
+            f = base
+            for _ in range(rng.randint(0, 4)):
+                f ^= 1 << rng.randrange(64)
+            fps.add(f)
+            fps.add(base ^ (rng.randrange(1 << 31) << 32))
+    fps = sorted(fps)
+    signed = lambda f: f - (1 << 64) if f >> 63 else f
+    want = {tuple(sorted((signed(a), signed(b)))) for i, a in enumerate(fps) for b in fps[i + 1 :] if (a ^ b).bit_count() <= bits}
+    df = spark.createDataFrame([(signed(f),) for f in fps], "fp long")
+    for hot in (4, 10_000):
+        got = simhash.close_pairs(df, bits, segments, hot).select("fp", "other").distinct().collect()
+        assert {tuple(r) for r in got} == want and len(want) > 200
+
+
 def test_pieces_agree_with_the_library(docs):
     path = public_tokenizers.path("piece_bpe_32k.model")
     sp = sentencepiece.SentencePieceProcessor(model_file=path)

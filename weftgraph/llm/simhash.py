@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.llm.common import Words, materialize, text_slices
+from weftgraph.llm.common import Words, discard, materialize, text_slices
 from weftgraph.llm.components import connected_components
 from weftgraph.llm.similar import one_of_each
 
@@ -88,8 +88,14 @@ def ball(bits: int, radius: int) -> list[int]:
     return masks
 
 
-def close_pairs(fps: DataFrame, bits: int = 2, segments: int = 2) -> DataFrame:
-    """(fp, other, distance) with fp < other for all distinct fingerprints within ``bits`` of each other; may repeat."""
+def close_pairs(fps: DataFrame, bits: int = 2, segments: int = 2, hot: int = 256) -> DataFrame:
+    """(fp, other, distance) with fp < other for all distinct fingerprints within ``bits`` of each other; may repeat.
+
+    A fingerprint has at most sum(C(64, i), i = 1..bits) others that near, so the result is bounded by a constant for
+    each. The join isn't by itself: a segment that more than ``hot`` fingerprints share would meet with all its probes
+    in one task. Its entries and probes are dealt out once more, by the other segments cut into bits + 1 parts, of
+    which any two fingerprints within ``bits`` have one in common.
+    """
     width = 64 // segments
     radius = bits // segments
     seg = [F.shiftrightunsigned("fp", width * i).bitwiseAND(F.lit((1 << width) - 1)) for i in range(segments)]
@@ -97,11 +103,28 @@ def close_pairs(fps: DataFrame, bits: int = 2, segments: int = 2) -> DataFrame:
     masks = F.array(*[F.lit(m).cast("long") for m in ball(width, radius)])
     probes = entries.select(F.col("fp").alias("other"), "seg", F.explode(F.transform(masks, lambda m: F.col("key").bitwiseXOR(m))).alias("key"))
     away = F.bit_count(F.col("fp").bitwiseXOR(F.col("other")))
-    return (
-        entries.join(probes, ["seg", "key"])
-        .where((F.col("fp") < F.col("other")) & (away <= bits))
-        .select("fp", "other", away.alias("distance"))
-    )
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        return pairs.where((F.col("fp") < F.col("other")) & (away <= bits)).select("fp", "other", away.alias("distance"))
+
+    crowded = materialize(entries.groupBy("seg", "key").count().where(F.col("count") > hot).select("seg", "key"), "simhash-crowded")
+    if not crowded.take(1):
+        discard(crowded)
+        return verified(entries.join(probes, ["seg", "key"]))
+    rest = verified(entries.join(crowded, ["seg", "key"], "left_anti").join(probes, ["seg", "key"]))
+
+    def others(fp: str, i: int):
+        """The bits of fp outside segment i, closed up."""
+        low = F.col(fp).bitwiseAND(F.lit((1 << width * i) - 1))
+        return low if i == segments - 1 else F.shiftleft(F.shiftrightunsigned(fp, width * (i + 1)), width * i).bitwiseOR(low)
+
+    def dealt(rows: DataFrame, fp: str) -> DataFrame:
+        size = -(-(64 - width) // (bits + 1))
+        rest_of = F.element_at(F.array(*[others(fp, i) for i in range(segments)]), F.col("seg") + 1)
+        parts = [F.shiftrightunsigned("others", size * i).bitwiseAND(F.lit((1 << size) - 1)) for i in range(bits + 1)]
+        return rows.join(crowded, ["seg", "key"]).withColumn("others", rest_of).select(fp, "seg", "key", F.posexplode(F.array(*parts)).alias("part", "value"))
+
+    return rest.unionByName(verified(dealt(entries, "fp").join(dealt(probes, "other"), ["seg", "key", "part", "value"])))
 
 
 def components(printed: DataFrame, bits: int = 2, segments: int = 2) -> DataFrame:
@@ -115,8 +138,10 @@ def components(printed: DataFrame, bits: int = 2, segments: int = 2) -> DataFram
     least = named.where(F.col("label") != F.col("fp")).select("label").distinct()
     grouped = named.join(least, "label", "left_semi").groupBy("label").agg(F.min("rep").alias("least"))
     moved = named.join(grouped, "label").select("fp", F.col("least").alias("component_id"))
-    out = distinct.join(moved, "fp", "left").select("fp", F.coalesce("component_id", "rep").alias("component_id"))
-    return printed.join(materialize(out, "simhash-components"), "fp")
+    out = materialize(distinct.join(moved, "fp", "left").select("fp", F.coalesce("component_id", "rep").alias("component_id")), "simhash-components")
+    for old in (distinct, comps):
+        discard(old)
+    return printed.join(out, "fp")
 
 
 def simhash_groups(docs: DataFrame, shingle: int = 3, bits: int = 2) -> DataFrame:
