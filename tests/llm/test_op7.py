@@ -57,14 +57,41 @@ def test_audit_finds_what_was_changed(spark, pages):
 
 
 def test_drill(pages):
-    got = warc.fixity_drill(pages).collect()
-    assert len(got) == pages.count()
-    assert all((r.status == "damaged") == (zlib.crc32(str(r.page_id).encode()) % 101 == 7) for r in got)
+    none = lambda _: None
+    got = warc.fixity_drill(pages, lost=none).collect()
+    assert sum(r.is_record for r in got) == pages.count() and sum(not r.is_record for r in got) == len({r.segment for r in got})
+    assert all((r.status == "damaged") == (r.is_record and zlib.crc32(str(r.page_id).encode()) % 101 == 7) for r in got)
     assert any(warc.planted(i, b"") for i in range(200))
+    # segments that are gone or end early
+    first = {}
+    for r in got:
+        if r.is_record:
+            first[r.segment] = min(first.get(r.segment, (r.offset, r.page_id)), (r.offset, r.page_id))
+    last = {s: max(r.offset for r in got if r.segment == s and r.is_record) for s in first}
+    by = {p: ("removed", "truncated", None)[i % 3] for i, (_, p) in enumerate(sorted(first.values(), key=str))}
+    fate = {s: by[p] for s, (_, p) in first.items()}
+    again = warc.fixity_drill(pages, lambda *_: False, by.get).collect()
+    assert len(again) == len(got)
+    for r in again:
+        damaged = fate[r.segment] == "truncated" and r.is_record and r.offset == last[r.segment]
+        assert r.status == ("missing" if fate[r.segment] == "removed" else "damaged" if damaged else "intact"), r
+
+
+def test_the_audit_descends_into_mismatching_branches_only(spark):
+    many = spark.range(3000).select(F.col("id").alias("page_id"), F.lit("u").alias("url"), F.col("id").cast("string").alias("html")).repartition(1)
+    segments = warc.materialize(warc.write_segments(many), "t")
+    a, b = warc.ReplicaTree(segments, "a"), warc.ReplicaTree(warc.damaged_copy(segments, lambda p, _: p == 1234), "b")
+    assert [r.count() for r in (a.below.where(f"level = {n}") for n in range(4))] == [3001, 188, 12, 1]
+    got = warc.audit(a, b).collect()
+    assert len(got) == 1 and got[0].status == "damaged"
+    # a branch that only a change below an equal parent would show isn't looked at
+    blind = warc.ReplicaTree.__new__(warc.ReplicaTree)
+    blind.__dict__ |= b.__dict__ | {"below": b.below.withColumn("digest", F.when((F.col("level") == 0) & (F.floor(F.col("idx") / 16) != F.floor(F.lit(got[0].idx) / 16)), "x").otherwise(F.col("digest")))}
+    assert [tuple(r) for r in warc.audit(a, blind).collect()] == [tuple(got[0])]
 
 
 def test_many_chunks_and_empty(spark, pages):
     many = spark.range(60).select(F.col("id").alias("page_id"), F.lit("u").alias("url"), F.col("id").cast("string").alias("html")).repartition(40)
-    got = {r.page_id: r.status for r in warc.fixity_drill(many, lambda p, _: p in (5, 59)).collect()}
+    got = {r.page_id: r.status for r in warc.fixity_drill(many, lambda p, _: p in (5, 59), lambda _: None).collect() if r.is_record}
     assert {k for k, v in got.items() if v == "damaged"} == {5, 59} and len(got) == 60
     assert warc.fixity_drill(pages.limit(0)).count() == 0

@@ -8,7 +8,8 @@ segment's root, and over the segments' roots in order up to one root for the
 collection. Nodes hash their own offset range with their children's digests, so
 moved content shows as well as changed content. An audit compares two replicas'
 roots and, only where they differ, their children, level by level, down to the
-damaged ranges; equal branches are never looked at.
+damaged ranges: the nodes of a level are a folder of their own, and of these
+only the children of mismatching parents meet.
 
 Defined cases: a null html is an empty body, a null or empty url the URI
 ``urn:page:<id>``; control characters and spaces in a url are percent-encoded.
@@ -32,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.llm.common import materialize
+from weftgraph.llm.common import discard, materialize
 
 SEGMENT_BYTES = 4 << 20
 FAN = 16
@@ -168,7 +169,7 @@ class ReplicaTree:
     """
 
     def __init__(self, segments: DataFrame, label: str, ranges: DataFrame | None = None, levels: int | None = None):
-        self.below = materialize(segment_nodes(segments, ranges), f"warc-{label}")
+        self.below = materialize(segment_nodes(segments, ranges), f"warc-{label}", by="level")
         roots = self.below.where("top").select("chunk", "seq", "digest")
         groups = inner(roots.withColumn("group", F.floor(F.col("seq") / FAN).cast("int")), ["chunk", "group"], "seq")
         self.roots, self.groups = roots, materialize(groups, f"warc-{label}-groups")
@@ -208,39 +209,50 @@ def audit(ours: ReplicaTree, theirs: ReplicaTree, label: str = "warc") -> DataFr
     groups = differ(ours.groups, theirs.groups, ["chunk", "group"], chunks, [("chunk", "chunk")])
     bad = differ(ours.roots, theirs.roots, ["chunk", "seq"], groups, [("chunk", "chunk"), (lambda x: F.floor(x["seq"] / FAN).cast("int"), "group")])
     bad = materialize(bad, f"{label}-segments")
-    # within segments: the levels are few, of at most a segment's records; a child descends from idx div 16
-    a, b = (t.below.join(bad, ["chunk", "seq"], "left_semi") for t in (ours, theirs))
-    top = max([-1, *(t.agg(F.max("level")).first()[0] or 0 for t in (a, b))])
-    nodes = a.select("chunk", "seq", "level", "idx", "begin", "end", "digest").join(
-        b.select("chunk", "seq", "level", "idx", F.col("begin").alias("b2"), F.col("end").alias("e2"), F.col("digest").alias("other")), ["chunk", "seq", "level", "idx"], "full"
-    )
-    nodes = materialize(nodes, f"{label}-compared")
-    wrong = nodes.where(~F.col("digest").eqNullSafe(F.col("other")))
+    # within segments: each is entered at the higher of its two trees' tops, and children are those with idx div 16 of a mismatch
+    tops = ours.below.where("top").select("chunk", "seq", "level").unionByName(theirs.below.where("top").select("chunk", "seq", "level"))
+    entered = tops.join(bad, ["chunk", "seq"]).groupBy("chunk", "seq").agg(F.max("level").alias("level"))
+    entered = materialize(entered, f"{label}-entered")
+    highest = entered.agg(F.max("level")).first()[0]
+    status = F.when(F.col("other").isNull(), "missing").when(F.col("digest").isNull(), "extra").otherwise("damaged")
     here = None
-    for level in range(top, -1, -1):
-        now = wrong.where(F.col("level") == level)
+    for level in range(-1 if highest is None else highest, -1, -1):
+        parents = entered.where(F.col("level") == level).select("chunk", "seq", F.lit(0).cast("long").alias("up"))
         if here is not None:
-            up = here.select("chunk", "seq", F.col("idx").alias("up"))
-            reached = now.join(up, (now["chunk"] == up["chunk"]) & (now["seq"] == up["seq"]) & (F.floor(now["idx"] / FAN) == up["up"]), "left_semi")
-            # a segment's own top may lie at this level
-            tops = now.join(nodes.groupBy("chunk", "seq").agg(F.max("level").alias("level")), ["chunk", "seq", "level"], "left_semi")
-            now = reached.unionByName(tops.select(*reached.columns)).distinct()
-        here = now
-    status = F.when(F.col("other").isNull(), "missing").when(F.col("digest").isNull(), "extra").otherwise("damaged")
-    return here.select("chunk", "seq", "idx", F.coalesce("begin", "b2").alias("begin"), F.coalesce("end", "e2").alias("end"), status.alias("status"))
-
-
-def damaged_copy(segments: DataFrame, hit: Callable[[int | None, bytes], bool]) -> DataFrame:
-    """A replica in which one byte is flipped in the middle of each record for which hit(page_id, record) holds."""
+            parents = parents.unionByName(here.select("chunk", "seq", F.col("idx").alias("up")))
+        a, b = (
+            t.below.where(F.col("level") == level).withColumn("up", F.floor(F.col("idx") / FAN)).join(parents, ["chunk", "seq", "up"], "left_semi").select("chunk", "seq", "idx", "begin", "end", "digest")
+            for t in (ours, theirs)
+        )
+        b = b.select("chunk", "seq", "idx", F.col("begin").alias("b2"), F.col("end").alias("e2"), F.col("digest").alias("other"))
+        both = a.join(b, ["chunk", "seq", "idx"], "full").where(~F.col("digest").eqNullSafe(F.col("other")))
+        here = materialize(both.select("chunk", "seq", "idx", F.coalesce("begin", "b2").alias("begin"), F.coalesce("end", "e2").alias("end"), status.alias("status")), f"{label}-level")
+    discard(bad)
+    discard(entered)
+    return empty if here is None else here
+
+
+def damaged_copy(segments: DataFrame, hit: Callable[[int | None, bytes], bool], lost: Callable[[int | None], str | None] = lambda _: None) -> DataFrame:
+    """A replica in which one byte is flipped in the middle of each record for which hit(page_id, record) holds.
+
+    lost(page_id of a segment's first record) says "removed" or "truncated" for segments that are left out, or end in
+    the middle of their last record.
+    """
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(b.num_rows):
                 data = np.frombuffer(b.column("warc")[i].as_buffer(), dtype=np.uint8).copy()
-                for e in b.column("entries")[i].as_py() or []:
+                entries = b.column("entries")[i].as_py() or []
+                fate = lost(entries[0]["page_id"]) if entries else None
+                if fate == "removed":
+                    continue
+                for e in entries:
                     a, n = e["offset"], e["length"]
                     if hit(e["page_id"], data[a : a + n].tobytes()):
                         data[a + n // 2] ^= 0x20
+                if fate == "truncated":
+                    data = data[: entries[-1]["offset"] + entries[-1]["length"] // 2]
                 yield pa.RecordBatch.from_arrays([b.column("chunk").slice(i, 1), b.column("seq").slice(i, 1), pa.array([data.tobytes()], pa.binary()), b.column("entries").slice(i, 1)], names=["chunk", "seq", "warc", "entries"])
 
     return segments.select("chunk", "seq", "warc", "entries").mapInArrow(run, SEGMENTS)
@@ -251,13 +263,25 @@ def planted(page_id: int | None, _: bytes) -> bool:
     return zlib.crc32(str(page_id).encode()) % 101 == 7
 
 
-def fixity_drill(pages: DataFrame, hit: Callable[[int | None, bytes], bool] = planted) -> DataFrame:
-    """Write pages as segments, damage a copy, audit it: a row for every record with its range, digest and what the audit says."""
+def planted_loss(page_id: int | None) -> str | None:
+    """Which segments the drill removes or truncates, by the id of their first record: about one in twenty each."""
+    return {3: "removed", 11: "truncated"}.get(zlib.crc32(f"segment {page_id}".encode()) % 20)
+
+
+def fixity_drill(pages: DataFrame, hit: Callable[[int | None, bytes], bool] = planted, lost: Callable[[int | None], str | None] = planted_loss) -> DataFrame:
+    """Write pages as segments, damage a copy, audit it: a row for every range of every segment with its digest and what the audit says.
+
+    Ranges are the records and, with a null page_id and is_record false, what follows a segment's last record.
+    """
     segments = materialize(write_segments(pages), "warc-written")
     ours = ReplicaTree(segments, "ours")
-    theirs = ReplicaTree(damaged_copy(segments, hit), "theirs", levels=len(ours.above) - 1)
-    found = audit(ours, theirs).select("chunk", "seq", "idx", "status")
-    records = segments.select("chunk", "seq", F.posexplode("entries").alias("pos", "entry")).select("chunk", "seq", F.col("pos").cast("long").alias("idx"), "entry.*")
-    leaves = ours.below.where("level = 0").select("chunk", "seq", "idx", F.col("digest").alias("leaf_sha256"))
-    out = records.join(leaves, ["chunk", "seq", "idx"]).join(found, ["chunk", "seq", "idx"], "left")
-    return out.select("page_id", F.format_string("%05d-%05d", "chunk", "seq").alias("segment"), "offset", "length", "leaf_sha256", F.coalesce("status", F.lit("intact")).alias("status"))
+    theirs = ReplicaTree(damaged_copy(segments, hit, lost), "theirs", levels=len(ours.above) - 1)
+    found = audit(ours, theirs).select("chunk", "seq", "idx", "begin", "end", "status")
+    records = segments.select("chunk", "seq", F.posexplode("entries").alias("pos", "entry")).select("chunk", "seq", F.col("pos").cast("long").alias("idx"), F.col("entry.page_id").alias("page_id"), F.lit(True).alias("is_record"))
+    leaves = ours.below.where("level = 0").select("chunk", "seq", "idx", F.col("begin").alias("b1"), F.col("end").alias("e1"), F.col("digest").alias("leaf_sha256"))
+    out = leaves.join(records, ["chunk", "seq", "idx"], "left").join(found, ["chunk", "seq", "idx"], "full")
+    begin, end = F.coalesce("b1", "begin"), F.coalesce("e1", "end")
+    return out.select(
+        "page_id", F.coalesce("is_record", F.lit(False)).alias("is_record"), F.format_string("%05d-%05d", "chunk", "seq").alias("segment"), begin.alias("offset"), (end - begin).alias("length"),
+        "leaf_sha256", F.coalesce("status", F.lit("intact")).alias("status"),
+    )
