@@ -83,8 +83,10 @@ def test_packing(docs):
             at += length
         assert at <= 1024
     assert len(by) <= 1.02 * sum(w[3] for w in want) / 1024 + 2
-    whole = {r.sequence_id: r.ids for r in packing.sequences(packed).collect()}
-    assert {k: bytes(v) for k, v in whole.items()} == {k: b"".join(i for _, _, i in sorted(v)) for k, v in by.items()}
+    whole = {r.sequence_id: r for r in packing.sequences(packed).collect()}
+    assert {k: r.ids for k, r in whole.items()} == {k: [x for _, _, ids in sorted(v) for x in ids] for k, v in by.items()}
+    assert all(r.n_tokens == len(r.ids) == sum(p.length for p in r.pieces) for r in whole.values())
+    assert sorted(((p.doc_id, p.piece, p.start, p.length, k, p.offset) for k, r in whole.items() for p in r.pieces), key=key) == sorted(((r.doc_id, r.piece, r.start, r.length, r.sequence_id, r.offset) for r in rows), key=key)
 
 
 def test_empty(docs):
@@ -111,6 +113,25 @@ def test_templates_that_rewrite_history_are_found():
         chat.loss_mask(chat.render_incrementally(last_only, [("user", "a"), ("assistant", "b")]), [])
 
 
+def test_a_conversation_of_the_table_with_the_added_number_stays_by_itself(spark):
+    own = spark.createDataFrame([(-1, 0, "user", "mine")], "conv_id long, turn long, role string, text string")
+    got = sorted((r.conv_id, r.n_turns) for r in chat.digests(chat.with_adversary(own)).collect())
+    assert got == [(-1, 1), (-1, 2)]
+
+
+def test_a_long_text_and_many_turns():
+    turns = [("user", "a" * 2_000_000), *[("assistant", "é")] * 200]
+    r = chat.render_incrementally(chat.chatml, turns)
+    assert [r.output[s.text_begin : s.text_end] for s in r.spans] == [t for _, t in turns]
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.text("ab", max_size=40), st.text("ab", max_size=40))
+def test_agreement(a, b):
+    want = next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+    assert all(chat.agreement(a, b, k) == want for k in range(want + 1))
+
+
 def test_chat_digests(spark):
     real = spark.read.parquet(f"{DATA}/conversations.parquet").selectExpr("*", "'x' as output")
     odd = [(900, None, "user", "hi"), (900, 0, None, None), (900, 0, None, None), (None, 0, "assistant", "é\n"), (901, 1, "assistant", "<\\|im_end|>"), (901, 0, "a\nb\\", "")]
