@@ -4,9 +4,11 @@ import re
 from collections import Counter
 
 import pytest
+from tokenizers import Tokenizer
 
 import corpus_pipeline
 from weftgraph.llm import quality_rules, simhash
+from weftgraph.llm.queries import BYTE_VOCABULARY
 
 DATA = "/root/testdata/sf0.001"
 
@@ -65,8 +67,35 @@ def test_stages_in_order(spark, docs):
     bad = {r.doc_id for r in labels.where("quality = 0").collect()}
     assert len(bad & {r.doc_id for r in at.collect()}) <= 0.1 * len(bad)
     packed = corpus_pipeline.run(spark, DATA)
-    assert {"doc_id", "piece", "sequence_id", "offset"} <= set(packed.columns)
-    assert packed.select("doc_id").distinct().count() == at.count()
+    assert packed.columns == ["sequence_id", "n_tokens", "ids", "pieces"]
+    rows = packed.collect()
+    assert all(len(r.ids) == r.n_tokens <= 1024 for r in rows)
+    ids = {}
+    for r in rows:
+        for p in r.pieces:
+            ids[p.doc_id, p.piece] = r.ids[p.offset : p.offset + p.length]
+    tok = Tokenizer.from_file(BYTE_VOCABULARY)
+    tok.encode_special_tokens = True
+    text = {r.doc_id: r.text for r in at.collect()}
+    for d, t in text.items():
+        own = [x for k in sorted(k for k in ids if k[0] == d) for x in ids[k]]
+        assert own == [*tok.encode(t, add_special_tokens=False).ids, 2]
+    assert {d for d, _ in ids} == set(text)
+
+
+def test_empty_tables_and_clashing_names_in_every_stage(spark, docs):
+    odd = docs.selectExpr("*", "1 as h", "2 as row", "3 as key", "4 as block", "5 as label", "6 as ids", "7 as uid", "8 as length")
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), DATA).count() == 0, name
+        if name != "best_fit_packing":
+            assert stage(spark, odd, DATA).columns == odd.columns, name
+    assert corpus_pipeline.STAGES[-1][1](spark, odd, DATA).count() > 0
+
+
+def test_null_texts_and_long_texts_keep_their_form(spark, docs):
+    rows = [(1, None, "en", "s", None), (2, "x " * 3_000_000, "en", "s", 6_000_000), (3, "x " * 3_000_000 + "y", "en", "s", 6_000_001), (4, "é ü", None, None, 3)]
+    df = spark.createDataFrame(rows, docs.schema)
+    assert sorted(tuple(r) for r in simhash.keep_one(df).collect()) == [rows[0], rows[1], rows[3]]
 
 
 def passages(rng, n, share, way):
