@@ -57,8 +57,7 @@ class Limiter(StatefulProcessor):
         self.rules = rules
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        ttl = max(r.window_ms for r in self.rules)
-        self.log = handle.getMapState("log", "rule string", "times array<long>", ttlDurationMs=ttl)
+        self.log = handle.getMapState("log", "rule string", "times array<long>")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         log = {r.name: list(self.log.getValue((r.name,))[0]) if self.log.containsKey((r.name,)) else [] for r in self.rules}
@@ -78,8 +77,8 @@ def frame(rows: list[tuple]) -> pd.DataFrame:
 
 
 def limited_stream(hits: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
-    """Decisions over a stream of hits(client, t_ms); needs a RocksDB state store."""
-    return hits.groupBy("client").transformWithStateInPandas(statefulProcessor=Limiter(rules), outputStructType=DECISIONS, outputMode="append", timeMode="ProcessingTime")
+    """Decisions over a stream of hits(client, t_ms); needs a RocksDB state store. Hits carry their time, so no timers run."""
+    return hits.groupBy("client").transformWithStateInPandas(statefulProcessor=Limiter(rules), outputStructType=DECISIONS, outputMode="append", timeMode="None")
 
 
 def limited_batch(hits: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
@@ -102,4 +101,4 @@ def limited_batch(hits: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
 def client_key(forwarded: Column, real_ip: Column) -> Column:
     """The first forwarded address, else the connection's, else one key for all."""
     first = F.trim(F.element_at(F.split(forwarded, ","), 1))
-    return F.coalesce(F.nullif(first, F.lit("")), F.nullif(F.trim(real_ip), F.lit("")), F.lit("unknown"))
+    return F.coalesce(F.nullif(first, F.lit("")), F.nullif(F.trim(real_ip), F.lit("")), F.lit("unknown-client"))
