@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -36,16 +36,14 @@ def trade_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def trade_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each source's two largest flows."""
-    w = Window.partitionBy("src").orderBy(F.desc("n"), "dst")
-    top = trade_flow(spark, sf_dir).withColumn("rk", F.row_number().over(w)).where("rk <= 2")
-    return top.select(F.concat("src", F.lit("->"), "dst").alias("id"), "src", "dst")
+    """An edge for every flow."""
+    return trade_flow(spark, sf_dir).select(F.concat("src", F.lit("->"), "dst").alias("id"), "src", "dst")
 
 
 TRADE = """names AS (SELECT n_nationkey AS key, r_name || '/' || n_name AS path FROM nation JOIN region ON n_regionkey = r_regionkey),
 flow AS (SELECT a.path AS src, b.path AS dst, count(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN supplier ON l_suppkey = s_suppkey
   JOIN customer ON o_custkey = c_custkey JOIN names a ON s_nationkey = a.key JOIN names b ON c_nationkey = b.key GROUP BY 1, 2),
-edges AS (SELECT src || '->' || dst AS id, src, dst FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY n DESC, dst) AS rk FROM flow) WHERE rk <= 2),
+edges AS (SELECT src || '->' || dst AS id, src, dst FROM flow),
 nodes AS (SELECT path, CAST(key + 10 AS BIGINT) AS line_count FROM names)"""
 
 

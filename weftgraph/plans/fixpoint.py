@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession) -> str:
     conf = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not conf:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         conf = f"{tempfile.gettempdir()}/weftgraph-checkpoints"
         spark.conf.set("spark.checkpoint.dir", conf)
     return conf.rstrip("/")
@@ -25,7 +27,14 @@ def shared_dir(spark: SparkSession) -> str:
 def written(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/round-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def tables(parts: list[DataFrame]) -> DataFrame:
+    """Written tables of one schema as one scan."""
+    return parts[0].sparkSession.read.schema(parts[0].schema).parquet(*(p.stored_at for p in parts))
 
 
 def reachable(edges: DataFrame, seeds: DataFrame, max_rounds: int | None = None) -> DataFrame:
@@ -35,16 +44,18 @@ def reachable(edges: DataFrame, seeds: DataFrame, max_rounds: int | None = None)
     closure() takes a logarithm of rounds instead.
     """
     edges = written(edges.select("src", "dst").distinct())
-    seen = written(seeds.select(F.col("node").alias("seed"), "node").distinct())
-    frontier, rounds = seen, 0
+    # every round writes its frontier only
+    frontiers = [written(seeds.select(F.col("node").alias("seed"), "node").distinct())]
+    rounds = 0
     while max_rounds is None or rounds < max_rounds:
-        step = frontier.join(edges, frontier["node"] == edges["src"]).select("seed", F.col("dst").alias("node")).distinct()
-        frontier = written(step.join(seen, ["seed", "node"], "left_anti"))
-        if frontier.isEmpty():
+        last = frontiers[-1]
+        step = last.join(edges, last["node"] == edges["src"]).select("seed", F.col("dst").alias("node")).distinct()
+        found = written(step.join(tables(frontiers), ["seed", "node"], "left_anti"))
+        if found.isEmpty():
             break
-        seen = written(seen.unionByName(frontier))
+        frontiers.append(found)
         rounds += 1
-    return seen
+    return tables(frontiers)
 
 
 def closure(edges: DataFrame) -> DataFrame:
