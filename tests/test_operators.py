@@ -126,23 +126,51 @@ def test_entry_rules(spark):
     roots = spark.createDataFrame([("", 0), ("pkg", 1)], "root string, nth int")
     got = {r.path: r.reason for r in entrypoints.entry_points(files, manifests, contents, roots).collect()}
     assert got == {
-        "app/page.tsx": "Next.js route", "src/index.ts": 'package.json "main"', "vite.config.ts": "config file", "a/b.test.ts": "test file",
-        "pkg/src/main.ts": "conventional root file", "src/lib/api.ts": 'package.json "exports"', "tool/run.py": "Python main guard", "cmd/m.go": "Go main package",
+        "app/page.tsx": "Next.js route (app/page.tsx)", "src/index.ts": 'package.json "main"', "vite.config.ts": "config file", "a/b.test.ts": "test file",
+        "pkg/src/main.ts": "conventional root file", "src/lib/api.ts": 'package.json "exports" (".")', "tool/run.py": "Python __main__ guard", "cmd/m.go": "Go package main",
     }
-    assert col(entrypoints.wildcard_exports(manifests), "target") == ["./src/*"]
+    assert [tuple(r) for r in entrypoints.wildcard_exports(manifests).collect()] == [("package.json", "./*", "src/*")]
+
+
+def entries_of(spark, files, manifest, at="package.json"):
+    f = spark.createDataFrame([(p,) for p in files], "path string")
+    m = spark.createDataFrame([(at, manifest)], "path string, content string")
+    return {r.path: r.reason for r in entrypoints.entry_points(f, m).collect()}
+
+
+def test_manifest_fields(spark):
+    # both sides of a browser map, an excluded subpath, conditions and arrays, names of package imports, a manifest further down
+    assert entries_of(spark, ["lib/server.ts", "lib/client.ts"], '{"browser": {"./lib/server.js": "./lib/client.js", "fs": false}}') == {"lib/server.ts": 'package.json "browser" map', "lib/client.ts": 'package.json "browser" map'}
+    got = entries_of(spark, ["src/a.js", "src/internal/y.js", "lib/z.js"], '{"exports": {"./a": {"import": ["./src/a.js"]}, "./internal/*": null, "./internal/y": "./src/internal/y.js", "./other": "./lib/z.js", "./p": "#p"}}')
+    assert got == {"src/a.js": 'package.json "exports" ("./a")', "lib/z.js": 'package.json "exports" ("./other")'}
+    got = entries_of(spark, ["src/internal/y.js"], '{"exports": {"./internal/*": null, "./y": "./src/internal/y.js"}}')
+    assert got == {"src/internal/y.js": 'package.json "exports" ("./y")'}
+    assert entries_of(spark, ["p/x/m.ts", "p/src/deep.ts"], '{"bin": {"x": "./dist/deep.js"}, "module": "x/m"}', "p/package.json") == {"p/src/deep.ts": 'p/package.json "bin"', "p/x/m.ts": 'p/package.json "module"'}
+    f = spark.createDataFrame([("src/tool/cli.py",), ("tool/cli.py",), ("tool/other.py",)], "path string")
+    m = spark.createDataFrame([("pyproject.toml", '[project.scripts]\ntool = "tool.cli:main"\n')], "path string, content string")
+    assert {r.path: r.reason for r in entrypoints.entry_points(f, m).collect()} == {"src/tool/cli.py": "pyproject.toml script", "tool/cli.py": "pyproject.toml script"}
+
+
+def test_framework_roots_and_folders(spark):
+    want = {
+        "src/middleware.ts": "Next.js middleware (src/middleware.ts)", "proxy.ts": "Next.js proxy (proxy.ts)", "cypress/a.ts": "test file", "bin/run.js": "script (bin/)",
+        "demos/x.ts": "example or demo (demos/)", "a/__mocks__/b.ts": "test file", "a/x.test.vue": "test file",
+    }
+    files = spark.createDataFrame([(p,) for p in [*want, "specs/a.ts", "script/x.ts", "lib/y.ts"]], "path string")
+    assert {r.path: r.reason for r in entrypoints.entry_points(files).collect()} == want
 
 
 def test_typescript_resolution(spark):
     listing = spark.createDataFrame([(p,) for p in ["src/a.ts", "src/b.tsx", "src/c/index.ts", "src/d.js", "lib/e.ts", "style.css", "src/deep/f.ts"]], "path string")
     sources = listing.where("path <> 'style.css'")
-    spec = ["./b", "./c", "./d.js", "./b.js", "../style.css", "./none", "@/e", "@/deep/f", "react", "@/gone"]
+    spec = ["./b", "./c", "./d.js", "./b.js", "../style.css", "./none", "@/e", "@/deep/f", "react", "@/gone", "@/../style.css"]
     imports = spark.createDataFrame([("src/a.ts", s) for s in spec], "path string, specifier string")
     aliases = spark.createDataFrame([("@/", "", "lib/", "", 0), ("@/deep/", "", "src/deep/", "", 0)], "prefix string, suffix string, target_prefix string, target_suffix string, nth int")
     got = {r.specifier: (r.target, r.status) for r in resolve.resolve_typescript(imports, sources, listing, aliases).collect()}
     assert got == {
         "./b": ("src/b.tsx", "internal"), "./c": ("src/c/index.ts", "internal"), "./d.js": ("src/d.js", "internal"), "./b.js": ("src/b.tsx", "internal"),
         "../style.css": (None, "asset"), "./none": (None, "unresolved"), "@/e": ("lib/e.ts", "internal"), "@/deep/f": ("src/deep/f.ts", "internal"),
-        "react": (None, "external"), "@/gone": (None, "external"),
+        "react": (None, "external"), "@/gone": (None, "external"), "@/../style.css": (None, "external"),
     }
 
 
@@ -152,7 +180,10 @@ def test_python_and_go_resolution(spark):
     got = {r.specifier: (r.target, r.status) for r in resolve.resolve_python(spark.createDataFrame(imports, "path string, specifier string"), resolve.python_modules(files)).collect()}
     assert got["..a.name"] == ("pkg/a.py", "internal") and got["pkg.a"] == ("pkg/a.py", "internal") and got["os.path"] == (None, "external")
     assert got["pkg.sub.Thing"] == ("pkg/sub/__init__.py", "internal") and got["pkg"] == ("pkg/__init__.py", "internal")
-    assert got["pkg.gone.x"][1] == "unresolved" and got["....x"][1] == "unresolved"
+    assert got["pkg.gone.x"] == ("pkg/__init__.py", "internal") and got["....x"][1] == "unresolved"
+    bare = resolve.python_modules(spark.createDataFrame([("space/a.py",), ("main.py",)], "path string"))  # a folder without __init__.py has no file for names
+    one = spark.createDataFrame([("main.py", "space.gone")], "path string, specifier string")
+    assert [(r.target, r.status) for r in resolve.resolve_python(one, bare).collect()] == [(None, "unresolved")]
     go = spark.createDataFrame([(p,) for p in ["u/a.go", "u/b.go", "u/a_test.go", "main.go", "vendor/x/y.go"]], "path string")
     spec = spark.createDataFrame([("main.go", s) for s in ["ex.com/m/u", "fmt", "ex.com/m/gone"]], "path string, specifier string")
     pk = resolve.go_packages(go, "ex.com/m")
@@ -232,6 +263,47 @@ def test_diagram(spark):
     ids = diagram.mermaid_ids(spark.createDataFrame([("a-b",), ("a.b",), ("a_b_2",)], "id string"))
     assert {r.id: r.name for r in ids.collect()} == {"a-b": "a_b", "a.b": "a_b_2", "a_b_2": "a_b_2_2"}
     assert diagram.expand({"lib": {"lib/a": 10, "lib/b": 5}, "lib/a": {}, "lib/b": {}, "app": {}}, {"lib": 2, "lib/a": 10, "lib/b": 5, "app": 3}, 24) == ["app", "lib/*", "lib/a", "lib/b"]
+    assert diagram.expand({"lib": {"lib/a": 10}, "lib/a": {}}, {"lib": 3, "lib/a": 10}, 24) == ["lib"]  # one sub-folder is no division
+
+
+def test_findings_of_large_and_leaking_units(spark):
+    rows = [(f"flat/f{i}.ts", "flat") for i in range(70)] + [(f"deep/in/{k}/f{i}.ts", "deep") for k in "ab" for i in range(40)] + [(f"one/{k}/f{i}.ts", "one") for k, n in (("a", 68), ("b", 2)) for i in range(n)]
+    rows += [("a/x.ts", "a"), ("b/y.ts", "b"), ("b/y.test.ts", "b")] + [(f"r{i}.ts", "(root files)") for i in range(61)]
+    units = spark.createDataFrame([(*r, 1) for r in rows], "path string, unit string, line_count long")
+    edges = spark.createDataFrame([("a/x.ts", "b/y.test.ts"), ("b/y.ts", "b/y.test.ts"), ("flat/f0.ts", "b/y.test.ts"), ("b/y.test.ts", "a/x.ts")], "src string, dst string")
+    got = [(r.kind, r.subject, r.figure) for r in diagram.findings(units, edges).collect()]
+    assert [g for g in got if g[0] == "test-leak"] == [("test-leak", "a,b,flat", 3)]
+    assert sorted(g[1] for g in got if g[0] == "oversized") == ["flat", "one"]
+
+
+def test_misplaced(spark):
+    units = spark.createDataFrame([("a/x.ts", "a"), ("a/y.ts", "a"), *((f"b/{i}.ts", "b") for i in range(5)), ("c/z.ts", "c")], "path string, unit string")
+    edges = spark.createDataFrame([*(("a/x.ts", f"b/{i}.ts") for i in range(4)), ("c/z.ts", "a/x.ts"), ("a/y.ts", "b/0.ts"), ("a/y.ts", "c/z.ts")], "src string, dst string")
+    assert [tuple(r) for r in diagram.misplaced(units, edges).collect()] == [("a/x.ts", "a", "b", 5, 4)]
+
+
+def test_layers_and_domains(spark):
+    rows = {"API/x.ts": ("api", None), "SRC/user/y.ts": ("SRC", "user"), "src/Core/z.ts": ("core", None), "w.ts": (None, None), "src/one.ts": ("src", None), "Billing/a/b.ts": ("Billing", "Billing")}
+    df = spark.createDataFrame([(p,) for p in rows], "path string").select("path", paths.layer(F.col("path")).alias("l"), paths.domain(F.col("path")).alias("d"))
+    assert {r.path: (r.l, r.d) for r in df.collect()} == rows
+
+
+def test_search_trims(spark):
+    items = spark.createDataFrame([("a", "build", "", "file", 0)], "id string, label string, context string, kind string, weight long")
+    assert [r.id for r in search.rank(items, "  build ").collect()] == ["a"] and [r.id for r in search.rank(items, "  ").collect()] == ["a"]
+
+
+def test_final_notes(spark):
+    region = lambda *ids: [("region", i) for i in ids]
+    rows = [
+        (1, "caption", "  Parsers. ", region("p")), (2, "caption", "again", region("p")), (3, "caption", "has 3", region("q")), (4, "caption", "two", region("q", "r")), (5, "caption", "...", region("s")),
+        (6, "caption", "x" * 49, region("t")), (7, "caption", "é" * 48, region("t")), (8, "note", "12 files", region("p")), (9, "note", "13 files", region("p")), (10, "note", "y" * 241, region("p")),
+        *((20 + i, "note", f"note {'abcdefgh'[i]}", region("p")) for i in range(8)),
+    ]
+    claims = spark.createDataFrame(rows, "nth long, section string, text string, citations array<struct<kind:string,id:string>>")
+    got = evidence.final_notes(claims, spark.createDataFrame([("12",)], "figure string")).collect()
+    assert sorted((r.unit, r.text) for r in got if r.kind == "caption") == [("p", "Parsers"), ("t", "é" * 48)]
+    assert sorted(r.text for r in got if r.kind == "note") == ["12 files", *(f"note {c}" for c in "abcde")]
 
 
 def test_tour(spark):
@@ -240,7 +312,29 @@ def test_tour(spark):
     entries = spark.createDataFrame([("src/index.ts", "conventional root file"), ("tests/t.test.ts", "test file")], "path string, reason string")
     folders = nodes.select("path", paths.directory(F.col("path")).alias("folder"))
     got = [r.path for r in tour.tour(nodes, edges, folders, entries).orderBy("step").collect()]
-    assert got[0] == "src/index.ts" and got[1] == "src/b/y.ts" and "src/c/p.ts" in got and len(got) <= 7 and "tests/t.test.ts" not in got
+    assert got[0] == "src/index.ts" and got[1] == "src/b/y.ts" and not [p for p in got if p.startswith("src/c/")] and len(got) <= 7 and "tests/t.test.ts" not in got
+
+
+def steps_of(spark, spec, entries=(), folder=lambda p: p.rpartition("/")[0] or "root"):
+    nodes, edges = graph_of(spark, spec)
+    folders = spark.createDataFrame([(p, folder(p)) for p in spec], "path string, folder string")
+    e = spark.createDataFrame(list(entries), "path string, reason string")
+    return [r.path for r in tour.tour(nodes, edges, folders, e).orderBy("step").collect()]
+
+
+def test_tour_rules(spark):
+    # a second start is of another kind though of the same tier; configuration is no start's rival
+    spec = {"src/index.ts": ["lib/a.ts"], "bin/x.ts": ["lib/a.ts"], "app/layout.tsx": ["lib/a.ts"], "lib/a.ts": ["lib/b.ts"], "lib/b.ts": []}
+    got = steps_of(spark, spec, [("src/index.ts", "conventional root file"), ("app/layout.tsx", "Next.js route (app/layout.tsx)"), ("bin/x.ts", "script (bin/)")])
+    assert got[:2] == ["app/layout.tsx", "src/index.ts"] and "bin/x.ts" not in got
+    # the region of a start comes after others, files that only declare don't count unless most lean on them
+    spec = {"m/index.ts": ["m/h.ts", "n/k.ts"], "m/h.ts": ["n/types.ts"], "m/g.ts": ["m/h.ts", "n/k.ts"], "n/k.ts": ["n/types.ts"], "n/types.ts": [], "n/l.ts": ["n/types.ts", "o/constants.ts"], "o/constants.ts": []}
+    assert steps_of(spark, spec, [("m/index.ts", "conventional root file")]) == ["m/index.ts", "n/types.ts", "m/h.ts", "n/k.ts"]
+    # without entries: the file that imports most and that only tests import; configuration and tests are noise
+    spec = {"a.ts": ["b.ts", "c.ts"], "b.ts": ["c.ts"], "c.ts": [], "a.test.ts": ["a.ts"], "vite.config.ts": ["a.ts", "b.ts", "c.ts"], "z.ts": ["b.ts"]}
+    assert steps_of(spark, spec)[0] == "z.ts"
+    # nothing at all to say: the first file
+    assert steps_of(spark, {"b.ts": [], "a.ts": []}) == ["a.ts"] and steps_of(spark, {"x.ts": []}, [("x.ts", "config file")]) == ["x.ts"]
 
 
 def test_claims(spark):
@@ -281,13 +375,26 @@ def test_sources(spark, tmp_path):
         z.writestr(link, "a")
     arch = spark.createDataFrame([("z.zip", bytearray(buf.getvalue())), ("bad.zip", bytearray(b"no"))], "path string, content binary")
     got = {(r.archive, r.path): r.status for r in scan.archive_entries(arch).collect()}
-    assert got == {("z.zip", "ok/a.ts"): None, ("z.zip", "../up.ts"): "traversal", ("z.zip", "/abs.ts"): "absolute", ("z.zip", "link"): "symlink", ("bad.zip", ""): "not-an-archive"}
+    assert got == {("z.zip", "ok/a.ts"): None, ("z.zip", "../up.ts"): "traversal", ("z.zip", "/abs.ts"): "absolute-path", ("z.zip", "link"): "symlink", ("bad.zip", ""): "not-an-archive"}
     tree = ["package.json", "src/a.ts", "dist/a.js", "src/dist/b.ts", ".hidden/c.ts", "node_modules/x/d.ts", "x.egg-info/e.py", "env/pyvenv.cfg", "env/lib/f.py", "readme.md"]
     listing = spark.createDataFrame([(p,) for p in tree], "path string")
     assert col(scan.sources(listing)) == ["src/a.ts", "src/dist/b.ts"]
     assert col(scan.project_root(spark.createDataFrame([("top/" + p,) for p in tree], "path string"))) == sorted(tree)
     with pytest.raises(scan.ScanLimit):
         scan.within_limits(listing, 3)
+    assert scan.sniff_one(b"\x1b" * 20 + b"abc") == "binary" and scan.sniff_one(b"\x08\x0c" * 3 + b"a" * 10) == "binary" and scan.sniff_one(b"\t\r\n" * 9) == "text"
+    tops = spark.createDataFrame([(p,) for p in ["top/a.ts", ".git/x", "__MACOSX/top/._a.ts", ".env", "notes.md"]], "path string")
+    assert col(scan.project_root(tops)) == ["a.ts"]
+    for kept in ("jsconfig.json", "setup.cfg", "x.ts"):
+        assert scan.project_root(tops.unionByName(spark.createDataFrame([(kept,)], "path string"))).count() == 6
+    # the project's root needs no marker, and a configuration names its output
+    out = spark.createDataFrame([(p,) for p in ["build/a.ts", "sub/build/b.ts", "sub/out/c.ts", "sub/src/d.ts", "sub/tsconfig.json"]], "path string")
+    assert col(scan.sources(out.where("path <> 'sub/tsconfig.json'"))) == ["sub/build/b.ts", "sub/out/c.ts", "sub/src/d.ts"]
+    config = spark.createDataFrame([("sub/tsconfig.json", '{ // a comment\n "compilerOptions": {"outDir": "./out", /* "outDir": "src" */ "x": "http://y",},}')], "path string, content string")
+    assert col(scan.sources(out, configs=config)) == ["sub/src/d.ts"]
+    valid = {"a": None, ".": "traversal", "a/..": "traversal", "C:x": None, "C:/x": "absolute-path", "\\\\s\\x": "absolute-path", "a/../../b": "traversal", "": "traversal", "a\x00": "traversal", "a/" * 2500: "path-too-long"}
+    df = spark.createDataFrame([(p,) for p in valid], "path string")
+    assert {r.path: r.r for r in df.select("path", paths.valid_path(F.col("path")).alias("r")).collect()} == valid
     (tmp_path / "t" / "src").mkdir(parents=True)
     (tmp_path / "t" / "src" / "a.ts").write_text("import './b'")
     (tmp_path / "t" / "n.md").write_text("no")

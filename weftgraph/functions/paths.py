@@ -80,16 +80,16 @@ def is_declaration(path: Path) -> Column:
 
 
 def layer(path: Path) -> Column:
-    """The innermost directory that is a layer word, else the top directory; null for files at the top."""
+    """The innermost directory that is a layer word, in lower case, else the top directory; null for files at the top."""
     dirs = F.slice(segments(path), 1, F.size(segments(path)) - 1)
-    words = F.filter(F.reverse(dirs), lambda d: F.lower(d).isin(*LAYER_WORDS))
+    words = F.filter(F.transform(F.reverse(dirs), F.lower), lambda d: d.isin(*LAYER_WORDS))
     return F.when(F.size(segments(path)) > 1, F.coalesce(F.try_element_at(words, F.lit(1)), dirs[0]))
 
 
 def domain(path: Path) -> Column:
     """The top directory, or the one below ``src``, of paths at least two directories deep; null if it is a layer word."""
     parts = segments(path)
-    pick = F.when(parts[0] == "src", F.try_element_at(parts, F.lit(2))).otherwise(parts[0])
+    pick = F.when(F.lower(parts[0]) == "src", F.try_element_at(parts, F.lit(2))).otherwise(parts[0])
     return F.when((F.size(parts) > 2) & ~F.lower(pick).isin(*LAYER_WORDS), pick)
 
 
@@ -112,13 +112,12 @@ def valid_path(path: Path) -> Column:
             (s["at"] + F.when(p == "..", -1).when(p.isin("", "."), 0).otherwise(1)).alias("at"),
             F.least(s["low"], s["at"] + F.when(p == "..", -1).when(p.isin("", "."), 0).otherwise(1)).alias("low"),
         ),
-        lambda s: s["low"],
+        lambda s: F.least(s["low"], s["at"] - 1),  # a path that ends at the root names no file in it
     )
     return (
-        F.when(path.isNull() | (path == ""), "empty")
-        .when(path.contains("\x00"), "nul-byte")
-        .when(F.length(path) > 4096, "too-long")
-        .when(path.rlike(r"^[/\\]|^[A-Za-z]:"), "absolute")
+        F.when(path.isNull() | (path == "") | path.contains("\x00"), "traversal")
+        .when(F.length(path) > 4096, "path-too-long")
+        .when(path.rlike(r"^[/\\]|^[A-Za-z]:[/\\]"), "absolute-path")
         .when(depth < 0, "traversal")
     )
 

@@ -25,18 +25,18 @@ def top_units(files: DataFrame) -> DataFrame:
 
 
 def merge_smallest(units: DataFrame, budget: int) -> DataFrame:
-    """units(path, unit) with the smallest ones, by size and name, together as ``other parts`` where there are more than the budget."""
+    """units(path, unit) with the smallest ones, by size and name, together as ``<n> small folders`` where there are more than the budget."""
     size = units.groupBy("unit").agg(F.count("*").alias("n"))
     ranked = size.select("unit", F.row_number().over(Window.orderBy("n", "unit")).alias("rk"), F.count("*").over(Window.partitionBy()).alias("k"))  # one row per unit
-    merged = ranked.select("unit", F.when((F.col("k") > budget) & (F.col("rk") <= F.col("k") - budget + 1), "other parts").otherwise(F.col("unit")).alias("shown"))
+    merged = ranked.select("unit", F.when((F.col("k") > budget) & (F.col("rk") <= F.col("k") - budget + 1), F.concat((F.col("k") - budget + 1).cast("string"), F.lit(" small folders"))).otherwise(F.col("unit")).alias("shown"))
     return units.join(merged, "unit").drop("unit").withColumnRenamed("shown", "unit")
 
 
 def expand(sizes: dict[str, dict[str, int]], loose: dict[str, int], budget: int, max_depth: int = 2, least: int = 3) -> list[str]:
     """Greedy expansion over at most ``budget`` units, on the driver: sizes has the sub-folders of each folder with their files, loose the files directly in it.
 
-    Time after time the largest unit is opened into its sub-folders of at least three files and one unit for the
-    rest, if it has two parts or more and the figure still fits.
+    Time after time the largest unit is opened into its sub-folders of at least three files, of which it must have two,
+    and one unit for the rest, if the figure still fits.
     """
     total = {u: sum(c.values()) + loose.get(u, 0) for u, c in sizes.items()}
     units = {u: (total[u], 0) for u in sizes if ("/" not in u and not (u == "src" and sizes[u])) or u.rpartition("/")[0] == "src"}
@@ -46,7 +46,7 @@ def expand(sizes: dict[str, dict[str, int]], loose: dict[str, int], budget: int,
             kids = {k: m for k, m in sizes.get(u, {}).items() if m >= least}
             rest = n - sum(kids.values())
             parts = len(kids) + (rest > 0)
-            if depth < max_depth and kids and parts >= 2 and len(units) - 1 + parts <= budget and (best is None or n > units[best][0]):
+            if depth < max_depth and len(kids) >= 2 and len(units) - 1 + parts <= budget and (best is None or n > units[best][0]):
                 best = u
         if best is None:
             return sorted(units)
@@ -140,14 +140,16 @@ def findings(units: DataFrame, edges: DataFrame, unresolved: DataFrame | None =
     names = units.select("unit").distinct()
     test = paths.is_test
     leak = edges.join(units.select(F.col("path").alias("src"), F.col("unit").alias("source")), "src").join(units.select(F.col("path").alias("dst"), F.col("unit").alias("target")), "dst")
-    leak = leak.where(~test(F.col("src")) & test(F.col("dst"))).groupBy(F.concat("source", F.lit("->"), "target").alias("subject")).agg(F.count("*").alias("figure"))
+    # one finding for all: the units that import tests, and how often
+    leak = leak.where(~test(F.col("src")) & test(F.col("dst"))).groupBy("source").agg(F.count("*").alias("n"))
+    leak = leak.agg(F.array_join(F.sort_array(F.collect_list("source")), ",").alias("subject"), F.sum("n").alias("figure")).where("figure > 0")  # a figure's units
     touched = between.select(F.col("source").alias("unit")).unionByName(between.select(F.col("target").alias("unit")))
     alone = measures.join(touched, "unit", "left_anti").where("tests < files").join(names.agg(F.count("*").alias("k")).where("k > 1").select(F.lit(True).alias("several")), F.lit(True), "left_semi")
     parts = {
         "cycle": cycle_findings(between), "test-leak": leak, "hub": shared_parts(units, between).select(F.col("unit").alias("subject"), F.col("importers").alias("figure")),
         "isolated": alone.select(F.col("unit").alias("subject"), F.col("files").alias("figure")),
         "misplaced": misplaced(units, edges).select(F.col("path").alias("subject"), F.col("total").alias("figure")),
-        "oversized": measures.where(F.col("files") > OVERSIZED).select(F.col("unit").alias("subject"), F.col("files").alias("figure")),
+        "oversized": measures.where(F.col("files") > OVERSIZED).join(splittable(units), "unit", "left_anti").join(folders_of(units), "unit", "left_semi").select(F.col("unit").alias("subject"), F.col("files").alias("figure")),
     }
     if unresolved is not None:
         parts["unresolved-heavy"] = unresolved_heavy(units, edges, unresolved)
@@ -163,6 +165,21 @@ def unresolved_heavy(units: DataFrame, edges: DataFrame, unresolved: DataFrame)
     return j.where("bad >= 3 and bad > 0.1 * (bad + good)").select(F.col("unit").alias("subject"), F.col("bad").alias("figure"))
 
 
+def folders_of(units: DataFrame) -> DataFrame:
+    """(unit) of the units that are folders: all their files lie under their name."""
+    return units.groupBy("unit").agg(F.bool_and(F.col("path").startswith(F.concat("unit", F.lit("/")))).alias("under")).where("under").select("unit")
+
+
+def splittable(units: DataFrame, least: int = 3) -> DataFrame:
+    """(unit) of the units whose files' innermost common folder has two sub-folders or more of at least three files."""
+    dirs = F.slice(paths.segments(F.col("path")), 1, F.size(paths.segments(F.col("path"))) - 1)
+    ends = units.groupBy("unit").agg(F.min(dirs).alias("a"), F.max(dirs).alias("b"))
+    same = F.expr("size(filter(sequence(0, least(size(a), size(b))), n -> slice(a, 1, n) = slice(b, 1, n))) - 1")
+    below = units.withColumn("dirs", dirs).join(ends.select("unit", same.alias("common")), "unit").where("size(dirs) > common")
+    sizes = below.groupBy("unit", F.expr("dirs[common]").alias("child")).agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    return sizes.groupBy("unit").agg(F.count("*").alias("k")).where("k >= 2").select("unit")
+
+
 def finding_order(kind: Column) -> Column:
     return F.array_position(F.array(*map(F.lit, FINDINGS)), kind)
 

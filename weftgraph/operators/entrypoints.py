@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 from functools import reduce
 
@@ -11,28 +12,32 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftgraph.functions import paths, texts
+from weftgraph.operators.graph import rule_of
 from weftgraph.operators.resolve import SOURCE_EXTENSIONS
 
 # File conventions.
 SOURCE = r"(?:ts|tsx|js|jsx|mjs|cjs|mts|cts)"
 NEXT_NAMES = "page|layout|route|loading|error|global-error|not-found|template|default|opengraph-image|twitter-image|icon|apple-icon|sitemap|robots|manifest"
-CONVENTIONS: tuple[tuple[str, str], ...] = (
-    (rf"^(?:src/)?app/(?:.*/)?(?:{NEXT_NAMES})\.{SOURCE}$|^(?:src/)?pages/.+\.{SOURCE}$", "Next.js route"),
-    (rf"^(?:src/)?(?:middleware|proxy|instrumentation)\.{SOURCE}$", "Next.js root file"),
-    (rf"^(?:[^/]+\.(?:config|conf)|gulpfile|Gruntfile|gatsby-(?:browser|config|node|ssr)|jest\.setup|vitest\.setup|setupTests)\.{SOURCE}$", "config file"),
-    (r"^(?:tests?|__tests__|specs?|e2e)/", "test file"),
-    (r"^(?:examples?|demos?|samples?|sandbox|playground)/", "example or demo"),
-    (r"^(?:benchmarks?|bench)/", "benchmark"),
-    (r"^scripts?/", "script"),
-    (r"^(?:src/)?(?:index|main|server|app|cli|worker|sw)\.[A-Za-z]+$", "conventional root file"),
+#: A pattern, the reason, and what the reason has in parentheses at its end: the path, its first folder or nothing.
+CONVENTIONS: tuple[tuple[str, str, str], ...] = (
+    (rf"^(?:src/)?app/(?:.*/)?(?:{NEXT_NAMES})\.{SOURCE}$|^(?:src/)?pages/.+\.{SOURCE}$", "Next.js route", "path"),
+    (rf"^(?:src/)?middleware\.{SOURCE}$", "Next.js middleware", "path"),
+    (rf"^(?:src/)?proxy\.{SOURCE}$", "Next.js proxy", "path"),
+    (rf"^(?:src/)?instrumentation\.{SOURCE}$", "Next.js instrumentation", "path"),
+    (rf"^(?:[^/]+\.(?:config|conf)|gulpfile|Gruntfile|gatsby-(?:browser|config|node|ssr)|jest\.setup|vitest\.setup|setupTests)\.{SOURCE}$", "config file", ""),
+    (r"^(?:test|tests|e2e|cypress)/", "test file", ""),
+    (r"^(?:examples?|demos?|samples?|sandbox|playground)/", "example or demo", "folder"),
+    (r"^(?:benchmarks?|bench)/", "benchmark", "folder"),
+    (r"^(?:scripts|bin)/", "script", "folder"),
+    (r"^(?:src/)?(?:index|main|server|app|cli|worker|sw)\.[A-Za-z]+$", "conventional root file", ""),
 )
 ANYWHERE: tuple[tuple[str, str], ...] = (
-    (r"\.(?:test|spec)\.[cm]?[jt]sx?$|(?:^|/)__tests__/|(?:^|/)test_[^/]+\.py$|_test\.(?:go|py)$|(?:^|/)conftest\.py$", "test file"),
-    (r"\.stories\.[cm]?[jt]sx?$", "Storybook story"),
+    (r"\.(?:test|spec)\.[^/]+$|(?:^|/)(?:__tests__|__mocks__)/", "test file"),
+    (r"\.stories\.[^/]+$", "Storybook story"),
+    (r"(?:^|/)test_[^/]*\.py$|_test\.(?:py|go)$|(?:^|/)conftest\.py$", "test file"),
 )
 PYTHON_ENTRIES = ("__main__.py", "manage.py", "setup.py", "wsgi.py", "asgi.py")
 TWINS = {".js": (".js", ".ts", ".tsx", ".jsx"), ".jsx": (".jsx", ".tsx"), ".mjs": (".mjs", ".mts"), ".cjs": (".cjs", ".cts")}
-FIELDS = ("main", "module", "types", "bin", "browser", "exports")
 FRAMEWORKS = (
     (r"^nuxt$", "Nuxt"), (r"^@remix-run/", "Remix"), (r"^@react-router/", "React Router"), (r"^gatsby$", "Gatsby"), (r"^astro$", "Astro"),
     (r"^@sveltejs/kit$", "SvelteKit"), (r"^@angular/core$", "Angular"), (r"^@solidjs/start$", "SolidStart"), (r"^expo-router$", "Expo Router"),
@@ -49,7 +54,8 @@ def by_convention(files: DataFrame, roots: DataFrame | None = None) -> DataFrame
         below = files.select("path", F.explode(paths.ancestors(p)).alias("root")).join(roots.where("root <> ''").select("root", F.col("nth").alias("root_pos")), "root")
         here = here.unionByName(below)
     rel = F.expr("CASE WHEN root = '' THEN path ELSE substring(path, length(root) + 2) END")
-    rule = F.coalesce(*[F.when(rel.rlike(r), F.struct(F.lit(i).alias("rule_pos"), F.lit(name).alias("reason"))) for i, (r, name) in enumerate(CONVENTIONS)])
+    said = {"": "", "path": F.concat(F.lit(" ("), p, F.lit(")")), "folder": F.concat(F.lit(" ("), F.split(rel, "/")[0], F.lit("/)"))}
+    rule = F.coalesce(*[F.when(rel.rlike(r), F.struct(F.lit(i).alias("rule_pos"), F.concat(F.lit(name), said[end] if end else F.lit("")).alias("reason"))) for i, (r, name, end) in enumerate(CONVENTIONS)])
     return here.withColumn("rule", rule).where("rule is not null").select("path", "rule.reason", F.struct(F.lit(1).alias("phase"), F.col("root_pos").alias("a"), F.col("rule.rule_pos").alias("b")).alias("prio"))
 
 
@@ -64,52 +70,79 @@ def by_content(contents: DataFrame) -> DataFrame:
     p, c = F.col("path"), F.col("content")
     name = paths.name_of(p)
     reason = (
-        F.when(p.endswith(".py") & name.isin(*PYTHON_ENTRIES), F.concat(F.lit("Python entry file ("), name, F.lit(")")))
-        .when(p.endswith(".py") & c.rlike(texts.PY_MAIN_GUARD), F.lit("Python main guard"))
-        .when(p.endswith(".go") & c.rlike(texts.GO_PACKAGE_MAIN), F.lit("Go main package"))
+        F.when(p.endswith(".py") & name.isin(*PYTHON_ENTRIES), F.concat(F.lit("Python entry module ("), name, F.lit(")")))
+        .when(p.endswith(".py") & c.rlike(texts.PY_MAIN_GUARD), F.lit("Python __main__ guard"))
+        .when(p.endswith(".go") & ~p.endswith("_test.go") & c.rlike(texts.GO_PACKAGE_MAIN), F.lit("Go package main"))
     )
     return contents.withColumn("reason", reason).where("reason is not null").select("path", "reason", F.struct(F.lit(3).alias("phase"), F.lit(0).alias("a"), F.lit(0).alias("b")).alias("prio"))
 
 
-def manifest_targets(content: str) -> list[tuple[int, str, str, bool]]:
-    """(position, reason, target, excluded) of what a package.json names: entry fields in order, then exports with their
-    conditions; a null export excludes what it matches; wildcards are reported as targets with a star."""
+def strings_in(value) -> Iterator[str]:
+    """All strings of a JSON value, in order."""
+    if isinstance(value, str):
+        yield value
+    elif isinstance(value, (list, dict)):
+        for v in value if isinstance(value, list) else value.values():
+            yield from strings_in(v)
+
+
+def exported(value, key: str = ".") -> Iterator[tuple[str, str | None]]:
+    """(subpath key, target) of a package's exports; a null target excludes the keys that its key, which may have stars, matches."""
+    if value is None or isinstance(value, str):
+        yield key, value
+    elif isinstance(value, list):
+        for v in value:
+            yield from exported(v, key)
+    elif isinstance(value, dict):
+        by_subpath = any(k.startswith(".") for k in value)
+        for k, v in value.items():
+            yield from exported(v, k if by_subpath else key)
+
+
+def key_pattern(key: str) -> re.Pattern:
+    return re.compile(".*".join(map(re.escape, key.split("*"))))
+
+
+def manifest_targets(manifest: str, content: str) -> list[tuple[int, str, str, str]]:
+    """(position, reason, key, target) of what a package.json names, in order: main, module, types, bin, both sides of
+    browser, and exports less those that a null excludes. Targets with a star name families of files."""
     try:
         data = json.loads(content)
     except ValueError:
         return []
     if not isinstance(data, dict):
         return []
-    out: list[tuple[int, str, str, bool]] = []
-
-    def walk(i: int, reason: str, value, key: str):
-        if isinstance(value, str):
-            out.append((i, reason, value, False))
-        elif value is None and key:
-            out.append((i, reason, key, True))
-        elif isinstance(value, list):
-            for v in value:
-                walk(i, reason, v, "")
-        elif isinstance(value, dict):
-            for k, v in value.items():
-                if not k.startswith("#"):
-                    walk(i, reason, v, k if k.startswith(".") else key)
-
-    for i, field in enumerate(FIELDS):
-        if field in data and data[field] is not None:
-            walk(i, f'package.json "{field}"', data[field], "")
+    out: list[tuple[int, str, str, str]] = []
+
+    def name(reason: str, key: str, target: str):
+        out.append((len(out), f"{manifest} {reason}", key, target))
+
+    for field in ("main", "module", "types"):
+        if isinstance(data.get(field), str):
+            name(f'"{field}"', "", data[field])
+    for target in strings_in(data.get("bin")):
+        name('"bin"', "", target)
+    browser = data.get("browser")
+    sides = [browser] if isinstance(browser, str) else [x for pair in browser.items() for x in pair if isinstance(x, str) and x.startswith(".")] if isinstance(browser, dict) else []
+    for target in sides:
+        name('"browser" map', "", target)
+    leaves = list(exported(data["exports"])) if "exports" in data else []
+    gone = [key_pattern(k) for k, target in leaves if target is None]
+    for key, target in leaves:
+        if target is not None and not target.startswith("#") and not any(g.fullmatch(key) for g in gone):
+            name(f'"exports" ("{key}")', key, target)
     return out
 
 
 def named_targets(manifests: DataFrame) -> DataFrame:
-    """(manifest, dir, pos, reason, target, excluded) of manifests(path, content), one row for each target of a package.json."""
+    """(manifest, dir, pos, reason, key, target) of manifests(path, content), one row for each target of a package.json."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = [(p, p.rpartition("/")[0], *t) for p, c in zip(b["path"], b["content"]) if p.rpartition("/")[2] == "package.json" for t in manifest_targets(c or "")]
-            yield pd.DataFrame(rows, columns=["manifest", "dir", "pos", "reason", "target", "excluded"])
+            rows = [(p, p.rpartition("/")[0], *t) for p, c in zip(b["path"], b["content"]) if p.rpartition("/")[2] == "package.json" for t in manifest_targets(p, c or "")]
+            yield pd.DataFrame(rows, columns=["manifest", "dir", "pos", "reason", "key", "target"])
 
-    return manifests.select("path", "content").mapInPandas(run, "manifest string, dir string, pos int, reason string, target string, excluded boolean")
+    return manifests.select("path", "content").mapInPandas(run, "manifest string, dir string, pos int, reason string, key string, target string")
 
 
 def target_candidates(target: Column) -> Column:
@@ -132,21 +165,20 @@ def target_candidates(target: Column) -> Column:
 
 
 def by_manifest(files: DataFrame, manifests: DataFrame) -> DataFrame:
-    """(path, reason, prio): every file that a manifest's target may stand for, less what null exports exclude."""
-    named = named_targets(manifests)
+    """(path, reason, prio): every file that a manifest's target may stand for; targets with a star and declarations name none."""
+    named = named_targets(manifests).where(~F.col("target").contains("*") & ~F.col("target").startswith("#") & ~paths.is_declaration(F.col("target")))
     order = manifests.select(F.col("path").alias("manifest")).distinct()
     pos = order.select("manifest", F.rank().over(Window.orderBy("manifest")).alias("a"))  # one row a manifest
-    c = named.where(~F.col("excluded") & ~F.col("target").contains("*")).select("manifest", "dir", "pos", "reason", F.explode(target_candidates(F.col("target"))).alias("rel"))
+    c = named.select("manifest", "dir", "pos", "reason", F.explode(target_candidates(F.col("target"))).alias("rel"))
     c = c.withColumn("path", F.when(F.col("dir") == "", F.col("rel")).otherwise(F.concat_ws("/", "dir", "rel")))
     hit = c.join(files.select("path"), "path", "left_semi").join(pos, "manifest")
-    gone = named.where("excluded").select("dir", F.regexp_replace(paths.normalised(F.col("target")), r"\*", "").alias("stem"))
-    gone = gone.select(F.when(F.col("dir") == "", F.col("stem")).otherwise(F.concat_ws("/", "dir", "stem")).alias("stem"))
-    hit = hit.join(F.broadcast(gone), F.col("path").startswith(F.col("stem")) & (F.col("stem") != ""), "left_anti")  # the null exports of manifests
     return hit.select("path", "reason", F.struct(F.lit(0).alias("phase"), "a", F.col("pos").alias("b")).alias("prio"))
 
 
 def wildcard_exports(manifests: DataFrame) -> DataFrame:
-    return named_targets(manifests).where(F.col("target").contains("*") & ~F.col("excluded")).select("manifest", "target")
+    """(manifest, key, target), each once, of exports that name families of files."""
+    at = F.concat_ws("/", F.nullif("dir", F.lit("")), paths.normalised(F.col("target")))
+    return named_targets(manifests).where(F.col("target").contains("*") & (F.col("key") != "")).select("manifest", "key", at.alias("target")).distinct()
 
 
 def script_targets(manifests: DataFrame) -> DataFrame:
@@ -168,8 +200,8 @@ def script_targets(manifests: DataFrame) -> DataFrame:
                     stem = t.partition(":")[0].strip().replace(".", "/")
                     base = p.rpartition("/")[0]
                     for lead in (base, f"{base}/src" if base else "src"):
-                        for tail in (".py", "/__init__.py", "/__main__.py"):
-                            rows.append((f"{lead}/{stem}{tail}" if lead else f"{stem}{tail}", "pyproject script"))
+                        for tail in (".py", "/__init__.py"):
+                            rows.append((f"{lead}/{stem}{tail}" if lead else f"{stem}{tail}", "pyproject.toml script"))
             yield pd.DataFrame(rows, columns=["path", "reason"])
 
     return manifests.select("path", "content").mapInPandas(run, "path string, reason string")
@@ -192,8 +224,8 @@ def dynamic_import_files(contents: DataFrame, entries: DataFrame) -> DataFrame:
     """(path) of library files that compute the target of an import."""
     c, p = F.col("content"), F.col("path")
     hit = (p.endswith(".py") & c.rlike(texts.DYNAMIC_PY)) | (p.rlike(rf"\.{SOURCE}$") & c.rlike(texts.DYNAMIC_JS))
-    runnable = entries.where(F.col("reason").isin(*NON_LIBRARY)).select("path")
-    return contents.where(hit).select("path").join(runnable, "path", "left_anti")
+    runnable = entries.where(rule_of(F.col("reason")).isin(*NON_LIBRARY)).select("path")
+    return contents.where(hit & ~paths.is_declaration(p)).select("path").join(runnable, "path", "left_anti")
 
 
 def unknown_frameworks(dependencies: DataFrame) -> DataFrame:

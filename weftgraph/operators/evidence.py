@@ -51,12 +51,22 @@ def unsupported_figures(claims: DataFrame, evidence: DataFrame) -> DataFrame:
     return said.join(known, "figure", "left_anti").select("claim_id", "figure")
 
 
-def final_notes(notes: DataFrame, caption: int = 48, note: int = 240, most: int = 6) -> DataFrame:
-    """(unit, text, kind): one caption without digits of at most 48 characters for each unit, and at most six notes of 240; notes(nth, unit, text), unit null for notes."""
-    c = notes.where(F.col("unit").isNotNull() & (F.length("text") <= caption) & ~F.col("text").rlike(r"\d"))
+def final_notes(claims: DataFrame, figures: DataFrame, caption: int = 48, note: int = 240, most: int = 6) -> DataFrame:
+    """(unit, text, kind) of grounded claims(nth, section, text, citations): the captions and notes that a figure takes.
+
+    A caption cites one region and nothing else, and has 1 to 48 characters, no digit, no spaces around it and no dots
+    at its end; the first for each region stays. Notes have at most 240 characters and only figures of figures(figure);
+    the first six stay. citations: array of (kind, id).
+    """
+    text = F.regexp_replace(F.trim("text"), r"\.+$", "")
+    one = (F.size("citations") == 1) & (F.col("citations")[0]["kind"] == "region")
+    c = claims.where((F.col("section") == "caption") & one).select("nth", F.col("citations")[0]["id"].alias("unit"), text.alias("text"))
+    c = c.where(F.length("text").between(1, caption) & ~F.col("text").rlike(r"\d"))
     c = c.groupBy("unit").agg(F.min_by("text", "nth").alias("text")).select("unit", "text", F.lit("caption").alias("kind"))
-    n = notes.where(F.col("unit").isNull() & (F.length("text") <= note)).orderBy("nth").limit(most)
-    return c.unionByName(n.select("unit", "text", F.lit("note").alias("kind")))
+    n = claims.where((F.col("section") == "note") & (F.size("citations") > 0) & F.length("text").between(1, note)).select("nth", "text")
+    said = n.select("nth", F.explode(texts.figures(F.col("text"))).alias("figure"))
+    n = n.join(said.join(figures.select("figure"), "figure", "left_anti").select("nth"), "nth", "left_anti").orderBy("nth").limit(most)
+    return c.unionByName(n.select(F.lit(None).cast("string").alias("unit"), "text", F.lit("note").alias("kind")))
 
 
 def cache_key(*parts: str):

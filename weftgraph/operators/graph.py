@@ -124,15 +124,15 @@ def framework(top_files: DataFrame, dependencies: DataFrame) -> DataFrame:
     return a.crossJoin(b).select(F.coalesce("config.framework", "dep.framework").alias("framework"))  # one row each
 
 
-def repo_meta(files: DataFrame, folders: DataFrame, externals: DataFrame) -> DataFrame:
-    """One row: numbers of files, folders and packages, and the main language (Python on a tie, null without files of either)."""
+def repo_meta(files: DataFrame, folders: DataFrame, edges: DataFrame) -> DataFrame:
+    """One row: numbers of files, folders and dependencies (all edges), and the main language (Python on a tie, null without files of either)."""
     ext = F.regexp_extract("path", r"(\.[^./]+)$", 1)
     n = files.agg(
         F.count("*").alias("n_files"), F.count_if(ext == ".py").alias("py"), F.count_if(ext.isin(".ts", ".tsx", ".mts", ".cts")).alias("ts"), F.count_if(ext.isin(".js", ".jsx", ".mjs", ".cjs")).alias("js")
     )
     top = F.greatest("py", "ts", "js")
     named = n.withColumn("language", F.when(top == 0, None).when(F.col("py") == top, "Python").when(F.col("ts") == top, "TypeScript").otherwise("JavaScript"))
-    f, e = folders.agg(F.countDistinct("folder").alias("n_folders")), externals.agg(F.countDistinct("name").alias("n_dependencies"))
+    f, e = folders.agg(F.countDistinct("folder").alias("n_folders")), edges.agg(F.count("*").alias("n_dependencies"))
     return named.crossJoin(f).crossJoin(e).select("n_files", "n_folders", "n_dependencies", "language")  # one row each
 
 

@@ -35,7 +35,7 @@ def resolve_typescript(imports: DataFrame, sources: DataFrame, listing: DataFram
     """(path, specifier, target, status) of imports(path, specifier): internal, asset (a file that is no source), unresolved or external.
 
     sources(path) are the files that were analysed, listing(path) all files; aliases(prefix, suffix, target_prefix, target_suffix, nth)
-    are the wildcard mappings of a configuration, of which the longest prefix goes first.
+    are the mappings of a configuration, of which the longest goes first. Only relative and absolute specifiers name assets.
     """
     p, s = F.col("path"), F.col("specifier")
     relative = s.rlike(r"^\.{1,2}(/|$)")
@@ -46,12 +46,12 @@ def resolve_typescript(imports: DataFrame, sources: DataFrame, listing: DataFram
         fits = s.startswith(F.col("prefix")) & s.endswith(F.col("suffix")) & (F.length(s) >= F.length("prefix") + F.length("suffix"))
         hit = imports.where(~relative & ~s.startswith("/")).join(F.broadcast(aliases), fits)  # a configuration file's mappings
         star = F.expr("substring(specifier, length(prefix) + 1, length(specifier) - length(prefix) - length(suffix))")
-        rk = F.row_number().over(Window.partitionBy("path", "specifier").orderBy(F.desc(F.length("prefix")), "nth"))
+        rk = F.row_number().over(Window.partitionBy("path", "specifier").orderBy(F.desc(F.length("prefix") + F.length("suffix")), "nth"))
         mapped = hit.select("path", "specifier", rk.alias("round"), paths.normalised(F.concat("target_prefix", star, "target_suffix")).alias("base"))
         own = own.unionByName(mapped)
     wanted = own.select("path", "specifier", "round", F.posexplode(candidates(F.col("base"))).alias("pos", "candidate")).withColumn("prio", F.struct("round", "pos"))
     found = first_hit(wanted, sources, ["path", "specifier"])
-    asset = own.join(listing.select(F.col("path").alias("base")), "base", "left_semi").select("path", "specifier").distinct().withColumn("asset", F.lit(True))
+    asset = own.where("round = 0").join(listing.select(F.col("path").alias("base")), "base", "left_semi").select("path", "specifier").distinct().withColumn("asset", F.lit(True))
     out = imports.join(found, ["path", "specifier"], "left").join(asset, ["path", "specifier"], "left")
     status = F.when(F.col("target").isNotNull(), "internal").when(F.col("asset"), "asset").when(relative | s.startswith("/"), "unresolved").otherwise("external")
     return out.select("path", "specifier", "target", status.alias("status"))
@@ -82,11 +82,9 @@ def resolve_python(imports: DataFrame, modules: DataFrame) -> DataFrame:
     i = i.withColumn("full", F.when(F.col("dots") == 0, F.col("specifier")).when(up >= 0, anchored)).drop("package")
     split = F.split("full", r"\.")
     prefixes = F.transform(F.sequence(F.lit(1), F.size(split)), lambda n: F.array_join(F.slice(split, 1, n), "."))
-    wide = i.where("full is not null and full <> ''").select("path", "specifier", "dots", F.posexplode(prefixes).alias("pos", "module"), F.size(split).alias("n"))
-    hit = wide.join(modules.select("module", F.col("path").alias("candidate"), "is_package"), "module")
-    # a package counts for a longer name only if the name is one step below it: a symbol of its own file
-    good = hit.where((F.col("pos") + 1 >= F.col("n") - 1) | ~F.col("is_package"))
-    best = good.groupBy("path", "specifier").agg(F.max_by("candidate", "pos").alias("target"))
+    wide = i.where("full is not null and full <> ''").select("path", "specifier", "dots", F.posexplode(prefixes).alias("pos", "module"))
+    hit = wide.join(modules.select("module", F.col("path").alias("candidate")), "module")
+    best = hit.groupBy("path", "specifier").agg(F.max_by("candidate", "pos").alias("target"))
     tops = modules.select(F.element_at(F.split("module", r"\."), 1).alias("top")).distinct().withColumn("own", F.lit(True))
     out = i.withColumn("top", F.element_at(F.split(F.coalesce("full", F.lit("?")), r"\."), 1)).join(best, ["path", "specifier"], "left").join(tops, "top", "left")
     status = F.when(F.col("target").isNotNull(), "internal").when((F.col("dots") > 0) | F.col("own"), "unresolved").otherwise("external")

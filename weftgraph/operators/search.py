@@ -27,6 +27,7 @@ def rank(items: DataFrame, query: str, limit: int = 20) -> DataFrame:
 
     An empty query ranks all but symbols by weight, and total counts symbols too. A top-k report.
     """
+    query = query.strip()
     if not query:
         total = items.agg(F.count("*").alias("total"))
         scored = items.where("kind <> 'symbol'").withColumn("score", F.lit(0))

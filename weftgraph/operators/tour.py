@@ -13,73 +13,117 @@ MOST, STARTS, HUBS, REGION_FILES = 7, 2, 4, 3
 NOT_A_START = ("test file", "config file", "Storybook story", "example or demo", "benchmark")
 
 
+#: Material that isn't the repository's own code, besides tests and support; files that only declare (fixed values).
+CONFIG_PATH = r"(?:^|/)[^/]*\.config\.[cm]?[jt]sx?$|(?:^|/)\.[^/]*rc\.[cm]?[jt]s$"
+DECLARATIONS = r"(?:^|/)(?:types?|interfaces?|constants?)\.[jt]sx?$|\.d\.ts$"
+#: What is read first: (pattern of the path, pattern of the rule, tier, kind; the kind is the rule where it is null). The first that fits counts.
+TIERS: tuple[tuple[str, str, float, str | None], ...] = (
+    (r"(?:^|/)(?:website|docs?)/", "", 5.0, "docs"),
+    ("", r"^script$", 6.0, "script"),
+    ("", r'^package\.json "(?:exports|browser)', 4.0, None),
+    (r"(?:^|/)route\.[jt]sx?$", r"^Next\.js route$", 3.0, "api"),
+    (r"^(?:src/)?app/layout\.[jt]sx?$", r"^Next\.js route$", 0.0, "layout"),
+    (r"^(?:src/)?app/page\.[jt]sx?$", r"^Next\.js route$", 0.5, "page"),
+    (r"(?:^|/)layout\.[jt]sx?$", r"^Next\.js route$", 1.0, "layout"),
+    (r"(?:^|/)page\.[jt]sx?$", r"^Next\.js route$", 1.0, "page"),
+    ("", r"^Next\.js route$", 1.0, "route"),
+    ("", r'^package\.json "bin"', 0.2, None),
+    ("", r'^package\.json "(?:main|module)"', 0.0, None),
+    ("", r"^conventional root file$", 0.0, "root"),
+    ("", "", 2.0, None),
+)
+PRIMARY = 2.0  # tiers below are starts of the repository's own
+
+
 def entry_tier(path: Column, reason: Column) -> Column:
-    """How early an entry comes: applications and libraries first, then pages, scripts and documentation last."""
+    """(tier, kind): how early an entry comes, and which kind of entry it is."""
     rule = rule_of(reason)
-    home = path.rlike(r"^(?:src/)?app/(?:layout|page)\.")
-    return (
-        F.when(path.rlike(r"(?:^|/)(?:website|docs?)/"), 5.0).when(rule == "script", 6.0).when(rule.rlike(r'^package\.json "(?:exports|browser)'), 4.0)
-        .when((rule == "Next.js route") & path.rlike(r"(?:^|/)route\.[jt]sx?$"), 3.0)
-        .when((rule == "Next.js route") & home & path.rlike(r"layout\.[jt]sx?$"), 0.0).when((rule == "Next.js route") & home & path.rlike(r"page\.[jt]sx?$"), 0.5)
-        .when(rule == "Next.js route", 1.0).when(rule.rlike(r'^package\.json "bin"'), 0.2)
-        .when(rule.rlike(r'^package\.json "(?:main|module)"') | (rule == "conventional root file"), 0.0).otherwise(2.0)
-    )
+    fits = [F.when(path.rlike(p) & rule.rlike(r), F.struct(F.lit(t).alias("tier"), F.coalesce(F.lit(k), rule).alias("kind"))) for p, r, t, k in TIERS]
+    return F.coalesce(*fits)
 
 
 def is_noise(path: Column) -> Column:
-    return path.rlike(paths.TOUR_TEST_PATH) | path.rlike(paths.SUPPORT_PATH)
+    return path.rlike(paths.TOUR_TEST_PATH) | path.rlike(paths.SUPPORT_PATH) | path.rlike(CONFIG_PATH)
 
 
 def measured_degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(path, importers, imports): distinct, without self-loops; importers that are tests or support don't count."""
+    """(path, importers, imports, users): distinct, without self-loops; importers that are tests, support or configuration don't count, users are all but tests."""
     e = edges.where("src <> dst").select("src", "dst").distinct()
-    into = e.where(~is_noise(F.col("src"))).groupBy(F.col("dst").alias("path")).agg(F.count("*").alias("importers"))
+    src = F.col("src")
+    into = e.groupBy(F.col("dst").alias("path")).agg(F.count_if(~is_noise(src)).alias("importers"), F.count_if(~src.rlike(paths.TOUR_TEST_PATH)).alias("users"))
     out = e.groupBy(F.col("src").alias("path")).agg(F.count("*").alias("imports"))
     zero = F.lit(0).cast("long")
-    return nodes.select("path").join(into, "path", "left").join(out, "path", "left").select("path", F.coalesce("importers", zero).alias("importers"), F.coalesce("imports", zero).alias("imports"))
+    return nodes.select("path").join(into, "path", "left").join(out, "path", "left").select("path", *(F.coalesce(c, zero).alias(c) for c in ("importers", "imports", "users")))
+
+
+def only_declares() -> Column:
+    return F.col("path").rlike(DECLARATIONS) | (F.col("imports") == 0)
+
+
+#: Files in order of how much leans on them.
+BY_IMPORTERS = (F.desc, "importers"), (F.desc, "imports"), (F.asc, "path")
+
+
+def by_importers() -> list[Column]:
+    return [f(c) for f, c in BY_IMPORTERS]
 
 
 def starts(entries: DataFrame, degree: DataFrame) -> DataFrame:
-    """(path, phase, place): at most two entries that import something, by tier, depth, imports and path; a second only if both are applications (tier below 2) of different tiers."""
+    """(path, phase, place): at most two entries that import something, by tier, depth, imports and path; without any the file with the most imports that only tests import.
+
+    The second is the next one of a primary tier and another tier or kind, if the first is primary too.
+    """
     c = entries.join(degree, "path").where((F.col("imports") > 0) & ~rule_of(F.col("reason")).isin(*NOT_A_START))
-    c = c.withColumn("tier", entry_tier(F.col("path"), F.col("reason"))).withColumn("depth", F.size(paths.segments(F.col("path"))))
-    first = Window.orderBy("tier", "depth", F.desc("imports"), "path")  # entries of one repository
-    ranked = c.withColumn("rk", F.row_number().over(first)).withColumn("t1", F.first("tier").over(first))
-    second = F.row_number().over(Window.partitionBy((F.col("tier") < 2) & (F.col("t1") < 2) & (F.col("tier") != F.col("t1"))).orderBy("rk"))
-    fits = (F.col("tier") < 2) & (F.col("t1") < 2) & (F.col("tier") != F.col("t1"))
-    chosen = ranked.withColumn("r2", second).where((F.col("rk") == 1) | (fits & (F.col("r2") == 1)))
-    return chosen.select("path", F.lit(1).alias("phase"), F.row_number().over(Window.orderBy("rk")).alias("place"))
+    c = c.withColumn("at", entry_tier(F.col("path"), F.col("reason"))).withColumn("depth", F.size(paths.segments(F.col("path"))))
+    order = F.struct("at.tier", "depth", (-F.col("imports")).alias("less"), "path")
+    first = c.agg(F.min_by(F.struct("path", "at"), order).alias("first"), F.count("*").alias("n"))  # one row
+    others = c.crossJoin(F.broadcast(first)).where((F.col("path") != F.col("first.path")) & (F.col("at.tier") < PRIMARY) & (F.col("first.at.tier") < PRIMARY) & (F.col("at") != F.col("first.at")))
+    second = others.agg(F.min_by("path", order).alias("path")).where("path is not null")
+    loose = degree.where((F.col("imports") > 0) & (F.col("users") == 0) & ~is_noise(F.col("path"))).crossJoin(F.broadcast(first.where("n = 0").select("n")))
+    root = loose.agg(F.min_by("path", F.struct((-F.col("imports")).alias("less"), "path")).alias("path")).where("path is not null")
+    named = [first.where("n > 0").select("first.path", F.lit(1).alias("place")), second.select("path", F.lit(2).alias("place")), root.select("path", F.lit(1).alias("place"))]
+    return named[0].unionByName(named[1]).unionByName(named[2]).select("path", F.lit(1).alias("phase"), "place")
 
 
 def central(degree: DataFrame, clusters: DataFrame, taken: DataFrame) -> DataFrame:
-    """(path, phase, place): at most four files with importers, the best of each region before second ones."""
-    c = degree.where((F.col("importers") > 0) & ~is_noise(F.col("path"))).join(taken, "path", "left_anti").join(clusters, "path")
-    order = [F.desc("importers"), F.desc("imports"), F.col("path")]
-    c = c.withColumn("in_region", F.row_number().over(Window.partitionBy("folder").orderBy(*order)))
-    # what is first in its region comes before all others; at most HUBS rows per region matter
-    c = c.where(F.col("in_region") <= HUBS).withColumn("place", F.row_number().over(Window.orderBy(F.col("in_region") > 1, *order)))
-    return c.where(F.col("place") <= HUBS).select("path", F.lit(2).alias("phase"), "place")
+    """(path, phase, place): at most four files that others lean on, in that order: the best of each region without a start first.
+
+    Files that only declare or import nothing don't count, unless most files of all lean on one.
+    """
+    seen = taken.join(clusters, "path").select("folder").distinct().withColumn("seen", F.lit(True))
+    c = degree.where((F.col("importers") > 0) & ~is_noise(F.col("path"))).join(taken, "path", "left_anti").join(clusters, "path").join(seen, "folder", "left")
+    top = c.agg(F.min_by("path", F.struct((-F.col("importers")).alias("i"), (-F.col("imports")).alias("o"), "path")).alias("top"))  # one row
+    c = c.crossJoin(F.broadcast(top)).where(~only_declares() | (F.col("path") == F.col("top")))
+    c = c.withColumn("in_region", F.row_number().over(Window.partitionBy("folder").orderBy(*by_importers())))
+    # what is first in a new region comes before all others; at most HUBS rows per region matter
+    late = (F.col("in_region") > 1) | F.coalesce("seen", F.lit(False))
+    c = c.where(F.col("in_region") <= HUBS).withColumn("chosen", F.row_number().over(Window.orderBy(late, *by_importers()))).where(F.col("chosen") <= HUBS)
+    return c.select("path", F.lit(2).alias("phase"), F.row_number().over(Window.orderBy(*by_importers())).alias("place"))
 
 
 def left_regions(degree: DataFrame, clusters: DataFrame, taken: DataFrame) -> DataFrame:
-    """(path, phase, place): the weightiest file of each region of three files or more that nothing was chosen from."""
+    """(path, phase, place): of each region of three files or more that nothing was chosen from, the file that most lean on; regions with well connected files first."""
     seen = taken.join(clusters, "path").select("folder").distinct()
     c = degree.where(~is_noise(F.col("path"))).join(clusters, "path").join(seen, "folder", "left_anti")
-    w = Window.partitionBy("folder")
-    c = c.withColumn("files", F.count("*").over(w)).withColumn("rk", F.row_number().over(w.orderBy(F.desc(F.col("importers") + F.col("imports")), "path")))
-    best = c.where(f"files >= {REGION_FILES} and rk = 1")
-    return best.select("path", F.lit(3).alias("phase"), F.row_number().over(Window.orderBy(F.desc(F.col("importers") + F.col("imports")), "path")).alias("place"))
+    fit = ~only_declares() & (F.col("importers") + F.col("imports") > 0)
+    g = c.groupBy("folder").agg(
+        F.count("*").alias("files"), F.max(F.when(fit, F.col("importers") + F.col("imports"))).alias("weight"),
+        F.min_by("path", F.when(fit, F.struct((-F.col("importers")).alias("i"), (-F.col("imports")).alias("o"), "path"))).alias("path"),
+    ).where(F.col("files") >= REGION_FILES)
+    return g.where("weight is not null").select("path", F.lit(3).alias("phase"), F.row_number().over(Window.orderBy(F.desc("weight"), F.desc("files"), "folder")).alias("place"))
 
 
 def tour(nodes: DataFrame, edges: DataFrame, clusters: DataFrame, entries: DataFrame) -> DataFrame:
-    """(step, path, phase): at most seven files in reading order."""
+    """(step, path, phase): at most seven files in reading order; a repository that gives none still has its first file."""
     d = measured_degrees(nodes, edges).persist()
     one = starts(entries, d)
     two = central(d, clusters, one.select("path"))
     three = left_regions(d, clusters, one.select("path").unionByName(two.select("path")))
-    every = one.unionByName(two).unionByName(three)
+    any_ = nodes.agg(F.min("path").alias("path")).where("path is not null").select("path", F.lit(4).alias("phase"), F.lit(1).alias("place"))
+    every = one.unionByName(two).unionByName(three).unionByName(any_)
     step = F.row_number().over(Window.orderBy("phase", "place"))
-    return every.withColumn("step", step.cast("long")).where(F.col("step") <= MOST).select("step", "path", F.col("phase").cast("long").alias("phase"))
+    every = every.withColumn("step", step.cast("long")).where((F.col("step") <= MOST) & ((F.col("phase") < 4) | (F.col("step") == 1)))
+    return every.select("step", "path", F.when(F.col("phase") == 4, 1).otherwise(F.col("phase")).cast("long").alias("phase"))
 
 
 def chosen_tour(steps: DataFrame, nodes: DataFrame, most: int = 10, least: int = 2) -> DataFrame:

@@ -37,6 +37,12 @@ def trade(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return ad.trade_nodes(s, d), ad.trade_edges(s, d)
 
 
+def by_form(table: DataFrame, key: str, forms: tuple[str, ...]) -> DataFrame:
+    """(path): for each row the form that its key's remainder names, with the key in it."""
+    each = F.array(*[F.format_string(x, key) for x in forms])
+    return table.select(F.element_at(each, (F.col(key) % len(forms) + 1).cast("int")).alias("path"))
+
+
 def regions(nodes: DataFrame) -> DataFrame:
     """Nations lie in their region's folder."""
     return nodes.select("path", paths.directory(F.col("path")).alias("folder"))
@@ -168,16 +174,17 @@ def a6_stroke_and_share(s, d):
     return r.select("source", "target", F.round(graph.stroke_width(F.col("n_edges")), 6).alias("width"), F.round(graph.size_share(F.col("n_edges")), 6).alias("share"))
 
 
-@query(f"WITH {ad.PARTS} SELECT count(*) AS n_files, (SELECT count(DISTINCT regexp_replace(path, '/?[^/]*$', '')) FROM parts) AS n_folders, (SELECT count(DISTINCT s_name) FROM supplier) AS n_dependencies, 'TypeScript' AS language FROM parts")
+@query(f"WITH {ad.PART_EDGES} SELECT count(*) AS n_files, (SELECT count(DISTINCT regexp_replace(path, '/?[^/]*$', '')) FROM parts) AS n_folders, (SELECT count(*) FROM pedges) AS n_dependencies, 'TypeScript' AS language FROM parts")
 def a7_repo_meta(s, d):
     f = ad.part_files(s, d)
-    return graph.repo_meta(f, f.select(paths.directory(F.col("path")).alias("folder")), ad.table(s, d, "supplier").select(F.col("s_name").alias("name")))
+    return graph.repo_meta(f, f.select(paths.directory(F.col("path")).alias("folder")), ad.part_edges(s, d))
 
 
-@query("SELECT 'Nuxt' AS framework")
+@query("SELECT CASE WHEN count(*) > 0 THEN 'Nuxt' END AS framework FROM nation WHERE n_nationkey = 3")
 def a7_framework(s, d):
-    top = s.createDataFrame([("readme.md",), ("vite.config.ts",), ("nuxt.config.ts",)], "name string")
-    return graph.framework(top, s.createDataFrame([("vue",)], "name string"))
+    key = F.col("n_nationkey")
+    top = ad.table(s, d, "nation").select(F.when(key == 3, "nuxt.config.ts").when(key == 5, "vite.config.ts").otherwise(F.concat(F.lower("n_name"), F.lit(".md"))).alias("name"))
+    return graph.framework(top, ad.table(s, d, "customer").select(F.when(F.col("c_custkey") == 1, "next").otherwise("vue").alias("name")))
 
 
 @query(T + DEG + " SELECT path, in_degree FROM deg ORDER BY in_degree DESC, path LIMIT 5")
@@ -304,14 +311,18 @@ def c15_clusters_from_model(s, d):
     return boundaries.clusters_from(boundaries.region_boundaries(f), f.where("c_custkey % 3 = 0"))
 
 
-@query(FS + " SELECT path, split_part(path, '/', 1) AS layer FROM files")
+@query("SELECT CASE c_custkey % 4 WHEN 0 THEN c_name WHEN 1 THEN 'Src/API/' || c_name WHEN 2 THEN 'pkg/Core/x/' || c_name ELSE 'Billing/deep/' || c_name END AS path, CASE c_custkey % 4 WHEN 1 THEN 'api' WHEN 2 THEN 'core' WHEN 3 THEN 'Billing' END AS layer FROM customer")
 def c16_layers(s, d):
-    return ad.customer_files(s, d).select("path", paths.layer(F.col("path")).alias("layer"))
+    c = ad.table(s, d, "customer")
+    lead = F.element_at(F.array(*map(F.lit, ("", "Src/API/", "pkg/Core/x/", "Billing/deep/"))), (F.col("c_custkey") % 4 + 1).cast("int"))
+    return c.select(F.concat(lead, "c_name").alias("path")).select("path", paths.layer(F.col("path")).alias("layer"))
 
 
-@query(FS + " SELECT path, CASE WHEN path LIKE 'src/%' THEN split_part(path, '/', 2) ELSE 'tests' END AS domain FROM files")
+@query("SELECT CASE c_custkey % 5 WHEN 0 THEN '' WHEN 1 THEN 'SRC/Billing/' WHEN 2 THEN 'Billing/x/' WHEN 3 THEN 'api/x/' ELSE 'src/' END || c_name AS path, CASE WHEN c_custkey % 5 IN (1, 2) THEN 'Billing' END AS domain FROM customer")
 def c17_domains(s, d):
-    return ad.customer_files(s, d).select("path", paths.domain(F.col("path")).alias("domain"))
+    c = ad.table(s, d, "customer")
+    lead = F.element_at(F.array(*map(F.lit, ("", "SRC/Billing/", "Billing/x/", "api/x/", "src/"))), (F.col("c_custkey") % 5 + 1).cast("int"))
+    return c.select(F.concat(lead, "c_name").alias("path")).select("path", paths.domain(F.col("path")).alias("domain"))
 
 
 @query(FS + """, own AS (SELECT path, 'layer' AS kind, split_part(path, '/', 1) AS name, c_custkey FROM files UNION ALL SELECT path, 'domain', CASE WHEN path LIKE 'src/%' THEN split_part(path, '/', 2) ELSE 'tests' END, c_custkey FROM files),
@@ -326,23 +337,30 @@ def c18_inference_groups(s, d):
 # --- entries and reachability -------------------------------------------------------------------------------
 
 
-@query(FS + " SELECT path, 'test file' AS reason FROM files WHERE path LIKE 'tests/%'")
+@query("""WITH f AS (SELECT c_custkey % 10 AS k, CASE c_custkey % 10 WHEN 0 THEN 'app/c' || c_custkey || '/page.tsx' WHEN 1 THEN 'pages/c' || c_custkey || '.js' WHEN 2 THEN 'c' || c_custkey || '.config.ts' WHEN 3 THEN 'cypress/c' || c_custkey || '.ts'
+  WHEN 4 THEN 'specs/c' || c_custkey || '.ts' WHEN 5 THEN 'examples/c' || c_custkey || '.ts' WHEN 6 THEN 'bench/c' || c_custkey || '.ts' WHEN 7 THEN 'bin/c' || c_custkey || '.ts' WHEN 8 THEN 'lib/c' || c_custkey || '.ts' ELSE 'e2e/c' || c_custkey || '.ts' END AS path FROM customer)
+SELECT path, CASE k WHEN 0 THEN 'Next.js route (' || path || ')' WHEN 1 THEN 'Next.js route (' || path || ')' WHEN 2 THEN 'config file' WHEN 5 THEN 'example or demo (examples/)' WHEN 6 THEN 'benchmark (bench/)' WHEN 7 THEN 'script (bin/)' ELSE 'test file' END AS reason FROM f WHERE k NOT IN (4, 8)""")
 def e6_conventions(s, d):
-    return entrypoints.by_convention(ad.customer_files(s, d)).select("path", "reason")
+    forms = ("app/c%d/page.tsx", "pages/c%d.js", "c%d.config.ts", "cypress/c%d.ts", "specs/c%d.ts", "examples/c%d.ts", "bench/c%d.ts", "bin/c%d.ts", "lib/c%d.ts", "e2e/c%d.ts")
+    return entrypoints.by_convention(by_form(ad.table(s, d, "customer"), "c_custkey", forms)).select("path", "reason")
 
 
-@query(f"WITH {ad.PARTS}, t AS (SELECT CASE WHEN p_partkey % 4 = 0 THEN replace(path, '.ts', '.test.ts') WHEN p_partkey % 4 = 1 THEN replace(path, '.ts', '.stories.tsx') ELSE path END AS path, p_partkey FROM parts) SELECT path, CASE WHEN p_partkey % 4 = 0 THEN 'test file' ELSE 'Storybook story' END AS reason FROM t WHERE p_partkey % 4 < 2")
+@query("""WITH f AS (SELECT p_partkey % 8 AS k, 'x/' || CASE p_partkey % 8 WHEN 0 THEN 'p' || p_partkey || '.test.vue' WHEN 1 THEN '__mocks__/p' || p_partkey || '.ts' WHEN 2 THEN 'p' || p_partkey || '.stories.mdx' WHEN 3 THEN 'test_p' || p_partkey || '.py'
+  WHEN 4 THEN 'p' || p_partkey || '_test.go' WHEN 5 THEN p_partkey || '/conftest.py' WHEN 6 THEN 'latest' || p_partkey || '.py' ELSE 'spec/p' || p_partkey || '.ts' END AS path FROM part)
+SELECT path, CASE k WHEN 2 THEN 'Storybook story' ELSE 'test file' END AS reason FROM f WHERE k < 6""")
 def e7_anywhere(s, d):
-    p = ad.part_files(s, d)
-    named = F.when(F.col("p_partkey") % 4 == 0, F.replace("path", F.lit(".ts"), F.lit(".test.ts"))).when(F.col("p_partkey") % 4 == 1, F.replace("path", F.lit(".ts"), F.lit(".stories.tsx"))).otherwise(F.col("path"))
-    return entrypoints.anywhere(p.select(named.alias("path"))).select("path", "reason")
+    forms = ("x/p%d.test.vue", "x/__mocks__/p%d.ts", "x/p%d.stories.mdx", "x/test_p%d.py", "x/p%d_test.go", "x/%d/conftest.py", "x/latest%d.py", "x/spec/p%d.ts")
+    return entrypoints.anywhere(by_form(ad.table(s, d, "part"), "p_partkey", forms)).select("path", "reason")
 
 
-@query("SELECT CAST(doc_id AS VARCHAR) || '.py' AS path, 'Python main guard' AS reason FROM documents WHERE doc_id % 3 = 0")
+@query("""SELECT CASE doc_id % 5 WHEN 0 THEN doc_id || '.py' WHEN 1 THEN doc_id || '/manage.py' ELSE doc_id || '.go' END AS path,
+CASE doc_id % 5 WHEN 0 THEN 'Python __main__ guard' WHEN 1 THEN 'Python entry module (manage.py)' ELSE 'Go package main' END AS reason FROM documents WHERE doc_id % 5 < 3""")
 def e8_content_rules(s, d):
     doc = ad.table(s, d, "documents")
-    body = F.when(F.col("doc_id") % 3 == 0, F.concat("text", F.lit('\nif __name__ == "__main__":\n'))).otherwise(F.col("text"))
-    return entrypoints.by_content(doc.select(F.concat(F.col("doc_id").cast("string"), F.lit(".py")).alias("path"), body.alias("content"))).select("path", "reason")
+    which = F.col("doc_id") % 5
+    tail = F.when(which == 0, '\nif __name__ == "__main__":\n').when(which.isin(2, 3), "\npackage main\n").otherwise("\n")
+    path = F.concat(F.col("doc_id").cast("string"), F.element_at(F.array(*map(F.lit, (".py", "/manage.py", ".go", "_test.go", ".py"))), (which + 1).cast("int")))
+    return entrypoints.by_content(doc.select(path.alias("path"), F.concat(F.coalesce("text", F.lit("")), tail).alias("content"))).select("path", "reason")
 
 
 @query("SELECT CAST(doc_id AS VARCHAR) || '.js' AS path FROM documents WHERE doc_id % 5 = 0")
@@ -353,10 +371,24 @@ def e9_dynamic_imports(s, d):
     return entrypoints.dynamic_import_files(doc.select(F.concat(F.col("doc_id").cast("string"), F.lit(".js")).alias("path"), body.alias("content")), none)
 
 
-@query("SELECT 'web' AS root, 'Astro' AS framework UNION ALL SELECT '', 'Remix'")
+@query("SELECT DISTINCT p_brand AS root, CASE p_partkey % 6 WHEN 0 THEN 'Astro' ELSE 'Remix' END AS framework FROM part WHERE p_partkey % 6 < 2")
 def e10_frameworks(s, d):
-    deps = s.createDataFrame([("web", "astro"), ("web", "react"), ("", "@remix-run/node"), ("", "@remix-run/react")], "root string, name string")
-    return entrypoints.unknown_frameworks(deps)
+    which = F.col("p_partkey") % 6
+    name = F.when(which == 0, "astro").when(which == 1, F.concat(F.lit("@remix-run/p"), F.col("p_partkey").cast("string"))).when(which == 2, "react").otherwise("not-astro")
+    return entrypoints.unknown_frameworks(ad.table(s, d, "part").select(F.col("p_brand").alias("root"), name.alias("name")))
+
+
+@query("""SELECT 'package.json "exports" ("./p' || p_partkey || '")' AS reason, path FROM (SELECT p_partkey, 'src/p' || p_partkey || '.ts' AS path FROM part WHERE p_partkey % 3 = 0)""")
+def e3_exports(s, d):
+    """A manifest's exports: of three parts one is exported, one excluded by a null key with a star, and one a family of files."""
+    p = ad.table(s, d, "part")
+    n = F.col("p_partkey").cast("string")
+    key = F.when(n % 3 == 0, F.concat(F.lit("./p"), n)).when(n % 3 == 1, F.concat(F.lit("./internal/p"), n)).otherwise(F.concat(F.lit("./all"), n, F.lit("/*")))
+    target = F.when(n % 3 == 2, F.concat(F.lit("./src/all"), n, F.lit("/*.js"))).otherwise(F.concat(F.lit("./dist/p"), n, F.lit(".js")))
+    entry = F.concat(F.lit('"'), key, F.lit('": "'), target, F.lit('"'))
+    listed = F.concat(F.lit('{"exports": {"./internal/*": null, '), F.array_join(F.collect_list(entry), ", "), F.lit("}}"))  # the text of one manifest
+    manifest = p.agg(listed.alias("content")).select(F.lit("package.json").alias("path"), "content")
+    return entrypoints.by_manifest(p.select(F.concat(F.lit("src/p"), n, F.lit(".ts")).alias("path")), manifest).select("reason", "path")
 
 
 SEEDS = "(SELECT path FROM nodes WHERE path LIKE 'ASIA/%')"
@@ -466,7 +498,7 @@ def d2_top_units(s, d):
     return diagram.top_units(ad.customer_files(s, d)).select("path", "unit")
 
 
-@query(FS + ", u AS (SELECT path, split_part(path, '/', 3) AS unit FROM files), r AS (SELECT unit, row_number() OVER (ORDER BY count(*), unit) AS rk, count(*) OVER () AS k FROM u GROUP BY unit) SELECT path, CASE WHEN k > 10 AND rk <= k - 9 THEN 'other parts' ELSE u.unit END AS unit FROM u JOIN r ON u.unit = r.unit")
+@query(FS + ", u AS (SELECT path, split_part(path, '/', 3) AS unit FROM files), r AS (SELECT unit, row_number() OVER (ORDER BY count(*), unit) AS rk, count(*) OVER () AS k FROM u GROUP BY unit) SELECT path, CASE WHEN k > 10 AND rk <= k - 9 THEN (k - 9) || ' small folders' ELSE u.unit END AS unit FROM u JOIN r ON u.unit = r.unit")
 def d3_merge_smallest(s, d):
     f = ad.customer_files(s, d).select("path", F.split("path", "/")[2].alias("unit"))
     return diagram.merge_smallest(f, 10)
@@ -659,10 +691,18 @@ def x7_unsupported_figures(s, d):
     return evidence.unsupported_figures(doc.select(F.col("doc_id").alias("claim_id"), "text"), ad.table(s, d, "benchmark").select("text"))
 
 
-@query("SELECT unit, text, 'caption' AS kind FROM (SELECT source AS unit, min_by(lang || ' in ' || source, doc_id) AS text FROM documents WHERE NOT regexp_matches(lang || ' in ' || source, '\\d') GROUP BY source)")
+@query("""SELECT source AS unit, min_by(lang || ' part', doc_id) AS text, 'caption' AS kind FROM documents WHERE doc_id % 5 = 0 GROUP BY source
+UNION ALL SELECT NULL, text, 'note' FROM (SELECT 'see ' || source || ' ' || doc_id AS text, doc_id FROM documents WHERE doc_id % 5 = 2 ORDER BY doc_id LIMIT 6)""")
 def x8_final_notes(s, d):
+    """Claims of five kinds: good captions, captions with a digit, good notes, notes with a figure that nothing has, and captions that cite two."""
     doc = ad.table(s, d, "documents")
-    return evidence.final_notes(doc.select(F.col("doc_id").alias("nth"), F.col("source").alias("unit"), F.concat("lang", F.lit(" in "), "source").alias("text")))
+    which, n = F.col("doc_id") % 5, F.col("doc_id").cast("string")
+    text = F.when(which == 0, F.concat(F.lit("  "), "lang", F.lit(" part.. "))).when(which == 1, F.concat("lang", F.lit(" part 1"))).when(which == 2, F.concat(F.lit("see "), "source", F.lit(" "), n)).when(which == 3, "has 987654321 files").otherwise("two parts")
+    region = F.struct(F.lit("region").alias("kind"), F.col("source").alias("id"))
+    cited = F.when(which == 4, F.array(region, F.struct(F.lit("edge").alias("kind"), F.lit("e").alias("id")))).otherwise(F.array(region))
+    claims = doc.select(F.col("doc_id").alias("nth"), F.when(which.isin(2, 3), "note").otherwise("caption").alias("section"), text.alias("text"), cited.alias("citations"))
+    known = doc.where(which == 2).select(F.explode(texts.figures(F.concat(F.lit("see "), "source", F.lit(" "), n))).alias("figure")).distinct()
+    return evidence.final_notes(claims, known)
 
 
 @query("SELECT vec AS subject, sha256('v1' || chr(10) || vec) AS key FROM (SELECT CAST(doc_id AS VARCHAR) AS vec FROM documents)")
@@ -726,11 +766,29 @@ def ext11_line_count(s, d):
     return ad.table(s, d, "documents").select("doc_id", texts.line_count(F.col("text")).cast("long").alias("lines"))
 
 
-@query(f"WITH {HREFS}, p AS (SELECT path, specifier, CASE WHEN starts_with(specifier, '/') THEN 'unresolved' ELSE 'external' END AS status FROM links WHERE NOT starts_with(specifier, '.')) SELECT DISTINCT path, specifier, status FROM p")
+@query(f"""WITH {ad.PARTS} SELECT path, CASE p_partkey % 7 WHEN 0 THEN '/' || path WHEN 1 THEN '/style' || p_partkey || '.css' WHEN 2 THEN '/gone' || p_partkey WHEN 3 THEN 'pkg' || p_partkey WHEN 4 THEN '@/' || path WHEN 5 THEN '@/style' || p_partkey || '.css' ELSE './gone' || p_partkey END AS specifier,
+CASE WHEN p_partkey % 7 IN (0, 4) THEN path END AS target, CASE p_partkey % 7 WHEN 0 THEN 'internal' WHEN 1 THEN 'asset' WHEN 4 THEN 'internal' WHEN 2 THEN 'unresolved' WHEN 6 THEN 'unresolved' ELSE 'external' END AS status FROM parts""")
 def res4_classification(s, d):
-    links = hrefs(s, d).where("specifier not like '.%'").distinct()
-    none = s.createDataFrame([], "path string")
-    return resolve.resolve_typescript(links, none, none).select("path", "specifier", "status")
+    p = ad.part_files(s, d)
+    n = F.col("p_partkey").cast("string")
+    forms = (F.concat(F.lit("/"), "path"), F.concat(F.lit("/style"), n, F.lit(".css")), F.concat(F.lit("/gone"), n), F.concat(F.lit("pkg"), n), F.concat(F.lit("@/"), "path"), F.concat(F.lit("@/style"), n, F.lit(".css")), F.concat(F.lit("./gone"), n))
+    imports = p.select("path", F.element_at(F.array(*forms), (F.col("p_partkey") % 7 + 1).cast("int")).alias("specifier"))
+    listing = p.select("path").unionByName(p.select(F.concat(F.lit("style"), n, F.lit(".css")).alias("path")))
+    aliases = s.createDataFrame([("@/", "", "", "", 0)], "prefix string, suffix string, target_prefix string, target_suffix string, nth int")
+    return resolve.resolve_typescript(imports, p, listing, aliases)
+
+
+@query("""WITH f AS (SELECT DISTINCT p_brand AS b FROM part), i AS (SELECT p_partkey % 5 AS k, lower(replace(replace(p_brand, '#', ''), ' ', '')) AS b, p_partkey AS n FROM part)
+SELECT 'main.py' AS path, CASE k WHEN 0 THEN b || '.m.f' || n WHEN 1 THEN b || '.gone.x' || n WHEN 2 THEN 'os.p' || n WHEN 3 THEN b || '.m' ELSE 'm' || n END AS specifier,
+CASE k WHEN 0 THEN b || '/m.py' WHEN 1 THEN b || '/__init__.py' WHEN 3 THEN b || '/m.py' END AS target, CASE WHEN k IN (0, 1, 3) THEN 'internal' ELSE 'external' END AS status FROM (SELECT DISTINCT k, b, CASE WHEN k = 3 THEN 0 ELSE n END AS n FROM i)""")
+def res7_python(s, d):
+    """Names of symbols fall back to the innermost module or package above them."""
+    p = ad.table(s, d, "part")
+    brand, n = F.lower(F.regexp_replace("p_brand", "[# ]", "")), F.col("p_partkey").cast("string")
+    forms = (F.concat(brand, F.lit(".m.f"), n), F.concat(brand, F.lit(".gone.x"), n), F.concat(F.lit("os.p"), n), F.concat(brand, F.lit(".m")), F.concat(F.lit("m"), n))
+    imports = p.select(F.lit("main.py").alias("path"), F.element_at(F.array(*forms), (F.col("p_partkey") % 5 + 1).cast("int")).alias("specifier")).distinct()
+    files = p.select(F.explode(F.array(F.concat(brand, F.lit("/__init__.py")), F.concat(brand, F.lit("/m.py")), F.lit("main.py"))).alias("path")).distinct()
+    return resolve.resolve_python(imports, resolve.python_modules(files))
 
 
 @query(f"WITH {ad.PART_EDGES} SELECT src AS path, '/' || replace(dst, '.ts', CASE WHEN length(dst) % 2 = 0 THEN '' ELSE '.js' END) AS specifier, dst AS target, 'internal' AS status FROM pedges")
@@ -758,14 +816,21 @@ def src3_sources(s, d):
     return scan.sources(f).select(F.replace("path", F.lit(".ts"), F.lit("")).alias("path"))
 
 
-@query("SELECT url, CASE WHEN regexp_matches(url, '^[/\\\\]|^[A-Za-z]:') THEN 'absolute' END AS reason FROM pages")
+@query("""SELECT page_id, CASE page_id % 11 WHEN 1 THEN 'absolute-path' WHEN 2 THEN 'absolute-path' WHEN 4 THEN 'traversal' WHEN 5 THEN 'traversal' WHEN 6 THEN 'traversal' WHEN 8 THEN 'absolute-path' WHEN 9 THEN 'traversal' WHEN 10 THEN 'path-too-long' END AS reason FROM pages""")
 def src7_valid_paths(s, d):
-    return ad.table(s, d, "pages").select("url", paths.valid_path(F.col("url")).alias("reason"))
+    n = F.col("page_id").cast("string")
+    forms = [F.concat(F.lit("a/p"), n), F.concat(F.lit("/p"), n), F.lit("C:\\x"), F.lit("C:x"), F.lit("a/.."), F.lit("."), F.concat(F.lit("../"), n), F.lit("a/./b/../c"), F.lit("\\\\server\\x"), F.lit(""), F.repeat(F.lit("a/"), 3000)]
+    path = F.element_at(F.array(*forms), (F.col("page_id") % 11 + 1).cast("int"))
+    return ad.table(s, d, "pages").select("page_id", paths.valid_path(path).alias("reason"))
 
 
-@query("SELECT doc_id, CASE WHEN length(text) = 0 THEN 'empty' ELSE 'text' END AS kind FROM documents")
+@query("SELECT doc_id, CASE doc_id % 5 WHEN 1 THEN 'binary' WHEN 2 THEN 'binary' WHEN 3 THEN 'empty' WHEN 4 THEN 'invalid-encoding' ELSE CASE WHEN length(coalesce(text, '')) = 0 THEN 'empty' ELSE 'text' END END AS kind FROM documents")
 def src9_sniff(s, d):
-    return ad.table(s, d, "documents").select("doc_id", scan.sniff(F.col("text").cast("binary")).alias("kind"))
+    whole = F.coalesce("text", F.lit("")).cast("binary")
+    escapes, nul, broken = F.unhex(F.lit("1B" * 20 + "616263")), F.concat(F.unhex(F.lit("00")), whole), F.unhex(F.lit("FFFE" * 10 + "6162"))
+    which = F.col("doc_id") % 5
+    body = F.when(which == 1, nul).when(which == 2, escapes).when(which == 3, F.unhex(F.lit(""))).when(which == 4, broken).otherwise(whole)
+    return ad.table(s, d, "documents").select("doc_id", scan.sniff(body).alias("kind"))
 
 
 @query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
@@ -806,9 +871,11 @@ def st10_events_as_errors(s, d):
     return retention.as_parse_errors(e.select(kind.alias("type"), F.concat(F.lit("p"), F.col("event_id").cast("string")).alias("path"), F.col("props").alias("detail")))
 
 
-@query("SELECT event_id, coalesce(nullif(trim(split_part(event_type || ', proxy', ',', 1)), ''), 'unknown') AS client FROM events")
+@query("SELECT event_id, CASE event_id % 3 WHEN 0 THEN event_type WHEN 1 THEN '1.2.3.4' ELSE 'unknown-client' END AS client FROM events")
 def st10b_client_key(s, d):
-    return ad.table(s, d, "events").select("event_id", limits.client_key(F.concat("event_type", F.lit(", proxy")), F.lit("1.2.3.4")).alias("client"))
+    which = F.col("event_id") % 3
+    forwarded = F.when(which == 0, F.concat(F.lit(" "), "event_type", F.lit(", proxy"))).when(which == 1, " , proxy")
+    return ad.table(s, d, "events").select("event_id", limits.client_key(forwarded, F.when(which == 2, "  ").otherwise(" 1.2.3.4 ")).alias("client"))
 
 
 @query("SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H') AS hour, event_type, count(*) AS n FROM events GROUP BY 1, 2")

@@ -16,6 +16,7 @@ from weftgraph.functions import paths
 # Folders that hold no sources of the project, marks of a package root, and limits.
 EXCLUDED = ("node_modules", ".git", ".next", ".venv", "__pycache__", ".pytest_cache", ".tox", ".mypy_cache", ".ruff_cache", "site-packages", "conda-meta")
 ROOT_MARKERS = ("package.json", "tsconfig.json", "pyproject.toml", "setup.py", "go.mod")
+TOP_SIGNALS = ("package.json", "tsconfig.json", "jsconfig.json", "pyproject.toml", "setup.cfg", "go.mod")
 BUILD_NAMES = ("dist", "build")
 SOURCE_EXTENSIONS = (".ts", ".tsx", ".js", ".jsx", ".mjs", ".cjs", ".mts", ".cts", ".py", ".go")
 MAX_FILES, MAX_BYTES, SAMPLE_BYTES = 800, 250 * 1024 * 1024, 8192
@@ -31,35 +32,51 @@ def read_tree(spark: SparkSession, root: str, extensions: tuple[str, ...] = SOUR
 
 
 def project_root(listing: DataFrame) -> DataFrame:
-    """listing(path) with the one top folder taken off, if nothing at the top says that the project starts there."""
+    """listing(path) with the one top folder taken off, if nothing at the top says that the project starts there.
+
+    Entries at the top whose names begin with a dot, and ``__MACOSX``, don't count.
+    """
     top = F.element_at(F.split("path", "/"), 1)
     at_top = ~F.col("path").contains("/")
-    signal = at_top & (F.col("path").isin(*ROOT_MARKERS) | paths.extension(F.col("path")).isin(*SOURCE_EXTENSIONS))
-    one = listing.agg((F.countDistinct(F.when(~at_top, top)) == 1).alias("single"), F.bool_or(signal).alias("signal"), F.count_if(at_top).alias("loose"))
+    visible = ~top.startswith(".") & (top != "__MACOSX")
+    signal = at_top & visible & (F.col("path").isin(*TOP_SIGNALS) | paths.extension(F.col("path")).isin(*SOURCE_EXTENSIONS))
+    folder = F.when(~at_top & visible, top)
+    one = listing.agg((F.countDistinct(folder) == 1).alias("single"), F.max(folder).alias("folder"), F.bool_or(signal).alias("signal"))
     strip = F.col("single") & ~F.coalesce("signal", F.lit(False))
-    return listing.crossJoin(F.broadcast(one)).where(~strip | ~at_top).select(F.when(strip, F.regexp_replace("path", "^[^/]*/", "")).otherwise(F.col("path")).alias("path"))  # one row
+    kept = listing.crossJoin(F.broadcast(one)).where(~strip | (~at_top & (top == F.col("folder"))))  # one row
+    return kept.select(F.when(strip, F.regexp_replace("path", "^[^/]*/", "")).otherwise(F.col("path")).alias("path"))
+
+
+def output_directories(configs: DataFrame) -> DataFrame:
+    """(dir) that the tsconfig.json files of configs(path, content) name as their outDir; comments and trailing commas are allowed."""
+    plain = F.regexp_replace("content", r"(?s)(\"(?:[^\"\\\\]|\\\\.)*\")|//[^\n]*|/\*.*?\*/", "$1")
+    out = F.get_json_object(F.regexp_replace(plain, r",(\s*[}\]])", "$1"), "$.compilerOptions.outDir")
+    own = paths.directory(F.col("path"))
+    named = configs.where(paths.name_of(F.col("path")) == "tsconfig.json").select(own.alias("own"), paths.normalised(F.concat_ws("/", own, out)).alias("dir"), out.alias("out"))
+    return named.where("out is not null and dir <> own and dir <> ''").select("dir")
 
 
-def excluded_directories(listing: DataFrame) -> DataFrame:
-    """(dir): virtual environments by what they hold, and build output beside a package root."""
+def excluded_directories(listing: DataFrame, configs: DataFrame | None = None) -> DataFrame:
+    """(dir): virtual environments by what they hold, build output beside a package root (the project's root is one), and outDirs of configs."""
     p = F.col("path")
     up = listing.select("path", paths.directory(p).alias("dir"), paths.name_of(p).alias("name"))
     env = up.groupBy("dir").agg(F.bool_or(F.col("name") == "pyvenv.cfg").alias("cfg")).where("cfg").select("dir")
     activate = up.where(F.col("name").isin("activate", "activate.bat", "Activate.ps1") & F.col("dir").rlike(r"(^|/)(bin|Scripts)$")).select(F.regexp_replace("dir", r"/?(bin|Scripts)$", "").alias("dir"))
     packages = listing.where(p.rlike(r"(^|/)site-packages/")).select(F.regexp_replace(F.regexp_extract("path", r"^(.*?)/?(?:lib|Lib|lib64)/", 1), "/$", "").alias("dir")).distinct()
     env = env.unionByName(activate.join(packages, "dir", "left_semi"))
-    roots = up.where(F.col("name").isin(*ROOT_MARKERS)).select("dir").distinct()
+    roots = up.where(F.col("name").isin(*ROOT_MARKERS)).select("dir").unionByName(listing.sparkSession.createDataFrame([("",)], "dir string")).distinct()
     build = roots.select(F.explode(F.array(*[F.when(F.col("dir") == "", n).otherwise(F.concat("dir", F.lit(f"/{n}"))) for n in BUILD_NAMES])).alias("dir"))
-    return env.where("dir <> ''").unionByName(build).distinct()
+    every = env.where("dir <> ''").unionByName(build)
+    return (every if configs is None else every.unionByName(output_directories(configs))).distinct()
 
 
-def sources(listing: DataFrame, extensions: tuple[str, ...] = SOURCE_EXTENSIONS) -> DataFrame:
-    """listing without excluded folders and other files, in order of path."""
+def sources(listing: DataFrame, extensions: tuple[str, ...] = SOURCE_EXTENSIONS, configs: DataFrame | None = None) -> DataFrame:
+    """listing without excluded folders and other files, in order of path; configs(path, content) has the tsconfig.json files."""
     p = F.col("path")
     dirs = F.slice(paths.segments(p), 1, F.size(paths.segments(p)) - 1)
     named = F.exists(dirs, lambda d: d.isin(*EXCLUDED) | d.startswith(".") | d.endswith(".egg-info"))
     kept = listing.where(~named & paths.extension(p).isin(*extensions))
-    inside = kept.select("path", F.explode(paths.ancestors(p)).alias("dir")).join(excluded_directories(listing), "dir", "left_semi").select("path").distinct()
+    inside = kept.select("path", F.explode(paths.ancestors(p)).alias("dir")).join(excluded_directories(listing, configs), "dir", "left_semi").select("path").distinct()
     return kept.join(inside, "path", "left_anti").orderBy("path")
 
 
@@ -88,7 +105,7 @@ def sniff_one(data: bytes | None) -> str:
         return "empty"
     if 0 in head:
         return "binary"
-    control = sum(b < 32 and b not in (9, 10, 12, 13, 27, 8) for b in head) + head.count(127)
+    control = sum(b < 32 and b not in (9, 10, 13) for b in head) + head.count(127)
     if control > CONTROL_RATIO * len(head):
         return "binary"
     text = head.decode("utf-8", "replace")
