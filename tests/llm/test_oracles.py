@@ -1,0 +1,21 @@
+"""The training-data queries that have SQL give DuckDB's rows."""
+
+import duckdb
+import pytest
+
+from weftgraph.llm import queries
+
+SF = "/root/testdata/sf0.01"
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+def test_same_rows(spark, name):
+    con = duckdb.connect()
+    for t in ("documents", "embeddings", "conversations"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    want = con.execute(queries.ORACLES[name])
+    columns = [c[0] for c in want.description]
+    got = queries.QUERIES[name](spark, SF)
+    assert sorted(got.columns) == sorted(columns)
+    key = lambda r: tuple((x is not None, x) for x in r)
+    assert sorted((tuple(r) for r in got.select(*columns).collect()), key=key) == sorted(want.fetchall(), key=key)

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from weftgraph.llm import attention_lm, chat, lattice, packing, piece_codec, quality_rules, repeats, simhash, site_quality, warc
 from weftgraph.llm.common import table
+from weftgraph.llm.oracles import ORACLES as ORACLES
 
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
 BYTE_VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -55,5 +56,3 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_lattice_dedup, op2_quality_rules, op3_simhash, op4_quality_classifier, op5_attention_lm, op6_piece_codec, op7_warc_fixity, op8_packing, op9_chat, op10_suffix_dedup)}
-
-ORACLES: dict[str, str] = {}
