@@ -153,9 +153,9 @@ def a2_part_hubs(s, d):
     return graph.hubs(graph.degrees(ad.part_files(s, d), ad.part_edges(s, d)))
 
 
-@query(T + " SELECT path FROM nodes WHERE path NOT IN (SELECT dst FROM edges)")
+@query(PE + " SELECT path FROM parts WHERE path NOT IN (SELECT dst FROM pedges)")
 def a3_orphans(s, d):
-    return graph.orphans(*trade(s, d))
+    return graph.orphans(ad.part_files(s, d), ad.part_edges(s, d))
 
 
 RE = ", re AS (SELECT a.folder AS source, b.folder AS target, count(*) AS n_edges FROM edges JOIN fold a ON src = a.path JOIN fold b ON dst = b.path WHERE a.folder <> b.folder GROUP BY 1, 2)"
@@ -401,17 +401,29 @@ def r1_reached(s, d):
     return reach.reached(nodes, edges, nodes.where("path like 'ASIA/%'"))
 
 
-@query(T + REACHED + " SELECT path FROM nodes WHERE path NOT IN (SELECT node FROM hit)")
+@query(PE.replace("WITH", "WITH RECURSIVE", 1) + ", hit AS (SELECT path AS node FROM parts WHERE p_partkey = 1 UNION SELECT dst FROM hit JOIN pedges ON src = node) SELECT path FROM parts WHERE path NOT IN (SELECT node FROM hit)")
 def r2_unreachable(s, d):
-    nodes, edges = trade(s, d)
-    return reach.unreachable(nodes, edges, nodes.where("path like 'ASIA/%'"))
+    p = ad.part_files(s, d)
+    return reach.unreachable(p, ad.part_edges(s, d), p.where("p_partkey = 1")).select("path")
+
+
+@query(PE + """, far AS (SELECT DISTINCT b.path AS node FROM pedges JOIN parts b ON b.path = dst) SELECT CASE WHEN path IN (SELECT node FROM far) OR path IN (SELECT src FROM pedges) THEN (SELECT min(path) FROM parts WHERE path IN (SELECT src FROM pedges) OR path IN (SELECT node FROM far)) ELSE path END AS component, count(*) AS n FROM parts GROUP BY 1""")
+def g7_part_components(s, d):
+    """Components of the whole part graph: every part with a line hangs together with the others over the suppliers' keys."""
+    c = fixpoint.components(ad.part_files(s, d).select(F.col("path").alias("node")), ad.part_edges(s, d))
+    return c.groupBy("component").agg(F.count("*").alias("n"))
 
 
-@query(T + f" SELECT path, 'entry' AS role, 'given' AS reason FROM nodes WHERE path = '{ASIA}'")
+@query(PE + " SELECT path, 'entry' AS role, 'given' AS reason FROM parts WHERE p_partkey = 1 UNION ALL SELECT path, 'unreachable', NULL FROM parts WHERE p_partkey = (SELECT max(p_partkey) FROM parts)")
 def r4_describe(s, d):
-    nodes, edges = trade(s, d)
-    entries = nodes.where("path like 'ASIA/%'").select("path", F.lit("given").alias("reason"))
-    return reach.describe(entries, reach.unreachable(nodes, edges, entries), ASIA)
+    """Of an entry, of what it reaches (no row) and of what nothing reaches."""
+    p = ad.part_files(s, d)
+    entries = p.where("p_partkey = 1").select("path", F.lit("given").alias("reason"))
+    dead = reach.unreachable(p, ad.part_edges(s, d), entries).select("path")
+    last = p.agg(F.max("p_partkey")).first()[0]
+    named = [p.where(F.col("p_partkey") == k).first()["path"] for k in (1, 2, last)]
+    out = [reach.describe(entries, dead, x) for x in named]
+    return out[0].unionByName(out[1]).unionByName(out[2])
 
 
 # --- confidence and views -----------------------------------------------------------------------------------
@@ -571,19 +583,23 @@ def moved_units(nodes: DataFrame) -> DataFrame:
 PUNITS = ", punits AS (SELECT path, split_part(path, '/', 1) AS unit FROM parts)"
 
 
-@query(PE + PUNITS + """, sides AS (SELECT src AS path, dst AS far FROM pedges WHERE src <> dst UNION ALL SELECT dst, src FROM pedges WHERE src <> dst),
-per AS (SELECT b.path, u.unit, v.unit AS other, count(*) AS n FROM sides b JOIN punits u ON b.path = u.path JOIN punits v ON far = v.path GROUP BY 1, 2, 3),
-g AS (SELECT path, unit, sum(n) AS total, sum(CASE WHEN other = unit THEN n ELSE 0 END) AS own, max(n) AS most, max_by(other, (n, other)) AS other FROM per GROUP BY 1, 2)
-SELECT path, unit, other, CAST(total AS BIGINT) AS total, most FROM g WHERE total >= 3 AND own = 0 AND most >= 0.8 * total ORDER BY total DESC, path LIMIT 3""")
+@query(PE + """, lines AS (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem), sides AS (SELECT 'parts/p' || l_partkey AS path, CASE WHEN l_suppkey % 10 = 0 THEN 'other' ELSE 'supply' END AS other, 'parts' AS unit FROM lines
+UNION ALL SELECT CASE WHEN l_suppkey % 10 = 0 THEN 'other' ELSE 'supply' END || '/s' || l_suppkey, 'parts', CASE WHEN l_suppkey % 10 = 0 THEN 'other' ELSE 'supply' END FROM lines),
+g AS (SELECT path, unit, sum(n) AS total, max(n) AS most, max_by(other, (n, other)) AS other FROM (SELECT path, unit, other, count(*) AS n FROM sides GROUP BY ALL) GROUP BY 1, 2)
+SELECT path, unit, other, CAST(total AS BIGINT) AS total, most FROM g WHERE total >= 3 AND most >= 0.8 * total ORDER BY total DESC, path LIMIT 3""")
 def d18_misplaced(s, d):
-    p = ad.part_files(s, d)
-    return diagram.misplaced(p.select("path", F.split("path", "/")[0].alias("unit")), ad.part_edges(s, d))
+    """Parts and suppliers in units of their own, an edge for each pair in a line."""
+    line = ad.table(s, d, "lineitem").select("l_partkey", "l_suppkey").distinct()
+    supply = F.when(F.col("l_suppkey") % 10 == 0, "other").otherwise("supply")
+    a, b = F.concat(F.lit("parts/p"), F.col("l_partkey").cast("string")), F.concat(supply, F.lit("/s"), F.col("l_suppkey").cast("string"))
+    units = line.select(a.alias("path"), F.lit("parts").alias("unit")).unionByName(line.select(b.alias("path"), supply.alias("unit"))).distinct()
+    return diagram.misplaced(units, line.select(a.alias("src"), b.alias("dst")))
 
 
-@query(T + UNITS + f", l AS (SELECT path, specifier FROM (SELECT path, unnest(range(length(path) % 4)) AS specifier FROM nodes)), u AS (SELECT unit, count(*) AS bad FROM l JOIN units USING (path) GROUP BY unit), g AS (SELECT unit, count(*) AS good FROM edges JOIN units ON src = path GROUP BY unit) SELECT unit AS subject, bad AS figure FROM u LEFT JOIN g USING (unit) WHERE bad >= 3 AND bad > 0.1 * (bad + coalesce(good, 0))")
+@query(T + UNITS + f", l AS (SELECT path, specifier FROM (SELECT path, unnest(range((length(path) % 4) * 20)) AS specifier FROM nodes)), u AS (SELECT unit, count(*) AS bad FROM l JOIN units USING (path) GROUP BY unit), g AS (SELECT unit, count(*) AS good FROM edges JOIN units ON src = path GROUP BY unit) SELECT unit AS subject, bad AS figure FROM u LEFT JOIN g USING (unit) WHERE bad >= 3 AND bad > 0.1 * (bad + coalesce(good, 0))")
 def d19_unresolved_heavy(s, d):
     nodes, edges = trade(s, d)
-    loose = nodes.where("length(path) % 4 > 0").select("path", F.explode(F.sequence(F.lit(1), (F.length("path") % 4).cast("int"))).alias("specifier"))
+    loose = nodes.where("length(path) % 4 > 0").select("path", F.explode(F.sequence(F.lit(1), (F.length("path") % 4 * 20).cast("int"))).alias("specifier"))
     return diagram.unresolved_heavy(units_of(nodes), edges, loose)
 
 
@@ -651,9 +667,9 @@ def t2_chosen_tour(s, d):
     return tour.chosen_tour(twice, nodes)
 
 
-@query(T + DEG + " SELECT path, in_degree, out_degree FROM deg WHERE in_degree = 0 AND out_degree > 0 ORDER BY out_degree DESC, path LIMIT 8")
+@query(PE + " SELECT path, 0 AS in_degree, count(*) AS out_degree FROM parts JOIN pedges ON src = path WHERE path NOT IN (SELECT dst FROM pedges) GROUP BY path ORDER BY out_degree DESC, path LIMIT 8")
 def x2_likely_entries(s, d):
-    return evidence.likely_entries(graph.degrees(*trade(s, d)))
+    return evidence.likely_entries(graph.degrees(ad.part_files(s, d), ad.part_edges(s, d))).select("path", "in_degree", "out_degree")
 
 
 @query(T + FOLD + RE + ", two AS (SELECT source AS folder, 'out' AS direction, target AS other, n_edges FROM re UNION ALL SELECT target, 'in', source, n_edges FROM re), r AS (SELECT *, row_number() OVER (PARTITION BY folder, direction ORDER BY n_edges DESC, other) AS rank FROM two) SELECT r.folder, f.n_files, direction, other, n_edges, rank FROM r JOIN (SELECT folder, count(*) AS n_files FROM fold GROUP BY folder) f ON r.folder = f.folder WHERE rank <= 4")
@@ -741,9 +757,12 @@ def ir7_edges(s, d):
     return edges.groupBy("kind", "origin").agg(F.count("*").alias("n"))
 
 
-@query("SELECT 'x' AS rule, 'y' AS subject WHERE FALSE")
+@query(T + " SELECT 'dangling-target' AS rule, count(*) AS n FROM nodes UNION ALL SELECT 'duplicate-node', count(*) FROM nodes WHERE length(path) % 4 = 0 HAVING count(*) > 0")
 def ir10_violations(s, d):
-    return ir.violations(*ir.build(extractions(s, d)))
+    """Of a graph from which external packages are missing, so that each file's import of one dangles, and in which some files occur twice."""
+    nodes, edges = ir.build(extractions(s, d))
+    broken = nodes.where("kind <> 'external-dependency'").unionByName(nodes.where("kind = 'file' and length(path) % 4 = 0"))
+    return ir.violations(broken, edges).groupBy("rule").agg(F.count("*").alias("n"))
 
 
 @query()
