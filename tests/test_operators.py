@@ -442,3 +442,46 @@ def test_python_imports_of_whole_documents(spark, tmp_path):
         n = (t or "").count("\n") + 1
         want += [(f"{d}.py", n + 1, "os"), (f"{d}.py", n + 1, f"m{d}"), (f"{d}.py", n + 2, ".a.b"), (f"{d}.py", n + 3, "x")]
     assert got == sorted(want)
+
+
+def test_store(spark, tmp_path):
+    from weftgraph.sources.store import Store, owner_hash
+
+    one, two = "0f" * 18, "aa-" * 12
+    kept = Store(spark, str(tmp_path / "s"))
+    assert kept.load(one, "files") is None and kept.load_explanation(one, "a" * 64) is None
+    kept.save(one, files=spark.createDataFrame([("a",)], "path string"), edges=spark.createDataFrame([("a", "b")], "src string, dst string"))
+    kept.save(two, files=spark.createDataFrame([("x",), ("y",)], "path string"))
+    kept.save(two, files=spark.createDataFrame([("z",)], "path string"))
+    assert col(kept.load(one, "files")) == ["a"] and col(kept.load(two, "files")) == ["z"] and kept.load(two, "edges") is None
+    assert sorted((r.path, r.analysis_id) for r in kept.load_all("files").collect()) == [("a", one), ("z", two)]
+    for wrong in ("../x", "", one + "0"):
+        with pytest.raises(ValueError):
+            kept.load(wrong, "files")
+    kept.save_explanation(one, "a" * 64, "why")
+    kept.save_explanation(one, "not a key", "why")
+    assert kept.load_explanation(one, "a" * 64) == "why" and kept.load_explanation(two, "a" * 64) is None and kept.load_explanation(one, "not a key") is None
+    owners = spark.createDataFrame([(one, "t", "2024-01-08 10:00:00"), (two, "u", None)], "id string, token string, at string")
+    kept.register(owners.select("id", owner_hash(F.col("token")).alias("token_hash"), F.col("at").cast("timestamp").alias("expires_at")))
+    assert col(kept.expiring("2024-01-08"), "id") == [one] and kept.expiring("2024-01-07").count() == 0
+    kept.delete(one)
+    assert kept.load(one, "files") is None and kept.load_explanation(one, "a" * 64) is None and col(kept.load(two, "files")) == ["z"]
+
+
+def test_answers_without_findings(spark):
+    asked, found = spark.createDataFrame([("a",), ("b",)], "subject string"), spark.createDataFrame([("a", "y"), ("a", "x"), ("a", "x")], "subject string, id string")
+    got = {r.subject: r for r in evidence.answered("impact", asked, found).collect()}
+    assert got["a"].citations == ["a", "x", "y"] and got["a"].claim == "Changing 'a' may affect 2 transitive importer(s)." and not got["a"].uncertain
+    assert got["b"].claim is None and got["b"].uncertain and got["b"].value == []
+
+
+def test_counts_are_rounded_like_doubles(spark):
+    from decimal import ROUND_HALF_UP, Decimal
+
+    from weftgraph.functions import measures
+
+    values = [0, 999, 1000, 1049, 1050, 1150, 1250, 1949, 1950, 12_000, 999_950, 1_023_950, 2_047_950, 3_000_050, 987_654_350, *range(50, 200_000, 100)]
+    got = {r.n: r.x for r in spark.createDataFrame([(v,) for v in values], "n long").select("n", measures.format_count(F.col("n")).alias("x")).collect()}
+    for v in values:
+        exact = str(Decimal(v / 1000).quantize(Decimal("0.1"), ROUND_HALF_UP)).removesuffix(".0") + "k"
+        assert got[v] == (str(v) if v < 1000 else exact)

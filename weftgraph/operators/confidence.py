@@ -53,3 +53,30 @@ def grid(nodes: DataFrame, order: str, columns: int = 4, width: int = 260, heigh
 
     rk = F.row_number().over(Window.orderBy(order)) - 1
     return nodes.withColumn("x", (rk % columns * width).cast("long")).withColumn("y", (F.floor(rk / columns) * height).cast("long"))
+
+
+#: What a parse error means for a file, by its severity and reason (fixed values).
+SCOPES = {"fatal": "No imports could be read from this file", "partial": "Some imports may be missing"}
+CAUSES = {"syntax": "the file has a syntax error.", "timeout": "the file took too long to analyse.", "unreadable": "the file could not be read as source text."}
+OTHER_CAUSE = "the file could not be fully analysed."
+
+
+def file_evidence(files: DataFrame, errors: DataFrame, unresolved: DataFrame) -> DataFrame:
+    """(path, confidence, reduced_because, unresolved, derived_from) of every file of files(path, origin, derived_from).
+
+    errors(path, severity, reason, nth) say why a file is known less well, in their order; unresolved(path, specifier).
+    """
+    scope = F.when(F.col("severity") == "fatal", SCOPES["fatal"]).otherwise(SCOPES["partial"])
+    cause = F.coalesce(F.create_map(*[F.lit(x) for kv in CAUSES.items() for x in kv])[F.col("reason")], F.lit(OTHER_CAUSE))
+    why = errors.select("path", F.struct("nth", F.concat(scope, F.lit(" — "), cause).alias("text")).alias("e"))
+    why = why.groupBy("path").agg(F.transform(F.sort_array(F.collect_list("e")), lambda e: e["text"]).alias("reduced_because"))
+    loose = unresolved.groupBy("path").agg(F.sort_array(F.collect_set("specifier")).alias("unresolved"))
+    none = F.array().cast("array<string>")
+    out = files.join(why, "path", "left").join(loose, "path", "left")
+    known = F.when(F.col("origin") == "heuristic", "heuristic").otherwise("verified")
+    return out.select("path", known.alias("confidence"), F.coalesce("reduced_because", none).alias("reduced_because"), F.coalesce("unresolved", none).alias("unresolved"), F.size("derived_from").alias("derived_from"))
+
+
+def unresolved_stubs(unresolved: DataFrame) -> DataFrame:
+    """(id, path, specifier, confidence): one node for each file and specifier, and the edge to it, of which nothing is known."""
+    return unresolved.select("path", "specifier").distinct().select(F.concat("path", F.lit("->?"), "specifier").alias("id"), "path", "specifier", F.lit("unknown").alias("confidence"))

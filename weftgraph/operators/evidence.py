@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from weftgraph.functions import paths, texts
 from weftgraph.operators.confidence import with_folders
+from weftgraph.operators.graph import degrees, impact
 
 
 def likely_entries(degree: DataFrame, n: int = 8) -> DataFrame:
@@ -77,3 +78,27 @@ def top_folders(files: DataFrame, n: int = 12) -> DataFrame:
     """(folder, n_files) two levels deep. A top-k report."""
     two = F.array_join(F.slice(paths.segments(paths.directory(F.col("path"))), 1, 2), "/")
     return files.groupBy(two.alias("folder")).agg(F.count("*").alias("n_files")).orderBy(F.desc("n_files"), "folder").limit(n)
+
+
+def answered(tool: str, asked: DataFrame, found: DataFrame) -> DataFrame:
+    """(subject, value, claim, citations, uncertain) for each of asked(subject): found(subject, id) are what a query over the graph gave it.
+
+    tool is neighbors-outgoing, neighbors-incoming, neighbors-both or impact. Nothing found is no claim but an uncertainty.
+    """
+    values = found.groupBy("subject").agg(F.sort_array(F.collect_set("id")).alias("value"))
+    out = asked.select("subject").distinct().join(values, "subject", "left").withColumn("value", F.coalesce("value", F.array().cast("array<string>")))
+    n = F.size("value").cast("string")
+    said = F.concat(F.lit("Changing '"), "subject", F.lit("' may affect "), n, F.lit(" transitive importer(s).")) if tool == "impact" else F.concat(F.lit("Node '"), "subject", F.lit("' has "), n, F.lit(f" {tool.partition('-')[2]} neighbor(s)."))
+    some = F.size("value") > 0
+    return out.select("subject", "value", F.when(some, said).alias("claim"), F.when(some, F.concat(F.array("subject"), F.col("value"))).alias("citations"), (~some).alias("uncertain"))
+
+
+def file_facts(nodes: DataFrame, edges: DataFrame, path: str) -> DataFrame:
+    """One row about a file: numbers of files it imports, that import it, and that a change also reaches; its rank by importers, of how many."""
+    direct = edges.where((F.col("dst") == path) & (F.col("src") != path)).select(F.col("src").alias("path")).distinct()
+    out = edges.where(F.col("src") == path).select("dst").distinct().agg(F.count("*").alias("imports"))
+    into = edges.where(F.col("dst") == path).select("src").distinct().agg(F.count("*").alias("imported_by"))
+    far = impact(nodes, edges, path).select("path").join(direct, "path", "left_anti").agg(F.count("*").alias("indirect"))
+    rank = import_rank(degrees(nodes, edges).select("path", "in_degree")).where(F.col("path") == path).select("rank")
+    every = nodes.agg(F.count("*").alias("of"))
+    return out.crossJoin(into).crossJoin(far).crossJoin(rank).crossJoin(every).select(F.lit(path).alias("path"), "imports", "imported_by", "indirect", "rank", "of")  # one row each

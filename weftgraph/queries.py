@@ -5,16 +5,17 @@ Iterative operators, user functions and streaming have no SQL; tests hold them a
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftgraph import adapters as ad
-from weftgraph.functions import identity, paths, texts
-from weftgraph.operators import boundaries, cluster, confidence, cycles, diagram, entrypoints, evidence, graph, ir, reach, resolve, search, tour
+from weftgraph.functions import identity, measures, paths, texts
+from weftgraph.operators import boundaries, cluster, confidence, cycles, diagram, entrypoints, evidence, extractions as extracted, graph, ir, reach, resolve, search, tour
 from weftgraph.plans import fixpoint
-from weftgraph.sources import extract, scan
+from weftgraph.sources import extract, scan, store
 from weftgraph.streaming import limits, retention
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -901,3 +902,95 @@ def st10b_client_key(s, d):
 def extra_windowed_counts(s, d):
     w = retention.windowed_counts(ad.table(s, d, "events"), "ts", "event_type", "1 hour")
     return w.select(F.date_format("start", "yyyy-MM-dd HH").alias("hour"), "event_type", "n")
+
+
+# --- stored analyses, evidence, figures ---------------------------------------------------------------------
+
+
+@query("SELECT 'src/' || p_partkey || '.ts' AS path, CASE WHEN p_partkey % 3 = 0 THEN 'bad ' || p_partkey || '; worse' END AS message FROM part UNION ALL SELECT 'zip/' || event_id, props FROM events WHERE event_type = 'error'")
+def ext12_errors_and_events(s, d):
+    """Files of which a third have two errors, with the messages of events: errors are joined, events follow, files without errors have none."""
+    n = F.col("p_partkey").cast("string")
+    message = F.struct(F.concat(F.lit("bad "), n).alias("message"))
+    errors = F.when(F.col("p_partkey") % 3 == 0, F.array(message, F.struct(F.lit("worse").alias("message")))).otherwise(F.array().cast("array<struct<message:string>>"))
+    none = F.array().cast("array<string>")
+    x = ad.table(s, d, "part").select(F.concat(F.lit("src/"), n, F.lit(".ts")).alias("path"), F.lit(1).alias("line_count"), none.alias("imports"), none.alias("external_imports"), errors.alias("errors"))
+    events = ad.table(s, d, "events").where("event_type = 'error'").select(F.concat(F.lit("zip/"), F.col("event_id").cast("string")).alias("path"), F.col("props").alias("detail"))
+    return extracted.path_files(x).select("path", F.lit(None).cast("string").alias("message")).unionByName(extracted.with_events(extracted.parse_errors(x), events))
+
+
+@query("""SELECT 'e' || event_id AS path, CASE WHEN event_id % 4 = 0 THEN 'heuristic' ELSE 'verified' END AS confidence,
+CASE event_id % 4 WHEN 0 THEN CASE WHEN event_id % 8 = 0 THEN 'No imports could be read from this file' ELSE 'Some imports may be missing' END || ' — the file has a syntax error.|' ||
+ CASE WHEN event_id % 8 = 0 THEN 'No imports could be read from this file' ELSE 'Some imports may be missing' END || ' — the file could not be fully analysed.' ELSE '' END AS because,
+CASE WHEN event_id % 5 = 0 THEN './a ./b' ELSE '' END AS unresolved, CAST(event_id % 3 AS INTEGER) AS derived_from FROM events""")
+def p4_file_evidence(s, d):
+    e = ad.table(s, d, "events").select("event_id", F.concat(F.lit("e"), F.col("event_id").cast("string")).alias("path"))
+    files = e.select("path", F.when(F.col("event_id") % 4 == 0, "heuristic").otherwise("verified").alias("origin"), F.slice(F.array(F.lit("x"), F.lit("y")), F.lit(1), (F.col("event_id") % 3).cast("int")).alias("derived_from"))
+    bad = e.where("event_id % 4 = 0").withColumn("severity", F.when(F.col("event_id") % 8 == 0, "fatal").otherwise("partial"))
+    errors = bad.select("path", "severity", F.lit("odd").alias("reason"), F.lit(2).alias("nth")).unionByName(bad.select("path", "severity", F.lit("syntax").alias("reason"), F.lit(1).alias("nth")))
+    loose = e.where("event_id % 5 = 0").select("path", F.explode(F.array(F.lit("./b"), F.lit("./a"), F.lit("./b"))).alias("specifier"))
+    got = confidence.file_evidence(files, errors, loose)
+    return got.select("path", "confidence", F.array_join("reduced_because", "|").alias("because"), F.array_join("unresolved", " ").alias("unresolved"), "derived_from")
+
+
+@query("SELECT DISTINCT 'o' || l_orderkey || '->?./s' || l_suppkey AS id, 'unknown' AS confidence FROM lineitem")
+def v4_unresolved_stubs(s, d):
+    line = ad.table(s, d, "lineitem").select(F.concat(F.lit("o"), F.col("l_orderkey").cast("string")).alias("path"), F.concat(F.lit("./s"), F.col("l_suppkey").cast("string")).alias("specifier"))
+    return confidence.unresolved_stubs(line).select("id", "confidence")
+
+
+@query("""SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN 230 WHEN 1 THEN 220 ELSE 190 END AS width,
+CAST(CASE c_custkey % 3 WHEN 0 THEN 86 WHEN 1 THEN CASE WHEN c_custkey % 2 = 0 THEN 104.5 ELSE 86 END ELSE 67.5 END + CASE WHEN c_custkey % 5 < 2 THEN 20.5 ELSE 0 END AS DOUBLE) AS height FROM customer""")
+def v5_boxes(s, d):
+    kind = F.element_at(F.array(*map(F.lit, ("file", "folder", "unresolved"))), (F.col("c_custkey") % 3 + 1).cast("int"))
+    known = F.element_at(F.array(*map(F.lit, ("heuristic", "unknown", "verified", "derived", "verified"))), (F.col("c_custkey") % 5 + 1).cast("int"))
+    return ad.table(s, d, "customer").select("c_custkey", measures.box_width(kind).alias("width"), measures.box_height(kind, known, F.col("c_custkey") % 2 == 0).alias("height"))
+
+
+@query("""SELECT p_partkey, CASE WHEN length(p_name) <= 8 THEN p_name ELSE left(p_name, 4) || '…' || right(p_name, 3) END AS middle, CASE WHEN length(p_name) <= 5 THEN p_name ELSE left(p_name, 4) || '…' END AS tail,
+CASE WHEN p_partkey < 1000 THEN CAST(p_partkey AS VARCHAR) ELSE regexp_replace(printf('%.1f', CASE WHEN p_partkey % 1000 IN (250, 750) THEN (p_partkey + 50) / 1000 ELSE p_partkey / 1000 END), '\\.0$', '') || 'k' END AS n FROM part""")
+def m1_text_measures(s, d):
+    p = ad.table(s, d, "part")
+    return p.select("p_partkey", measures.truncate_middle(F.col("p_name"), 8).alias("middle"), measures.truncate_end(F.col("p_name"), 5).alias("tail"), measures.format_count(F.col("p_partkey")).alias("n"))
+
+
+@query(PE + """ SELECT a.path AS subject, count(e.dst) AS n, CASE WHEN count(e.dst) > 0 THEN 'Node ' || chr(39) || a.path || chr(39) || ' has ' || count(e.dst) || ' outgoing neighbor(s).' END AS claim, count(e.dst) = 0 AS uncertain
+FROM parts a LEFT JOIN (SELECT DISTINCT src, dst FROM pedges) e ON e.src = a.path GROUP BY a.path""")
+def g10_neighbor_answers(s, d):
+    p, e = ad.part_files(s, d), ad.part_edges(s, d)
+    got = evidence.answered("neighbors-outgoing", p.select(F.col("path").alias("subject")), e.select(F.col("src").alias("subject"), F.col("dst").alias("id")))
+    return got.select("subject", F.size("value").cast("long").alias("n"), "claim", "uncertain")
+
+
+@query(PE.replace("WITH", "WITH RECURSIVE", 1) + PDEG + """, me AS (SELECT path FROM parts WHERE p_partkey = 1), up AS (SELECT path AS node FROM me UNION SELECT src FROM up JOIN pedges ON dst = node)
+SELECT path, (SELECT count(DISTINCT dst) FROM pedges WHERE src = me.path) AS imports, (SELECT count(DISTINCT src) FROM pedges WHERE dst = me.path) AS imported_by,
+(SELECT count(*) FROM up WHERE node <> me.path AND node NOT IN (SELECT src FROM pedges WHERE dst = me.path)) AS indirect, (SELECT count(*) + 1 FROM pdeg WHERE in_degree > (SELECT in_degree FROM pdeg x WHERE x.path = me.path)) AS rank, (SELECT count(*) FROM parts) AS of FROM me""")
+def x4_file_facts(s, d):
+    p = ad.part_files(s, d)
+    return evidence.file_facts(p, ad.part_edges(s, d), p.where("p_partkey = 1").first()["path"])
+
+
+@query("SELECT c_custkey, c_custkey % 2 = 0 AS owned FROM customer")
+def st9_owner_tokens(s, d):
+    c = ad.table(s, d, "customer")
+    kept = F.when(F.col("c_custkey") % 2 == 0, store.owner_hash(F.col("c_name"))).when(F.col("c_custkey") % 3 == 0, F.upper(store.owner_hash(F.col("c_name")))).otherwise(store.owner_hash(F.lit("another")))
+    return c.select("c_custkey", store.owns(F.col("c_name"), kept).alias("owned"))
+
+
+@query("""WITH v AS (SELECT user_id AS owner, event_type AS kind, event_id % 17 AS id, max(event_id) AS nth FROM events GROUP BY 1, 2, 3), r AS (SELECT *, row_number() OVER (PARTITION BY owner ORDER BY nth DESC) AS back FROM v)
+SELECT owner, row_number() OVER (PARTITION BY owner ORDER BY nth) AS step, kind, id FROM r WHERE back <= 12""")
+def pos2_trail(s, d):
+    e = ad.table(s, d, "events")
+    return retention.trail(e.select(F.col("user_id").alias("owner"), F.col("event_type").alias("kind"), (F.col("event_id") % 17).alias("id"), F.col("event_id").alias("nth")))
+
+
+@query(FS + " SELECT path, line_count, '00000000-0000-0000-0000-00000000000' || (c_custkey % 3) AS analysis_id FROM files WHERE c_custkey % 3 > 0 UNION ALL SELECT path, line_count, 'alone' FROM files WHERE c_custkey % 3 = 1")
+def snk1_store(s, d):
+    """Two analyses saved and read back: both, and one by its id. The store's folder is one of the session's shared folder."""
+    kept = store.Store(s, f"{fixpoint.shared_dir(s)}/store-{uuid.uuid4().hex}")
+    f = ad.customer_files(s, d)
+    ids = {k: f"00000000-0000-0000-0000-00000000000{k}" for k in (1, 2)}
+    for k, name in ids.items():
+        kept.save(name, files=f.where(F.col("c_custkey") % 3 == k).select("path", "line_count"))
+    alone = kept.load(ids[1], "files").withColumn("analysis_id", F.lit("alone"))
+    return kept.load_all("files").select("path", "line_count", "analysis_id").unionByName(alone)

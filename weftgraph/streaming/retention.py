@@ -57,3 +57,13 @@ def windowed_counts(events: DataFrame, time: str, by: str, width: str, slide: st
     e = events.withWatermark(time, late) if late else events
     w = F.window(time, width, slide) if slide else F.window(time, width)
     return e.groupBy(w.alias("w"), by).agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), by, "n")
+
+
+def trail(visits: DataFrame, most: int = 12) -> DataFrame:
+    """(owner, step, kind, id): what each owner looked at last, each thing once at its last visit, the latest ``most``; visits(owner, kind, id, nth)."""
+    from pyspark.sql import Window
+
+    last = visits.groupBy("owner", "kind", "id").agg(F.max("nth").alias("nth"))
+    mine = Window.partitionBy("owner")
+    kept = last.withColumn("back", F.row_number().over(mine.orderBy(F.desc("nth")))).where(F.col("back") <= most)
+    return kept.select("owner", F.row_number().over(mine.orderBy("nth")).cast("long").alias("step"), "kind", "id")
