@@ -51,6 +51,25 @@ def test_cycles(spark, abc):
     assert {r.x for r in spin.select(cycles.canonical(F.col("c")).alias("x")).collect()} == {"a\x00b\x00c"}
 
 
+def test_impacts_within_repositories(spark):
+    rng = random.Random(8)
+    rows = [(r, f"n{rng.randrange(12)}", f"n{rng.randrange(14)}") for r in "xyz" for _ in range(14)]
+    nodes = spark.createDataFrame([(r, f"n{i}") for r in "xyz" for i in range(12)], "repo_id string, path string")  # n12 and n13 are unknown
+    edges = spark.createDataFrame(rows, "repo_id string, src string, dst string")
+    asked = spark.createDataFrame([(r, f"n{i}") for r in "xy" for i in range(14)] + [("z", "n0")], "repo_id string, subject string")
+    got = {(r.repo_id, r.subject, r.path) for r in cycles.impacts(nodes, edges, asked).collect()}
+    want = set()
+    for r, s in [(r, f"n{i}") for r in "xy" for i in range(12)] + [("z", "n0")]:
+        seen = {s}
+        for _ in range(12):
+            seen |= {a for q, a, b in rows if q == r and b in seen and int(b[1:]) < 12}
+        want |= {(r, s, p) for p in seen - {s}}
+    assert got == want and len(want) > 30
+    one = nodes.where("repo_id = 'x'").select("path")
+    by_rounds = {r.path for r in graph.impact(one, edges.where("repo_id = 'x' and dst not in ('n12', 'n13')"), "n3").collect()}
+    assert by_rounds == {p for r, s, p in got if (r, s) == ("x", "n3")}
+
+
 def test_fixpoints_against_brute_force(spark):
     rng = random.Random(5)
     names = [f"n{i:02d}" for i in range(9)]

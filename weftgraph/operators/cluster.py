@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftgraph.functions import paths
@@ -17,9 +17,9 @@ def proposed(files: DataFrame) -> DataFrame:
 
 
 def merge_small(clusters: DataFrame) -> DataFrame:
-    """Folders of under three files become ``other``."""
-    n = F.count("*").over(Window.partitionBy("folder"))
-    return clusters.select("path", F.when(n < MIN_REGION, "other").otherwise(F.col("folder")).alias("folder"))
+    """Folders of under three files become ``other``. Folders are counted and joined, so no folder lies in one task whole."""
+    small = clusters.groupBy("folder").agg(F.count("*").alias("n")).where(F.col("n") < MIN_REGION).select("folder", F.lit(True).alias("small"))
+    return clusters.join(small, "folder", "left").select("path", F.when(F.col("small"), "other").otherwise(F.col("folder")).alias("folder"))
 
 
 def legacy_clusters(files: DataFrame) -> DataFrame:
@@ -50,13 +50,14 @@ def split_once(clusters: DataFrame) -> DataFrame:
     """
     inside = F.expr("substring(path, length(place) + 2)")
     deep = clusters.withColumn("rest", F.when(F.col("path").startswith(F.concat("place", F.lit("/"))), inside))
-    n = F.count("*").over(Window.partitionBy("folder"))
     child = F.when(F.col("rest").contains("/"), F.concat("place", F.lit("/"), F.element_at(F.split("rest", "/"), 1)))
-    sized = deep.withColumn("n", n).withColumn("child", child)
-    sized = sized.withColumn("m", F.when(F.col("child").isNotNull(), F.count("*").over(Window.partitionBy("folder", "child"))))
-    q = F.size(F.collect_set(F.when(F.col("m") >= MIN_REGION, F.col("child"))).over(Window.partitionBy("folder")))
-    goes = (F.col("n") > MAX_REGION) & (q >= 2) & (F.coalesce("m", F.lit(0)) >= MIN_REGION)
-    return sized.withColumn("goes", goes).select("path", F.when(F.col("goes"), F.col("child")).otherwise(F.col("folder")).alias("folder"), F.when(F.col("goes"), F.col("child")).otherwise(F.col("place")).alias("place"), "goes")
+    sized = deep.withColumn("child", child)
+    large = sized.groupBy("folder").agg(F.count("*").alias("n")).where(F.col("n") > MAX_REGION).select("folder")
+    fit = sized.where("child is not null").groupBy("folder", "child").agg(F.count("*").alias("m")).where(F.col("m") >= MIN_REGION)
+    several = fit.groupBy("folder").agg(F.count("*").alias("q")).where("q >= 2").select("folder")
+    leave = fit.join(large, "folder", "left_semi").join(several, "folder", "left_semi").select("folder", "child", F.lit(True).alias("leaves"))
+    out = sized.join(leave, ["folder", "child"], "left").withColumn("goes", F.coalesce("leaves", F.lit(False)))
+    return out.select("path", F.when(F.col("goes"), F.col("child")).otherwise(F.col("folder")).alias("folder"), F.when(F.col("goes"), F.col("child")).otherwise(F.col("place")).alias("place"), "goes")
 
 
 def sink_chains(clusters: DataFrame, tree: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ instead of an enumeration.
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -63,3 +64,46 @@ def find_cycles(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         return pd.DataFrame({"repo_id": pd.Series([pdf["repo_id"].iloc[0]] * len(got), dtype=object), "nth": pd.Series(range(len(got)), dtype="int32"), "cycle": pd.Series(got, dtype=object)})
 
     return rows.groupBy("repo_id").applyInPandas(run, "repo_id string, nth int, cycle array<string>")
+
+
+def impacts(nodes: DataFrame, edges: DataFrame, subjects: DataFrame) -> DataFrame:
+    """(repo_id, subject, path): all files that import a subject directly or not, without itself; nodes(repo_id, path), edges(repo_id, src, dst), subjects(repo_id, subject).
+
+    A repository with its subjects is one task, as for find_cycles(): a chain of n imports takes n steps there and not n
+    rounds of jobs. Memory is that of one repository's edges; graphs beyond one task take graph.impact(), by rounds.
+    """
+    none = F.lit(None).cast("string")
+    rows = (
+        nodes.select("repo_id", F.col("path").alias("src"), none.alias("dst"), none.alias("subject"))
+        .unionByName(edges.select("repo_id", "src", "dst", none.alias("subject")))
+        .unionByName(subjects.select("repo_id", none.alias("src"), none.alias("dst"), "subject"))
+    )
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        asked = pdf.loc[pdf["subject"].notna(), "subject"].unique()
+        code, names = pd.factorize(pd.concat((pdf.loc[pdf["subject"].isna(), "src"], pdf.loc[pdf["dst"].notna(), "dst"])))
+        lone = pdf.loc[pdf["subject"].isna(), "dst"].isna().to_numpy()
+        n = len(lone)
+        known = np.zeros(len(names), dtype=bool)
+        known[code[:n][lone]] = True
+        src, dst = code[:n][~lone], code[n:]
+        fine = known[src] & known[dst]
+        order = np.argsort(dst[fine], kind="stable")
+        importers, bounds = src[fine][order], np.searchsorted(dst[fine][order], np.arange(len(names) + 1))
+        place = {name: i for i, name in enumerate(names)}
+        found = []
+        for subject in asked:
+            at = place.get(subject)
+            if at is None or not known[at]:
+                continue
+            seen, todo = {at}, [at]
+            while todo:
+                i = todo.pop()
+                new = set(importers[bounds[i] : bounds[i + 1]].tolist()) - seen
+                seen |= new
+                todo.extend(new)
+            found.append((subject, sorted(names[i] for i in seen - {at})))
+        repo = pdf["repo_id"].iloc[0]
+        return pd.DataFrame([(repo, subject, p) for subject, paths in found for p in paths], columns=["repo_id", "subject", "path"], dtype=object)
+
+    return rows.groupBy("repo_id").applyInPandas(run, "repo_id string, subject string, path string")

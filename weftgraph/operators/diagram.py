@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftgraph.functions import paths
-from weftgraph.plans.fixpoint import components, strong_components
+from weftgraph.plans.fixpoint import components, strong_components, written
 
 #: (units, files, edges, notes) that a figure may hold, by preset (fixed values).
 BUDGETS = {"document": (24, 32, 28, 6), "slide": (16, 20, 18, 3)}
@@ -68,13 +68,13 @@ def unit_edges(units: DataFrame, edges: DataFrame) -> DataFrame:
 
 def flagged(between: DataFrame) -> DataFrame:
     """Edges between different units with ``mutual`` (the reverse edge exists) and ``in_cycle`` (both ends in one strongly connected component)."""
-    e = between.where("source <> target")
+    e = written(between.where("source <> target"))  # read by every step below
     back = e.select(F.col("target").alias("source"), F.col("source").alias("target"), F.lit(True).alias("back"))
     ends = e.select(F.col("source").alias("node")).unionByName(e.select(F.col("target").alias("node"))).distinct()
     scc = strong_components(ends, e.select(F.col("source").alias("src"), F.col("target").alias("dst")))
     a, b = scc.select(F.col("node").alias("source"), F.col("component").alias("c1")), scc.select(F.col("node").alias("target"), F.col("component").alias("c2"))
     j = e.join(back, ["source", "target"], "left").join(a, "source").join(b, "target")
-    return j.select("source", "target", "n", "samples", F.coalesce("back", F.lit(False)).alias("mutual"), (F.col("c1") == F.col("c2")).alias("in_cycle"))
+    return written(j.select("source", "target", "n", "samples", F.coalesce("back", F.lit(False)).alias("mutual"), (F.col("c1") == F.col("c2")).alias("in_cycle")))
 
 
 def shared_parts(units: DataFrame, between: DataFrame) -> DataFrame:

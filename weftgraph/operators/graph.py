@@ -62,9 +62,9 @@ def all_impacts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(path, in_degree, out_degree): repeated edges and self-loops count, isolated nodes have zero."""
-    ends = edges.select(F.col("dst").alias("path"), F.lit(1).alias("i"), F.lit(0).alias("o")).unionByName(
-        edges.select(F.col("src").alias("path"), F.lit(0).alias("i"), F.lit(1).alias("o"))
-    )
+    # both ends of an edge from one row: the edges are read once
+    end = lambda c, i, o: F.struct(F.col(c).alias("path"), F.lit(i).alias("i"), F.lit(o).alias("o"))
+    ends = edges.select(F.explode(F.array(end("dst", 1, 0), end("src", 0, 1))).alias("e")).select("e.*")
     total = ends.groupBy("path").agg(F.sum("i").alias("i"), F.sum("o").alias("o"))
     zero = F.lit(0).cast("long")
     return nodes.select("path").join(total, "path", "left").select("path", F.coalesce("i", zero).alias("in_degree"), F.coalesce("o", zero).alias("out_degree"))

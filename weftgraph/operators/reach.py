@@ -40,8 +40,8 @@ def unreachable(nodes: DataFrame, edges: DataFrame, entries: DataFrame, skipped_
     known = entries.join(nodes.select("path"), "path", "left_semi").select("path").limit(1)
     left = nodes.select("path").join(reached(nodes, edges, entries), "path", "left_anti").where(~paths.is_declaration(F.col("path")))
     if skipped_roots is not None:
-        s = skipped_roots.select("root")
-        left = left.join(s, F.col("path").startswith(F.concat("root", F.lit("/"))), "left_anti")
+        below = left.select("path", F.explode(paths.ancestors(F.col("path"))).alias("root")).join(skipped_roots.select("root"), "root", "left_semi")
+        left = left.join(below.select("path").distinct(), "path", "left_anti")
     return left.join(known.select(F.lit(True).alias("any_entry")), F.lit(True), "left_semi")
 
 
