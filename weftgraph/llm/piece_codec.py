@@ -14,12 +14,17 @@ merge trees in the order in which merges would undo, and looks whether some
 pair across the seam would have merged earlier.
 
 Segments are cut where no piece can cross (before a run of spaces, around
-characters that are in no piece), so equal segments are encoded once a slice.
+characters that are in no piece, between characters that meet in no piece), so
+equal segments are encoded once a slice. A segment longer than ``LONG`` bytes,
+as base64 or a language without spaces gives, is encoded by itself in one loop
+of the same steps, since numpy would take a step a token for it alone.
 
 Defined cases: null and empty texts give only the end id and an empty decoded
 text. Characters in no piece fall back to byte pieces. Repeated rows and null
 doc_ids give a row each; an empty table gives no rows. Only doc_id and text
-are read.
+are read. Texts of any length are encoded whole; a slice of ``SLICE_BYTES`` or
+one longer text is held at a time. A model that isn't a merge model of this
+form (another normaliser, no space put first, user-defined pieces) is refused.
 """
 
 from __future__ import annotations
@@ -37,10 +42,16 @@ from weftgraph.llm.common import set_apart, text_slices
 
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
 MARK = "▁"
+#: Bytes from which a segment is encoded by itself.
+LONG = 1 << 10
 
 
 def read_pieces(data: bytes) -> list[tuple[str, float, int]]:
-    """(text, score, type) of each piece of a serialised model: field 1 of the message, its fields 1 to 3."""
+    """(text, score, type) of each piece of a serialised model: field 1 of the message, its fields 1 to 3.
+
+    ValueError if the trainer's part (2) names another kind of model than merges (its field 3), or the normaliser's (3)
+    has rules (2), puts no space first (3), or takes spaces away (4).
+    """
 
     def varint(at: int) -> tuple[int, int]:
         out = shift = 0
@@ -66,11 +77,20 @@ def read_pieces(data: bytes) -> list[tuple[str, float, int]]:
                 value, at = (at, at + n), at + n
             yield key >> 3, value
 
-    pieces = []
+    pieces, trainer, normaliser = [], {}, {}
     for number, span in fields(0, len(data)):
         if number == 1:
             f = dict(fields(*span))
             pieces.append((data[f[1][0] : f[1][1]].decode(), f.get(2, 0.0), f.get(3, NORMAL)))
+        elif number == 2:
+            trainer = dict(fields(*span))
+        elif number == 3:
+            normaliser = dict(fields(*span))
+    rules = normaliser.get(2, (0, 0))
+    if trainer.get(3, 1) != 2 or rules[1] > rules[0] or not normaliser.get(3, 1) or normaliser.get(4, 1):
+        raise ValueError("only merge models that leave texts as they are and put a space first are read")
+    if odd := {kind for _, _, kind in pieces} - {NORMAL, UNKNOWN, CONTROL, BYTE}:
+        raise ValueError(f"pieces of the kinds {sorted(odd)}")
     return pieces
 
 
@@ -167,9 +187,13 @@ class PieceCodec:
         for text, i in tokens.items():
             self.shorter[i] = next((tokens[text[:k]] for k in range(len(text) - 1, 0, -1) if text[:k] in tokens), -1)
         self._automaton(tokens)
-        self.known_char = np.zeros(0x110000, dtype=bool)
-        self.known_char[[ord(c) for c in self.known]] = True
-        self.known_char[32] = True
+        self.tokens = {t.decode(): i for t, i in tokens.items()}
+        # last byte of a character and first byte of the next one, as some token has them
+        self.meets = np.zeros((256, 256), dtype=bool)
+        for text in self.tokens:
+            for a, b in zip(text, text[1:]):
+                self.meets[a.encode()[-1], b.encode()[0]] = True
+        self._seams: dict[tuple[int, int], bool] = {}
 
     def _automaton(self, tokens: dict[bytes, int]) -> None:
         """goto[state, class of byte] over the reversed tokens, and for each state the longest token that it ends on."""
@@ -229,6 +253,14 @@ class PieceCodec:
         """For each byte of the segments the longest token that starts there; characters in no piece by their length."""
         out = np.full(len(buf), -1, dtype=np.int32)
         cls = self.byte_class[buf]
+        for a, b in zip(start[end - start > LONG].tolist(), end[end - start > LONG].tolist()):
+            state, step, found = 0, self.goto.item, []
+            for c in reversed(cls[a:b].tolist()):
+                state = step(state, c)
+                found.append(state)
+            out[a:b] = self.longest[np.array(found[::-1])]
+        short = end - start <= LONG
+        start, end = start[short], end[short]
         by_size = np.argsort(start - end, kind="stable")  # longest first: those still open are a prefix
         start, at = start[by_size], end[by_size] - 1
         state = np.zeros(len(at), dtype=np.int32)
@@ -243,6 +275,33 @@ class PieceCodec:
         out[lost] = self.size + 1 + (lead >= 0xC0).astype(np.int32) + (lead >= 0xE0) + (lead >= 0xF0)
         return out
 
+    def seam(self, a: int, b: int) -> bool:
+        """compatible() for one pair, kept."""
+        got = self._seams.get((a, b))
+        if got is None:
+            if len(self._seams) > 1 << 20:
+                self._seams.clear()
+            got = self._seams[a, b] = bool(self.compatible(np.array([a]), np.array([b]))[0])
+        return got
+
+    def encode_long(self, best: np.ndarray, came: np.ndarray, begin: int, end: int) -> None:
+        """Fill came[begin + 1 : end + 1] for one long segment: the steps of encode_segments, one place at a time."""
+        longest, length, shorter = best[begin:end].tolist(), self.length.tolist(), self.shorter.tolist()
+        path, failed = [-1] * (end - begin + 1), bytearray(end - begin + 1)
+        pos, token = 0, longest[0]
+        while pos < end - begin:
+            nxt = pos + length[token]
+            if not failed[nxt] and (not pos or self.seam(path[pos], token)):
+                path[nxt], pos = token, nxt
+                token = longest[min(pos, end - begin - 1)]
+                continue
+            token = shorter[token]
+            if token < 0:
+                failed[pos] = 1
+                token = path[pos]
+                pos -= length[token]
+        came[begin + 1 : end + 1] = path[1:]
+
     def encode_segments(self, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Tokens of the segments that lie one after another in buf, and their bounds."""
         start, end = off[:-1], off[1:]
@@ -251,7 +310,8 @@ class PieceCodec:
         # each place holds the token that ends there on the path so far
         came = np.full(len(buf) + 1, -1, dtype=np.int32)
         some = np.flatnonzero(end > start)
-        pos, seg = start[some].copy(), some.copy()
+        seg = some[end[some] - start[some] <= LONG]
+        pos = start[seg].copy()
         token = best[pos].astype(np.int64)
         while len(pos):
             nxt = pos + self.length[token]
@@ -275,7 +335,18 @@ class PieceCodec:
             pos, seg, token = pos[live], seg[live], token[live]
         # walk back from each end
         tokens = np.full(len(buf), -1, dtype=np.int32)
-        at, begin = end[some].copy(), start[some]
+        at, begin = end[some], start[some]
+        long = at - begin > LONG
+        for a, b in zip(begin[long].tolist(), at[long].tolist()):
+            self.encode_long(best, came, a, b)
+            length, path = self.length.tolist(), came[a : b + 1].tolist()
+            at_end, places, found = b, [], []
+            while at_end > a:
+                found.append(path[at_end - a])
+                at_end -= length[found[-1]]
+                places.append(at_end)
+            tokens[places] = found
+        at, begin = at[~long], begin[~long]
         while len(at):
             t = came[at]
             at = at - self.length[t]
@@ -294,46 +365,41 @@ class PieceCodec:
         return ids, np.searchsorted(at, off)
 
     def cut(self, buf: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-        """Offsets of segments: at text bounds, before each run of spaces, and around ASCII characters in no piece."""
-        space = buf == 32
+        """Offsets of segments: at text bounds, and between characters that no token has next to each other."""
         here = np.zeros(len(buf) + 1, dtype=bool)
-        here[1:-1] = space[1:] & ~space[:-1]
-        alone = self.longest_alone[buf]
-        here[:-1] |= alone
-        here[1:] |= alone
+        here[1:-1] = ~self.meets[buf[:-1], buf[1:]] & ((buf[1:] & 0xC0) != 0x80)
         here[bounds] = True
         return np.flatnonzero(here)
 
-    @property
-    def longest_alone(self) -> np.ndarray:
-        out = np.zeros(256, dtype=bool)
-        out[:128] = ~self.known_char[:128]
-        return out
-
-    def encode_texts(self, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts one after another without end ids, and their bounds."""
+    def marked(self, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The texts with the space that the encoder puts before each that isn't empty, and their bounds."""
         raw = buf.tobytes()
         if MARK.encode() in raw:  # it means the same as a space
             parts = [raw[a:b].replace(MARK.encode(), b" ") for a, b in zip(off[:-1], off[1:])]
             buf, off = np.frombuffer(b"".join(parts), dtype=np.uint8), np.concatenate(([0], np.cumsum([len(p) for p in parts]))).astype(np.int64)
         full = np.flatnonzero(np.diff(off))
-        # the space that the encoder puts before a text
         apart, marks = set_apart(buf[::-1], (off[-1] - off[::-1]), 32)
         apart = apart[::-1]
         begin = len(apart) - 1 - marks[::-1]
         keep = np.ones(len(apart), dtype=bool)
         keep[np.delete(begin, full)] = False  # not before an empty one
-        apart = np.ascontiguousarray(apart[keep])
-        bounds = off + np.concatenate(([0], np.cumsum(np.diff(off) > 0)))
-        if not len(apart):
-            return np.zeros(0, np.int32), np.zeros(len(off), np.int64)
+        return np.ascontiguousarray(apart[keep]), off + np.concatenate(([0], np.cumsum(np.diff(off) > 0)))
+
+    def segments(self, apart: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Where texts are cut, the number of each segment, and the distinct segments: bytes and offsets."""
         cuts = self.cut(apart, bounds)
-        segments = pa.Array.from_buffers(pa.large_binary(), len(cuts) - 1, [None, pa.py_buffer(cuts.astype(np.int64)), pa.py_buffer(apart)])
-        coded = segments.dictionary_encode()
-        code = coded.indices.to_numpy(zero_copy_only=False)
+        parts = pa.Array.from_buffers(pa.large_binary(), len(cuts) - 1, [None, pa.py_buffer(cuts.astype(np.int64)), pa.py_buffer(apart)])
+        coded = parts.dictionary_encode()
         distinct = coded.dictionary
-        d_off = np.frombuffer(distinct.buffers()[1], dtype=np.int64)[: len(distinct) + 1]
-        d_buf = np.frombuffer(distinct.buffers()[2], dtype=np.uint8)[: d_off[-1]]
+        off = np.frombuffer(distinct.buffers()[1], dtype=np.int64)[: len(distinct) + 1]
+        return cuts, coded.indices.to_numpy(zero_copy_only=False), np.frombuffer(distinct.buffers()[2], dtype=np.uint8)[: off[-1]], off
+
+    def encode_texts(self, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts one after another without end ids, and their bounds."""
+        apart, bounds = self.marked(buf, off)
+        if not len(apart):
+            return np.zeros(0, np.int32), np.zeros(len(off), np.int64)
+        cuts, code, d_buf, d_off = self.segments(apart, bounds)
         ids, at = self.encode_segments(d_buf, d_off)
         n = np.diff(at)[code]
         total = np.concatenate(([0], np.cumsum(n)))
