@@ -132,14 +132,15 @@ class Words:
 
     start, end: byte spans in ``buf`` (texts set apart by newlines); first: for
     each text the index of its first word, with the number of words at the end;
-    doc: the text of each word; inside: which bytes belong to words.
+    doc: the text of each word; inside: which bytes belong to words. ``space``
+    says which bytes separate words; the newline must be one.
     """
 
-    def __init__(self, buf: np.ndarray, off: np.ndarray, lower: bool = False):
+    def __init__(self, buf: np.ndarray, off: np.ndarray, lower: bool = False, space: np.ndarray = IS_SPACE):
         self.buf, self.marks = set_apart(buf, off)
         if lower:
             self.buf = LOWER[self.buf]
-        self.inside = ~IS_SPACE[self.buf]
+        self.inside = ~space[self.buf]
         edge = np.flatnonzero(self.inside[1:] != self.inside[:-1]) + 1
         if len(self.buf) and self.inside[0]:
             edge = np.concatenate(([0], edge))

@@ -65,4 +65,79 @@ reach AS (SELECT vec_id AS a, vec_id AS b FROM vectors UNION SELECT reach.a, lin
 least AS (SELECT a AS vec_id, min(b) AS component_id FROM reach GROUP BY a), n AS (SELECT a AS vec_id, count(*) AS n FROM links GROUP BY a)
 SELECT vec_id, coalesce(n.n, 0) AS n_links, component_id, vec_id = component_id AS kept FROM vectors JOIN least USING (vec_id) LEFT JOIN n USING (vec_id)"""
 
-ORACLES: dict[str, str] = {"op1_lattice_dedup": OP1, "op2_quality_rules": OP2, "op9_chat": OP9, "op10_suffix_dedup": OP10}
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+
+
+def _terms(table: str, key: str) -> str:
+    return f"SELECT {key}, unnest(regexp_extract_all(translate(text, '{_UPPER}', '{_LOWER}'), '{TERM}')) AS term FROM {table}"
+
+
+#: Every document scored; documents are numbered, so repeated rows stay apart.
+OP13 = f"""WITH docs AS (SELECT row_number() OVER () AS doc, doc_id, text FROM documents),
+words AS ({_terms("docs", "doc")}),
+postings AS (SELECT doc, term, count(*) AS tf FROM words GROUP BY doc, term),
+sizes AS (SELECT doc, sum(tf)::BIGINT AS n FROM postings GROUP BY doc),
+corpus AS (SELECT count(*) AS big_n, sum(n)::BIGINT AS l FROM sizes),
+weights AS (SELECT term, CAST(floor(1000 * ln((2.0 * big_n + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM postings, corpus GROUP BY term, big_n),
+asked AS (SELECT DISTINCT item_id, term FROM ({_terms("benchmark", "item_id")})),
+scored AS (SELECT item_id, doc, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * big_n) // l)))) AS BIGINT) AS score
+  FROM asked JOIN weights USING (term) JOIN postings USING (term) JOIN sizes USING (doc), corpus GROUP BY item_id, doc),
+ranked AS (SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM scored JOIN docs USING (doc) WHERE score > 0)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM ranked WHERE rank <= 10"""
+
+#: Levels of a source's tree and of the tree over sources: enough for 3^13 documents and 3^5 sources.
+DOC_LEVELS, SOURCE_LEVELS = 13, 5
+
+
+def _field(column: str) -> str:
+    return f"coalesce(octet_length(encode({column}::VARCHAR))::VARCHAR || ':' || {column}::VARCHAR, '-')"
+
+
+def _leaf(text: str) -> str:
+    return "sha256(" + " || ".join(_field(c) for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+
+
+def _levels(name: str, count: int, by: str) -> str:
+    """Rows ({by}, i, h) of each level {name}0, {name}1 ...: runs of three hashed, or the one node that is left."""
+    out = []
+    for k in range(count):
+        out.append(
+            f"{name}{k + 1} AS (SELECT {by}, i // 3 AS i, CASE WHEN any_value(n) > 1 THEN sha256(string_agg(h, '' ORDER BY i)) ELSE any_value(h) END AS h, "
+            f"CASE WHEN any_value(n) > 1 THEN (any_value(n) + 2) // 3 ELSE 1 END AS n FROM {name}{k} GROUP BY {by}, i // 3)"
+        )
+    return ",\n".join(out)
+
+
+def _fold(start: str, name: str, count: int, by: str, first: int) -> str:
+    """Rows of ``start`` with their siblings at each level appended to proof, and here folded with them."""
+    out, last = [], start
+    for k in range(count):
+        now = f"fold{first + k}"
+        sib = f"SELECT {by}, i // 3 AS run, list({{'i': i, 'h': h}} ORDER BY i) AS sibs FROM {name}{k} WHERE n > 1 GROUP BY {by}, i // 3"
+        left, right = (f"coalesce(array_to_string([x.h for x in sibs if x.i {op} l.i], ''), '')" for op in ("<", ">"))
+        out.append(
+            f"{now} AS (SELECT l.* EXCLUDE (i, proof, here), l.i // 3 AS i, proof || {left} || {right} AS proof, CASE WHEN sibs IS NULL THEN here ELSE sha256({left} || here || {right}) END AS here "
+            f"FROM {last} l LEFT JOIN ({sib}) s ON l.{by} IS NOT DISTINCT FROM s.{by} AND l.i // 3 = s.run)"
+        )
+        last = now
+    return ",\n".join(out)
+
+
+#: CRC-32 by its table of 256 remainders.
+CRC = """crcs AS (SELECT list(c ORDER BY k) AS crc FROM (SELECT k, list_reduce([k, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM range(256) r(k)))"""
+EVEN = "list_reduce(list_concat([4294967295::BIGINT], [ascii(x)::BIGINT for x in string_split(doc_id::VARCHAR, '')]), lambda c, b: xor(c >> 8, crc[xor(c, b) % 256 + 1])) % 2 = 1"
+OP12 = f"""WITH {CRC},
+rows AS (SELECT row_number() OVER () AS doc, doc_id, source, {_leaf("text")} AS leaf, CASE WHEN doc_id IS NOT NULL AND {EVEN} THEN {_leaf("replace(text, chr(10), '')")} END AS other FROM documents, crcs),
+placed AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY source) AS n FROM rows),
+d0 AS (SELECT source, i, leaf AS h, n FROM placed),
+{_levels("d", DOC_LEVELS, "source")},
+s0 AS (SELECT 0 AS all_, row_number() OVER (ORDER BY encode(source) NULLS FIRST) - 1 AS i, h, count(*) OVER () AS n, source FROM d{DOC_LEVELS}),
+{_levels("s", SOURCE_LEVELS, "all_")},
+start AS (SELECT doc_id, source, leaf, i, '' AS proof, coalesce(other, leaf) AS here FROM placed),
+{_fold("start", "d", DOC_LEVELS, "source", 0)},
+turn AS (SELECT f.doc_id, f.leaf, s0.h AS subroot, 0 AS all_, s0.i, proof, here FROM fold{DOC_LEVELS - 1} f JOIN s0 ON f.source IS NOT DISTINCT FROM s0.source),
+{_fold("turn", "s", SOURCE_LEVELS, "all_", DOC_LEVELS)}
+SELECT doc_id, leaf, subroot, (SELECT h FROM s{SOURCE_LEVELS}) AS root, sha256(proof) AS proof_sha256, here AS folded_root, here = (SELECT h FROM s{SOURCE_LEVELS}) AS verified FROM fold{DOC_LEVELS + SOURCE_LEVELS - 1}"""
+
+ORACLES: dict[str, str] = {"op1_lattice_dedup": OP1, "op2_quality_rules": OP2, "op9_chat": OP9, "op10_suffix_dedup": OP10, "op12_merkle_manifest": OP12, "op13_block_max_wand": OP13}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from weftgraph.llm import attention_lm, chat, lattice, merkle_manifest, packing, piece_codec, quality_rules, repeats, simhash, site_quality, token_counts, warc
+from weftgraph.llm import attention_lm, chat, lattice, lexical, merkle_manifest, packing, piece_codec, quality_rules, repeats, simhash, site_quality, token_counts, warc
 from weftgraph.llm.common import table
 from weftgraph.llm.oracles import ORACLES as ORACLES
 
@@ -63,4 +63,8 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle_manifest.tamper_drill(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_lattice_dedup, op2_quality_rules, op3_simhash, op4_quality_classifier, op5_attention_lm, op6_piece_codec, op7_warc_fixity, op8_packing, op9_chat, op10_suffix_dedup, op11_token_counts, op12_merkle_manifest)}
+def op13_block_max_wand(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_lattice_dedup, op2_quality_rules, op3_simhash, op4_quality_classifier, op5_attention_lm, op6_piece_codec, op7_warc_fixity, op8_packing, op9_chat, op10_suffix_dedup, op11_token_counts, op12_merkle_manifest, op13_block_max_wand)}
