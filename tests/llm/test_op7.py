@@ -1,5 +1,6 @@
 """WARC segments and the Merkle audit."""
 
+import random
 import zlib
 
 import pytest
@@ -51,9 +52,9 @@ def test_audit_finds_what_was_changed(spark, pages):
             want.add((s.chunk, s.seq, len(s.entries), "damaged"))
         hurt.append((s.chunk, s.seq, data, s.entries))
     a = warc.ReplicaTree(spark.createDataFrame(segments, kind), "a")
-    b = warc.ReplicaTree(spark.createDataFrame(hurt, kind), "b", levels=len(a.above) - 1)
+    b = warc.ReplicaTree(spark.createDataFrame(hurt, kind), "b")
     assert {(r.chunk, r.seq, r.idx, r.status) for r in warc.audit(a, b).collect()} == want
-    assert warc.audit(a, warc.ReplicaTree(spark.createDataFrame(segments, kind), "c", levels=len(a.above) - 1)).count() == 0
+    assert warc.audit(a, warc.ReplicaTree(spark.createDataFrame(segments, kind), "c")).count() == 0
 
 
 def test_drill(pages):
@@ -95,3 +96,48 @@ def test_many_chunks_and_empty(spark, pages):
     got = {r.page_id: r.status for r in warc.fixity_drill(many, lambda p, _: p in (5, 59), lambda _: None).collect() if r.is_record}
     assert {k for k, v in got.items() if v == "damaged"} == {5, 59} and len(got) == 60
     assert warc.fixity_drill(pages.limit(0)).count() == 0
+
+
+def leaves(segments):
+    """(chunk, seq, idx) -> digest, begin and end of every range."""
+    out = {}
+    for s in segments:
+        low = warc.segment_tree(bytes(s[2]), [(e["offset"], e["offset"] + e["length"]) for e in s[3]])[0]
+        out |= {(s[0], s[1], i): x for i, x in enumerate(low)}
+    return out
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_random_replicas_against_all_leaves(spark, seed):
+    """Extra and missing chunks and segments, beyond sixteen too, and damage: the audit finds what comparing all leaves finds."""
+    rng = random.Random(seed)
+
+    def segment(chunk, seq, n):
+        body = [rng.randbytes(rng.randrange(1, 40)) for _ in range(n)]
+        at, entries = 0, []
+        for b in body:
+            entries.append({"page_id": len(entries), "offset": at, "length": len(b)})
+            at += len(b)
+        return (chunk, seq, b"".join(body), entries)
+
+    ours = [segment(c, q, rng.randrange(1, 40)) for c in range(rng.choice((1, 3, 20))) for q in range(rng.choice((1, 2, 18)))]
+    theirs = []
+    for s in ours:
+        kind = rng.random()
+        if kind < 0.1 and len(ours) > 1:
+            continue
+        if kind < 0.2:
+            s = (*s[:2], damaged(s[2], rng.randrange(len(s[2]))), s[3])
+        theirs.append(s)
+    extra = {0: [(max(s[0] for s in ours) + 1, 0)], 1: [(0, 40)], 2: [(300, 5)], 3: [(c, 0) for c in range(50, 70)], 4: [], 5: [(0, 19), (17, 300)]}[seed]
+    twin = ours[0]
+    theirs += [(c, q, twin[2], twin[3]) for c, q in extra]
+    if seed == 4:
+        ours = ours[:1]
+        theirs = [ours[0], (1, 0, *ours[0][2:])]  # the same segment again, as another chunk
+    pairs = [(ours, theirs), (theirs, ours)] if seed else [(ours, theirs), (ours, []), ([], ours), (ours, ours)]
+    for x, y in pairs:
+        a, b = (leaves(z) for z in (x, y))
+        want = {(*k, "extra" if k not in a else "missing" if k not in b else "damaged") for k in a.keys() | b.keys() if a.get(k) != b.get(k)}
+        trees = [warc.ReplicaTree(spark.createDataFrame(z, warc.SEGMENTS), n) for z, n in ((x, "x"), (y, "y"))]
+        assert {(r.chunk, r.seq, r.idx, r.status) for r in warc.audit(*trees).collect()} == want

@@ -4,8 +4,10 @@ Pages are written as WARC/1.1 records into segments of a few megabytes, with
 each record's offset range. Fixity of a replica is a tree of SHA-256 digests:
 a leaf for every offset range of a segment in order (the records, and what
 follows the last one), inner nodes over sixteen children each up to the
-segment's root, and over the segments' roots in order up to one root for the
-collection. Nodes hash their own offset range with their children's digests, so
+segment's root, over the segments' roots of a part of the table, sixteen at a
+time, and over the parts up to one root for the collection. Two replicas' trees
+are raised to the height that the larger one needs, so that one which has more
+segments or parts differs at the root. Nodes hash their own offset range with their children's digests, so
 moved content shows as well as changed content. An audit compares two replicas'
 roots and, only where they differ, their children, level by level, down to the
 damaged ranges: the nodes of a level are a folder of their own, and of these
@@ -16,7 +18,8 @@ Defined cases: a null html is an empty body, a null or empty url the URI
 Repeated rows and null page_ids get a record each. A segment that a replica
 lacks has every range "missing"; one that only the replica has is "extra". An
 empty table has no segments, and auditing it finds nothing. Only page_id, url
-and html are read.
+and html are read. A very long page is one record, and its segment as long as
+it; a segment is hashed in one task.
 """
 
 from __future__ import annotations
@@ -161,37 +164,45 @@ def inner(rows: DataFrame, by: list[str], order: str) -> DataFrame:
     return rows.groupBy(*by).agg(F.sha2(text, 256).alias("digest"))
 
 
+def levels_over(last: int | None) -> int:
+    """How often numbers up to ``last`` are divided by sixteen until one is left."""
+    levels = 0
+    while last is not None and last >= FAN**levels:
+        levels += 1
+    return levels
+
+
 class ReplicaTree:
-    """Nodes below segments, and above them: seq groups of sixteen within a chunk, chunks, groups of sixteen chunks and so on to the root.
+    """Nodes below segments, and the segments' own; heights: the levels that seq and chunk need above them.
 
-    Above segments a node is (level, id): ids at one level are the lower ones divided by sixteen, so a child
-    names its parent and no numbers need to be dealt out over the whole table.
+    Above segments ids at one level are the lower ones divided by sixteen, so a child names its parent and no numbers
+    need to be dealt out over the whole table.
     """
 
-    def __init__(self, segments: DataFrame, label: str, ranges: DataFrame | None = None, levels: int | None = None):
-        self.below = materialize(segment_nodes(segments, ranges), f"warc-{label}", by="level")
-        roots = self.below.where("top").select("chunk", "seq", "digest")
-        groups = inner(roots.withColumn("group", F.floor(F.col("seq") / FAN).cast("int")), ["chunk", "group"], "seq")
-        self.roots, self.groups = roots, materialize(groups, f"warc-{label}-groups")
-        chunks = materialize(inner(self.groups, ["chunk"], "group").select(F.col("chunk").cast("long").alias("id"), "digest"), f"warc-{label}-chunks")
-        self.above = [chunks]  # at most one row per part of the table, then sixteen times fewer each
-        if levels is None:
-            most, levels = chunks.agg(F.max("id")).first()[0], 0
-            while most is not None and most >= FAN**levels:
-                levels += 1
-        for _ in range(levels):
-            lower = self.above[-1].select(F.floor(F.col("id") / FAN).cast("long").alias("up"), "id", "digest")
-            self.above.append(inner(lower, ["up"], "id").select(F.col("up").alias("id"), "digest"))
-
-    def root(self) -> str | None:
-        row = self.above[-1].first()
-        return row["digest"] if row else None
-
-
-def differ(a: DataFrame, b: DataFrame, by: list[str], within: DataFrame | None, parent: list) -> DataFrame:
+    def __init__(self, segments: DataFrame, label: str, ranges: DataFrame | None = None):
+        self.label = f"warc-{label}"
+        self.below = materialize(segment_nodes(segments, ranges), self.label, by="level")
+        self.roots = self.below.where("top").select("chunk", F.col("seq").cast("long").alias("id"), "digest")
+        self.heights = tuple(map(levels_over, self.roots.agg(F.max("id"), F.max("chunk")).first()))
+
+    def raised(self, heights: tuple[int, int]) -> tuple[list[DataFrame], list[DataFrame]]:
+        """Levels from the segments up to one node a chunk, (chunk, id, digest), and from the chunks up to the root, (id, digest); the first that aren't nodes below segments are written."""
+        inside = [self.roots]
+        for _ in range(heights[0]):
+            up = inner(inside[-1].withColumn("up", F.floor(F.col("id") / FAN).cast("long")), ["chunk", "up"], "id").withColumnRenamed("up", "id")
+            inside.append(materialize(up, f"{self.label}-segments") if len(inside) == 1 else up)
+        over = [materialize(inside[-1].select(F.col("chunk").cast("long").alias("id"), "digest"), f"{self.label}-chunks")]
+        for _ in range(heights[1]):
+            over.append(inner(over[-1].withColumn("up", F.floor(F.col("id") / FAN).cast("long")), ["up"], "id").withColumnRenamed("up", "id"))
+        return inside, over
+
+
+def differ(a: DataFrame, b: DataFrame, by: list[str], within: DataFrame | None) -> DataFrame:
     """Keys of nodes whose digests differ or that one side lacks, among the children of ``within``."""
     if within is not None:
-        a, b = (x.join(within, [x[c] == within[n] if isinstance(c, str) else c(x) == within[n] for c, n in parent], "left_semi") for x in (a, b))
+        up = within.withColumnRenamed("id", "up")
+        keys = [*by[:-1], "up"]
+        a, b = (x.withColumn("up", F.floor(F.col("id") / FAN).cast("long")).join(up, keys, "left_semi") for x in (a, b))
     b = b.select(*by, F.col("digest").alias("other"))
     return a.join(b, by, "full").where(~F.col("digest").eqNullSafe(F.col("other"))).select(*by)
 
@@ -200,14 +211,20 @@ def audit(ours: ReplicaTree, theirs: ReplicaTree, label: str = "warc") -> DataFr
     """(chunk, seq, idx, begin, end, status) of the ranges in which theirs is damaged, missing or extra."""
     spark = ours.below.sparkSession
     empty = spark.createDataFrame([], "chunk int, seq int, idx long, begin long, end long, status string")
-    if ours.root() == theirs.root():
+    heights = tuple(map(max, zip(ours.heights, theirs.heights)))
+    (a_in, a_over), (b_in, b_over) = ours.raised(heights), theirs.raised(heights)
+    written = [x for x in (*a_in, *a_over, *b_in, *b_over) if hasattr(x, "stored_at")]
+    if a_over[-1].collect() == b_over[-1].collect():  # the roots: a row each, or none
+        for x in written:
+            discard(x)
         return empty
     within = None
-    for a, b in zip(reversed(ours.above), reversed(theirs.above)):
-        within = differ(a, b, ["id"], within, [(lambda x: F.floor(x["id"] / FAN).cast("long"), "id")])
-    chunks = within.select(F.col("id").cast("int").alias("chunk"))
-    groups = differ(ours.groups, theirs.groups, ["chunk", "group"], chunks, [("chunk", "chunk")])
-    bad = differ(ours.roots, theirs.roots, ["chunk", "seq"], groups, [("chunk", "chunk"), (lambda x: F.floor(x["seq"] / FAN).cast("int"), "group")])
+    for a, b in zip(reversed(a_over), reversed(b_over)):
+        within = differ(a, b, ["id"], within)
+    within = within.select(F.col("id").cast("int").alias("chunk"), F.lit(0).cast("long").alias("id"))
+    for a, b in zip(reversed(a_in), reversed(b_in)):
+        within = differ(a, b, ["chunk", "id"], within)
+    bad = within.select("chunk", F.col("id").cast("int").alias("seq"))
     bad = materialize(bad, f"{label}-segments")
     # within segments: each is entered at the higher of its two trees' tops, and children are those with idx div 16 of a mismatch
     tops = ours.below.where("top").select("chunk", "seq", "level").unionByName(theirs.below.where("top").select("chunk", "seq", "level"))
@@ -227,8 +244,8 @@ def audit(ours: ReplicaTree, theirs: ReplicaTree, label: str = "warc") -> DataFr
         b = b.select("chunk", "seq", "idx", F.col("begin").alias("b2"), F.col("end").alias("e2"), F.col("digest").alias("other"))
         both = a.join(b, ["chunk", "seq", "idx"], "full").where(~F.col("digest").eqNullSafe(F.col("other")))
         here = materialize(both.select("chunk", "seq", "idx", F.coalesce("begin", "b2").alias("begin"), F.coalesce("end", "e2").alias("end"), status.alias("status")), f"{label}-level")
-    discard(bad)
-    discard(entered)
+    for x in (bad, entered, *written):
+        discard(x)
     return empty if here is None else here
 
 
@@ -275,13 +292,17 @@ def fixity_drill(pages: DataFrame, hit: Callable[[int | None, bytes], bool] = pl
     """
     segments = materialize(write_segments(pages), "warc-written")
     ours = ReplicaTree(segments, "ours")
-    theirs = ReplicaTree(damaged_copy(segments, hit, lost), "theirs", levels=len(ours.above) - 1)
+    theirs = ReplicaTree(damaged_copy(segments, hit, lost), "theirs")
     found = audit(ours, theirs).select("chunk", "seq", "idx", "begin", "end", "status")
     records = segments.select("chunk", "seq", F.posexplode("entries").alias("pos", "entry")).select("chunk", "seq", F.col("pos").cast("long").alias("idx"), F.col("entry.page_id").alias("page_id"), F.lit(True).alias("is_record"))
     leaves = ours.below.where("level = 0").select("chunk", "seq", "idx", F.col("begin").alias("b1"), F.col("end").alias("e1"), F.col("digest").alias("leaf_sha256"))
     out = leaves.join(records, ["chunk", "seq", "idx"], "left").join(found, ["chunk", "seq", "idx"], "full")
     begin, end = F.coalesce("b1", "begin"), F.coalesce("e1", "end")
-    return out.select(
+    out = out.select(
         "page_id", F.coalesce("is_record", F.lit(False)).alias("is_record"), F.format_string("%05d-%05d", "chunk", "seq").alias("segment"), begin.alias("offset"), (end - begin).alias("length"),
         "leaf_sha256", F.coalesce("status", F.lit("intact")).alias("status"),
     )
+    out = materialize(out, "warc-drill")
+    for x in (segments, ours.below, theirs.below):
+        discard(x)
+    return out
