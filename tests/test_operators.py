@@ -184,7 +184,8 @@ def test_typescript_resolution(spark):
     sources = listing.where("path <> 'style.css'")
     spec = ["./b", "./c", "./d.js", "./b.js", "../style.css", "./none", "@/e", "@/deep/f", "react", "@/gone", "@/../style.css"]
     imports = spark.createDataFrame([("src/a.ts", s) for s in spec], "path string, specifier string")
-    aliases = spark.createDataFrame([("@/", "", "lib/", "", 0), ("@/deep/", "", "src/deep/", "", 0)], "prefix string, suffix string, target_prefix string, target_suffix string, nth int")
+    config = '{"compilerOptions": {"baseUrl": "./", // here\n "paths": {"@/*": ["lib/*"], "@/deep/*": ["src/deep/*"],}}}'
+    aliases = resolve.aliases(spark.createDataFrame([("tsconfig.json", config)], "path string, content string"))
     got = {r.specifier: (r.target, r.status) for r in resolve.resolve_typescript(imports, sources, listing, aliases).collect()}
     assert got == {
         "./b": ("src/b.tsx", "internal"), "./c": ("src/c/index.ts", "internal"), "./d.js": ("src/d.js", "internal"), "./b.js": ("src/b.tsx", "internal"),

@@ -128,12 +128,12 @@ def is_symlink(external_attributes: Column) -> Column:
 
 
 def normalised(path: Path) -> Column:
-    """Without ".", and with ".." taking its parent away."""
+    """Without ".", and with ".." taking its parent away; null where that would leave the top."""
     kept = F.aggregate(
         segments(path),
         F.array().cast("array<string>"),
         lambda out, p: F.when(p.isin("", "."), out)
-        .when(p == "..", F.slice(out, 1, F.greatest(F.size(out) - 1, F.lit(0))))
-        .otherwise(F.concat(out, F.array(p))),
+        .when(p == "..", F.when(F.size(out) > 0, F.slice(out, 1, F.greatest(F.size(out) - 1, F.lit(0)))))
+        .when(out.isNotNull(), F.concat(out, F.array(p))),
     )
     return F.array_join(kept, "/")

@@ -8,7 +8,7 @@ from collections.abc import Iterator
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftgraph.functions import paths, texts
@@ -56,13 +56,13 @@ def by_convention(files: DataFrame, roots: DataFrame | None = None) -> DataFrame
     rel = F.expr("CASE WHEN root = '' THEN path ELSE substring(path, length(root) + 2) END")
     said = {"": "", "path": F.concat(F.lit(" ("), p, F.lit(")")), "folder": F.concat(F.lit(" ("), F.split(rel, "/")[0], F.lit("/)"))}
     rule = F.coalesce(*[F.when(rel.rlike(r), F.struct(F.lit(i).alias("rule_pos"), F.concat(F.lit(name), said[end] if end else F.lit("")).alias("reason"))) for i, (r, name, end) in enumerate(CONVENTIONS)])
-    return here.withColumn("rule", rule).where("rule is not null").select("path", "rule.reason", F.struct(F.lit(1).alias("phase"), F.col("root_pos").alias("a"), F.col("rule.rule_pos").alias("b")).alias("prio"))
+    return here.withColumn("rule", rule).where("rule is not null").select("path", "rule.reason", F.struct(F.lit(1).alias("phase"), F.lit("").alias("manifest"), F.col("root_pos").alias("a"), F.col("rule.rule_pos").alias("b")).alias("prio"))
 
 
 def anywhere(files: DataFrame) -> DataFrame:
     p = F.col("path")
     rule = F.coalesce(*[F.when(p.rlike(r), F.struct(F.lit(i).alias("pos"), F.lit(name).alias("reason"))) for i, (r, name) in enumerate(ANYWHERE)])
-    return files.withColumn("rule", rule).where("rule is not null").select("path", "rule.reason", F.struct(F.lit(2).alias("phase"), F.lit(0).alias("a"), F.col("rule.pos").alias("b")).alias("prio"))
+    return files.withColumn("rule", rule).where("rule is not null").select("path", "rule.reason", F.struct(F.lit(2).alias("phase"), F.lit("").alias("manifest"), F.lit(0).alias("a"), F.col("rule.pos").alias("b")).alias("prio"))
 
 
 def by_content(contents: DataFrame) -> DataFrame:
@@ -74,7 +74,7 @@ def by_content(contents: DataFrame) -> DataFrame:
         .when(p.endswith(".py") & c.rlike(texts.PY_MAIN_GUARD), F.lit("Python __main__ guard"))
         .when(p.endswith(".go") & ~p.endswith("_test.go") & c.rlike(texts.GO_PACKAGE_MAIN), F.lit("Go package main"))
     )
-    return contents.withColumn("reason", reason).where("reason is not null").select("path", "reason", F.struct(F.lit(3).alias("phase"), F.lit(0).alias("a"), F.lit(0).alias("b")).alias("prio"))
+    return contents.withColumn("reason", reason).where("reason is not null").select("path", "reason", F.struct(F.lit(3).alias("phase"), F.lit("").alias("manifest"), F.lit(0).alias("a"), F.lit(0).alias("b")).alias("prio"))
 
 
 def strings_in(value) -> Iterator[str]:
@@ -167,44 +167,43 @@ def target_candidates(target: Column) -> Column:
 def by_manifest(files: DataFrame, manifests: DataFrame) -> DataFrame:
     """(path, reason, prio): every file that a manifest's target may stand for; targets with a star and declarations name none."""
     named = named_targets(manifests).where(~F.col("target").contains("*") & ~F.col("target").startswith("#") & ~paths.is_declaration(F.col("target")))
-    order = manifests.select(F.col("path").alias("manifest")).distinct()
-    pos = order.select("manifest", F.rank().over(Window.orderBy("manifest")).alias("a"))  # one row a manifest
     c = named.select("manifest", "dir", "pos", "reason", F.explode(target_candidates(F.col("target"))).alias("rel"))
     c = c.withColumn("path", F.when(F.col("dir") == "", F.col("rel")).otherwise(F.concat_ws("/", "dir", "rel")))
-    hit = c.join(files.select("path"), "path", "left_semi").join(pos, "manifest")
-    return hit.select("path", "reason", F.struct(F.lit(0).alias("phase"), "a", F.col("pos").alias("b")).alias("prio"))
+    hit = c.join(files.select("path"), "path", "left_semi")
+    return hit.select("path", "reason", F.struct(F.lit(0).alias("phase"), "manifest", F.lit(0).alias("a"), F.col("pos").alias("b")).alias("prio"))
 
 
 def wildcard_exports(manifests: DataFrame) -> DataFrame:
     """(manifest, key, target), each once, of exports that name families of files."""
-    at = F.concat_ws("/", F.nullif("dir", F.lit("")), paths.normalised(F.col("target")))
-    return named_targets(manifests).where(F.col("target").contains("*") & (F.col("key") != "")).select("manifest", "key", at.alias("target")).distinct()
+    at = paths.normalised(F.concat_ws("/", "dir", "target"))
+    return named_targets(manifests).where(F.col("target").contains("*") & (F.col("key") != "")).select("manifest", "key", at.alias("target")).where("target is not null").distinct()
+
+
+SCRIPT = re.compile(r"""[\w.-]+\s*=\s*["']([\w.]+)(?::[\w.]+)?["']""")
 
 
 def script_targets(manifests: DataFrame) -> DataFrame:
-    """(path, reason): the modules that pyproject.toml scripts name, in its directory or src/ below it; manifests(path, content)."""
-    import tomllib
+    """(path, reason): the modules that pyproject.toml scripts name, in its directory or src/ below it; manifests(path, content).
+
+    Manifests are read by lines, so that damage elsewhere in one loses nothing.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
             for p, c in zip(b["path"], b["content"]):
-                if p.rpartition("/")[2] != "pyproject.toml":
-                    continue
-                try:
-                    data = tomllib.loads(c or "")
-                except ValueError:
-                    continue
-                tables = [data.get("project", {}).get("scripts", {}), data.get("tool", {}).get("poetry", {}).get("scripts", {})]
-                for t in (x for table in tables if isinstance(table, dict) for x in table.values() if isinstance(x, str)):
-                    stem = t.partition(":")[0].strip().replace(".", "/")
-                    base = p.rpartition("/")[0]
-                    for lead in (base, f"{base}/src" if base else "src"):
-                        for tail in (".py", "/__init__.py"):
-                            rows.append((f"{lead}/{stem}{tail}" if lead else f"{stem}{tail}", "pyproject.toml script"))
+                base, inside = p.rpartition("/")[0], False
+                for line in map(str.strip, (c or "").splitlines()):
+                    if line.startswith("["):
+                        inside = line.startswith(("[project.scripts]", "[tool.poetry.scripts]"))
+                    elif inside and (m := SCRIPT.match(line)):
+                        stem = m[1].replace(".", "/")
+                        for lead in (base, f"{base}/src" if base else "src"):
+                            rows += [(f"{lead}/{stem}{tail}" if lead else f"{stem}{tail}", "pyproject.toml script") for tail in (".py", "/__init__.py")]
             yield pd.DataFrame(rows, columns=["path", "reason"])
 
-    return manifests.select("path", "content").mapInPandas(run, "path string, reason string")
+    own = manifests.where(paths.name_of(F.col("path")) == "pyproject.toml")
+    return own.select("path", "content").mapInPandas(run, "path string, reason string")
 
 
 def entry_points(files: DataFrame, manifests: DataFrame | None = None, contents: DataFrame | None = None, roots: DataFrame | None = None) -> DataFrame:
@@ -213,7 +212,7 @@ def entry_points(files: DataFrame, manifests: DataFrame | None = None, contents:
     if manifests is not None:
         parts.append(by_manifest(files, manifests))
         scripts = script_targets(manifests).join(files.select("path"), "path", "left_semi")
-        parts.append(scripts.select("path", "reason", F.struct(F.lit(0).alias("phase"), F.lit(1 << 20).alias("a"), F.lit(0).alias("b")).alias("prio")))
+        parts.append(scripts.select("path", "reason", F.struct(F.lit(0).alias("phase"), F.lit("\U0010ffff").alias("manifest"), F.lit(0).alias("a"), F.lit(0).alias("b")).alias("prio")))
     if contents is not None:
         parts.append(by_content(contents))
     every = reduce(DataFrame.unionByName, parts).where(~paths.is_declaration(F.col("path")))

@@ -1,6 +1,7 @@
 """Point queries, degrees, hubs, orphans and region roll-ups of a path graph.
 
-nodes(path, ...) and edges(id, src, dst) are plain tables. Ids are compared and
+nodes(path, ...) and edges(id, src, dst) are plain tables; where they have
+repo_id, every operator but the point queries works within each repository. Ids are compared and
 ordered by code units; pass ``collation="UNICODE"`` where names are shown to
 people and locale order is wanted.
 """
@@ -10,14 +11,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftgraph.operators.scoped import scope
 from weftgraph.plans.fixpoint import reachable
 
 
 def build_graph(files: DataFrame) -> DataFrame:
     """edges(id, src, dst) from files(path, imports): imports of unknown files are dropped; repeated imports and self-loops stay."""
-    known = files.select(F.col("path").alias("dst"))
-    raw = files.select(F.col("path").alias("src"), F.explode("imports").alias("dst"))
-    return raw.join(known, "dst", "left_semi").select(F.concat("src", F.lit("->"), "dst").alias("id"), "src", "dst")
+    g = scope(files)
+    known = files.select(*g, F.col("path").alias("dst"))
+    raw = files.select(*g, F.col("path").alias("src"), F.explode("imports").alias("dst"))
+    return raw.join(known, [*g, "dst"], "left_semi").select(*g, F.concat("src", F.lit("->"), "dst").alias("id"), "src", "dst")
 
 
 def get_node(nodes: DataFrame, path: str) -> DataFrame:
@@ -62,12 +65,13 @@ def all_impacts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(path, in_degree, out_degree): repeated edges and self-loops count, isolated nodes have zero."""
+    g = scope(nodes, edges)
     # both ends of an edge from one row: the edges are read once
-    end = lambda c, i, o: F.struct(F.col(c).alias("path"), F.lit(i).alias("i"), F.lit(o).alias("o"))
+    end = lambda c, i, o: F.struct(*g, F.col(c).alias("path"), F.lit(i).alias("i"), F.lit(o).alias("o"))
     ends = edges.select(F.explode(F.array(end("dst", 1, 0), end("src", 0, 1))).alias("e")).select("e.*")
-    total = ends.groupBy("path").agg(F.sum("i").alias("i"), F.sum("o").alias("o"))
+    total = ends.groupBy(*g, "path").agg(F.sum("i").alias("i"), F.sum("o").alias("o"))
     zero = F.lit(0).cast("long")
-    return nodes.select("path").join(total, "path", "left").select("path", F.coalesce("i", zero).alias("in_degree"), F.coalesce("o", zero).alias("out_degree"))
+    return nodes.select(*g, "path").join(total, [*g, "path"], "left").select(*g, "path", F.coalesce("i", zero).alias("in_degree"), F.coalesce("o", zero).alias("out_degree"))
 
 
 #: Below this many nodes the hub threshold is fixed, from it on it is the 95th percentile.
@@ -76,20 +80,28 @@ SMALL_GRAPH, SMALL_THRESHOLD, PERCENTILE = 20, 15, 0.95
 
 def hubs(degree: DataFrame) -> DataFrame:
     """(path, in_degree) of nodes that very many import: over 15 in a graph of under 20 nodes, else at or above the nearest-rank 95th percentile and above zero."""
-    limits = degree.agg(F.count("*").alias("n"), F.expr(f"percentile_disc({PERCENTILE}) WITHIN GROUP (ORDER BY in_degree)").alias("p"))
+    g = scope(degree)
+    # degrees are few: counted first, the rank is found among them and no sort holds a whole repository
+    counts = degree.groupBy(*g, "in_degree").agg(F.count("*").alias("m"))
+    w = Window.partitionBy(*g)
+    upto = counts.select(*g, "in_degree", F.sum("m").over(w.orderBy("in_degree")).alias("upto"), F.sum("m").over(w).alias("n"))
+    limits = upto.groupBy(*g).agg(F.max("n").alias("n"), F.min(F.when(F.col("upto") >= F.ceil(F.col("n") * F.lit(PERCENTILE).cast("decimal(4,2)")), F.col("in_degree"))).alias("p"))
     over = F.when(F.col("n") < SMALL_GRAPH, F.col("in_degree") > SMALL_THRESHOLD).otherwise((F.col("in_degree") >= F.col("p")) & (F.col("in_degree") > 0))
-    return degree.crossJoin(F.broadcast(limits)).where(over).select("path", "in_degree")  # limits is one row
+    both = degree.join(limits, g) if g else degree.crossJoin(F.broadcast(limits))  # without repo_id limits is one row
+    return both.where(over).select(*g, "path", "in_degree")
 
 
 def orphans(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    return nodes.select("path").join(edges.select(F.col("dst").alias("path")), "path", "left_anti")
+    g = scope(nodes, edges)
+    return nodes.select(*g, "path").join(edges.select(*g, F.col("dst").alias("path")), [*g, "path"], "left_anti")
 
 
 def region_edges(folders: DataFrame, edges: DataFrame) -> DataFrame:
     """(source, target, n_edges) between different folders; folders(path, folder)."""
-    a = folders.select(F.col("path").alias("src"), F.col("folder").alias("source"))
-    b = folders.select(F.col("path").alias("dst"), F.col("folder").alias("target"))
-    return edges.join(a, "src").join(b, "dst").where("source <> target").groupBy("source", "target").agg(F.count("*").alias("n_edges"))
+    g = scope(folders, edges)
+    a = folders.select(*g, F.col("path").alias("src"), F.col("folder").alias("source"))
+    b = folders.select(*g, F.col("path").alias("dst"), F.col("folder").alias("target"))
+    return edges.join(a, [*g, "src"]).join(b, [*g, "dst"]).where("source <> target").groupBy(*g, "source", "target").agg(F.count("*").alias("n_edges"))
 
 
 def stroke_width(n: Column) -> Column:

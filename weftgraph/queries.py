@@ -26,6 +26,8 @@ def query(sql: str | None = None):
     """Register a query under its function's name, with its SQL."""
 
     def put(f):
+        if f.__name__ in QUERIES:
+            raise ValueError(f"two queries {f.__name__}")
         QUERIES[f.__name__] = f
         if sql is not None:
             ORACLES[f.__name__] = sql
@@ -794,7 +796,8 @@ def res4_classification(s, d):
     forms = (F.concat(F.lit("/"), "path"), F.concat(F.lit("/style"), n, F.lit(".css")), F.concat(F.lit("/gone"), n), F.concat(F.lit("pkg"), n), F.concat(F.lit("@/"), "path"), F.concat(F.lit("@/style"), n, F.lit(".css")), F.concat(F.lit("./gone"), n))
     imports = p.select("path", F.element_at(F.array(*forms), (F.col("p_partkey") % 7 + 1).cast("int")).alias("specifier"))
     listing = p.select("path").unionByName(p.select(F.concat(F.lit("style"), n, F.lit(".css")).alias("path")))
-    aliases = s.createDataFrame([("@/", "", "", "", 0)], "prefix string, suffix string, target_prefix string, target_suffix string, nth int")
+    config = s.createDataFrame([("tsconfig.json", '{"compilerOptions": {/* here */ "paths": {"@/*": ["*",],}}}')], "path string, content string")
+    aliases = resolve.aliases(config)
     return resolve.resolve_typescript(imports, p, listing, aliases)
 
 
@@ -934,7 +937,7 @@ def p4_file_evidence(s, d):
 
 
 @query("SELECT DISTINCT 'o' || l_orderkey || '->?./s' || l_suppkey AS id, 'unknown' AS confidence FROM lineitem")
-def v4_unresolved_stubs(s, d):
+def v4_stub_ids(s, d):
     line = ad.table(s, d, "lineitem").select(F.concat(F.lit("o"), F.col("l_orderkey").cast("string")).alias("path"), F.concat(F.lit("./s"), F.col("l_suppkey").cast("string")).alias("specifier"))
     return confidence.unresolved_stubs(line).select("id", "confidence")
 

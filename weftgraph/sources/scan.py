@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from weftgraph.functions import paths
+from weftgraph.operators import resolve
+from weftgraph.operators.scoped import scope
 
 # Folders that hold no sources of the project, marks of a package root, and limits.
 EXCLUDED = ("node_modules", ".git", ".next", ".venv", "__pycache__", ".pytest_cache", ".tox", ".mypy_cache", ".ruff_cache", "site-packages", "conda-meta")
@@ -49,35 +51,38 @@ def project_root(listing: DataFrame) -> DataFrame:
 
 def output_directories(configs: DataFrame) -> DataFrame:
     """(dir) that the tsconfig.json files of configs(path, content) name as their outDir; comments and trailing commas are allowed."""
-    plain = F.regexp_replace("content", r"(?s)(\"(?:[^\"\\\\]|\\\\.)*\")|//[^\n]*|/\*.*?\*/", "$1")
-    out = F.get_json_object(F.regexp_replace(plain, r",(\s*[}\]])", "$1"), "$.compilerOptions.outDir")
+    g = scope(configs)
+    out = F.get_json_object(resolve.bare_json(F.col("content")), "$.compilerOptions.outDir")
     own = paths.directory(F.col("path"))
-    named = configs.where(paths.name_of(F.col("path")) == "tsconfig.json").select(own.alias("own"), paths.normalised(F.concat_ws("/", own, out)).alias("dir"), out.alias("out"))
-    return named.where("out is not null and dir <> own and dir <> ''").select("dir")
+    named = configs.where(paths.name_of(F.col("path")) == "tsconfig.json").select(*g, own.alias("own"), paths.normalised(F.concat_ws("/", own, out)).alias("dir"), out.alias("out"))
+    return named.where("out is not null and dir <> own and dir <> ''").select(*g, "dir")
 
 
 def excluded_directories(listing: DataFrame, configs: DataFrame | None = None) -> DataFrame:
     """(dir): virtual environments by what they hold, build output beside a package root (the project's root is one), and outDirs of configs."""
+    g = scope(listing, configs)
     p = F.col("path")
-    up = listing.select("path", paths.directory(p).alias("dir"), paths.name_of(p).alias("name"))
-    env = up.groupBy("dir").agg(F.bool_or(F.col("name") == "pyvenv.cfg").alias("cfg")).where("cfg").select("dir")
-    activate = up.where(F.col("name").isin("activate", "activate.bat", "Activate.ps1") & F.col("dir").rlike(r"(^|/)(bin|Scripts)$")).select(F.regexp_replace("dir", r"/?(bin|Scripts)$", "").alias("dir"))
-    packages = listing.where(p.rlike(r"(^|/)site-packages/")).select(F.regexp_replace(F.regexp_extract("path", r"^(.*?)/?(?:lib|Lib|lib64)/", 1), "/$", "").alias("dir")).distinct()
-    env = env.unionByName(activate.join(packages, "dir", "left_semi"))
-    roots = up.where(F.col("name").isin(*ROOT_MARKERS)).select("dir").unionByName(listing.sparkSession.createDataFrame([("",)], "dir string")).distinct()
-    build = roots.select(F.explode(F.array(*[F.when(F.col("dir") == "", n).otherwise(F.concat("dir", F.lit(f"/{n}"))) for n in BUILD_NAMES])).alias("dir"))
+    up = listing.select(*g, "path", paths.directory(p).alias("dir"), paths.name_of(p).alias("name"))
+    env = up.where(F.col("name") == "pyvenv.cfg").select(*g, "dir").distinct()
+    activate = up.where(F.col("name").isin("activate", "activate.bat") & F.col("dir").rlike(r"(^|/)(bin|Scripts)$")).select(*g, F.regexp_replace("dir", r"/?(bin|Scripts)$", "").alias("dir"))
+    packages = listing.where(p.rlike(r"(^|/)(?:lib(?:/python[^/]*)?|Lib)/site-packages/")).select(*g, F.regexp_replace(F.regexp_extract("path", r"^(.*?)/?(?:lib(?:/python[^/]*)?|Lib)/site-packages/", 1), "/$", "").alias("dir")).distinct()
+    env = env.unionByName(activate.join(packages, [*g, "dir"], "left_semi"))
+    tops = listing.select(*g, F.lit("").alias("dir")) if g else listing.sparkSession.createDataFrame([("",)], "dir string")
+    roots = up.where(F.col("name").isin(*ROOT_MARKERS)).select(*g, "dir").unionByName(tops).distinct()
+    build = roots.select(*g, F.explode(F.array(*[F.when(F.col("dir") == "", n).otherwise(F.concat("dir", F.lit(f"/{n}"))) for n in BUILD_NAMES])).alias("dir"))
     every = env.where("dir <> ''").unionByName(build)
     return (every if configs is None else every.unionByName(output_directories(configs))).distinct()
 
 
 def sources(listing: DataFrame, extensions: tuple[str, ...] = SOURCE_EXTENSIONS, configs: DataFrame | None = None) -> DataFrame:
     """listing without excluded folders and other files, in order of path; configs(path, content) has the tsconfig.json files."""
+    g = scope(listing, configs)
     p = F.col("path")
     dirs = F.slice(paths.segments(p), 1, F.size(paths.segments(p)) - 1)
     named = F.exists(dirs, lambda d: d.isin(*EXCLUDED) | d.startswith(".") | d.endswith(".egg-info"))
     kept = listing.where(~named & paths.extension(p).isin(*extensions))
-    inside = kept.select("path", F.explode(paths.ancestors(p)).alias("dir")).join(excluded_directories(listing, configs), "dir", "left_semi").select("path").distinct()
-    return kept.join(inside, "path", "left_anti").orderBy("path")
+    inside = kept.select(*g, "path", F.explode(paths.ancestors(p)).alias("dir")).join(excluded_directories(listing, configs), [*g, "dir"], "left_semi").select(*g, "path").distinct()
+    return kept.join(inside, [*g, "path"], "left_anti").orderBy(*g, "path")
 
 
 class ScanLimit(ValueError):
