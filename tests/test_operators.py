@@ -383,6 +383,128 @@ def test_rate_limits(spark, tmp_path):
     assert have == got
 
 
+def test_state_of_idle_clients_goes(spark, tmp_path):
+    """Batches in order of time: decisions are the batch's, a hit before its client's latest is marked, and clients whose windows have passed have no state left."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    rules = (limits.Rule("r", 60_000, 2), limits.Rule("day", 300_000, 3))
+    rng = random.Random(5)
+    rounds = [[(f"c{rng.randrange(4)}", k * 200_000 + rng.randrange(150_000)) for _ in range(25)] for k in range(5)] + [[("z", 3_000_000)], [("z", 3_000_001), ("z", 2_999_000)], [("y", 6_000_000)], [("y", 6_000_001)]]
+    src, decided = tmp_path / "in", []
+    src.mkdir()
+    for k, hits in enumerate(rounds):
+        spark.createDataFrame(hits, "client string, t_ms long").coalesce(1).write.mode("append").parquet(str(src))
+        stream = spark.readStream.schema("client string, t_ms long").parquet(str(src)).withColumn("at", F.timestamp_millis("t_ms")).withWatermark("at", "300 seconds")
+        q = limits.limited_stream(stream, rules, "at").writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).outputMode("append").trigger(availableNow=True).start()
+        assert q.awaitTermination(120), "the stream did not end"
+    key = lambda r: (r.client, r.t_ms, not r.admitted)
+    decided = sorted(spark.read.parquet(str(tmp_path / "out")).collect(), key=key)
+    every = [h for hits in rounds for h in hits if h != ("z", 2_999_000)]
+    want = sorted(limits.limited_batch(spark.createDataFrame(every, "client string, t_ms long"), rules).collect(), key=key)
+    assert [(r.client, r.t_ms, r.admitted, r.rule, r.retry_after_s) for r in decided if not r.late] == [tuple(r) for r in want]
+    assert [(r.client, r.t_ms) for r in decided if r.late] == [("z", 2_999_000)]
+    left = spark.read.format("statestore").option("stateVarName", "last").load(str(tmp_path / "cp"))
+    assert {r.key.client for r in left.collect()} <= {"y", "z"}
+
+
+def test_region_figure(spark):
+    spec = {f"lib/a/f{i}.ts": ["lib/a/f0.ts", "ui/x.ts"] if i % 2 else ["lib/b/g.ts"] for i in range(40)} | {"lib/b/g.ts": ["lib/a/f1.ts"], "ui/x.ts": ["lib/a/f0.ts", "core/c.ts"], "core/c.ts": ["lib/b/g.ts"], "lib/a/t.test.ts": ["lib/a/f0.ts", "ui/x.ts"]}
+    nodes, edges = graph_of(spark, spec)
+    files = nodes.select("path", F.split("path", "/")[0].alias("folder"))
+    loose = spark.createDataFrame([("lib/a/f39.ts", "./u"), ("lib/a/f0.ts", "./v"), ("ui/x.ts", "./w"), ("lib/a/t.test.ts", "./q")], "path string, specifier string")
+    members, units, links = diagram.region_figure(files, edges, "lib", loose)
+    unit = {r.path: r.unit for r in members.collect()}
+    shown = [p for p in spec if p.startswith("lib/") and "test" not in p]
+    degree = {p: sum((a == p) + (b == p) for a, bs in spec.items() for b in bs) for p in shown}
+    top = sorted(shown, key=lambda p: (-degree[p], p))[:31]
+    assert unit == {p: f"f:{p}" if p in top else "u:#overflow" for p in shown}
+    want = {}
+    for a, bs in spec.items():
+        for b in bs:
+            if a.startswith("lib/") or b.startswith("lib/"):
+                ends = (unit.get(a) if a.startswith("lib/") else f"b:in:{a.split('/')[0]}", unit.get(b) if b.startswith("lib/") else f"b:out:{b.split('/')[0]}")
+                if None not in ends:
+                    want[ends] = want.get(ends, 0) + 1
+    for p in ("lib/a/f39.ts", "lib/a/f0.ts"):
+        want[unit[p], "u:#unresolved"] = want.get((unit[p], "u:#unresolved"), 0) + 1
+    assert {(r.source, r.target): r.n for r in links.collect()} == want
+    kinds = {r.id: (r.kind, r.label, r.files) for r in units.collect()}
+    assert kinds["u:#overflow"] == ("overflow", "+ 10 more files", 10) and kinds["b:out:ui"] == ("boundary", "ui", 1) and kinds["u:#unresolved"] == ("unresolved", "2 unresolved imports", 0) and len(kinds) == 31 + 1 + 4 - 1 + 1
+    only = diagram.region_figure(files.where("path like '%test%'"), edges, "lib")[0]
+    assert col(only) == ["lib/a/t.test.ts"]
+
+
+def test_leaks_into_tests_that_are_not_on_the_figure(spark):
+    units = spark.createDataFrame([("lib/a.ts", "lib", 1), ("ui/b.ts", "ui", 1)], "path string, unit string, line_count long")
+    edges = spark.createDataFrame([("lib/a.ts", "tests/x.test.ts"), ("lib/a.ts", "ui/b.ts"), ("tests/x.test.ts", "ui/b.ts")], "src string, dst string")
+    assert [(r.subject, r.figure) for r in diagram.findings(units, edges).where("kind = 'test-leak'").collect()] == [("lib", 1)]
+
+
+def test_parents_that_lead_into_a_circle(spark):
+    parents = {"a": "b", "b": "a", "c": "b", "d": None, "e": "d", "f": "gone", "g": "g", "h": "g"}
+    rows = [("folder", k, v, 0, []) for k, v in parents.items()]
+    got = boundaries.boundary_violations(spark.createDataFrame(rows, "kind string, path string, parent string, n_files long, contained array<string>"), spark.createDataFrame([], "path string"))
+    assert {(r.rule, r.subject) for r in got.collect()} == {("parent-cycle", f"folder:{k}") for k in "abcgh"} | {("missing-parent", "folder:f")}
+
+
+def test_answers(spark):
+    long = "x" * 3000
+    texts_ = {
+        1: '```json
+{"answer": " a b‑c​ ", "claims": [{"text": "t", "section": 5, "citations": [{"kind": "edge", "id": 3}, {"kind": "page", "id": "p"}, null]}, 4, "x"], "uncertainty": ""}
+```',
+        2: f'Sure: {{"summary": "", "answer": "{long}", "readingOrder": [{{"id": "a", "reason": "r"}}, {{"id": "b"}}, {{"reason": "r"}}], "claims": {{}}}} Bye',
+        3: "no json", 4: "[1]", 5: None, 6: "} {", 7: '{"claims": [{"text": {"a": 1}}]}',
+    }
+    got = {r.id: r for r in evidence.parsed_answers(spark.createDataFrame(list(texts_.items()), "id int, text string")).collect()}
+    assert got[1].answer == "a b-c" and [(c.text, c.section, [tuple(x) for x in c.citations]) for c in got[1].claims] == [("t", None, [("edge", "")])] and got[1].uncertainty is None
+    assert got[2].answer == long[:2000] and [tuple(s) for s in got[2].reading_order] == [("a", "r")] and got[2].claims == []
+    assert [got[i].ok for i in range(1, 8)] == [True, True, False, False, False, False, True] and got[3].claims is None
+    assert [c.text for c in got[7].claims] == [""]
+
+
+def test_work_within_a_budget(spark, tmp_path):
+    from weftgraph.sources.store import BudgetSpent, Store
+
+    store, key = Store(spark, str(tmp_path)), "1" * 8 + "-0000-0000-0000-" + "0" * 12
+    store.save_within(key, 100, lambda check: {"nodes": spark.range(3)})
+    assert store.load(key, "nodes").count() == 3
+    late = "2" + key[1:]
+
+    def slow(check):
+        import time as clock
+
+        def wait(batches):
+            for b in batches:
+                clock.sleep(30)
+                yield b
+
+        return {"nodes": spark.range(3), "edges": spark.range(2).repartition(2).mapInPandas(wait, "id long")}
+
+    with pytest.raises(BudgetSpent):
+        store.save_within(late, 5, slow)
+    assert store.load(late, "nodes") is None and store.load(late, "edges") is None
+    assert spark.range(5).count() == 5  # later work is not cancelled
+
+
+def test_steps_over_stored_edges_deal_out_the_frontier_only(spark, tmp_path):
+    from weftgraph.sources.store import Store
+
+    store = Store(spark, str(tmp_path))
+    edges = spark.createDataFrame([(f"n{i}", f"n{i * 7 % 50}") for i in range(200)], "src string, dst string")
+    try:
+        store.save_adjacency("kept_edges", edges, 4)
+        frontier = spark.createDataFrame([("n7",), ("n9",)], "path string")
+        assert col(store.step("kept_edges", frontier)) == ["n13", "n49"] and col(store.step("kept_edges", frontier, True)) == sorted(f"n{i}" for i in range(200) if i * 7 % 50 in (7, 9))
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        plan = store.step("kept_edges", frontier)._jdf.queryExecution().executedPlan().toString()
+        scan = plan[: plan.index("FileScan")].splitlines()[-6:] if "FileScan" in plan else []
+        assert scan and not any("Exchange" in x for x in scan), plan
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        for end in ("src", "dst"):
+            spark.sql(f"DROP TABLE IF EXISTS kept_edges_by_{end}")
+
+
 def test_sources(spark, tmp_path):
     assert [scan.sniff_one(x) for x in (b"", b"a\x00b", b"\x01\x02\x03abc", "é".encode() * 50, b"\xff" * 20 + b"ab")] == ["empty", "binary", "binary", "text", "invalid-encoding"]
     buf = io.BytesIO()
@@ -505,3 +627,19 @@ def test_counts_are_rounded_like_doubles(spark):
     for v in values:
         exact = str(Decimal(v / 1000).quantize(Decimal("0.1"), ROUND_HALF_UP)).removesuffix(".0") + "k"
         assert got[v] == (str(v) if v < 1000 else exact)
+
+
+DIRECTED = ("g4_outgoing", "g5_impact", "a1_degrees", "a2_hubs", "r1_reached", "v3_boundary_stubs", "d7_unit_edges", "d8_d9_flagged", "d10_shared_parts", "x3_region_key_files")
+
+
+@pytest.mark.parametrize("name", DIRECTED)
+def test_turning_the_edges_round_changes_the_rows(spark, monkeypatch, name):
+    from weftgraph import adapters, queries
+
+    def rows():
+        df = queries.QUERIES[name](spark, "/root/testdata/sf0.001")
+        return sorted(map(str, df.collect()))
+
+    edges, straight = adapters.order_edges, rows()
+    monkeypatch.setattr(adapters, "order_edges", lambda s, d: edges(s, d).select("id", F.col("dst").alias("src"), F.col("src").alias("dst")))
+    assert straight and rows() != straight

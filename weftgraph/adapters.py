@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -79,3 +79,55 @@ def part_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 PART_EDGES = PARTS + """, pedges AS (SELECT a.path AS src, b.path AS dst FROM (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem) JOIN parts a ON a.p_partkey = l_partkey JOIN parts b ON b.p_partkey = l_suppkey)"""
+
+
+def order_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(path, line_count, k, region, nth, m): region/nation/customer/order, and a library for each market segment.
+
+    nth of m is an order's place among its customer's, by date; they are null for libraries.
+    """
+    names = nation_paths(spark, sf_dir)
+    c = table(spark, sf_dir, "customer")
+    own = c.join(F.broadcast(names), c["c_nationkey"] == names["key"]).select("c_custkey", "c_mktsegment", "path")
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
+    w = Window.partitionBy("o_custkey")
+    rows = o.join(own, o["o_custkey"] == own["c_custkey"]).select(
+        F.concat("path", F.lit("/c"), F.col("c_custkey").cast("string"), F.lit("/o"), F.col("o_orderkey").cast("string"), F.lit(".ts")).alias("path"),
+        (F.col("o_orderkey") % 200 + 1).cast("long").alias("line_count"), F.col("c_custkey").alias("k"), F.split("path", "/")[0].alias("region"), "c_mktsegment",
+        F.row_number().over(w.orderBy("o_orderdate", "o_orderkey")).alias("nth"), F.count("*").over(w).alias("m"),
+    )
+    none = F.lit(None)
+    lib = own.select(F.concat(F.lit("lib/"), "c_mktsegment", F.lit(".ts")).alias("path")).distinct()
+    lib = lib.select("path", F.lit(50).cast("long").alias("line_count"), none.cast("long").alias("k"), none.cast("string").alias("region"), none.cast("string").alias("c_mktsegment"), none.cast("int").alias("nth"), none.cast("long").alias("m"))
+    return rows.unionByName(lib)
+
+
+def order_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A sparse directed graph over order_nodes, with chains, cycles, loops and hubs.
+
+    An order imports its customer's order before it, the first one the library of the segment; the last order of
+    customer k that of customer k / 2, if its region comes no later; with every tenth customer the first imports the
+    last too, with every twenty-fifth the last itself; and the least library imports the least order.
+    """
+    n = order_nodes(spark, sf_dir)
+    o = n.where("k is not null")
+    before = F.lag("path").over(Window.partitionBy("k").orderBy("nth"))
+    chain = o.select("path", F.when(F.col("nth") == 1, F.concat(F.lit("lib/"), "c_mktsegment", F.lit(".ts"))).otherwise(before).alias("dst"))
+    last = o.where("nth = m").select("k", "path", "region")
+    half = last.select(F.col("k").alias("h"), F.col("path").alias("dst"), F.col("region").alias("other"))
+    up = last.where("k > 1").join(half, F.floor(F.col("k") / 2) == F.col("h")).where("region >= other").select("path", "dst")
+    first = o.where("nth = 1 and m > 1 and k % 10 = 0").select("path", "k").join(last.select("k", F.col("path").alias("dst")), "k").select("path", "dst")
+    loop = last.where("k % 25 = 1").select("path", F.col("path").alias("dst"))
+    least = n.agg(F.min(F.when(F.col("k").isNull(), F.col("path"))).alias("path"), F.min("path").alias("dst")).where("path is not null")
+    every = chain.unionByName(up).unionByName(first).unionByName(loop).unionByName(least)
+    return every.select(F.concat("path", F.lit("->"), "dst").alias("id"), F.col("path").alias("src"), "dst")
+
+
+ORDERS = """cust AS (SELECT c_custkey AS k, c_mktsegment AS seg, r_name AS region, r_name || '/' || n_name || '/c' || c_custkey AS dir FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey),
+ords AS MATERIALIZED (SELECT k, seg, region, dir || '/o' || o_orderkey || '.ts' AS path, CAST(o_orderkey % 200 + 1 AS BIGINT) AS line_count, row_number() OVER (PARTITION BY k ORDER BY o_orderdate, o_orderkey) AS nth, count(*) OVER (PARTITION BY k) AS m FROM orders JOIN cust ON o_custkey = k),
+lasts AS (SELECT k, region, path FROM ords WHERE nth = m),
+nodes AS MATERIALIZED (SELECT path, line_count FROM ords UNION ALL SELECT DISTINCT 'lib/' || seg || '.ts', CAST(50 AS BIGINT) FROM cust),
+pairs AS MATERIALIZED (SELECT a.path AS src, b.path AS dst FROM ords a JOIN ords b ON a.k = b.k AND a.nth = b.nth + 1 UNION ALL SELECT path, 'lib/' || seg || '.ts' FROM ords WHERE nth = 1
+  UNION ALL SELECT a.path, b.path FROM lasts a JOIN lasts b ON a.k // 2 = b.k AND a.k > 1 AND a.region >= b.region UNION ALL SELECT a.path, b.path FROM ords a JOIN lasts b ON a.k = b.k WHERE nth = 1 AND m > 1 AND a.k % 10 = 0
+  UNION ALL SELECT path, path FROM lasts WHERE k % 25 = 1 UNION ALL SELECT min(path) FILTER (WHERE path LIKE 'lib/%'), min(path) FROM nodes),
+edges AS MATERIALIZED (SELECT src || '->' || dst AS id, src, dst FROM pairs)"""

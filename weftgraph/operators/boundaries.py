@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from weftgraph.functions import paths
 from weftgraph.operators.cluster import adaptive_clusters
+from weftgraph.plans.fixpoint import written
 
 KINDS = ("module-root", "folder", "region")
 
@@ -45,20 +46,32 @@ def in_order(boundaries: DataFrame) -> DataFrame:
     return boundaries.orderBy(F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind")), "path")
 
 
+def endless(links: DataFrame) -> DataFrame:
+    """(key) of links(key, up), one up for each key, from which going up never ends: every round doubles the steps that are taken."""
+    links = written(links.select("key", "up").dropDuplicates(["key"]))
+    n = live = links.count()
+    steps = 1
+    while live and steps <= n:
+        far = links.select(F.col("key").alias("up"), F.col("up").alias("further"))
+        links = written(links.join(far, "up").select("key", F.col("further").alias("up")))  # what reaches a top has no row left
+        live, steps = links.count(), 2 * steps
+    return links.select("key")
+
+
 def boundary_violations(boundaries: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(rule, subject): repeated boundaries, unknown or unordered members, missing parents, parents that lead back."""
+    """(rule, subject): repeated boundaries, unknown, repeated or unordered members, missing parents, parents that lead into a circle."""
     key = F.concat("kind", F.lit(":"), "path")
     b = boundaries.withColumn("key", key)
     member = b.select("key", F.posexplode("contained").alias("pos", "member"))
     after = F.lag("member").over(Window.partitionBy("key").orderBy("pos"))
     above = b.where("parent is not null").select("key", "kind", F.concat("kind", F.lit(":"), "parent").alias("parent_key"))
-    back = b.where((F.col("parent") == F.col("path")) | F.col("parent").startswith(F.concat("path", F.lit("/"))))
     parts = {
         "duplicate-boundary": b.groupBy("key").count().where("count > 1").select("key"),
         "unknown-member": member.join(nodes.select(F.col("path").alias("member")), "member", "left_anti").select("key").distinct(),
-        "unordered-members": member.withColumn("before", after).where("before >= member").select("key").distinct(),
+        "duplicate-member": member.groupBy("key", "member").count().where("count > 1").select("key").distinct(),
+        "unordered-members": member.withColumn("before", after).where("before > member").select("key").distinct(),
         "missing-parent": above.join(b.select(F.col("key").alias("parent_key")), "parent_key", "left_anti").select("key"),
-        "parent-cycle": back.select("key"),
+        "parent-cycle": endless(above.select("key", F.col("parent_key").alias("up"))),
     }
     return reduce(DataFrame.unionByName, [df.select(F.lit(rule).alias("rule"), F.col("key").alias("subject")) for rule, df in parts.items()])
 

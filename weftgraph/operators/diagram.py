@@ -139,8 +139,8 @@ def findings(units: DataFrame, edges: DataFrame, unresolved: DataFrame | None =
     measures = unit_measures(units, edges)
     names = units.select("unit").distinct()
     test = paths.is_test
-    leak = edges.join(units.select(F.col("path").alias("src"), F.col("unit").alias("source")), "src").join(units.select(F.col("path").alias("dst"), F.col("unit").alias("target")), "dst")
-    # one finding for all: the units that import tests, and how often
+    # one finding for all: the units that import tests, and how often; the tests needn't be on the figure
+    leak = edges.join(units.select(F.col("path").alias("src"), F.col("unit").alias("source")), "src")
     leak = leak.where(~test(F.col("src")) & test(F.col("dst"))).groupBy("source").agg(F.count("*").alias("n"))
     leak = leak.agg(F.array_join(F.sort_array(F.collect_list("source")), ",").alias("subject"), F.sum("n").alias("figure")).where("figure > 0")  # a figure's units
     touched = between.select(F.col("source").alias("unit")).unionByName(between.select(F.col("target").alias("unit")))
@@ -192,6 +192,53 @@ def key_files(files: DataFrame, units: DataFrame, n: int = 3) -> DataFrame:
     return own.withColumn("rank", rk).where(F.col("rank") <= n).select("unit", "path", F.col("rank").cast("long").alias("rank"))
 
 
+# --- one region -------------------------------------------------------------------------------------------
+
+
+def region_figure(files: DataFrame, edges: DataFrame, region: str, unresolved: DataFrame | None = None, preset: str = "document", include_tests: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(members, units, links) of the figure of one region: files(path, folder), edges(src, dst), unresolved(path, specifier).
+
+    Tests are left out if other files are there. The files with the most connections are units of their own, up to the
+    preset's budget; beyond it the rest are one overflow unit. Other regions are boundary units, one for what is
+    imported from here (in) and one for what is imported there (out); unresolved imports lead to a unit of their own.
+    members(path, unit) are the files shown; units(id, kind, label, files); links(source, target, n) are what the
+    edges come to, with those inside one unit.
+    """
+    budget = BUDGETS[preset][1]
+    own = files.where(F.col("folder") == region).select("path", paths.is_test(F.col("path")).alias("test"))
+    only = own.agg(F.coalesce(F.bool_and("test"), F.lit(True)).alias("only_tests"))
+    shown = own.crossJoin(F.broadcast(only)).where(F.lit(include_tests) | ~F.col("test") | F.col("only_tests")).select("path")  # one row
+    ends = edges.select(F.explode(F.array("src", "dst")).alias("path")).join(shown, "path", "left_semi").groupBy("path").agg(F.count("*").alias("degree"))
+    scored = shown.join(ends, "path", "left").select("path", F.coalesce("degree", F.lit(0)).alias("degree"))
+    total = scored.agg(F.count("*").alias("total"))
+    chosen = scored.orderBy(F.desc("degree"), "path").limit(budget)
+    rank = F.row_number().over(Window.orderBy(F.desc("degree"), "path"))  # of as many rows as the budget
+    cut = chosen.select("path", rank.alias("rank")).crossJoin(F.broadcast(total)).where(F.col("rank") <= F.when(F.col("total") > budget, budget - 1).otherwise(budget)).select("path", F.concat(F.lit("f:"), "path").alias("unit"))
+    members = written(shown.join(cut, "path", "left").select("path", F.coalesce("unit", F.lit("u:#overflow")).alias("unit")))
+    near = files.select("path", "folder")
+    a, b = near.select(F.col("path").alias("src"), F.col("folder").alias("from_folder")), near.select(F.col("path").alias("dst"), F.col("folder").alias("to_folder"))
+    touching = edges.join(a, "src").join(b, "dst").where((F.col("from_folder") == region) | (F.col("to_folder") == region))
+    u, v = members.select(F.col("path").alias("src"), F.col("unit").alias("from_unit")), members.select(F.col("path").alias("dst"), F.col("unit").alias("to_unit"))
+    placed = touching.join(u, "src", "left").join(v, "dst", "left")
+    inside = (F.col("from_folder") == region) & (F.col("to_folder") == region)
+    source = F.when(F.col("from_folder") == region, F.col("from_unit")).otherwise(F.concat(F.lit("b:in:"), "from_folder"))
+    target = F.when(F.col("to_folder") == region, F.col("to_unit")).otherwise(F.concat(F.lit("b:out:"), "to_folder"))
+    links = placed.select(source.alias("source"), target.alias("target"), inside.alias("inside")).where("source is not null and target is not null").groupBy("source", "target").agg(F.count("*").alias("n"))
+    if unresolved is not None:
+        lost = unresolved.join(members, "path").groupBy(F.col("unit").alias("source")).agg(F.count("*").alias("n"))
+        links = links.unionByName(lost.select("source", F.lit("u:#unresolved").alias("target"), "n"))
+    links = written(links)
+    size = files.groupBy(F.col("folder").alias("label")).agg(F.count("*").alias("files"))
+    far = links.select(F.explode(F.array("source", "target")).alias("id")).where("id like 'b:%'").distinct().withColumn("label", F.regexp_replace("id", "^b:(in|out):", ""))
+    mine = members.groupBy(F.col("unit").alias("id")).agg(F.count("*").alias("files"))
+    over = F.col("id") == "u:#overflow"
+    shown_units = mine.select("id", F.when(over, "overflow").otherwise("file").alias("kind"), F.when(over, F.concat(F.lit("+ "), F.col("files").cast("string"), F.lit(" more files"))).otherwise(paths.name_of(F.col("id"))).alias("label"), "files")
+    lost = links.where("target = 'u:#unresolved'").groupBy(F.col("target").alias("id")).agg(F.sum("n").alias("n"))
+    units = shown_units.unionByName(far.join(size, "label", "left").select("id", F.lit("boundary").alias("kind"), "label", F.coalesce("files", F.lit(0)).alias("files")))
+    units = units.unionByName(lost.select("id", F.lit("unresolved").alias("kind"), F.concat(F.col("n").cast("string"), F.lit(" unresolved imports")).alias("label"), F.lit(0).cast("long").alias("files")))
+    return members, units, links
+
+
 # --- Mermaid ----------------------------------------------------------------------------------------------
 
 

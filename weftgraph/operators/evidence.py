@@ -102,3 +102,44 @@ def file_facts(nodes: DataFrame, edges: DataFrame, path: str) -> DataFrame:
     rank = import_rank(degrees(nodes, edges).select("path", "in_degree")).where(F.col("path") == path).select("rank")
     every = nodes.agg(F.count("*").alias("of"))
     return out.crossJoin(into).crossJoin(far).crossJoin(rank).crossJoin(every).select(F.lit(path).alias("path"), "imports", "imported_by", "indirect", "rank", "of")  # one row each
+
+
+# --- answers of language models ---------------------------------------------------------------------------
+
+# Kinds of citations, characters that fonts don't show, and the most characters of each part.
+CITATION_KINDS = ("node", "edge", "region", "analyzer-result")
+SPACES, UNSHOWN, HYPHEN = "\u2007\u202f\u2009\u200a\u00a0\u3000", "\u200b\u2060\ufeff", "\u2011"
+TEXT, SECTION, REFERENCE, REASON = 2000, 60, 500, 300
+
+
+def said(value: Column, at: str, limit: int) -> Column:
+    """The text at a path of a variant, shown spaces plain, cut; "" for anything but text."""
+    here = F.try_variant_get(value, at, "variant")
+    plain = F.translate(F.try_variant_get(value, at, "string"), SPACES + HYPHEN + UNSHOWN, " " * len(SPACES) + "-")
+    return F.when(F.coalesce(F.schema_of_variant(here) == "STRING", F.lit(False)), F.substring(F.trim(plain), 1, limit)).otherwise("")
+
+
+def objects(value: Column, at: str) -> Column:
+    """The objects in the list at a path of a variant; none for anything else."""
+    items = F.try_variant_get(value, at, "array<variant>")
+    return F.filter(F.coalesce(items, F.array().cast("array<variant>")), lambda x: F.coalesce(F.schema_of_variant(x).startswith("OBJECT"), F.lit(False)))
+
+
+def parsed_answers(answers: DataFrame) -> DataFrame:
+    """(id, answer, claims, reading_order, uncertainty, ok) of answers(id, text), JSON as models write it.
+
+    Fences are taken off, and text around the outermost braces; ok is false where no object is left, and all else null
+    then. Parts of a wrong kind are dropped one by one: claims that are no objects, citations of unknown kinds, steps
+    without an id or a reason.
+    """
+    bare = F.trim(F.regexp_replace(F.regexp_replace(F.trim("text"), r"(?i)^```(?:json)?\s*", ""), r"\s*```$", ""))
+    inner = F.regexp_extract(bare, r"(?s)(\{.*\})", 1)
+    whole = F.coalesce(F.try_parse_json(bare), F.try_parse_json(inner))
+    v = F.col("v")
+    body = answers.select("id", whole.alias("v")).withColumn("ok", F.coalesce(F.schema_of_variant("v").startswith("OBJECT"), F.lit(False)))
+    cited = lambda c: F.transform(F.filter(objects(c, "$.citations"), lambda x: said(x, "$.kind", SECTION).isin(*CITATION_KINDS)), lambda x: F.struct(said(x, "$.kind", SECTION).alias("kind"), said(x, "$.id", REFERENCE).alias("id")))
+    claims = F.transform(objects(v, "$.claims"), lambda c: F.struct(said(c, "$.text", TEXT).alias("text"), F.nullif(said(c, "$.section", SECTION), F.lit("")).alias("section"), cited(c).alias("citations")))
+    steps = F.filter(F.transform(objects(v, "$.readingOrder"), lambda x: F.struct(said(x, "$.id", REFERENCE).alias("id"), said(x, "$.reason", REASON).alias("reason"))), lambda x: (x["id"] != "") & (x["reason"] != ""))
+    answer = F.coalesce(F.nullif(said(v, "$.summary", TEXT), F.lit("")), said(v, "$.answer", TEXT))
+    only = lambda c: F.when(F.col("ok"), c)
+    return body.select("id", only(answer).alias("answer"), only(claims).alias("claims"), only(steps).alias("reading_order"), only(F.nullif(said(v, "$.uncertainty", TEXT), F.lit(""))).alias("uncertainty"), "ok")

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from weftgraph import adapters as ad
 from weftgraph.functions import identity, measures, paths, texts
-from weftgraph.operators import boundaries, cluster, confidence, cycles, diagram, entrypoints, evidence, extractions as extracted, graph, ir, reach, resolve, search, tour
+from weftgraph.operators import analysis, boundaries, cluster, confidence, cycles, diagram, entrypoints, evidence, extractions as extracted, graph, ir, reach, resolve, search, tour
 from weftgraph.plans import fixpoint
 from weftgraph.sources import extract, scan, store
 from weftgraph.streaming import limits, retention
@@ -40,6 +40,10 @@ def trade(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return ad.trade_nodes(s, d), ad.trade_edges(s, d)
 
 
+def chains(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    return ad.order_nodes(s, d).select("path", "line_count"), ad.order_edges(s, d)
+
+
 def by_form(table: DataFrame, key: str, forms: tuple[str, ...]) -> DataFrame:
     """(path): for each row the form that its key's remainder names, with the key in it."""
     each = F.array(*[F.format_string(x, key) for x in forms])
@@ -51,7 +55,7 @@ def regions(nodes: DataFrame) -> DataFrame:
     return nodes.select("path", paths.directory(F.col("path")).alias("folder"))
 
 
-T, FS, PE = f"WITH RECURSIVE {ad.TRADE}", f"WITH {ad.FILES}", f"WITH {ad.PART_EDGES}"
+O, T, FS, PE = f"WITH RECURSIVE {ad.ORDERS}", f"WITH RECURSIVE {ad.TRADE}", f"WITH {ad.FILES}", f"WITH {ad.PART_EDGES}"
 DEG = """, deg AS (SELECT path, (SELECT count(*) FROM edges WHERE dst = path) AS in_degree, (SELECT count(*) FROM edges WHERE src = path) AS out_degree FROM nodes)"""
 FOLD = """, fold AS (SELECT path, regexp_replace(path, '/?[^/]*$', '') AS folder FROM nodes)"""
 ASIA = "ASIA/NATION_17"
@@ -65,44 +69,44 @@ def first_path(nodes: DataFrame) -> str:
 # --- graph --------------------------------------------------------------------------------------------------
 
 
-@query(T + " SELECT id, src, dst FROM edges")
+@query(O + " SELECT id, src, dst FROM edges")
 def g1_build_graph(s, d):
-    nodes, edges = trade(s, d)
+    nodes, edges = chains(s, d)
     extra = F.array(F.lit("nowhere"))
     files = nodes.join(edges.groupBy(F.col("src").alias("path")).agg(F.collect_list("dst").alias("own")), "path", "left")
     return graph.build_graph(files.select("path", F.concat(F.coalesce("own", F.array().cast("array<string>")), extra).alias("imports")))
 
 
-@query(T + f" SELECT path, line_count FROM nodes WHERE path = '{ASIA}'")
+@query(O + " SELECT path, line_count FROM nodes WHERE path = 'lib/BUILDING.ts'")
 def g2_get_node(s, d):
-    return graph.get_node(ad.trade_nodes(s, d), ASIA)
+    return graph.get_node(ad.order_nodes(s, d).select("path", "line_count"), "lib/BUILDING.ts")
 
 
-@query(T + " SELECT id, src, dst FROM edges WHERE id = (SELECT min(id) FROM edges)")
+@query(O + " SELECT id, src, dst FROM edges WHERE id = (SELECT min(id) FROM edges)")
 def g3_get_edge(s, d):
-    nodes, edges = trade(s, d)
+    nodes, edges = chains(s, d)
     return graph.get_edge(nodes, edges, edges.agg(F.min("id")).first()[0])
 
 
-@query(T + f" SELECT path, line_count FROM nodes WHERE path IN (SELECT dst FROM edges WHERE src = {FIRST} UNION SELECT src FROM edges WHERE dst = {FIRST})")
+@query(O + f" SELECT path, line_count FROM nodes WHERE path IN (SELECT dst FROM edges WHERE src = {FIRST} UNION SELECT src FROM edges WHERE dst = {FIRST})")
 def g4_neighbors(s, d):
-    nodes, edges = trade(s, d)
+    nodes, edges = chains(s, d)
     return graph.neighbors(nodes, edges, first_path(nodes), "both")
 
 
 REACH_ALL = ", back AS (SELECT path AS seed, path AS node FROM nodes UNION SELECT seed, src FROM back JOIN edges ON dst = node)"
 
 
-@query(T + REACH_ALL + f" SELECT node AS path FROM back WHERE seed = (SELECT dst FROM edges GROUP BY dst ORDER BY count(*) DESC, dst LIMIT 1) AND node <> seed")
+@query(O + REACH_ALL + f" SELECT node AS path FROM back WHERE seed = (SELECT dst FROM edges GROUP BY dst ORDER BY count(*) DESC, dst LIMIT 1) AND node <> seed")
 def g5_impact(s, d):
-    nodes, edges = trade(s, d)
+    nodes, edges = chains(s, d)
     top = edges.groupBy("dst").count().orderBy(F.desc("count"), "dst").first()["dst"]
     return graph.impact(nodes, edges, top)
 
 
-@query(T + REACH_ALL + " SELECT seed AS path, count(*) - 1 AS n_impacted FROM back GROUP BY seed")
+@query(O + REACH_ALL + " SELECT seed AS path, count(*) - 1 AS n_impacted FROM back GROUP BY seed")
 def g5_all_impacts(s, d):
-    return graph.all_impacts(*trade(s, d))
+    return graph.all_impacts(*chains(s, d))
 
 
 @query()
@@ -115,9 +119,9 @@ def g6_find_cycles(s, d):
 SCC = ", fwd AS (SELECT path AS a, path AS b FROM nodes UNION SELECT a, dst FROM fwd JOIN edges ON src = b), scc AS (SELECT x.a AS node, min(x.b) AS component FROM fwd x JOIN fwd y ON x.a = y.b AND x.b = y.a GROUP BY x.a)"
 
 
-@query(T + SCC + " SELECT node, component FROM scc")
+@query(O + SCC + " SELECT node, component FROM scc")
 def g7_strong_components(s, d):
-    nodes, edges = trade(s, d)
+    nodes, edges = chains(s, d)
     return fixpoint.strong_components(nodes.select(F.col("path").alias("node")), edges)
 
 
@@ -127,9 +131,9 @@ def g7_components(s, d):
     return fixpoint.components(nodes.select(F.col("path").alias("node")), edges)
 
 
-@query(T + " SELECT e.src AS a, e.dst AS b, CASE WHEN e.src < e.dst THEN e.src || '|' || e.dst ELSE e.dst || '|' || e.src END AS form FROM edges e JOIN edges f ON e.src = f.dst AND e.dst = f.src")
+@query(O + " SELECT e.src AS a, e.dst AS b, CASE WHEN e.src < e.dst THEN e.src || '|' || e.dst ELSE e.dst || '|' || e.src END AS form FROM edges e JOIN edges f ON e.src = f.dst AND e.dst = f.src")
 def g8_canonical_cycles(s, d):
-    _, edges = trade(s, d)
+    _, edges = chains(s, d)
     back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
     form = F.replace(cycles.canonical(F.array("src", "dst")), F.lit("\x00"), F.lit("|"))
     return edges.join(back, ["src", "dst"], "left_semi").select(F.col("src").alias("a"), F.col("dst").alias("b"), form.alias("form"))
@@ -138,14 +142,14 @@ def g8_canonical_cycles(s, d):
 # --- observations -------------------------------------------------------------------------------------------
 
 
-@query(T + DEG + " SELECT path, in_degree, out_degree FROM deg")
+@query(O + DEG + " SELECT path, in_degree, out_degree FROM deg")
 def a1_degrees(s, d):
-    return graph.degrees(*trade(s, d))
+    return graph.degrees(*chains(s, d))
 
 
-@query(T + DEG + " SELECT path, in_degree FROM deg, (SELECT quantile_disc(in_degree, 0.95) AS p FROM deg) WHERE in_degree >= p AND in_degree > 0")
+@query(O + DEG + " SELECT path, in_degree FROM deg, (SELECT quantile_disc(in_degree, 0.95) AS p FROM deg) WHERE in_degree >= p AND in_degree > 0")
 def a2_hubs(s, d):
-    return graph.hubs(graph.degrees(*trade(s, d)))
+    return graph.hubs(graph.degrees(*chains(s, d)))
 
 
 PDEG = ", pdeg AS (SELECT p.path, count(e.src) AS in_degree FROM parts p LEFT JOIN pedges e ON e.dst = p.path GROUP BY p.path)"
@@ -161,18 +165,18 @@ def a3_orphans(s, d):
     return graph.orphans(ad.part_files(s, d), ad.part_edges(s, d))
 
 
-RE = ", re AS (SELECT a.folder AS source, b.folder AS target, count(*) AS n_edges FROM edges JOIN fold a ON src = a.path JOIN fold b ON dst = b.path WHERE a.folder <> b.folder GROUP BY 1, 2)"
+RE = ", ends AS MATERIALIZED (SELECT a.folder AS source, b.folder AS target FROM edges JOIN fold a ON src = a.path JOIN fold b ON dst = b.path), re AS (SELECT source, target, count(*) AS n_edges FROM ends WHERE source <> target GROUP BY 1, 2)"
 
 
-@query(T + FOLD + RE + " SELECT source, target, n_edges FROM re")
+@query(O + FOLD + RE + " SELECT source, target, n_edges FROM re")
 def a5_region_edges(s, d):
-    nodes, edges = trade(s, d)
+    nodes, edges = chains(s, d)
     return graph.region_edges(regions(nodes), edges)
 
 
-@query(T + FOLD + RE + " SELECT source, target, round(least(greatest(1.25 + 0.75 * log2(greatest(1, n_edges)), 1.25), 4.5), 6) AS width, round(n_edges / (max(n_edges) OVER ())::DOUBLE, 6) AS share FROM re")
+@query(O + FOLD + RE + " SELECT source, target, round(least(greatest(1.25 + 0.75 * log2(greatest(1, n_edges)), 1.25), 4.5), 6) AS width, round(n_edges / (max(n_edges) OVER ())::DOUBLE, 6) AS share FROM re")
 def a6_stroke_and_share(s, d):
-    nodes, edges = trade(s, d)
+    nodes, edges = chains(s, d)
     r = graph.region_edges(regions(nodes), edges)
     return r.select("source", "target", F.round(graph.stroke_width(F.col("n_edges")), 6).alias("width"), F.round(graph.size_share(F.col("n_edges")), 6).alias("share"))
 
@@ -190,9 +194,9 @@ def a7_framework(s, d):
     return graph.framework(top, ad.table(s, d, "customer").select(F.when(F.col("c_custkey") == 1, "next").otherwise("vue").alias("name")))
 
 
-@query(T + DEG + " SELECT path, in_degree FROM deg ORDER BY in_degree DESC, path LIMIT 5")
+@query(O + DEG + " SELECT path, in_degree FROM deg ORDER BY in_degree DESC, path LIMIT 5")
 def a8_hub_lens(s, d):
-    return graph.top_lens(graph.degrees(*trade(s, d)).select("path", "in_degree"), "in_degree", 5)
+    return graph.top_lens(graph.degrees(*chains(s, d)).select("path", "in_degree"), "in_degree", 5)
 
 
 REASON = "CASE WHEN o_orderkey % 5 = 0 THEN 'test file' ELSE 'rule ' || o_orderpriority || ' (' || o_orderstatus || ')' END"
@@ -398,9 +402,9 @@ SEEDS = "(SELECT path FROM nodes WHERE path LIKE 'ASIA/%')"
 REACHED = f", hit AS (SELECT path AS node FROM nodes WHERE path IN {SEEDS} UNION SELECT dst FROM hit JOIN edges ON src = node)"
 
 
-@query(T + REACHED + " SELECT node AS path FROM hit")
+@query(O + REACHED + " SELECT node AS path FROM hit")
 def r1_reached(s, d):
-    nodes, edges = trade(s, d)
+    nodes, edges = chains(s, d)
     return reach.reached(nodes, edges, nodes.where("path like 'ASIA/%'"))
 
 
@@ -443,9 +447,9 @@ def p1_by_path(s, d):
     return known(ad.trade_nodes(s, d))
 
 
-@query(T + " SELECT id, CASE WHEN length(src) % 3 = 0 THEN 'heuristic' ELSE 'derived' END AS confidence FROM edges")
+@query(O + " SELECT id, CASE WHEN length(src) % 3 = 0 THEN 'heuristic' ELSE 'derived' END AS confidence FROM edges")
 def p2_edge_confidence(s, d):
-    nodes, edges = trade(s, d)
+    nodes, edges = chains(s, d)
     return confidence.edge_confidence(edges, known(nodes)).select("id", "confidence")
 
 
@@ -462,27 +466,27 @@ def p3_unresolved_by_file(s, d):
     return confidence.unresolved_by_file(hrefs(s, d)).select("path", "n_unresolved")
 
 
-@query(T + FOLD + " SELECT folder, count(*) FILTER (WHERE length(path) % 3 = 0) AS n_reduced FROM fold GROUP BY folder")
+@query(O + FOLD + " SELECT folder, count(*) FILTER (WHERE length(path) % 3 = 0) AS n_reduced FROM fold GROUP BY folder")
 def p5_reduced_by_region(s, d):
-    nodes, _ = trade(s, d)
+    nodes, _ = chains(s, d)
     return confidence.reduced_by_region(regions(nodes), known(nodes))
 
 
-@query(T + FOLD + " SELECT DISTINCT a.folder AS src_folder, b.folder AS dst_folder FROM edges JOIN fold a ON src = a.path JOIN fold b ON dst = b.path WHERE a.folder <> b.folder")
+@query(O + FOLD + " SELECT DISTINCT a.folder AS src_folder, b.folder AS dst_folder FROM edges JOIN fold a ON src = a.path JOIN fold b ON dst = b.path WHERE a.folder <> b.folder")
 def v1_folder_edges(s, d):
-    nodes, edges = trade(s, d)
+    nodes, edges = chains(s, d)
     return confidence.folder_edges(edges, regions(nodes))
 
 
-@query(T + FOLD + " SELECT a.folder AS folder, src, dst FROM edges JOIN fold a ON src = a.path JOIN fold b ON dst = b.path WHERE a.folder = b.folder")
+@query(O + FOLD + " SELECT a.folder AS folder, src, dst FROM edges JOIN fold a ON src = a.path JOIN fold b ON dst = b.path WHERE a.folder = b.folder")
 def v2_interior_edges(s, d):
-    nodes, edges = trade(s, d)
+    nodes, edges = chains(s, d)
     return confidence.interior_edges(edges, regions(nodes))
 
 
-@query(T + FOLD + ", x AS (SELECT src, dst, a.folder AS sf, b.folder AS df FROM edges JOIN fold a ON src = a.path JOIN fold b ON dst = b.path WHERE a.folder <> b.folder) SELECT DISTINCT sf AS region, src AS path, 'out' AS direction, df AS neighbour FROM x UNION SELECT DISTINCT df, dst, 'in', sf FROM x")
+@query(O + FOLD + ", x AS (SELECT src, dst, a.folder AS sf, b.folder AS df FROM edges JOIN fold a ON src = a.path JOIN fold b ON dst = b.path WHERE a.folder <> b.folder) SELECT DISTINCT sf AS region, src AS path, 'out' AS direction, df AS neighbour FROM x UNION SELECT DISTINCT df, dst, 'in', sf FROM x")
 def v3_boundary_stubs(s, d):
-    nodes, edges = trade(s, d)
+    nodes, edges = chains(s, d)
     return confidence.boundary_stubs(edges, regions(nodes))
 
 
@@ -532,42 +536,42 @@ def d4_expand(s, d):
     return s.createDataFrame([(u,) for u in diagram.expand(kids, loose, 24)], "unit string")
 
 
-@query(T + UNITS + ", e AS (SELECT a.unit AS source, b.unit AS target, id, row_number() OVER (PARTITION BY a.unit, b.unit ORDER BY id) AS rk FROM edges JOIN units a ON src = a.path JOIN units b ON dst = b.path) SELECT source, target, count(*) AS n, string_agg(id, ' ' ORDER BY id) FILTER (WHERE rk <= 5) AS samples FROM e GROUP BY 1, 2")
+@query(O + UNITS + ", e AS (SELECT a.unit AS source, b.unit AS target, id, row_number() OVER (PARTITION BY a.unit, b.unit ORDER BY id) AS rk FROM edges JOIN units a ON src = a.path JOIN units b ON dst = b.path) SELECT source, target, count(*) AS n, string_agg(id, ' ' ORDER BY id) FILTER (WHERE rk <= 5) AS samples FROM e GROUP BY 1, 2")
 def d7_unit_edges(s, d):
-    nodes, edges = trade(s, d)
+    nodes, edges = chains(s, d)
     return diagram.unit_edges(units_of(nodes), edges).withColumn("samples", F.array_join("samples", " "))
 
 
-@query(T + UNITS + UE + UX + """, w AS (SELECT source AS a, target AS b FROM ux UNION SELECT a, target FROM w JOIN ux ON source = b)
+@query(O + UNITS + UE + UX + """, w AS (SELECT source AS a, target AS b FROM ux UNION SELECT a, target FROM w JOIN ux ON source = b)
 SELECT source, target, n, mutual, EXISTS (SELECT 1 FROM w WHERE a = target AND b = source) AS in_cycle FROM ux""")
 def d8_d9_flagged(s, d):
-    nodes, edges = trade(s, d)
+    nodes, edges = chains(s, d)
     return diagram.flagged(diagram.unit_edges(units_of(nodes), edges)).drop("samples")
 
 
 SHARED = ", shared AS (SELECT target AS unit, count(DISTINCT source) AS importers FROM ux GROUP BY target HAVING count(DISTINCT source) >= 3 AND count(DISTINCT source) >= 0.6 * ((SELECT count(DISTINCT unit) FROM units) - 1) AND (SELECT count(DISTINCT unit) FROM units) >= 4)"
 
 
-@query(T + UNITS + UE + UX + SHARED + " SELECT unit, importers FROM shared")
+@query(O + UNITS + UE + UX + SHARED + " SELECT unit, importers FROM shared")
 def d10_shared_parts(s, d):
-    nodes, edges = trade(s, d)
+    nodes, edges = chains(s, d)
     u = units_of(nodes)
     return diagram.shared_parts(u, diagram.unit_edges(u, edges))
 
 
-@query(T + UNITS + UE + UX + SHARED + """, al AS (SELECT *, target IN (SELECT unit FROM shared) OR (source IN (SELECT unit FROM shared) AND mutual) AS aside FROM ux),
+@query(O + UNITS + UE + UX + SHARED + """, al AS (SELECT *, target IN (SELECT unit FROM shared) OR (source IN (SELECT unit FROM shared) AND mutual) AS aside FROM ux),
 rk AS (SELECT *, row_number() OVER (PARTITION BY (NOT aside AND NOT mutual) ORDER BY n DESC, source || '->' || target) AS r, count(*) FILTER (WHERE NOT aside AND mutual) OVER () AS many FROM al)
 SELECT source, target, n, mutual, CASE WHEN aside THEN 'set-aside' WHEN mutual OR r <= greatest(4 - many, 0) THEN 'kept' ELSE 'dropped' END AS fate FROM rk""")
 def d11_select_edges(s, d):
-    nodes, edges = trade(s, d)
+    nodes, edges = chains(s, d)
     u = units_of(nodes)
     between = diagram.unit_edges(u, edges)
     return diagram.select_edges(diagram.flagged(between), diagram.shared_parts(u, between), 4).select("source", "target", "n", "mutual", "fate")
 
 
-@query(T + UNITS + UE + " SELECT u.unit, count(*) AS files, CAST(sum(line_count) AS BIGINT) AS lines, CAST(0 AS BIGINT) AS tests, count(*) FILTER (WHERE length(path) % 3 = 0) AS reduced, coalesce(max(n), 0) AS internal FROM units u LEFT JOIN ue ON source = u.unit AND target = u.unit GROUP BY u.unit")
+@query(O + UNITS + UE + " SELECT u.unit, count(*) AS files, CAST(sum(line_count) AS BIGINT) AS lines, CAST(0 AS BIGINT) AS tests, count(*) FILTER (WHERE length(path) % 3 = 0) AS reduced, coalesce(max(n), 0) AS internal FROM units u LEFT JOIN ue ON source = u.unit AND target = u.unit GROUP BY u.unit")
 def d12_unit_measures(s, d):
-    nodes, edges = trade(s, d)
+    nodes, edges = chains(s, d)
     return diagram.unit_measures(units_of(nodes), edges, known(nodes))
 
 
@@ -599,19 +603,19 @@ def d18_misplaced(s, d):
     return diagram.misplaced(units, line.select(a.alias("src"), b.alias("dst")))
 
 
-@query(T + UNITS + f", l AS (SELECT path, specifier FROM (SELECT path, unnest(range((length(path) % 4) * 20)) AS specifier FROM nodes)), u AS (SELECT unit, count(*) AS bad FROM l JOIN units USING (path) GROUP BY unit), g AS (SELECT unit, count(*) AS good FROM edges JOIN units ON src = path GROUP BY unit) SELECT unit AS subject, bad AS figure FROM u LEFT JOIN g USING (unit) WHERE bad >= 3 AND bad > 0.1 * (bad + coalesce(good, 0))")
+@query(O + UNITS + f", l AS (SELECT path, specifier FROM (SELECT path, unnest(range((length(path) % 4) * 20)) AS specifier FROM nodes)), u AS (SELECT unit, count(*) AS bad FROM l JOIN units USING (path) GROUP BY unit), g AS (SELECT unit, count(*) AS good FROM edges JOIN units ON src = path GROUP BY unit) SELECT unit AS subject, bad AS figure FROM u LEFT JOIN g USING (unit) WHERE bad >= 3 AND bad > 0.1 * (bad + coalesce(good, 0))")
 def d19_unresolved_heavy(s, d):
-    nodes, edges = trade(s, d)
+    nodes, edges = chains(s, d)
     loose = nodes.where("length(path) % 4 > 0").select("path", F.explode(F.sequence(F.lit(1), (F.length("path") % 4 * 20).cast("int"))).alias("specifier"))
     return diagram.unresolved_heavy(units_of(nodes), edges, loose)
 
 
-@query(T + UNITS + UE + UX + SHARED + """, w AS (SELECT source AS a, target AS b FROM ux UNION SELECT a, target FROM w JOIN ux ON source = b), cyc AS (SELECT source AS x FROM ux WHERE EXISTS (SELECT 1 FROM w WHERE a = target AND b = source)
+@query(O + UNITS + UE + UX + SHARED + """, w AS (SELECT source AS a, target AS b FROM ux UNION SELECT a, target FROM w JOIN ux ON source = b), cyc AS (SELECT source AS x FROM ux WHERE EXISTS (SELECT 1 FROM w WHERE a = target AND b = source)
  UNION SELECT target FROM ux WHERE EXISTS (SELECT 1 FROM w WHERE a = target AND b = source)), cc AS (SELECT x, (SELECT min(y.x) FROM cyc y WHERE y.x = c.x OR EXISTS (SELECT 1 FROM w WHERE a = c.x AND b = y.x)) AS least FROM cyc c)
 SELECT 'cycle' AS kind, least AS subject, count(*) AS figure FROM cc GROUP BY least UNION ALL SELECT 'hub', unit, importers FROM shared
 UNION ALL SELECT 'isolated', unit, count(*) FROM units WHERE unit NOT IN (SELECT source FROM ux UNION SELECT target FROM ux) GROUP BY unit""")
 def d20_findings(s, d):
-    nodes, edges = trade(s, d)
+    nodes, edges = chains(s, d)
     return diagram.findings(units_of(nodes), edges).where("kind in ('cycle', 'hub', 'isolated')")
 
 
@@ -622,12 +626,12 @@ def d23_key_files(s, d):
     return diagram.key_files(deg, p.select(F.split("path", "/")[0].alias("unit")).distinct())
 
 
-@query(T + UNITS + UE + UX + """, ul AS (SELECT unit, '  ' || regexp_replace(unit, '[^A-Za-z0-9]', '_', 'g') || '["' || unit || '<br/>' || count(*) || CASE WHEN count(*) = 1 THEN ' file' ELSE ' files' END || ' · ' || sum(line_count)::BIGINT || ' lines"]' AS line FROM units GROUP BY unit),
+@query(O + UNITS + UE + UX + """, ul AS (SELECT unit, '  ' || regexp_replace(unit, '[^A-Za-z0-9]', '_', 'g') || '["' || unit || '<br/>' || format('{:,}', count(*)) || CASE WHEN count(*) = 1 THEN ' file' ELSE ' files' END || ' · ' || format('{:,}', sum(line_count)::BIGINT) || ' lines"]' AS line FROM units GROUP BY unit),
 el AS (SELECT source, target, '  ' || regexp_replace(source, '[^A-Za-z0-9]', '_', 'g') || CASE WHEN n >= 2 THEN ' -->|' || n || '| ' ELSE ' --> ' END || regexp_replace(target, '[^A-Za-z0-9]', '_', 'g') AS line FROM ux),
 cy AS (SELECT DISTINCT regexp_replace(source, '[^A-Za-z0-9]', '_', 'g') AS c FROM ux WHERE mutual)
 SELECT concat_ws(chr(10), 'flowchart LR', (SELECT string_agg(line, chr(10) ORDER BY unit) FROM ul), (SELECT string_agg(line, chr(10) ORDER BY source, target) FROM el), '  classDef cycle stroke:#7A5312,stroke-width:2px', (SELECT '  class ' || string_agg(c, ',' ORDER BY c) || ' cycle' FROM cy)) AS text""")
 def d24_mermaid(s, d):
-    nodes, edges = trade(s, d)
+    nodes, edges = chains(s, d)
     u = units_of(nodes)
     m = diagram.unit_measures(u, edges).select(F.col("unit").alias("id"), F.col("unit").alias("label"), "files", "lines")
     return diagram.mermaid(m, diagram.flagged(diagram.unit_edges(u, edges)))
@@ -675,15 +679,15 @@ def x2_likely_entries(s, d):
     return evidence.likely_entries(graph.degrees(ad.part_files(s, d), ad.part_edges(s, d))).select("path", "in_degree", "out_degree")
 
 
-@query(T + FOLD + RE + ", two AS (SELECT source AS folder, 'out' AS direction, target AS other, n_edges FROM re UNION ALL SELECT target, 'in', source, n_edges FROM re), r AS (SELECT *, row_number() OVER (PARTITION BY folder, direction ORDER BY n_edges DESC, other) AS rank FROM two) SELECT r.folder, f.n_files, direction, other, n_edges, rank FROM r JOIN (SELECT folder, count(*) AS n_files FROM fold GROUP BY folder) f ON r.folder = f.folder WHERE rank <= 4")
+@query(O + FOLD + RE + ", two AS (SELECT source AS folder, 'out' AS direction, target AS other, n_edges FROM re UNION ALL SELECT target, 'in', source, n_edges FROM re), r AS (SELECT *, row_number() OVER (PARTITION BY folder, direction ORDER BY n_edges DESC, other) AS rank FROM two) SELECT r.folder, f.n_files, direction, other, n_edges, rank FROM r JOIN (SELECT folder, count(*) AS n_files FROM fold GROUP BY folder) f ON r.folder = f.folder WHERE rank <= 4")
 def x2_region_table(s, d):
-    nodes, edges = trade(s, d)
+    nodes, edges = chains(s, d)
     return evidence.region_table(regions(nodes), edges)
 
 
-@query(T + DEG + FOLD + ", j AS (SELECT folder, path, in_degree * 1000 + line_count AS weight FROM deg JOIN fold USING (path) JOIN nodes USING (path)), r AS (SELECT *, row_number() OVER (PARTITION BY folder ORDER BY weight DESC, path) AS rank FROM j) SELECT folder, path, weight, rank FROM r WHERE rank <= 6")
+@query(O + DEG + FOLD + ", j AS (SELECT folder, path, in_degree * 1000 + line_count AS weight FROM deg JOIN fold USING (path) JOIN nodes USING (path)), r AS (SELECT *, row_number() OVER (PARTITION BY folder ORDER BY weight DESC, path) AS rank FROM j) SELECT folder, path, weight, rank FROM r WHERE rank <= 6")
 def x3_region_key_files(s, d):
-    nodes, edges = trade(s, d)
+    nodes, edges = chains(s, d)
     return evidence.region_key_files(regions(nodes), graph.degrees(nodes, edges), nodes)
 
 
@@ -997,3 +1001,136 @@ def snk1_store(s, d):
         kept.save(name, files=f.where(F.col("c_custkey") % 3 == k).select("path", "line_count"))
     alone = kept.load(ids[1], "files").withColumn("analysis_id", F.lit("alone"))
     return kept.load_all("files").select("path", "line_count", "analysis_id").unionByName(alone)
+
+
+# --- many repositories ------------------------------------------------------------------------------------
+
+
+def repositories(s: SparkSession, d: str) -> DataFrame:
+    """(repo_id, path, content): the documents of a source as a repository of scripts, Python and Go files that hold the whole texts as comments.
+
+    A file imports the one three documents before it and what is nowhere; some scripts lack a brace, some files can't be read.
+    """
+    doc = ad.table(s, d, "documents").select("doc_id", "source", "text").where("doc_id is not null")
+    n, before = F.col("doc_id").cast("string"), F.when(F.col("doc_id") >= 3, (F.col("doc_id") - 3).cast("string")).otherwise("none")
+    text = F.coalesce("text", F.lit(""))
+    script = F.concat(F.lit("/* "), F.replace(text, F.lit("*/"), F.lit("* /")), F.lit(' */\nimport { a } from "./d'), before, F.lit('";\nimport "react";\nexport function f() { return `${require("./gone")}`; '), F.when(F.col("doc_id") % 13 == 7, "").otherwise("}"), F.lit("\n"))
+    hashed = F.concat(F.lit("# "), F.regexp_replace(text, r"[\x00\r\n\f]", "\n# "))
+    python = F.concat(hashed, F.lit("\nimport os, pkg.d"), before, F.lit("\nclass C:\n    def m(self):\n        pass\n"))
+    slashed = F.concat(F.lit("// "), F.regexp_replace(text, r"\n", "\n// "))
+    go = F.concat(slashed, F.lit('\npackage p\nimport (\n  "fmt"\n  "m/g'), before, F.lit('"\n)\nfunc F() {}\n'))
+    kind = F.col("doc_id") % 3
+    path = F.when(kind == 0, F.concat(F.lit("src/d"), n, F.lit(".ts"))).when(kind == 1, F.concat(F.lit("pkg/d"), n, F.lit(".py"))).otherwise(F.concat(F.lit("g"), n, F.lit("/m.go")))
+    body = F.when(F.col("doc_id") % 11 != 5, F.when(kind == 0, script).when(kind == 1, python).otherwise(go))
+    repo = F.coalesce("source", F.lit("?")).alias("repo_id")
+    mod = doc.select(repo).distinct().select("repo_id", F.lit("go.mod").alias("path"), F.lit("module m\n").alias("content"))
+    return doc.select(repo, path.alias("path"), body.alias("content")).unionByName(mod)
+
+
+REPOS = """WITH f AS (SELECT doc_id AS n, coalesce(source, '?') AS repo_id, doc_id % 3 AS k, CASE doc_id % 3 WHEN 0 THEN 'src/d' || doc_id || '.ts' WHEN 1 THEN 'pkg/d' || doc_id || '.py' ELSE 'g' || doc_id || '/m.go' END AS path,
+  doc_id % 11 = 5 AS lost, doc_id % 3 = 0 AND doc_id % 13 = 7 AS broken, text FROM documents WHERE doc_id IS NOT NULL),
+sound AS (SELECT * FROM f WHERE NOT lost AND NOT broken), near AS (SELECT a.*, b.path AS target, b.lost OR b.broken AS bad FROM sound a LEFT JOIN f b ON a.repo_id = b.repo_id AND a.n - 3 = b.n)"""
+
+
+@query(REPOS + """ SELECT repo_id, 'node' AS kind, path AS a, CASE k WHEN 0 THEN 'typescript' WHEN 1 THEN 'python' ELSE 'go' END AS b FROM sound UNION ALL SELECT repo_id, 'edge', path, target FROM near WHERE target IS NOT NULL AND NOT bad
+UNION ALL SELECT repo_id, 'error', path, CASE WHEN lost THEN 'Unable to read file' ELSE chr(39) || '}' || chr(39) || ' expected.' END FROM f WHERE lost OR broken UNION ALL SELECT repo_id, 'unresolved', path, './gone' FROM sound WHERE k = 0
+UNION ALL SELECT repo_id, 'unresolved', path, CASE k WHEN 0 THEN './d' WHEN 1 THEN 'pkg.d' ELSE 'm/g' END || CASE WHEN n >= 3 THEN CAST(n - 3 AS VARCHAR) ELSE 'none' END FROM near WHERE target IS NULL
+UNION ALL SELECT repo_id, 'external', path, CASE k WHEN 0 THEN 'react' WHEN 1 THEN 'os' ELSE 'fmt' END FROM sound
+UNION ALL SELECT repo_id, 'declaration', path, unnest(CASE k WHEN 0 THEN ['function f'] WHEN 1 THEN ['class C', 'method C.m'] ELSE ['function F'] END) FROM f WHERE NOT lost""")
+def ext1_analysis(s, d):
+    """Whole texts of many repositories to stored nodes, edges, errors and what is left over."""
+    a = analysis.analyze(repositories(s, d))
+    kept = store.Store(s, f"{fixpoint.shared_dir(s)}/analyses-{uuid.uuid4().hex}")
+    key = str(uuid.uuid4())
+    kept.save(key, nodes=a.nodes, edges=a.edges, errors=a.errors)
+    part = lambda df, kind, x, y: df.select("repo_id", kind.alias("kind"), F.col(x).alias("a"), y.alias("b"))
+    out = part(kept.load(key, "nodes"), F.lit("node"), "path", F.col("language")).unionByName(part(kept.load(key, "edges"), F.lit("edge"), "src", F.col("dst")))
+    out = out.unionByName(part(kept.load(key, "errors"), F.lit("error"), "path", F.col("message")))
+    out = out.unionByName(part(a.imports.where("status in ('unresolved', 'external')"), F.col("status"), "path", F.col("specifier")))
+    return out.unionByName(part(a.declarations, F.lit("declaration"), "path", F.concat_ws(" ", "kind", "qualified_name")))
+
+
+@query(REPOS + """, e AS (SELECT repo_id, path AS src, target AS dst FROM near WHERE target IS NOT NULL AND NOT bad), deg AS (SELECT s.repo_id, s.path, count(e.src) AS i FROM sound s LEFT JOIN e ON e.repo_id = s.repo_id AND e.dst = s.path GROUP BY 1, 2),
+lim AS (SELECT repo_id, count(*) AS n, quantile_disc(i, 0.95) AS p FROM deg GROUP BY repo_id)
+SELECT repo_id, path, i AS in_degree, (SELECT count(*) FROM e WHERE e.repo_id = deg.repo_id AND e.src = deg.path) AS out_degree, CASE WHEN n < 20 THEN i > 15 ELSE i >= p AND i > 0 END AS is_hub, i = 0 AS is_orphan FROM deg JOIN lim USING (repo_id)""")
+def a4_repository_observations(s, d):
+    """Degrees, hubs and orphans, each repository by its own threshold."""
+    return analysis.observations(analysis.analyze(repositories(s, d)))
+
+
+@query("""SELECT repo_id, root, confidence, package_name FROM (SELECT DISTINCT 'r' || page_id % 5 AS repo_id, page_id % 5 AS k FROM pages)
+JOIN (VALUES (0, 'lib', 'declared', 'p'), (1, 'python', 'declared', NULL), (2, 'src', 'structural-heuristic', NULL), (3, '', 'structural-heuristic', NULL), (4, '', 'declared', NULL)) v(k, root, confidence, package_name) USING (k)""")
+def res10_import_roots(s, d):
+    """Five repositories' manifests beside the pages as files: a declared table, setup.cfg with a continued line, a guess, none, and a flat layout."""
+    p = ad.table(s, d, "pages")
+    repo = F.concat(F.lit("r"), (F.col("page_id") % 5).cast("string"))
+    lead = F.element_at(F.array(*map(F.lit, ("lib/", "python/", "src/", "other/", "lib/"))), (F.col("page_id") % 5 + 1).cast("int"))
+    files = p.select(repo.alias("repo_id"), F.concat(lead, F.lit("m"), F.col("page_id").cast("string"), F.lit(".py")).alias("path"))
+    said = [("r0", "pyproject.toml", '[project]\nname = "p"\n[tool.setuptools.packages.find]\nwhere = ["gone", "lib"]\n'), ("r1", "setup.cfg", "[options]\npackage_dir =\n    = python\n"), ("r1", "pyproject.toml", "broken = ["), ("r4", "pyproject.toml", '[tool.flit.module]\nname = "m"\n')]
+    return resolve.import_roots(files, s.createDataFrame(said, "repo_id string, path string, content string"))
+
+
+@query("""SELECT 'main.py' AS path, 'n' || k % 50 || '.s' || k % 3 || '.m' || k || CASE WHEN k % 2 = 0 THEN '.f' ELSE '' END AS specifier, CASE WHEN k % 3 > 0 THEN 'n' || k % 50 || '/s' || k % 3 || '/m' || k || '.py' END AS target,
+CASE WHEN k % 3 > 0 THEN 'internal' WHEN k % 50 < 25 THEN 'unresolved' ELSE 'external' END AS status FROM (SELECT c_custkey AS k FROM customer)""")
+def res9_namespaces(s, d):
+    """Modules in namespace packages; names of missing ones are unresolved where the first part is a package with files of its own, else external."""
+    k = ad.table(s, d, "customer").select("c_custkey")
+    part = lambda m: (F.col("c_custkey") % m if m else F.col("c_custkey")).cast("string")
+    stem = F.concat(F.lit("n"), part(50), F.lit("/s"), part(3), F.lit("/m"), part(None))
+    files = k.where("c_custkey % 3 > 0").select(F.concat(stem, F.lit(".py")).alias("path"))
+    tops = k.where("c_custkey % 50 < 25").select(F.concat(F.lit("n"), part(50), F.lit("/top.py")).alias("path")).distinct()
+    listing = files.unionByName(tops).unionByName(s.createDataFrame([("main.py",)], "path string"))
+    imports = k.select(F.lit("main.py").alias("path"), F.concat(F.replace(stem, F.lit("/"), F.lit(".")), F.when(F.col("c_custkey") % 2 == 0, ".f").otherwise("")).alias("specifier"))
+    return resolve.resolve_python(imports, resolve.python_modules(listing))
+
+
+@query("""WITH RECURSIVE b AS (SELECT c_custkey AS k, CASE WHEN c_custkey % 50 = 7 THEN 2 * c_custkey WHEN c_custkey > 1 THEN c_custkey // 2 END AS up FROM customer),
+walk AS (SELECT k, up, 0 AS n FROM b WHERE up IS NOT NULL UNION ALL SELECT walk.k, b.up, n + 1 FROM walk JOIN b ON b.k = walk.up WHERE b.up IS NOT NULL AND n < 64)
+SELECT 'parent-cycle' AS rule, 'folder:c' || k AS subject FROM walk WHERE n = 64 UNION ALL SELECT 'missing-parent', 'folder:c' || k FROM b WHERE up NOT IN (SELECT k FROM b)
+UNION ALL SELECT 'unordered-members', 'folder:c' || c_custkey FROM customer WHERE c_custkey % 90 = 1 UNION ALL SELECT 'duplicate-member', 'folder:c' || c_custkey FROM customer WHERE c_custkey % 90 = 2 UNION ALL SELECT 'unknown-member', 'folder:c' || c_custkey FROM customer WHERE c_custkey % 90 = 3""")
+def c13_parent_cycles(s, d):
+    """Customers as folders under half their number; some lie under twice it, and so in a circle; and members of each wrong kind."""
+    c, k = ad.table(s, d, "customer"), F.col("c_custkey")
+    up = F.when(k % 50 == 7, 2 * k).when(k > 1, F.floor(k / 2).cast("long"))
+    name = lambda x: F.concat(F.lit("c"), x.cast("string"))
+    members = F.when(k % 90 == 1, F.array(F.lit("b"), F.lit("a"))).when(k % 90 == 2, F.array(F.lit("a"), F.lit("a"))).when(k % 90 == 3, F.array(F.lit("a"), F.lit("x"))).otherwise(F.array(F.lit("a"), F.lit("b")))
+    rows = c.select(F.lit("folder").alias("kind"), name(k).alias("path"), name(up).alias("parent"), F.lit(2).cast("long").alias("n_files"), members.alias("contained"))
+    return boundaries.boundary_violations(rows, s.createDataFrame([("a",), ("b",)], "path string"))
+
+
+@query(O + """, f AS (SELECT path, CASE WHEN path LIKE 'lib/%' THEN 'lib' ELSE split_part(path, '/', 1) || '/' || split_part(path, '/', 2) END AS folder FROM nodes), reg AS (SELECT min(folder) AS folder FROM f WHERE folder <> 'lib'),
+own AS (SELECT path FROM f WHERE folder = (SELECT folder FROM reg)), deg AS (SELECT path, (SELECT count(*) FROM edges WHERE src = path) + (SELECT count(*) FROM edges WHERE dst = path) AS d FROM own),
+rk AS (SELECT path, row_number() OVER (ORDER BY d DESC, path) AS r, count(*) OVER () AS n FROM deg), m AS (SELECT path, CASE WHEN n <= 32 OR r <= 31 THEN 'f:' || path ELSE 'u:#overflow' END AS unit FROM rk),
+x AS MATERIALIZED (SELECT a.folder AS ff, b.folder AS tf, u.unit AS fu, v.unit AS tu FROM edges JOIN f a ON src = a.path JOIN f b ON dst = b.path LEFT JOIN m u ON u.path = src LEFT JOIN m v ON v.path = dst)
+SELECT coalesce(fu, 'b:in:' || ff) AS source, coalesce(tu, 'b:out:' || tf) AS target, count(*) AS n FROM x WHERE ff = (SELECT folder FROM reg) OR tf = (SELECT folder FROM reg) GROUP BY 1, 2 UNION ALL SELECT unit, 'u:#unresolved', count(*) FROM m WHERE length(path) % 4 = 0 GROUP BY unit""")
+def d6_region_figure(s, d):
+    """The first nation's orders: the best connected ones, the rest together, and what leads in and out of the nation."""
+    nodes, edges = chains(s, d)
+    top = F.split("path", "/")
+    files = nodes.select("path", F.when(F.col("path").startswith("lib/"), "lib").otherwise(F.concat_ws("/", top[0], top[1])).alias("folder"))
+    first = files.where("folder <> 'lib'").agg(F.min("folder")).first()[0]
+    loose = nodes.where("length(path) % 4 = 0").select("path", F.lit("./gone").alias("specifier"))
+    return diagram.region_figure(files, edges, first, loose)[2]
+
+
+@query(O + f" SELECT path, line_count FROM nodes WHERE path IN (SELECT dst FROM edges WHERE src = {FIRST})")
+def g4_outgoing(s, d):
+    nodes, edges = chains(s, d)
+    return graph.neighbors(nodes, edges, first_path(nodes), "outgoing")
+
+
+@query("""SELECT doc_id AS id, doc_id % 4 <> 3 AS ok, CASE WHEN doc_id % 4 <> 3 THEN 'about ' || doc_id END AS answer, CASE WHEN doc_id % 4 = 2 THEN '' WHEN doc_id % 4 <> 3 THEN 'node:n' || doc_id END AS cited, CASE WHEN doc_id % 4 = 1 THEN 1 WHEN doc_id % 4 <> 3 THEN 0 END AS n_steps FROM documents""")
+def x9a_parsed_answers(s, d):
+    """Answers made of documents' numbers and whole texts: fenced, with words around, with parts of wrong kinds, and without an object."""
+    doc = ad.table(s, d, "documents")
+    n, which = F.col("doc_id").cast("string"), F.col("doc_id") % 4
+    quoted = F.to_json(F.struct(F.coalesce("text", F.lit("")).alias("t")))
+    node = F.concat(F.lit('{"kind": "node", "id": "n'), n, F.lit('"}'))
+    body = F.concat(
+        F.lit('{"summary": " about '), n, F.lit(' ", "claims": [7, {"text": "x", "citations": ['), F.when(which == 2, F.lit('{"kind": "guess", "id": "z"}, 3')).otherwise(node),
+        F.lit(']}], "readingOrder": ['), F.when(which == 1, F.lit('{"id": "a", "reason": "b"}, {"id": "c"}')).otherwise(F.lit('"a"')), F.lit('], "more": '), quoted, F.lit("}"),
+    )
+    text = F.when(which == 0, F.concat(F.lit("```json\n"), body, F.lit("\n```"))).when(which == 1, F.concat(F.lit("Here it is:\n"), body, F.lit(" That is all."))).when(which == 2, body).otherwise(F.concat(F.lit("no object in ["), n, F.lit("]")))
+    got = evidence.parsed_answers(doc.select(F.col("doc_id").alias("id"), text.alias("text")))
+    cited = F.array_join(F.transform(F.flatten(F.transform("claims", lambda c: c["citations"])), lambda c: F.concat(c["kind"], F.lit(":"), c["id"])), " ")
+    return got.select("id", "ok", "answer", cited.alias("cited"), F.when(F.col("ok"), F.size("reading_order")).alias("n_steps"))

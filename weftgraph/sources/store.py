@@ -3,6 +3,10 @@
 from __future__ import annotations
 
 import re
+import threading
+import uuid
+from collections.abc import Callable
+from typing import TypeVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +16,42 @@ ANALYSIS_ID = re.compile(r"[a-fA-F0-9-]{36}")
 EXPLANATION_KEY = re.compile(r"[a-f0-9]{64}")
 
 
+Result = TypeVar("Result")
+
+
+class BudgetSpent(RuntimeError):
+    """The work took longer than it was given."""
+
+
+def within_budget(spark: SparkSession, seconds: float, work: Callable[[Callable[[], None]], Result]) -> Result:
+    """work(check), whose Spark jobs are cancelled when the time is up; check() raises then, for the steps between jobs."""
+    sc, group, spent = spark.sparkContext, uuid.uuid4().hex, threading.Event()
+
+    def stop() -> None:
+        spent.set()
+        sc.cancelJobGroup(group)
+
+    def check() -> None:
+        if spent.is_set():
+            raise BudgetSpent(f"over {seconds} s")
+
+    timer = threading.Timer(seconds, stop)
+    sc.setJobGroup(group, "work within a budget", True)
+    timer.start()
+    try:
+        out = work(check)
+        check()
+        return out
+    except Exception as e:
+        if spent.is_set() and not isinstance(e, BudgetSpent):
+            raise BudgetSpent(f"over {seconds} s") from e
+        raise
+    finally:
+        timer.cancel()
+        sc.setLocalProperty("spark.jobGroup.id", None)
+        sc.setLocalProperty("spark.job.interruptOnCancel", None)
+
+
 def owner_hash(token: Column) -> Column:
     return F.sha2(token, 256)
 
@@ -45,6 +85,21 @@ class Store:
         for name, df in tables.items():
             df.write.mode("overwrite").parquet(self._folder(f"analyses/{name}", analysis))
 
+    def save_within(self, analysis: str, seconds: float, build: Callable[[Callable[[], None]], dict[str, DataFrame]]) -> None:
+        """Save the tables that build(check) gives, if all is done in time; else nothing of the analysis stays, and BudgetSpent is raised."""
+
+        def work(check: Callable[[], None]) -> None:
+            tables = build(check)
+            for name, df in tables.items():
+                check()
+                self.save(analysis, **{name: df})
+
+        try:
+            within_budget(self.spark, seconds, work)
+        except BaseException:
+            self.delete(analysis)
+            raise
+
     def load(self, analysis: str, name: str) -> DataFrame | None:
         """One table of an analysis, or None."""
         path = self._folder(f"analyses/{name}", analysis)
@@ -81,3 +136,14 @@ class Store:
         names = [s.getPath().getName() for s in fs.listStatus(top)] if fs.exists(top) else []
         for path in [*(self._folder(f"analyses/{n}", analysis) for n in names), self._folder("explanations", analysis)]:
             self._drop(path)
+
+    def save_adjacency(self, name: str, edges: DataFrame, buckets: int) -> None:
+        """Keep edges(src, dst, ...) twice as tables of the catalog, bucketed by either end: joins on it deal out the other side only."""
+        for end in ("src", "dst"):
+            edges.write.mode("overwrite").bucketBy(buckets, end).sortBy(end).format("parquet").saveAsTable(f"{name}_by_{end}")
+
+    def step(self, name: str, frontier: DataFrame, backward: bool = False) -> DataFrame:
+        """(path): what frontier(path) imports, or what imports it."""
+        here, there = ("dst", "src") if backward else ("src", "dst")
+        edges = self.spark.table(f"{name}_by_{here}")
+        return edges.join(frontier.select(F.col("path").alias(here)), here).select(F.col(there).alias("path")).distinct()

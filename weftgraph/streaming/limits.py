@@ -2,7 +2,8 @@
 
 As a stream it is a stateful processor keyed by client; as a batch the same
 decisions are made over each client's hits in order. A client's hits are
-decided one after another by definition; state is bounded by the rules' limits.
+decided one after another by definition; state is bounded by the rules' limits,
+and a client's goes when the watermark has passed all its windows.
 """
 
 from __future__ import annotations
@@ -50,35 +51,61 @@ def decide(log: dict[str, list[int]], now: int, rules: tuple[Rule, ...]) -> tupl
     return True, None, None
 
 
+STREAMED = DECISIONS + ", late boolean"
+
+
 class Limiter(StatefulProcessor):
-    """State: the admitted times of each rule, at most a rule's limit of them."""
+    """State of a client: the admitted times of each rule, at most a rule's limit of them, and the latest time decided.
 
-    def __init__(self, rules: tuple[Rule, ...]):
-        self.rules = rules
+    With event time a timer is set to when the last admitted hit leaves the widest window. No hit that the watermark
+    lets through then can meet a kept time, so the state goes without changing a decision. A hit before the latest one
+    decided in an earlier batch is decided all the same, and marked late.
+    """
+
+    def __init__(self, rules: tuple[Rule, ...], evict: bool):
+        self.rules, self.evict = rules, evict
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.log = handle.getMapState("log", "rule string", "times array<long>")
+        self.last = handle.getValueState("last", "t_ms long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         log = {r.name: list(self.log.getValue((r.name,))[0]) if self.log.containsKey((r.name,)) else [] for r in self.rules}
-        out = []
+        before = self.last.get()[0] if self.last.exists() else None
+        out, t = [], before
         for t in sorted(x for b in rows for x in b["t_ms"].tolist()):
-            out.append((key[0], t, *decide(log, t, self.rules)))
+            out.append((key[0], t, *decide(log, t, self.rules), before is not None and t < before))
         for name, times in log.items():
             self.log.updateValue((name,), (times,))
-        yield frame(out)
+        self.last.update((max(t, before or t),))
+        if self.evict:
+            for old in list(self.handle.listTimers()):
+                self.handle.deleteTimer(old)
+            self.handle.registerTimer(max(x for times in [*log.values(), [t]] for x in times) + max(r.window_ms for r in self.rules))
+        yield frame(out, "late")
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.log.clear()
+        self.last.clear()
+        yield from ()
 
     def close(self) -> None:
         pass
 
 
-def frame(rows: list[tuple]) -> pd.DataFrame:
-    return pd.DataFrame(rows, columns=["client", "t_ms", "admitted", "rule", "retry_after_s"]).astype({"retry_after_s": "Int64"})
+def frame(rows: list[tuple], *more: str) -> pd.DataFrame:
+    return pd.DataFrame(rows, columns=["client", "t_ms", "admitted", "rule", "retry_after_s", *more]).astype({"retry_after_s": "Int64"})
+
 
+def limited_stream(hits: DataFrame, rules: tuple[Rule, ...], event_time: str | None = None) -> DataFrame:
+    """Decisions over a stream of hits(client, t_ms), with late; needs a RocksDB state store.
 
-def limited_stream(hits: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
-    """Decisions over a stream of hits(client, t_ms); needs a RocksDB state store. Hits carry their time, so no timers run."""
-    return hits.groupBy("client").transformWithStateInPandas(statefulProcessor=Limiter(rules), outputStructType=DECISIONS, outputMode="append", timeMode="None")
+    event_time names a column with a watermark that holds the time of t_ms: the state of idle clients then goes. Without
+    it a client once seen is kept.
+    """
+    own = hits.select("client", "t_ms", *([event_time] if event_time else []))
+    return own.groupBy("client").transformWithStateInPandas(statefulProcessor=Limiter(rules, event_time is not None), outputStructType=STREAMED, outputMode="append", timeMode="EventTime" if event_time else "None")
 
 
 def limited_batch(hits: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
