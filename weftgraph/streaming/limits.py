@@ -44,7 +44,7 @@ def decide(log: dict[str, list[int]], now: int, rules: tuple[Rule, ...]) -> tupl
         log[r.name] = [t for t in log.get(r.name, ()) if now - t < r.window_ms]
     for r in rules:
         if len(log[r.name]) >= r.most:
-            wait = log[r.name][0] + r.window_ms - now
+            wait = min(log[r.name]) + r.window_ms - now
             return False, r.name, max(1, -(-wait // 1000))
     for r in rules:
         log[r.name].append(now)
