@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.llm.common import materialize, mix, sorted_groups
+from weftgraph.llm.common import discard, materialize, mix, sorted_groups
 from weftgraph.llm.components import connected_components, forest
 
 
@@ -236,13 +236,19 @@ def near_duplicates(vectors: DataFrame, spec: Lattice = Lattice()) -> DataFrame:
     dealt = dealt.select("cell", "uid", "home", "part", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"))
     full = dealt.join(distinct.select("uid", "mult", "vec"), "uid").repartition("cell", "lo", "hi").sortWithinPartitions("cell", "lo", "hi")
     found = materialize(verify(full, kind, spec), "lattice-links")
+    discard(placed)
     comps = connected_components(found.select(F.col("uid").alias("u"), F.col("toward").alias("v")), spark)
     links = found.groupBy("uid").agg(F.sum("links").alias("links"))
     named = distinct.join(links, "uid", "left").join(comps, distinct["uid"] == comps["v"], "left")
     named = named.select("vec", "mult", "least", "links", F.coalesce("label", "uid").alias("label"))
     named = materialize(named, "lattice-named")
-    comp = named.groupBy("label").agg(F.min("least").alias("component"))
+    # written first: a join of its own then deals one large component out, where one plan would keep it on the aggregate's partition
+    comp = materialize(named.groupBy("label").agg(F.min("least").alias("component")), "lattice-least")
     done = named.join(comp, "label").select("vec", (F.coalesce("links", F.lit(0)) + F.col("mult") - 1).alias("n_links"), "component")
     out = rows.join(done, "vec", "left")
     component = F.coalesce("component", "vec_id")
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"))
+    out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"))
+    out = materialize(out, "lattice-result")
+    for x in (rows, distinct, found, named, comp):
+        discard(x)
+    return out

@@ -135,11 +135,13 @@ def components(printed: DataFrame, bits: int = 2, segments: int = 2) -> DataFram
     # a fingerprint stands for itself until the components are known; rep only names them
     comps = connected_components(pairs.select(F.col("fp").alias("u"), F.col("other").alias("v")), spark)
     named = distinct.join(comps, distinct["fp"] == comps["v"], "left").select("fp", "rep", F.coalesce("label", "fp").alias("label"))
-    least = named.where(F.col("label") != F.col("fp")).select("label").distinct()
-    grouped = named.join(least, "label", "left_semi").groupBy("label").agg(F.min("rep").alias("least"))
+    named = materialize(named, "simhash-named")
+    # of components of two or more; written first, so that the join deals one large component out by itself
+    groups = named.groupBy("label").agg(F.count("*").alias("n"), F.min("rep").alias("least")).where("n > 1")
+    grouped = materialize(groups.select("label", "least"), "simhash-least")
     moved = named.join(grouped, "label").select("fp", F.col("least").alias("component_id"))
     out = materialize(distinct.join(moved, "fp", "left").select("fp", F.coalesce("component_id", "rep").alias("component_id")), "simhash-components")
-    for old in (distinct, comps):
+    for old in (distinct, comps, named, grouped):
         discard(old)
     return printed.join(out, "fp")
 
