@@ -16,6 +16,7 @@ WORD = re.compile(r"[^\x20\x09-\x0D]+")
 ODD = [
     None, "", " \n\t ", "one", "two words", "a b c a b c a b c", "Same LINE\nSame LINE\n\nsame line\n  \n  \n", "x" * 5000,
     "é ñ   日本 🎉 # * $ | <>&%", "\x0b\x0c\r\n a\x1cb ", "word " * 400, "▁a ▁▁b\x00", "Same LINE\nSame LINE\n\nsame line\n  \n  \n",
+    " ".join(f"w{i * i % 7919}" for i in range(450_000)),  # longer than a slice
 ]
 
 

@@ -23,7 +23,8 @@ their later half, each id once, in masked batches.
 Defined cases: null and empty texts are scored by their end alone. A row with a
 null doc_id is a training document. Repeated rows count and are scored each. If
 no document is for training, all counts are zero and the model is uniform over
-its ids. An empty table gives no rows. Only doc_id and text are read.
+its ids. An empty table gives no rows. Only doc_id and text are read. Very long
+texts are learned from and scored whole, in windows; a block holds one at least.
 """
 
 from __future__ import annotations

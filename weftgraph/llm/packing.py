@@ -15,7 +15,7 @@ before, so no length, however common, is gathered in one task.
 
 Defined cases: a null or empty text has only the end id. Repeated rows are
 packed each; a null doc_id is kept. An empty table gives no rows. Only doc_id
-and text are read.
+and text are read. Very long texts are encoded whole and cut into pieces.
 """
 
 from __future__ import annotations

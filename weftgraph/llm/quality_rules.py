@@ -10,7 +10,8 @@ probability below 1e-7.
 Defined cases: a null or empty text, and one of white space only, has no words,
 so every measure is 0 and base_failed is true. Rows are judged one by one:
 repeated rows and null doc_ids give a row each. Only ``doc_id`` and ``text``
-are read, so other columns may have any name. An empty table gives no rows.
+are read, so other columns may have any name. An empty table gives no rows. Very
+long texts are measured whole: a text over ``SLICE_BYTES`` is a slice by itself.
 """
 
 from __future__ import annotations

@@ -12,7 +12,8 @@ Defined cases: texts without words (null, empty, white space) have fingerprint
 zero and are linked like any other; fewer words than a shingle make one
 shingle of all words. Repeated rows and ids each give a row; a null doc_id
 gives a row and never names a component unless no other id is in it. An empty
-table gives no rows. Only doc_id and text are read.
+table gives no rows. Only doc_id and text are read. Very long texts are read
+whole: a text over ``SLICE_BYTES`` is a slice by itself.
 """
 
 from __future__ import annotations

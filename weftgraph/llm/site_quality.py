@@ -16,7 +16,8 @@ Defined cases: a null or empty text has all measures zero; a null source is the
 host ""; documents whose id repeats are scored each, and labels that disagree
 are averaged; without labels of both classes the regression says 0.5 for all. An
 empty table gives no rows. Only doc_id, text, source and lang are read; other
-columns stay as they are.
+columns stay as they are. Very long texts are measured whole, one batch at a
+time.
 """
 
 from __future__ import annotations
@@ -148,7 +149,7 @@ def fit(x: np.ndarray, y: np.ndarray, spec: FitSpec) -> np.ndarray:
 
 
 def sample_and_fit(docs: DataFrame, labels: DataFrame, spec: FitSpec) -> np.ndarray:
-    """Weights from at most spec.sample labelled documents, those with the least hash of the id."""
+    """Weights from at most spec.sample labelled ids, those with the least hash; where ids repeat, from at most twice as many rows."""
     known = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.avg("quality").alias("y"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(spec.sample)
     # at most ``sample`` rows of two numbers, so it is sent to the texts and not they to it
