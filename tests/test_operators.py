@@ -513,9 +513,13 @@ def test_sources(spark, tmp_path):
         link = zipfile.ZipInfo("link")
         link.external_attr = 0xA1FF << 16
         z.writestr(link, "a")
-    arch = spark.createDataFrame([("z.zip", bytearray(buf.getvalue())), ("bad.zip", bytearray(b"no"))], "path string, content binary")
+        z.writestr("a/../b.ts", "x")
+        z.writestr("hurt.ts", "some text")
+    whole = bytearray(buf.getvalue())
+    whole[whole.index(b"some text")] ^= 1
+    arch = spark.createDataFrame([("z.zip", whole), ("bad.zip", bytearray(b"no"))], "path string, content binary")
     got = {(r.archive, r.path): r.status for r in scan.archive_entries(arch).collect()}
-    assert got == {("z.zip", "ok/a.ts"): None, ("z.zip", "../up.ts"): "traversal", ("z.zip", "/abs.ts"): "absolute-path", ("z.zip", "link"): "symlink", ("bad.zip", ""): "not-an-archive"}
+    assert got == {("z.zip", "ok/a.ts"): None, ("z.zip", "../up.ts"): "traversal", ("z.zip", "/abs.ts"): "absolute-path", ("z.zip", "link"): "symlink", ("z.zip", "a/../b.ts"): None, ("z.zip", "hurt.ts"): "unreadable", ("bad.zip", ""): "not-an-archive"}
     tree = ["package.json", "src/a.ts", "dist/a.js", "src/dist/b.ts", ".hidden/c.ts", "node_modules/x/d.ts", "x.egg-info/e.py", "env/pyvenv.cfg", "env/lib/f.py", "readme.md"]
     listing = spark.createDataFrame([(p,) for p in tree], "path string")
     assert col(scan.sources(listing)) == ["src/a.ts", "src/dist/b.ts"]

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from weftgraph.functions import paths
 from weftgraph.operators.cluster import adaptive_clusters
-from weftgraph.plans.fixpoint import written
+from weftgraph.plans.fixpoint import forget, written
 
 KINDS = ("module-root", "folder", "region")
 
@@ -53,7 +53,9 @@ def endless(links: DataFrame) -> DataFrame:
     steps = 1
     while live and steps <= n:
         far = links.select(F.col("key").alias("up"), F.col("up").alias("further"))
-        links = written(links.join(far, "up").select("key", F.col("further").alias("up")))  # what reaches a top has no row left
+        further = written(links.join(far, "up").select("key", F.col("further").alias("up")))  # what reaches a top has no row left
+        forget(links)
+        links = further
         live, steps = links.count(), 2 * steps
     return links.select("key")
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftgraph.functions import paths
+from weftgraph.plans.fixpoint import written
 from weftgraph.operators.graph import rule_of
 
 MOST, STARTS, HUBS, REGION_FILES = 7, 2, 4, 3
@@ -115,7 +116,7 @@ def left_regions(degree: DataFrame, clusters: DataFrame, taken: DataFrame) -> Da
 
 def tour(nodes: DataFrame, edges: DataFrame, clusters: DataFrame, entries: DataFrame) -> DataFrame:
     """(step, path, phase): at most seven files in reading order; a repository that gives none still has its first file."""
-    d = measured_degrees(nodes, edges).persist()
+    d = written(measured_degrees(nodes, edges))  # read by every phase
     one = starts(entries, d)
     two = central(d, clusters, one.select("path"))
     three = left_regions(d, clusters, one.select("path").unionByName(two.select("path")))

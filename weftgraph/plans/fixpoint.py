@@ -32,6 +32,14 @@ def written(df: DataFrame) -> DataFrame:
     return out
 
 
+def forget(*parts: DataFrame) -> None:
+    """Delete tables of written() that nothing will read again."""
+    for df in parts:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df.stored_at)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def tables(parts: list[DataFrame]) -> DataFrame:
     """Written tables of one schema as one scan."""
     return parts[0].sparkSession.read.schema(parts[0].schema).parquet(*(p.stored_at for p in parts))
@@ -52,10 +60,13 @@ def reachable(edges: DataFrame, seeds: DataFrame, max_rounds: int | None = None)
         step = last.join(edges, last["node"] == edges["src"]).select("seed", F.col("dst").alias("node")).distinct()
         found = written(step.join(tables(frontiers), ["seed", "node"], "left_anti"))
         if found.isEmpty():
+            forget(found)
             break
         frontiers.append(found)
         rounds += 1
-    return tables(frontiers)
+    out = written(tables(frontiers))
+    forget(edges, *frontiers)
+    return out
 
 
 def closure(edges: DataFrame) -> DataFrame:
@@ -64,7 +75,9 @@ def closure(edges: DataFrame) -> DataFrame:
     n = paths.count()
     while True:
         more = paths.alias("a").join(paths.alias("b"), F.col("a.dst") == F.col("b.src")).select(F.col("a.src").alias("src"), F.col("b.dst").alias("dst"))
-        paths = written(paths.unionByName(more).distinct())
+        longer = written(paths.unionByName(more).distinct())
+        forget(paths)
+        paths = longer
         now = paths.count()
         if now == n:
             return paths
@@ -82,9 +95,11 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         hooked = written(hooked)
         jump = hooked.select(F.col("node").alias("component"), F.col("component").alias("further"))
         jumped = written(hooked.join(jump, "component", "left").select("node", F.least("component", "further").alias("component")))
-        changed = jumped.join(labels, ["node", "component"], "left_anti").isEmpty()
+        stable = jumped.join(labels, ["node", "component"], "left_anti").isEmpty()
+        forget(labels, hooked)
         labels = jumped
-        if changed:
+        if stable:
+            forget(both)
             return labels
 
 
@@ -107,15 +122,20 @@ def strong_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         # a node without an edge into it or out of it is a component by itself
         core = left.join(edges.select(F.col("src").alias("node")), "node", "left_semi").join(edges.select(F.col("dst").alias("node")), "node", "left_semi")
         single = written(left.join(core, "node", "left_anti").select("node", F.col("node").alias("component")))
-        if not single.isEmpty():
+        if single.isEmpty():
+            forget(single)
+        else:
             done = single if done is None else done.unionByName(single)
+            old = left, edges
             left, edges = without(left, edges, single)
+            forget(*old)
             continue
         colour = written(left.select("node", F.col("node").alias("colour")))
         while True:
             sent = edges.join(colour, edges["src"] == colour["node"]).groupBy("dst").agg(F.max("colour").alias("high"))
             nxt = written(colour.join(sent, colour["node"] == sent["dst"], "left").select("node", F.greatest("colour", "high").alias("colour")))
             stable = nxt.join(colour, ["node", "colour"], "left_anti").isEmpty()
+            forget(colour)
             colour = nxt
             if stable:
                 break
@@ -123,6 +143,9 @@ def strong_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         inside = edges.join(a, "src").join(b, "dst").where("c1 = c2")
         back = reachable(inside.select(F.col("dst").alias("src"), F.col("src").alias("dst")), colour.where("node = colour").select("node"))
         found = written(back.groupBy("seed").agg(F.min("node").alias("component")).join(back, "seed").select("node", "component"))
+        forget(back, colour)
         done = found if done is None else done.unionByName(found)
+        old = left, edges
         left, edges = without(left, edges, found)
+        forget(*old)
     return done if done is not None else nodes.select("node", F.col("node").alias("component")).limit(0)

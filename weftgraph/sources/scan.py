@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import zipfile
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -122,8 +123,22 @@ def sniff(content: Column) -> Column:
     return F.pandas_udf(lambda s: s.map(sniff_one), T.StringType())(content)
 
 
+def unsafe(path: str) -> bool:
+    """Whether an entry's path is absolute or leads out of its folder; what else may be wrong with a path is judged by its column."""
+    depth = 0
+    for part in path.replace("\\", "/").split("/"):
+        depth += -1 if part == ".." else part not in ("", ".")
+        if depth < 0:
+            return True
+    return path[:1] in ("/", "\\")
+
+
 def archive_entries(archives: DataFrame, cap: int = MAX_BYTES) -> DataFrame:
-    """(archive, path, content, status) of archives(path, content): every entry of a zip file; status is null for those that may be read."""
+    """(archive, path, content, status) of archives(path, content): every entry of a zip file; status is null for those that may be read.
+
+    Paths and links are judged before anything is inflated; entries that are damaged, encrypted or packed in an unknown
+    way are unreadable, and the others of their archive are read all the same.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -138,10 +153,18 @@ def archive_entries(archives: DataFrame, cap: int = MAX_BYTES) -> DataFrame:
                     if e.is_dir():
                         continue
                     total += e.file_size
+                    mode = e.external_attr >> 16 & 0xF000
+                    if mode == 0xA000 or unsafe(e.filename):
+                        rows.append((name, e.filename, None, None, e.external_attr))
+                        continue
                     if total > cap:
                         rows.append((name, e.filename, None, "too-large", e.external_attr))
                         continue
-                    body = archive.read(e)
+                    try:
+                        body = archive.read(e)
+                    except (zipfile.BadZipFile, RuntimeError, NotImplementedError, EOFError, zlib.error):
+                        rows.append((name, e.filename, None, "unreadable", e.external_attr))
+                        continue
                     rows.append((name, e.filename, body, None if len(body) == e.file_size else "size-mismatch", e.external_attr))
                 yield pd.DataFrame(rows, columns=["archive", "path", "content", "status", "attr"])
 
