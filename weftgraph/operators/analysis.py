@@ -48,7 +48,8 @@ def resolved(imports: DataFrame, listing: DataFrame, sources: DataFrame, manifes
     python = resolve.resolve_python(own("python"), resolve.python_modules(listing, roots), roots).withColumn("approximate", exact)
     module = resolve.go_module(manifests.where(F.col("path") == "go.mod")).select("repo_id", "module")
     go = resolve.resolve_go(own("go"), resolve.go_packages(sources, module), module)
-    return reduce(DataFrame.unionByName, [x.select(*columns) for x in (script, python, go)])
+    # each language's rows are written by a job of its own: one plan of all three is too large for a small driver
+    return reduce(DataFrame.unionByName, [written(x.select(*columns)) for x in (script, python, go)])
 
 
 def analyze(contents: DataFrame, configs: DataFrame | None = None) -> Analysis:
@@ -57,15 +58,15 @@ def analyze(contents: DataFrame, configs: DataFrame | None = None) -> Analysis:
     Files in excluded folders are listed, so that imports of them are told from typing errors, but not parsed. A file
     with an error has no imports and is no node.
     """
-    listing = contents.select("repo_id", "path")
-    manifests = contents.where(paths.name_of(F.col("path")).isin(*MANIFESTS))
+    listing = written(contents.select("repo_id", "path"))
+    manifests = written(contents.where(paths.name_of(F.col("path")).isin(*MANIFESTS)))
     chosen = scan.sources(listing, configs=manifests if configs is None else configs)
     sources = written(chosen.select("repo_id", "path"))
     parsed = written(extract.parsed(contents.join(sources, ["repo_id", "path"], "left_semi")))
     roots = written(resolve.import_roots(listing, manifests))
     sound = parsed.where(F.size("errors") == 0)
     imports = sound.select("repo_id", "path", "language", F.explode("imports.specifier").alias("specifier")).distinct()
-    found = written(resolved(imports, listing, sources, manifests, roots))
+    found = resolved(written(imports), listing, sources, manifests, roots)
     nodes = sound.select("repo_id", "path", "language", "line_count")
     reached = found.where("status = 'internal'").select("repo_id", F.col("path").alias("src"), F.col("target").alias("dst"), "approximate")
     known = nodes.select("repo_id", F.col("path").alias("dst"))
