@@ -217,3 +217,28 @@ def test_two_repositories_end_to_end(spark, tmp_path):
     key = "0" * 8 + "-0000-0000-0000-" + "0" * 12
     store.save(key, **a.tables())
     assert store.load(key, "edges").count() == 7 and store.load(key, "errors").where(F.col("reason") == "unreadable").count() == 1
+
+
+def test_operators_keep_repositories_apart(spark):
+    """Each repository's rows are those that it gives alone; the three have paths in common."""
+    from weftgraph.operators import cluster, graph, reach
+
+    trees = {
+        "a": [f"lib/core/f{i}.ts" for i in range(40)] + [f"lib/ui/g{i}.ts" for i in range(5)] + ["x/one.ts", "go/p/a.go", "go/p/b.go", "py/__init__.py", "py/m.py"],
+        "b": [f"lib/core/f{i}.ts" for i in range(4)] + ["x/one.ts", "x/two.ts", "x/three.ts", "types.d.ts"],
+        "c": [f"lib/core/deep/in/f{i}.ts" for i in range(33)] + [f"lib/core/deep/out/f{i}.ts" for i in range(4)],
+    }
+    nodes = spark.createDataFrame([(r, p) for r, ps in trees.items() for p in ps], "repo_id string, path string")
+    links = [(r, ps[i], ps[i * 7 % len(ps)]) for r, ps in trees.items() for i in range(0, len(ps), 2)]
+    edges = spark.createDataFrame(links, "repo_id string, src string, dst string")
+    entries = spark.createDataFrame([("a", "lib/core/f2.ts"), ("a", "py/m.py"), ("a", "go/p/a.go"), ("b", "lib/core/f2.ts"), ("c", "nowhere")], "repo_id string, path string")
+    runs = {
+        "clusters": lambda n, e, x: cluster.adaptive_clusters(n), "tree": lambda n, e, x: cluster.folder_tree(n), "degrees": lambda n, e, x: graph.degrees(n, e), "hubs": lambda n, e, x: graph.hubs(graph.degrees(n, e)),
+        "orphans": lambda n, e, x: graph.orphans(n, e), "regions": lambda n, e, x: graph.region_edges(cluster.legacy_clusters(n), e), "reached": reach.reached, "unreachable": reach.unreachable,
+    }
+    for name, run in runs.items():
+        got = sorted(map(str, (tuple(r) for r in run(nodes, edges, entries).collect())))
+        want = [(r, *row) for r in trees for row in run(*(df.where(F.col("repo_id") == r).drop("repo_id") for df in (nodes, edges, entries))).collect()]
+        assert got == sorted(map(str, want)) and got, name
+    with pytest.raises(ValueError):
+        graph.degrees(nodes, edges.drop("repo_id"))

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 REPOSITORY = "repo_id"
 
@@ -13,3 +14,8 @@ def scope(*tables: DataFrame | None) -> list[str]:
     if has == {True, False}:
         raise ValueError("repo_id is in some of the tables only")
     return [REPOSITORY] if True in has else []
+
+
+def node_of(g: list[str], path: Column) -> Column:
+    """One name for a path in its repository, as fixpoints over all repositories at once need it."""
+    return F.concat(*g, F.lit("\x00"), path) if g else path
