@@ -146,3 +146,12 @@ def test_empty_tables(spark, docs):
     assert quality_rules.repetition_rules(none).count() == 0
     assert simhash.simhash_groups(none).count() == 0
     assert piece_codec.roundtrip(none, public_tokenizers.path("piece_bpe_32k.model")).count() == 0
+
+
+def test_probes_are_not_broadcast(spark):
+    """33 probes a segment look as few as their fingerprints to Spark, which would send them all to the driver."""
+    fps = spark.range(2000).selectExpr("xxhash64(id) as fp")
+    pairs = simhash.close_pairs(fps)
+    pairs.collect()
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan

@@ -95,7 +95,8 @@ def close_pairs(fps: DataFrame, bits: int = 2, segments: int = 2, hot: int = 256
     A fingerprint has at most sum(C(64, i), i = 1..bits) others that near, so the result is bounded by a constant for
     each. The join isn't by itself: a segment that more than ``hot`` fingerprints share would meet with all its probes
     in one task. Its entries and probes are dealt out once more, by the other segments cut into bits + 1 parts, of
-    which any two fingerprints within ``bits`` have one in common.
+    which any two fingerprints within ``bits`` have one in common. Spark takes rows that are exploded for as few as they
+    were, and would send 33 probes a segment to the driver as a small table: the joins name their kind.
     """
     width = 64 // segments
     radius = bits // segments
@@ -111,8 +112,8 @@ def close_pairs(fps: DataFrame, bits: int = 2, segments: int = 2, hot: int = 256
     crowded = materialize(entries.groupBy("seg", "key").count().where(F.col("count") > hot).select("seg", "key"), "simhash-crowded")
     if not crowded.take(1):
         discard(crowded)
-        return verified(entries.join(probes, ["seg", "key"]))
-    rest = verified(entries.join(crowded, ["seg", "key"], "left_anti").join(probes, ["seg", "key"]))
+        return verified(entries.join(probes.hint("merge"), ["seg", "key"]))
+    rest = verified(entries.join(crowded, ["seg", "key"], "left_anti").join(probes.hint("merge"), ["seg", "key"]))
 
     def others(fp: str, i: int):
         """The bits of fp outside segment i, closed up."""
@@ -125,7 +126,7 @@ def close_pairs(fps: DataFrame, bits: int = 2, segments: int = 2, hot: int = 256
         parts = [F.shiftrightunsigned("others", size * i).bitwiseAND(F.lit((1 << size) - 1)) for i in range(bits + 1)]
         return rows.join(crowded, ["seg", "key"]).withColumn("others", rest_of).select(fp, "seg", "key", F.posexplode(F.array(*parts)).alias("part", "value"))
 
-    return rest.unionByName(verified(dealt(entries, "fp").join(dealt(probes, "other"), ["seg", "key", "part", "value"])))
+    return rest.unionByName(verified(dealt(entries, "fp").join(dealt(probes, "other").hint("merge"), ["seg", "key", "part", "value"])))
 
 
 def components(printed: DataFrame, bits: int = 2, segments: int = 2) -> DataFrame:
