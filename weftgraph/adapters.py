@@ -81,23 +81,43 @@ def part_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 PART_EDGES = PARTS + """, pedges AS (SELECT a.path AS src, b.path AS dst FROM (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem) JOIN parts a ON a.p_partkey = l_partkey JOIN parts b ON b.p_partkey = l_suppkey)"""
 
 
-def order_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(path, line_count, k, region, nth, m): region/nation/customer/order, and a library for each market segment.
+#: Rows of orders that one task sorts; the graph of orders has more tasks where there are more of them.
+TASK_ORDERS = 200_000
 
-    nth of m is an order's place among its customer's, by date; they are null for libraries.
-    """
+
+def order_tasks(spark: SparkSession, sf_dir: str) -> int:
+    """How many tasks the graph of orders is dealt out to, so that a task's memory doesn't grow with the table."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-table(spark, sf_dir, "orders").count() // TASK_ORDERS))
+
+
+def order_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = nation_paths(spark, sf_dir)
     c = table(spark, sf_dir, "customer")
-    own = c.join(F.broadcast(names), c["c_nationkey"] == names["key"]).select("c_custkey", "c_mktsegment", "path")
-    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
-    w = Window.partitionBy("o_custkey")
+    return c.join(F.broadcast(names), c["c_nationkey"] == names["key"]).select("c_custkey", "c_mktsegment", "path")
+
+
+def order_rows(spark: SparkSession, sf_dir: str, tasks: int) -> DataFrame:
+    """(path, line_count, k, region, c_mktsegment, nth, m, before, last): each order with its customer's order before it and last order, from one sort."""
+    own = order_customers(spark, sf_dir)
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate").repartition(tasks, "o_custkey")
+    w = Window.partitionBy("k").orderBy("o_orderdate", "o_orderkey")
+    every = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     rows = o.join(own, o["o_custkey"] == own["c_custkey"]).select(
         F.concat("path", F.lit("/c"), F.col("c_custkey").cast("string"), F.lit("/o"), F.col("o_orderkey").cast("string"), F.lit(".ts")).alias("path"),
-        (F.col("o_orderkey") % 200 + 1).cast("long").alias("line_count"), F.col("c_custkey").alias("k"), F.split("path", "/")[0].alias("region"), "c_mktsegment",
-        F.row_number().over(w.orderBy("o_orderdate", "o_orderkey")).alias("nth"), F.count("*").over(w).alias("m"),
+        (F.col("o_orderkey") % 200 + 1).cast("long").alias("line_count"), F.col("o_custkey").alias("k"), F.split("path", "/")[0].alias("region"), "c_mktsegment", "o_orderdate", "o_orderkey",
     )
+    rows = rows.withColumns({"nth": F.row_number().over(w), "m": F.count("*").over(every), "before": F.lag("path").over(w), "last": F.last("path").over(every)})
+    return rows.drop("o_orderdate", "o_orderkey")
+
+
+def order_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(path, line_count, k, region, nth, m): region/nation/customer/order, and a library for each market segment.
+
+    nth of m is an order's place among its customer's, by date; they are null for libraries.
+    """
+    rows = order_rows(spark, sf_dir, order_tasks(spark, sf_dir)).drop("before", "last")
     none = F.lit(None)
-    lib = own.select(F.concat(F.lit("lib/"), "c_mktsegment", F.lit(".ts")).alias("path")).distinct()
+    lib = order_customers(spark, sf_dir).select(F.concat(F.lit("lib/"), "c_mktsegment", F.lit(".ts")).alias("path")).distinct()
     lib = lib.select("path", F.lit(50).cast("long").alias("line_count"), none.cast("long").alias("k"), none.cast("string").alias("region"), none.cast("string").alias("c_mktsegment"), none.cast("int").alias("nth"), none.cast("long").alias("m"))
     return rows.unionByName(lib)
 
@@ -109,17 +129,19 @@ def order_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     customer k that of customer k / 2, if its region comes no later; with every tenth customer the first imports the
     last too, with every twenty-fifth the last itself; and the least library imports the least order.
     """
-    n = order_nodes(spark, sf_dir)
-    o = n.where("k is not null")
-    before = F.lag("path").over(Window.partitionBy("k").orderBy("nth"))
-    chain = o.select("path", F.when(F.col("nth") == 1, F.concat(F.lit("lib/"), "c_mktsegment", F.lit(".ts"))).otherwise(before).alias("dst"))
+    tasks = order_tasks(spark, sf_dir)
+    o = order_rows(spark, sf_dir, tasks)
+    # what lies within a customer comes from its rows at once
+    chain = F.when(F.col("nth") == 1, F.concat(F.lit("lib/"), "c_mktsegment", F.lit(".ts"))).otherwise(F.col("before"))
+    first = F.when(F.expr("nth = 1 and m > 1 and k % 10 = 0"), F.col("last"))
+    loop = F.when(F.expr("nth = m and k % 25 = 1"), F.col("path"))
+    within = o.select("path", F.explode(F.filter(F.array(chain, first, loop), lambda x: x.isNotNull())).alias("dst"))
     last = o.where("nth = m").select("k", "path", "region")
     half = last.select(F.col("k").alias("h"), F.col("path").alias("dst"), F.col("region").alias("other"))
     up = last.where("k > 1").join(half, F.floor(F.col("k") / 2) == F.col("h")).where("region >= other").select("path", "dst")
-    first = o.where("nth = 1 and m > 1 and k % 10 = 0").select("path", "k").join(last.select("k", F.col("path").alias("dst")), "k").select("path", "dst")
-    loop = last.where("k % 25 = 1").select("path", F.col("path").alias("dst"))
+    n = order_nodes(spark, sf_dir)
     least = n.agg(F.min(F.when(F.col("k").isNull(), F.col("path"))).alias("path"), F.min("path").alias("dst")).where("path is not null")
-    every = chain.unionByName(up).unionByName(first).unionByName(loop).unionByName(least)
+    every = within.unionByName(up).unionByName(least)
     return every.select(F.concat("path", F.lit("->"), "dst").alias("id"), F.col("path").alias("src"), "dst")
 
 

@@ -43,9 +43,10 @@ def neighbors(nodes: DataFrame, edges: DataFrame, path: str, direction: str = "o
     """Distinct adjacent nodes; nothing for an unknown path."""
     if kinds is not None:
         edges = edges.where(F.col("kind").isin(*kinds))
-    out = edges.where(F.col("src") == path).select(F.col("dst").alias("path"))
-    into = edges.where(F.col("dst") == path).select(F.col("src").alias("path"))
-    chosen = {"outgoing": out, "incoming": into, "both": out.unionByName(into)}[direction].distinct()
+    # both directions from one row: the edges are read once
+    out, into = F.when(F.col("src") == path, F.col("dst")), F.when(F.col("dst") == path, F.col("src"))
+    wanted = {"outgoing": [out], "incoming": [into], "both": [out, into]}[direction]
+    chosen = edges.where(F.coalesce(*wanted).isNotNull()).select(F.explode(F.array(*wanted)).alias("path")).where("path is not null").distinct()
     return ordered(nodes.join(chosen, "path", "left_semi"), "path", collation)
 
 

@@ -41,7 +41,9 @@ def trade(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
 
 def chains(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    return ad.order_nodes(s, d).select("path", "line_count"), ad.order_edges(s, d)
+    # dealt out by path once more: the joins on paths take over the number of tasks
+    nodes = ad.order_nodes(s, d).select("path", "line_count")
+    return nodes.repartition(ad.order_tasks(s, d), "path"), ad.order_edges(s, d)
 
 
 def by_form(table: DataFrame, key: str, forms: tuple[str, ...]) -> DataFrame:
