@@ -645,3 +645,22 @@ def test_turning_the_edges_round_changes_the_rows(spark, monkeypatch, name):
     edges, straight = adapters.order_edges, rows()
     monkeypatch.setattr(adapters, "order_edges", lambda s, d: edges(s, d).select("id", F.col("dst").alias("src"), F.col("src").alias("dst")))
     assert straight and rows() != straight
+
+
+def test_order_graph_is_dealt_out_by_its_size(spark, monkeypatch):
+    """More orders make more tasks, not larger ones."""
+    from weftgraph import adapters
+
+    monkeypatch.setattr(adapters, "TASK_ORDERS", 100)
+    edges = adapters.order_edges(spark, "/root/testdata/sf0.001")
+    assert adapters.order_tasks(spark, "/root/testdata/sf0.001") == 15
+    assert edges._jdf.queryExecution().optimizedPlan().toString().count("], 15") >= 3
+
+
+def test_units_with_very_many_edges_are_ranked_in_parts(spark):
+    units = spark.range(700).selectExpr("concat(if(id < 350, 'a/', 'b/'), id) as path", "if(id < 350, 'a', 'b') as unit")
+    edges = spark.range(350).selectExpr("concat('a/', id) as src", "concat('b/', id + 350) as dst")
+    got = diagram.unit_edges(units, edges)
+    assert "part#" in got._jdf.queryExecution().optimizedPlan().toString()
+    want = sorted(f"a/{i}->b/{i + 350}" for i in range(350))[:5]
+    assert [tuple(r) for r in got.collect()] == [("a", "b", 350, want)]
