@@ -664,3 +664,15 @@ def test_units_with_very_many_edges_are_ranked_in_parts(spark):
     assert "part#" in got._jdf.queryExecution().optimizedPlan().toString()
     want = sorted(f"a/{i}->b/{i + 350}" for i in range(350))[:5]
     assert [tuple(r) for r in got.collect()] == [("a", "b", 350, want)]
+
+
+def test_components_of_numbers_move_no_names(spark):
+    """Numbered nodes stay numbers; edges of unknown nodes, loops and copies of edges change nothing."""
+    nodes = spark.createDataFrame([(i,) for i in (3, 7, 9, 12, 40)], "node long")
+    edges = spark.createDataFrame([(9, 7), (9, 7), (12, 9), (40, 40), (3, 5), (5, 40)], "src long, dst long")
+    want = {(3, 3), (7, 7), (9, 7), (12, 7), (40, 40)}
+    assert {tuple(r) for r in fixpoint.components(nodes, edges).collect()} == want
+    names = nodes.selectExpr("concat('n', node) as node"), edges.selectExpr("concat('n', src) as src", "concat('n', dst) as dst")
+    assert {tuple(r) for r in fixpoint.components(*names).collect()} == {("n3", "n3"), ("n7", "n12"), ("n9", "n12"), ("n12", "n12"), ("n40", "n40")}
+    held = fixpoint.stars(edges)
+    assert {f.dataType.typeName() for f in held.schema} == {"long"} and {tuple(r) for r in held.collect()} == {(3, 3), (5, 3), (40, 3), (7, 7), (9, 7), (12, 7)}

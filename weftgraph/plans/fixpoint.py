@@ -84,23 +84,62 @@ def closure(edges: DataFrame) -> DataFrame:
         n = now
 
 
-def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(node, component): the least node reachable over edges in either direction; label propagation with pointer jumping."""
-    both = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).where("src <> dst").distinct()
-    both = written(both)
-    labels = written(nodes.select("node", F.col("node").alias("component")))
+def numbered(names: DataFrame) -> DataFrame:
+    """(node, id): a written table with a number for each distinct node."""
+    return written(names.select("node").where("node is not null").distinct().withColumn("id", F.monotonically_increasing_id()))
+
+
+def by_number(edges: DataFrame, names: DataFrame) -> DataFrame:
+    """edges(src, dst) with the numbers of their ends; edges of other nodes are left out."""
+    a, b = names.select(F.col("node").alias("src"), F.col("id").alias("s")), names.select(F.col("node").alias("dst"), F.col("id").alias("t"))
+    return edges.select("src", "dst").join(a, "src").select("s", "dst").join(b, "dst").select(F.col("s").alias("src"), F.col("t").alias("dst"))
+
+
+def stars(edges: DataFrame) -> DataFrame:
+    """(node, component): each end of an edge (src, dst) of numbers and the least number that it hangs together with, written.
+
+    Every node hooks its larger neighbours onto the least node it sees, then what lies below onto the least there, so
+    that edges become stars in a logarithm of rounds, and a dense graph is sparse after the first.
+    """
+    held = written(edges.where("src <> dst").select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct())
+    before = None
     while True:
-        near = both.join(labels, both["dst"] == labels["node"]).groupBy("src").agg(F.min("component").alias("low"))
-        hooked = labels.join(near, labels["node"] == near["src"], "left").select("node", F.least("component", "low").alias("component"))
-        hooked = written(hooked)
-        jump = hooked.select(F.col("node").alias("component"), F.col("component").alias("further"))
-        jumped = written(hooked.join(jump, "component", "left").select("node", F.least("component", "further").alias("component")))
-        stable = jumped.join(labels, ["node", "component"], "left_anti").isEmpty()
-        forget(labels, hooked)
-        labels = jumped
-        if stable:
-            forget(both)
-            return labels
+        both = held.unionByName(held.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        # minima are written before they are joined: the join has a shuffle of its own then, which deals out a hub
+        least = written(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
+        large = written(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
+        low = written(large.groupBy("u").agg(F.min("v").alias("m")))
+        below = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
+        grown = written(below.where("u <> v").distinct())
+        forget(least, large, low, held)
+        held = grown
+        now = held.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        if now == before:
+            break
+        before = now
+    out = written(held.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(held.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()))
+    forget(held)
+    return out
+
+
+def named_by_least(names: DataFrame, found: DataFrame) -> DataFrame:
+    """(node, component) of all names: the least name of a component of found(node, component), in numbers; others stand for themselves."""
+    least = written(found.join(names.select(F.col("id").alias("node"), F.col("node").alias("name")), "node").groupBy("component").agg(F.min("name").alias("least")))
+    moved = found.join(least, "component").select(F.col("node").alias("id"), "least")
+    return names.join(moved, "id", "left").select("node", F.coalesce("least", "node").alias("component"))
+
+
+def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node, component): the least node reachable over edges in either direction; edges of unknown nodes count for nothing.
+
+    Nodes that are no numbers are numbered first, so that rounds move numbers and not names.
+    """
+    if nodes.schema["node"].dataType.typeName() == "long":
+        known = nodes.select("node").distinct()
+        inner = edges.select("src", "dst").join(known.withColumnRenamed("node", "src"), "src", "left_semi").join(known.withColumnRenamed("node", "dst"), "dst", "left_semi")
+        return known.join(stars(inner.select("src", "dst")), "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+    names = numbered(nodes)
+    return named_by_least(names, stars(by_number(edges, names)))
 
 
 def without(nodes: DataFrame, edges: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame]:
