@@ -676,3 +676,41 @@ def test_components_of_numbers_move_no_names(spark):
     assert {tuple(r) for r in fixpoint.components(*names).collect()} == {("n3", "n3"), ("n7", "n12"), ("n9", "n12"), ("n12", "n12"), ("n40", "n40")}
     held = fixpoint.stars(edges)
     assert {f.dataType.typeName() for f in held.schema} == {"long"} and {tuple(r) for r in held.collect()} == {(3, 3), (5, 3), (40, 3), (7, 7), (9, 7), (12, 7)}
+
+
+def test_chains_rings_and_branches_are_drawn_together_exactly(spark):
+    rng = random.Random(5)
+    nodes, edges = [], []
+    for g in range(60):
+        own = [f"{g}x{rng.randrange(10**6)}" for _ in range(rng.randrange(2, 11))]
+        nodes += own
+        edges += list(zip(own, own[1:])) if g % 3 else [(own[i], own[rng.randrange(i)]) for i in range(1, len(own))]
+        edges += [(own[-1], own[0])] if g % 6 == 1 else [(rng.choice(own), rng.choice(own)) for _ in range(g % 4)]
+        edges += [(f"unknown{g}", own[0]), (own[-1], f"unknown{g}")] if g % 5 == 0 else []
+    # three rings without mutual edges, a node between two of them: colours are needed
+    ring = [[f"r{k}{i}" for i in range(4)] for k in range(3)]
+    for own in ring:
+        edges += [(own[i], own[(i + 1) % 4]) for i in range(4)] + [(own[0], own[2])]
+    edges += [("r00", "z"), ("z", "r10"), ("r11", "r20")] + edges[:9]
+    nodes += [x for own in ring for x in own] + ["z", "alone"]
+
+    def reach(known):
+        out = {}
+        for a, b in edges:
+            if not known or {a, b} <= set(nodes):
+                out.setdefault(a, set()).add(b)
+        found = {}
+        for v in {*nodes, *(x for e in edges for x in e if not known)}:
+            found[v], ahead = {v}, [v]
+            while ahead:
+                new = out.get(ahead.pop(), set()) - found[v]
+                found[v] |= new
+                ahead += new
+        return found
+
+    n, e = spark.createDataFrame([(x,) for x in nodes], "path string"), spark.createDataFrame(edges, "src string, dst string")
+    inside, every = reach(True), reach(False)
+    strong = {(v, min(w for w in inside[v] if v in inside[w])) for v in nodes}
+    counts = {(v, sum(v in r for r in every.values()) - 1) for v in nodes}
+    assert {tuple(r) for r in fixpoint.strong_components(n.select(F.col("path").alias("node")), e).collect()} == strong
+    assert {tuple(r) for r in graph.all_impacts(n, e).collect()} == counts
