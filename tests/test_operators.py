@@ -714,3 +714,12 @@ def test_chains_rings_and_branches_are_drawn_together_exactly(spark):
     counts = {(v, sum(v in r for r in every.values()) - 1) for v in nodes}
     assert {tuple(r) for r in fixpoint.strong_components(n.select(F.col("path").alias("node")), e).collect()} == strong
     assert {tuple(r) for r in graph.all_impacts(n, e).collect()} == counts
+
+
+def test_no_pairs_are_kept_of_a_chain(spark, monkeypatch):
+    seen, pairs = [], fixpoint.reachable
+    monkeypatch.setattr(fixpoint, "reachable", lambda edges, seeds, *a: seen.append(seeds.count()) or pairs(edges, seeds, *a))
+    monkeypatch.setattr(graph, "reachable", fixpoint.reachable)
+    chain = spark.createDataFrame([(f"c{i:03}", f"c{i + 1:03}") for i in range(40)], "src string, dst string")
+    got = graph.all_impacts(spark.createDataFrame([(f"c{i:03}",) for i in range(41)], "path string"), chain)
+    assert {tuple(r) for r in got.collect()} == {(f"c{i:03}", i) for i in range(41)} and seen == [0]

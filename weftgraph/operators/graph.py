@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftgraph.operators.scoped import scope
-from weftgraph.plans.fixpoint import reachable
+from weftgraph.plans.fixpoint import ancestor_counts, reachable
 
 
 def build_graph(files: DataFrame) -> DataFrame:
@@ -58,10 +58,10 @@ def impact(nodes: DataFrame, edges: DataFrame, path: str) -> DataFrame:
 
 
 def all_impacts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(path, n_impacted) for every node in one fixpoint."""
-    back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-    seen = reachable(back, nodes.select(F.col("path").alias("node")))
-    return seen.groupBy(F.col("seed").alias("path")).agg((F.count("*") - 1).alias("n_impacted"))
+    """(path, n_impacted) for every node; see ancestor_counts(), which says for what nodes pairs are kept."""
+    known = nodes.select(F.col("path").alias("node")).distinct()
+    counts = ancestor_counts(known, edges)
+    return known.join(counts, "node", "left").select(F.col("node").alias("path"), F.coalesce("n", F.lit(0).cast("long")).alias("n_impacted"))
 
 
 def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
