@@ -723,3 +723,11 @@ def test_no_pairs_are_kept_of_a_chain(spark, monkeypatch):
     chain = spark.createDataFrame([(f"c{i:03}", f"c{i + 1:03}") for i in range(40)], "src string, dst string")
     got = graph.all_impacts(spark.createDataFrame([(f"c{i:03}",) for i in range(41)], "path string"), chain)
     assert {tuple(r) for r in got.collect()} == {(f"c{i:03}", i) for i in range(41)} and seen == [0]
+
+
+def test_degrees_are_added_up_in_as_many_tasks_as_asked(spark, abc):
+    nodes, edges = abc
+    got = graph.degrees(nodes, edges, 7)
+    assert {tuple(r) for r in got.collect()} == {tuple(r) for r in graph.degrees(nodes, edges).collect()}
+    dealt = [x for x in got._jdf.queryExecution().toString().splitlines() if "REPARTITION_BY_NUM" in x]
+    assert dealt and all(", 7)" in x for x in dealt)

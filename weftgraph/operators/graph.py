@@ -64,12 +64,17 @@ def all_impacts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return known.join(counts, "node", "left").select(F.col("node").alias("path"), F.coalesce("n", F.lit(0).cast("long")).alias("n_impacted"))
 
 
-def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(path, in_degree, out_degree): repeated edges and self-loops count, isolated nodes have zero."""
+def degrees(nodes: DataFrame, edges: DataFrame, tasks: int | None = None) -> DataFrame:
+    """(path, in_degree, out_degree): repeated edges and self-loops count, isolated nodes have zero.
+
+    With ``tasks`` the ends of edges are dealt out to so many tasks, so that what one adds up needn't grow with the graph.
+    """
     g = scope(nodes, edges)
     # both ends of an edge from one row: the edges are read once
     end = lambda c, i, o: F.struct(*g, F.col(c).alias("path"), F.lit(i).alias("i"), F.lit(o).alias("o"))
     ends = edges.select(F.explode(F.array(end("dst", 1, 0), end("src", 0, 1))).alias("e")).select("e.*")
+    if tasks:
+        ends = ends.repartition(tasks, *g, "path")
     total = ends.groupBy(*g, "path").agg(F.sum("i").alias("i"), F.sum("o").alias("o"))
     zero = F.lit(0).cast("long")
     return nodes.select(*g, "path").join(total, [*g, "path"], "left").select(*g, "path", F.coalesce("i", zero).alias("in_degree"), F.coalesce("o", zero).alias("out_degree"))

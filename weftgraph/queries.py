@@ -146,12 +146,12 @@ def g8_canonical_cycles(s, d):
 
 @query(O + DEG + " SELECT path, in_degree, out_degree FROM deg")
 def a1_degrees(s, d):
-    return graph.degrees(*chains(s, d))
+    return graph.degrees(*chains(s, d), ad.order_tasks(s, d))
 
 
 @query(O + DEG + " SELECT path, in_degree FROM deg, (SELECT quantile_disc(in_degree, 0.95) AS p FROM deg) WHERE in_degree >= p AND in_degree > 0")
 def a2_hubs(s, d):
-    return graph.hubs(graph.degrees(*chains(s, d)))
+    return graph.hubs(graph.degrees(*chains(s, d), ad.order_tasks(s, d)))
 
 
 PDEG = ", pdeg AS (SELECT p.path, count(e.src) AS in_degree FROM parts p LEFT JOIN pedges e ON e.dst = p.path GROUP BY p.path)"
@@ -198,7 +198,7 @@ def a7_framework(s, d):
 
 @query(O + DEG + " SELECT path, in_degree FROM deg ORDER BY in_degree DESC, path LIMIT 5")
 def a8_hub_lens(s, d):
-    return graph.top_lens(graph.degrees(*chains(s, d)).select("path", "in_degree"), "in_degree", 5)
+    return graph.top_lens(graph.degrees(*chains(s, d), ad.order_tasks(s, d)).select("path", "in_degree"), "in_degree", 5)
 
 
 REASON = "CASE WHEN o_orderkey % 5 = 0 THEN 'test file' ELSE 'rule ' || o_orderpriority || ' (' || o_orderstatus || ')' END"
