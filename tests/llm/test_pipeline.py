@@ -161,3 +161,22 @@ def test_only_similar_texts_are_linked(spark, docs, block):
     label = groups([(i, j) for i in range(len(texts)) for j in range(i) if similar(texts[i], texts[j]) or not (texts[i].split() or texts[j].split())], texts)
     assert 30 < len(set(label)) < len(texts) - 30
     assert kept_ids(spark, docs, texts, **({} if block == 512 else {"block": block})) == set(label)
+
+
+def test_near_duplicates_go_by_fingerprints_too(spark, docs, monkeypatch):
+    """Texts that no prefix cell brings together are found where their fingerprints are near, and verified."""
+    from weftgraph.llm import similar
+
+    words = [f"w{i}" for i in range(300)]
+    other = [*words[:150], "changed", *words[151:]]
+    far = [f"v{i}" for i in range(300)]
+    texts = [" ".join(x) for x in (words, other, far)]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    fp = {r.doc_id: r.fp & (1 << 64) - 1 for r in simhash.fingerprints(rows).collect()}
+    bits = (fp[0] ^ fp[1]).bit_count()
+    groups = {r.key: r.label for r in simhash.fingerprint_groups(simhash.fingerprints(rows).withColumnRenamed("doc_id", "key"), max(2, bits)).collect()}
+    assert set(groups) == {0, 1} and len(set(groups.values())) == 1
+    whole = similar.fingerprint_groups
+    monkeypatch.setattr(similar, "fingerprint_groups", lambda printed: whole(printed, max(2, bits)))
+    monkeypatch.setattr(similar, "cell_rows", lambda members: members.selectExpr("uid as cell", "uid"))
+    assert kept_ids(spark, docs, texts) == {0, 2}

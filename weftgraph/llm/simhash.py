@@ -28,7 +28,6 @@ from pyspark.sql import functions as F
 
 from weftgraph.llm.common import Words, discard, materialize, text_slices
 from weftgraph.llm.components import connected_components
-from weftgraph.llm.similar import one_of_each
 
 SEED = 42
 
@@ -155,6 +154,24 @@ def simhash_groups(docs: DataFrame, shingle: int = 3, bits: int = 2) -> DataFram
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def fingerprint_groups(printed: DataFrame, bits: int = 2) -> DataFrame:
+    """(key, label) of printed(key, fp) for keys that hang together over fingerprints within ``bits``, with others; written. label is a fingerprint."""
+    spark = printed.sparkSession
+    distinct = materialize(printed.select("fp").distinct(), "simhash-distinct")
+    pairs = close_pairs(distinct, bits)
+    comps = connected_components(pairs.select(F.col("fp").alias("u"), F.col("other").alias("v")), spark)
+    labelled = printed.join(comps.select(F.col("v").alias("fp"), "label"), "fp", "left").select("key", F.coalesce("label", "fp").alias("label"))
+    labelled = materialize(labelled, "simhash-labelled")
+    # written first, so that the join deals one large group out by itself
+    several = materialize(labelled.groupBy("label").count().where("count > 1").select("label"), "simhash-several")
+    out = materialize(labelled.join(several, "label").select("key", "label"), "simhash-groups")
+    for old in (distinct, comps, labelled, several):
+        discard(old)
+    return out
+
+
 def keep_one(docs: DataFrame, similarity: float = 0.8, block: int = 512) -> DataFrame:
-    """docs with one row of each group of similar texts; see similar.py, which says why fingerprints don't do for this."""
+    """docs with one row of each group of similar texts; see similar.py, which verifies what fingerprints bring together and finds the rest."""
+    from weftgraph.llm.similar import one_of_each  # it takes fingerprints from here
+
     return one_of_each(docs, similarity, block)
