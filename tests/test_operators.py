@@ -3,12 +3,13 @@
 import io
 import random
 import zipfile
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
 from weftgraph.functions import identity, paths, texts
-from weftgraph.operators import boundaries, cluster, cycles, diagram, entrypoints, evidence, graph, ir, reach, registry, resolve, search, tour
+from weftgraph.operators import boundaries, cluster, confidence, cycles, diagram, entrypoints, evidence, graph, ir, reach, registry, resolve, search, tour
 from weftgraph.plans import fixpoint
 from weftgraph.sources import extract, scan
 from weftgraph.streaming import limits, retention
@@ -731,3 +732,21 @@ def test_degrees_are_added_up_in_as_many_tasks_as_asked(spark, abc):
     assert {tuple(r) for r in got.collect()} == {tuple(r) for r in graph.degrees(nodes, edges).collect()}
     dealt = [x for x in got._jdf.queryExecution().toString().splitlines() if "REPARTITION_BY_NUM" in x]
     assert dealt and all(", 7)" in x for x in dealt)
+
+
+def test_region_edges_are_dealt_out_and_shares_need_no_single_task(spark):
+    folders = spark.createDataFrame([(f"d{i % 9}/f{i}", f"d{i % 9}") for i in range(90)], "path string, folder string")
+    pairs = [(f"d{i % 9}/f{i}", f"d{j % 9}/f{j}") for i in range(90) for j in (0, (i * 7 + 1) % 90)]
+    edges = spark.createDataFrame([(f"{a}->{b}", a, b) for a, b in pairs], "id string, src string, dst string")
+    want = Counter((a.split("/")[0], b.split("/")[0]) for a, b in pairs if a.split("/")[0] != b.split("/")[0])
+    dealt = graph.region_edges(folders, edges, 7)
+    assert dealt.rdd.getNumPartitions() == 7
+    assert {(r.source, r.target): r.n_edges for r in dealt.collect()} == want
+    once = confidence.folder_edges(edges, folders, 7)
+    assert once.rdd.getNumPartitions() == 7
+    assert sorted(map(tuple, once.collect())) == sorted(want)
+    shares = graph.size_share(dealt, "n_edges")
+    assert shares.columns == ["source", "target", "n_edges", "share"]
+    assert "Window" not in shares._jdf.queryExecution().optimizedPlan().toString()
+    assert {(r.source, r.target): r.share for r in shares.collect()} == pytest.approx({k: n / max(want.values()) for k, n in want.items()})
+    assert graph.size_share(dealt.limit(0), "n_edges").count() == 0

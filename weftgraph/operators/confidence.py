@@ -31,8 +31,10 @@ def with_folders(edges: DataFrame, clusters: DataFrame) -> DataFrame:
     return edges.join(a, "src").join(b, "dst").select("src", "dst", "src_folder", "dst_folder")
 
 
-def folder_edges(edges: DataFrame, clusters: DataFrame) -> DataFrame:
-    return with_folders(edges, clusters).where("src_folder <> dst_folder").select("src_folder", "dst_folder").distinct()
+def folder_edges(edges: DataFrame, clusters: DataFrame, tasks: int | None = None) -> DataFrame:
+    """(src_folder, dst_folder) that an edge joins; with ``tasks`` edges are dealt out to so many, so that what one holds needn't grow with the graph."""
+    between = with_folders(edges, clusters).where("src_folder <> dst_folder").select("src_folder", "dst_folder")
+    return (between.repartition(tasks, "src_folder", "dst_folder") if tasks else between).distinct()
 
 
 def interior_edges(edges: DataFrame, clusters: DataFrame) -> DataFrame:

@@ -102,21 +102,28 @@ def orphans(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.select(*g, "path").join(edges.select(*g, F.col("dst").alias("path")), [*g, "path"], "left_anti")
 
 
-def region_edges(folders: DataFrame, edges: DataFrame) -> DataFrame:
-    """(source, target, n_edges) between different folders; folders(path, folder)."""
+def region_edges(folders: DataFrame, edges: DataFrame, tasks: int | None = None) -> DataFrame:
+    """(source, target, n_edges) between different folders; folders(path, folder).
+
+    With ``tasks`` the edges between folders are dealt out to so many tasks, so that what one counts needn't grow with the graph.
+    """
     g = scope(folders, edges)
     a = folders.select(*g, F.col("path").alias("src"), F.col("folder").alias("source"))
     b = folders.select(*g, F.col("path").alias("dst"), F.col("folder").alias("target"))
-    return edges.join(a, [*g, "src"]).join(b, [*g, "dst"]).where("source <> target").groupBy(*g, "source", "target").agg(F.count("*").alias("n_edges"))
+    between = edges.join(a, [*g, "src"]).join(b, [*g, "dst"]).where("source <> target").select(*g, "source", "target")
+    if tasks:
+        between = between.repartition(tasks, *g, "source", "target")
+    return between.groupBy(*g, "source", "target").agg(F.count("*").alias("n_edges"))
 
 
 def stroke_width(n: Column) -> Column:
     return F.least(F.greatest(F.lit(1.25) + F.lit(0.75) * F.log2(F.greatest(F.lit(1), n)), F.lit(1.25)), F.lit(4.5))
 
 
-def size_share(n: Column) -> Column:
-    """Of the largest."""
-    return n / F.max(n).over(Window.partitionBy())
+def size_share(df: DataFrame, n: str, share: str = "share") -> DataFrame:
+    """df with its share of the largest n, which is one row sent to all tasks: a window over everything would be one task."""
+    largest = df.agg(F.max(n).alias("largest"))
+    return df.crossJoin(F.broadcast(largest)).withColumn(share, F.col(n) / F.col("largest")).drop("largest")
 
 
 # What a file at the top, and else what a dependency, says about the framework, in order.

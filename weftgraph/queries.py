@@ -173,14 +173,14 @@ RE = ", ends AS MATERIALIZED (SELECT a.folder AS source, b.folder AS target FROM
 @query(O + FOLD + RE + " SELECT source, target, n_edges FROM re")
 def a5_region_edges(s, d):
     nodes, edges = chains(s, d)
-    return graph.region_edges(regions(nodes), edges)
+    return graph.region_edges(regions(nodes), edges, ad.order_tasks(s, d))
 
 
 @query(O + FOLD + RE + " SELECT source, target, round(least(greatest(1.25 + 0.75 * log2(greatest(1, n_edges)), 1.25), 4.5), 6) AS width, round(n_edges / (max(n_edges) OVER ())::DOUBLE, 6) AS share FROM re")
 def a6_stroke_and_share(s, d):
     nodes, edges = chains(s, d)
-    r = graph.region_edges(regions(nodes), edges)
-    return r.select("source", "target", F.round(graph.stroke_width(F.col("n_edges")), 6).alias("width"), F.round(graph.size_share(F.col("n_edges")), 6).alias("share"))
+    r = graph.size_share(graph.region_edges(regions(nodes), edges, ad.order_tasks(s, d)), "n_edges")
+    return r.select("source", "target", F.round(graph.stroke_width(F.col("n_edges")), 6).alias("width"), F.round("share", 6).alias("share"))
 
 
 @query(f"WITH {ad.PART_EDGES} SELECT count(*) AS n_files, (SELECT count(DISTINCT regexp_replace(path, '/?[^/]*$', '')) FROM parts) AS n_folders, (SELECT count(*) FROM pedges) AS n_dependencies, 'TypeScript' AS language FROM parts")
@@ -480,7 +480,7 @@ def p5_reduced_by_region(s, d):
 @query(O + FOLD + " SELECT DISTINCT a.folder AS src_folder, b.folder AS dst_folder FROM edges JOIN fold a ON src = a.path JOIN fold b ON dst = b.path WHERE a.folder <> b.folder")
 def v1_folder_edges(s, d):
     nodes, edges = chains(s, d)
-    return confidence.folder_edges(edges, regions(nodes))
+    return confidence.folder_edges(edges, regions(nodes), ad.order_tasks(s, d))
 
 
 @query(O + FOLD + " SELECT a.folder AS folder, src, dst FROM edges JOIN fold a ON src = a.path JOIN fold b ON dst = b.path WHERE a.folder = b.folder")
