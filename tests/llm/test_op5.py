@@ -176,3 +176,24 @@ def test_surroundings_come_from_every_neighbour(spark):
                 want[mid, spec.dim :] += signs[after, spec.dim :]
             np.add.at(n, text[1:], 1)
     assert (count == n).all() and around == pytest.approx(want)
+
+
+def test_words_and_the_marks_after_them_are_encoded_once_each():
+    bpe = lm.byte_bpe(VOCABULARY)
+    words, marks = [f"word{chr(97 + i)}" for i in range(20)], ["%", "$$$", "...", ")", "###", "&&", "-", "_", "``", '"']
+    text = "".join(f" {w}{m}" for w in words for m in marks)
+    asked = []
+    encode = bpe._encode_distinct
+    bpe._encode_distinct = lambda segments: asked.append(len(segments)) or encode(segments)
+    try:
+        odd = [text, "it's%they'll-we'd_x'9 'sA's% don''t'ST a'b", "a_b c-1 é%a é1% x\n\n%y %% a% 'll", "", "A.B. C/D?e=f&g", " a%\té$ b"]
+        raw = [t.encode() for t in odd]
+        bounds = np.concatenate(([0], np.cumsum([len(r) for r in raw])))
+        flat, at = bpe.encode_texts(np.frombuffer(b"".join(raw), np.uint8), bounds)
+        for i, t in enumerate(odd):
+            assert flat[at[i] : at[i + 1]].tolist() == bpe.encoding.encode_ordinary(t)
+        asked.clear()
+        bpe.encode_texts(np.frombuffer(raw[0], np.uint8), np.array([0, len(raw[0])]))
+        assert asked == [len(words) + len(marks)]
+    finally:
+        del bpe._encode_distinct

@@ -32,6 +32,8 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
+from math import prod
 
 import numpy as np
 import pyarrow as pa
@@ -95,8 +97,8 @@ def sequences(flat: np.ndarray, bounds: np.ndarray, spec: ModelSpec) -> tuple[np
     return out, first, n
 
 
-def encode_in_slices(bpe, block: Block, most: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of a block's lower-cased texts, a megabyte at a time."""
+def encode_in_slices(bpe, block: Block, most: int = 4 << 20) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of a block's lower-cased texts, four megabytes at a time."""
     flats, bounds, i = [np.zeros(0, np.uint32)], [np.zeros(1, np.int64)], 0
     while i < len(block.off) - 1:
         j = max(i + 1, int(np.searchsorted(block.off, block.off[i] + most, side="right")) - 1)
@@ -177,16 +179,21 @@ def training_windows(t: Tokens, spec: ModelSpec, turn: int = 0) -> np.ndarray |
     rounds = min(spec.rounds, spec.train_every)
     take = (k + shift[doc]) % spec.train_every % rounds == turn % rounds
     begin = first[doc[take]] + k[take] * spec.stride - spec.stride
-    return places[begin[:, None] + np.arange(2 * spec.stride + 1)] if len(begin) else None
+    return np.lib.stride_tricks.sliding_window_view(places, 2 * spec.stride + 1)[begin] if len(begin) else None
 
 
 # --- embeddings and classes -----------------------------------------------------------------------------
 
 
+#: Factor of the second of two sums in one double, and how many places are added up at once.
+HIGH, PIECE = 2.0**26, 1 << 24
+
+
 def surroundings(tokens: DataFrame, spec: ModelSpec) -> tuple[np.ndarray, np.ndarray]:
     """(counts of ids in all training text, sums of random signs of their neighbours in all training text)."""
     rng = np.random.default_rng(spec.seed)
-    signs = rng.choice([-1.0, 1.0], size=(spec.ids + 2, 2 * spec.dim))
+    drawn = rng.choice([-1.0, 1.0], size=(spec.ids + 2, 2 * spec.dim)).T
+    signs, high = np.ascontiguousarray(drawn[: spec.dim]), drawn[spec.dim :] * HIGH
 
     def make(batches):
         out = None
@@ -200,9 +207,14 @@ def surroundings(tokens: DataFrame, spec: ModelSpec) -> tuple[np.ndarray, np.nda
             mid, before, after = places[1:-1], places[:-2], places[2:]
             fine = (mid >= 0) & (before >= 0) & (after >= 0)
             mid, before, after = mid[fine], before[fine], after[fine]
-            for j in range(spec.dim):
-                out[:, 1 + j] += np.bincount(mid, signs[before, j], spec.ids + 1)
-                out[:, 1 + spec.dim + j] += np.bincount(mid, signs[after, spec.dim + j], spec.ids + 1)
+            # a sign before and one after in each number, exactly: sums stay below 2^25 over pieces of a block
+            for i in range(0, len(mid), PIECE):
+                m, b, a = mid[i : i + PIECE], before[i : i + PIECE], after[i : i + PIECE]
+                for j in range(spec.dim):
+                    both = np.bincount(m, signs[j].take(b) + high[j].take(a), spec.ids + 1)
+                    top = np.round(both / HIGH)
+                    out[:, 1 + j] += both - top * HIGH
+                    out[:, 1 + spec.dim + j] += top
         return out
 
     got = summed(tokens, 1 + 2 * spec.dim, make)
@@ -238,6 +250,7 @@ def embed_and_cluster(count: np.ndarray, around: np.ndarray, spec: ModelSpec, ro
 SHAPES = {"q": ("dim", "dim"), "k": ("dim", "dim"), "v": ("dim", "dim"), "r": ("dim", "dim"), "out": ("dim", "classes"), "bias": ("classes",), "near": ("reach",)}
 
 
+@lru_cache(maxsize=8)
 def shapes(spec: ModelSpec) -> dict[str, tuple[int, ...]]:
     size = {"dim": spec.dim, "classes": spec.classes, "reach": 2 * spec.stride}
     return {k: tuple(size[x] for x in v) for k, v in SHAPES.items()}
@@ -251,6 +264,7 @@ def fresh_weights(spec: ModelSpec, label: np.ndarray, count: np.ndarray) -> dict
     return w
 
 
+@lru_cache(maxsize=8)
 def seam(spec: ModelSpec) -> tuple[np.ndarray, np.ndarray]:
     """For queries in the later half of a window and keys in all of it: how far back, and which the query may see."""
     back = (np.arange(spec.stride)[:, None] + spec.stride) - np.arange(2 * spec.stride)[None]
@@ -263,41 +277,41 @@ def times(x: np.ndarray, m: np.ndarray) -> np.ndarray:
 
 
 def softmax(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(exponentials, their sums) over the last axis, the former in place of s; rows are shifted by their maxima only where numbers are large."""
+    """(exponentials, their sums) over the last axis; rows are shifted by their maxima only where numbers are large or small."""
     ones = np.ones(s.shape[-1], dtype=s.dtype)
-    if float(s.max()) > 40:
-        s -= s.max(axis=-1, keepdims=True)
-        np.exp(s, out=s)
-        return s, s @ ones
     rows = s.reshape(-1, s.shape[-1])
-    held = np.exp(rows)
-    total = held @ ones
-    low = np.flatnonzero(total < 1e-20)
-    if len(low):
-        held[low] = np.exp(rows[low] - rows[low].max(axis=1, keepdims=True))
-        total[low] = held[low] @ ones
-    s[...] = held.reshape(s.shape)
-    return s, total.reshape(s.shape[:-1])
+    with np.errstate(over="ignore"):
+        held = np.exp(rows)
+        total = held @ ones
+    odd = np.flatnonzero(~((total > 1e-2) & (total < 1e17)))
+    if len(odd):
+        held[odd] = np.exp(rows[odd] - rows[odd].max(axis=1, keepdims=True))
+        total[odd] = held[odd] @ ones
+    return held.reshape(s.shape), total.reshape(s.shape[:-1])
 
 
 def attend(w: dict, emb: np.ndarray, windows: np.ndarray, spec: ModelSpec):
-    """Logits of the next id's class after each place in the later halves, and what the backward pass needs."""
+    """Logits of the next id's class after each place in the later halves, and what the backward pass needs.
+
+    Queries times keys is late (q k') x', and attention times values (a x) v: only products with the embeddings
+    themselves are made window by window, the others are products of one row (late, a x, 1) a place.
+    """
     back, seen = seam(spec)
-    x = emb[windows]  # padding is -1, the last row: zero
-    late = np.ascontiguousarray(x[:, spec.stride :])
-    q, k, v = times(late, w["q"]), times(x, w["k"]), times(x, w["v"])
-    s = np.matmul(q, k.transpose(0, 2, 1))
-    s *= spec.dim**-0.5
+    x = emb.take(windows, axis=0)  # padding is -1, the last row: zero
+    turned = np.ascontiguousarray(x.transpose(0, 2, 1))  # products of views are several times slower
+    row = np.empty((len(x), spec.stride, 2 * spec.dim + 1), dtype=np.result_type(x, w["r"]))
+    late, mixed = row[:, :, : spec.dim], row[:, :, spec.dim : -1]
+    late[...], row[:, :, -1] = x[:, spec.stride :], 1
+    s = np.matmul(times(late, w["q"] @ w["k"].T * spec.dim**-0.5), turned)
     s += np.where(seen, w["near"][back], -1e9).astype(s.dtype)
-    if (windows[:, 0] < 0).any() or (windows[:, -1] < 0).any():
-        s += np.where(windows < 0, np.float32(-1e9), np.float32(0))[:, None, :]
+    edge = np.flatnonzero((windows[:, 0] < 0) | (windows[:, -1] < 0))  # only a document's first and last windows are padded
+    if len(edge):
+        s[edge] += np.where(windows[edge] < 0, np.float32(-1e9), np.float32(0))[:, None, :]
     a, total = softmax(s)
     a /= total[:, :, None]
-    mixed = np.matmul(a, v)
-    h = times(late, w["r"]) + mixed
-    logits = times(h, w["out"])
-    logits += w["bias"]
-    return logits, (x, late, q, k, v, a, h)
+    np.matmul(a, x, out=mixed)
+    logits = times(row, np.concatenate((w["r"] @ w["out"], w["v"] @ w["out"], w["bias"][None])))
+    return logits, (x, turned, late, a, row)
 
 
 def pick(table: np.ndarray, target: np.ndarray) -> np.ndarray:
@@ -305,46 +319,46 @@ def pick(table: np.ndarray, target: np.ndarray) -> np.ndarray:
     return np.arange(target.size) * table.shape[-1] + target.ravel()
 
 
+def log_share(p: np.ndarray, at: np.ndarray, total: np.ndarray) -> np.ndarray:
+    """Logarithms of the targets' shares of the sums, 1e-37 at least."""
+    return np.log(np.maximum(p.ravel()[at].reshape(total.shape) / total, 1e-37))
+
+
 def gradients(w: dict, emb: np.ndarray, windows: np.ndarray, target: np.ndarray, weight: np.ndarray, spec: ModelSpec) -> tuple[dict, float]:
     """Of the mean loss over the places with weight 1, and that loss."""
     back, seen = seam(spec)
-    logits, (x, late, q, k, v, a, h) = attend(w, emb, windows, spec)
+    logits, (x, turned, late, a, row) = attend(w, emb, windows, spec)
     at = pick(logits, target)
     n = max(weight.sum(), 1)
     p, total = softmax(logits)
-    picked = np.log(np.maximum(p.ravel()[at], 1e-37) / total.ravel())
-    loss = -(picked * weight.ravel()).sum() / n
-    share = weight / n
-    d = p
-    d *= (share / total)[:, :, None]
-    d.ravel()[at] -= share.ravel()
+    loss = -(log_share(p, at, total) * weight).sum() / n
+    # the loss by the logits is (p - total * target) * share: the share goes to the narrower factor
+    p.ravel()[at] -= total.ravel()
+    share = (weight / n / total)[:, :, None]
     flat = lambda y: y.reshape(-1, y.shape[-1])
-    g = {"out": flat(h).T @ flat(d), "bias": np.ones(d.shape[0] * d.shape[1], dtype=d.dtype) @ flat(d)}
-    dh = times(d, w["out"].T)
-    g["r"] = flat(late).T @ flat(dh)
-    da = np.matmul(dh, v.transpose(0, 2, 1))
-    dv = np.matmul(a.transpose(0, 2, 1), dh)
-    da *= a
-    da -= a * (da @ np.ones(da.shape[-1], dtype=da.dtype))[:, :, None]
-    ds = da
+    top = flat(row * share).T @ flat(p)
+    late_top, mixed_top = top[: spec.dim], top[spec.dim : -1]
+    g = {"r": late_top @ w["out"].T, "v": mixed_top @ w["out"].T, "out": w["r"].T @ late_top + w["v"].T @ mixed_top, "bias": top[-1]}
+    ds = np.matmul(times(p, np.ascontiguousarray((w["v"] @ w["out"]).T)) * share, turned)
+    ds *= a
+    ds -= a * (flat(ds) @ np.ones(ds.shape[-1], dtype=ds.dtype)).reshape(share.shape)
     g["near"] = np.bincount(back[seen], ds.sum(axis=0)[seen], 2 * spec.stride)
-    ds *= spec.dim**-0.5
-    dq, dk = np.matmul(ds, k), np.matmul(ds.transpose(0, 2, 1), q)
-    g["q"], g["k"], g["v"] = flat(late).T @ flat(dq), flat(x).T @ flat(dk), flat(x).T @ flat(dv)
+    both = flat(late).T @ flat(np.matmul(ds, x)) * spec.dim**-0.5  # of q k'
+    g["q"], g["k"] = both @ w["k"], both.T @ w["q"]
     return g, float(loss)
 
 
 def examples(windows: np.ndarray, label: np.ndarray, spec: ModelSpec) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(inputs, classes to predict, which places count)."""
+    """(inputs, classes to predict, which places count): those before an id or an end, as padding follows each end and begin follows padding."""
     after = windows[:, spec.stride + 1 :]
-    fine = (after >= 0) & (after < spec.ids) & (windows[:, spec.stride : -1] >= 0) & (windows[:, spec.stride : -1] != spec.end)
-    return windows[:, :-1], np.where(fine, label[np.where(fine, after, 0)], 0), fine.astype(np.float64)
+    fine = (after >= 0) & (after < spec.ids)
+    return windows[:, :-1], label.take(after * fine), fine.astype(np.float64)
 
 
 def descend(w: dict, emb: np.ndarray, label: np.ndarray, batches, spec: ModelSpec, turn: int) -> tuple[dict, float] | None:
     """Adam steps over the windows of one part, and how many places they had."""
-    w = {k: v.copy() for k, v in w.items()}
-    m, s = ({k: np.zeros_like(v) for k, v in w.items()} for _ in range(2))
+    flat = join_weights(w)  # one vector, so that a step is few operations
+    m, s = np.zeros_like(flat), np.zeros_like(flat)
     emb = emb.astype(np.float32)
     step, seen = 0, 0.0
     for t, _ in each_tokens(batches):
@@ -354,14 +368,13 @@ def descend(w: dict, emb: np.ndarray, label: np.ndarray, batches, spec: ModelSpe
         windows = windows[np.random.default_rng(turn).permutation(len(windows))]
         for i in range(0, len(windows), spec.batch):
             inputs, target, weight = examples(windows[i : i + spec.batch], label, spec)
-            g, _ = gradients({k: v.astype(np.float32) for k, v in w.items()}, emb, inputs, target, weight.astype(np.float32), spec)
+            g = join_weights(gradients(split_weights(flat.astype(np.float32), spec), emb, inputs, target, weight.astype(np.float32), spec)[0])
             step, seen = step + 1, seen + weight.sum()
             rate = spec.rate / (1 + turn) / (1 + step / 500)
-            for k in w:
-                m[k] = 0.9 * m[k] + 0.1 * g[k]
-                s[k] = 0.99 * s[k] + 0.01 * g[k] ** 2
-                w[k] -= rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(s[k] / (1 - 0.99**step)) + 1e-8)
-    return (w, seen) if seen else None
+            m = 0.9 * m + 0.1 * g
+            s = 0.99 * s + 0.01 * g**2
+            flat -= rate * (m / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.99**step)) + 1e-8)
+    return (split_weights(flat, spec), seen) if seen else None
 
 
 def join_weights(w: dict) -> np.ndarray:
@@ -371,7 +384,7 @@ def join_weights(w: dict) -> np.ndarray:
 def split_weights(flat: np.ndarray, spec: ModelSpec) -> dict[str, np.ndarray]:
     out, at = {}, 0
     for k, s in shapes(spec).items():
-        n = int(np.prod(s))
+        n = prod(s)
         out[k], at = flat[at : at + n].reshape(s), at + n
     return out
 
@@ -394,15 +407,16 @@ class Model:
         begin = first[doc] + k * spec.stride - spec.stride
         w = {name: v.astype(np.float32) for name, v in self.weights.items()}
         out = np.zeros(len(n))
+        every = np.lib.stride_tricks.sliding_window_view(places, 2 * spec.stride + 1)
         for i in range(0, len(begin), batch):
-            windows = places[begin[i : i + batch, None] + np.arange(2 * spec.stride + 1)]
+            windows = every[begin[i : i + batch]]
             inputs, target, fine = examples(windows, self.label, spec)
             logits, _ = attend(w, self.emb, inputs, spec)
             at = pick(logits, target)
             p, total = softmax(logits)
-            picked = np.log(np.maximum(p.ravel()[at].reshape(target.shape), 1e-37) / total)
-            after = np.where(fine > 0, windows[:, spec.stride + 1 :], 0)
-            own = (picked / np.log(10) + self.given_class[after]) * fine
+            picked = log_share(p, at, total)
+            after = windows[:, spec.stride + 1 :] * (fine > 0)
+            own = (picked / np.log(10) + self.given_class.take(after)) * fine
             out += np.bincount(doc[i : i + batch], own.sum(axis=1), len(n))
         return out
 

@@ -15,6 +15,12 @@ from weftgraph.llm.common import IS_SPACE
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
+#: Between an ASCII letter and one of these ASCII characters a pre-token always ends (an apostrophe may begin one with letters).
+IS_LETTER, IS_MARK = np.zeros(256, dtype=bool), np.zeros(256, dtype=bool)
+IS_LETTER[[*range(65, 91), *range(97, 123)]] = True
+IS_MARK[[b for b in range(0x21, 0x7F) if not chr(b).isalnum() and chr(b) != "'"]] = True
+
+
 def byte_symbols() -> dict[str, int]:
     """The character that stands for each byte in such vocabularies: printable Latin-1 for itself, others from 256 on in order."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -47,6 +53,7 @@ class ByteBpe:
         closes, space = self.closes(buf), IS_SPACE[buf]
         here = np.zeros(len(buf) + 1, dtype=bool)
         here[1:-1] = closes[:-1] & space[1:]
+        here[1:-1] |= IS_LETTER[buf[:-1]] & IS_MARK[buf[1:]]  # words and the marks after them are few, both together many
         here[off] = True
         cuts = np.flatnonzero(here)
         segments = pa.Array.from_buffers(pa.large_binary(), len(cuts) - 1, [None, pa.py_buffer(cuts.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(buf))])
