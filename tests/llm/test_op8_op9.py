@@ -149,3 +149,34 @@ def test_chat_digests(spark):
     outputs = {r.conv_id: r for r in chat.formatted(conv).collect()}
     assert outputs[901].output == "<|im_start|>a\\nb\\\\<|im_end|>\n".replace("<|im_end|>", "\n<|im_end|>") + "<|im_start|>assistant\n<\\\\|im_end|><|im_end|>\n"
     assert chat.digests(conv.limit(0)).count() == 0
+
+
+def test_full_pieces_and_ids_stay_where_they_are(spark, docs):
+    """A piece that fills its sequence is never sent to another task, and no piece is for its rank, however small the tables that Spark would broadcast."""
+    long = docs.selectExpr("doc_id", "repeat(coalesce(text, ''), 1 + 20 * int(length(text) between 100 and 2000)) as text", "length")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        packed = packing.pack_documents(long, VOCABULARY, carry_ids=True, as_bytes=True)
+        filled = packing.sequences(packed)
+        plan = filled._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" not in plan and "collect_list" not in plan
+        rows = filled.collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    full, short = plan.split("Exchange hashpartitioning(sequence_id")  # one exchange, of the second part
+    assert "length#" in short.split("Filter")[1] and "< 1024" in short
+    tok = Tokenizer.from_file(VOCABULARY)
+    tok.encode_special_tokens = True
+    want = sorted(zlib.crc32(np.array([*tok.encode(r.text or "", add_special_tokens=False).ids, 2], dtype="<u4").tobytes()) for r in long.collect())
+    by = defaultdict(list)
+    for r in packed.select("doc_id", "piece", "sequence_id", "offset", "length").collect():
+        by[r.sequence_id].append((r.offset, r.doc_id, r.piece, r.length))
+    assert {r.sequence_id: [(p.offset, p.doc_id, p.piece, p.length) for p in r.pieces] for r in rows} == {k: sorted(v, key=lambda x: x[0]) for k, v in by.items()}
+    assert sum(len(v) == 1 and v[0][3] == 1024 for v in by.values()) > len(by) // 3
+    own = defaultdict(dict)
+    for r in rows:
+        for p in r.pieces:
+            own[p.doc_id][p.start] = r.ids[p.offset : p.offset + p.length]
+    got = [zlib.crc32(np.array([x for _, ids in sorted(v.items()) for x in ids], dtype="<u4").tobytes()) for k, v in own.items() if k is not None and k >= 1000]
+    assert len(got) > 100 and set(got) <= set(want)

@@ -11,7 +11,11 @@ of the rounded ones, and small lengths (and what the rounding of the program
 leaves) go to the sequence with the least room that holds them. The plan then
 says for the r-th piece of each length where it goes; ranks are counted within
 the written parts of the piece table and shifted by the counts of the parts
-before, so no length, however common, is gathered in one task.
+before, so no length, however common, is gathered in one task. A part's shifts
+are one row of numbers, sent to the pieces; the pieces' ids stay where they are.
+
+Where sequences are filled, a piece of ``limit`` tokens is one by itself and
+never sent to another task; only shorter pieces are dealt out by their sequence.
 
 Defined cases: a null or empty text has only the end id. Repeated rows are
 packed each; a null doc_id is kept. An empty table gives no rows. Only doc_id
@@ -29,9 +33,10 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from weftgraph.llm.byte_bpe import byte_bpe
-from weftgraph.llm.common import materialize, text_slices
+from weftgraph.llm.common import materialize, sorted_groups, text_slices
 
 LIMIT, END_ID = 1024, 2
 #: Sizes that large lengths are rounded to: with 128 the plan is within about 0.1 % of the token bound (README).
@@ -48,8 +53,11 @@ def cut_lengths(n: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray, np.n
     return doc, piece, start, np.where(piece == 0, head[doc], limit)
 
 
-def pieces(docs: DataFrame, vocabulary: str, limit: int = LIMIT, end_id: int = END_ID, carry_ids: bool = False) -> DataFrame:
-    """One row per piece; (chunk, length, nth) numbers the pieces of a length within a part of the table."""
+def pieces(docs: DataFrame, vocabulary: str, limit: int = LIMIT, end_id: int = END_ID, carry_ids: bool = False, as_bytes: bool = False) -> DataFrame:
+    """One row per piece; (chunk, length, nth) numbers the pieces of a length within a part of the table.
+
+    With carry_ids it has its ids too, with as_bytes as little-endian numbers of two bytes, or four if the vocabulary needs them.
+    """
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         bpe, chunk = byte_bpe(vocabulary), TaskContext.get().partitionId()
@@ -76,11 +84,16 @@ def pieces(docs: DataFrame, vocabulary: str, limit: int = LIMIT, end_id: int = E
             names = ["doc_id", "piece", "start", "length", "ids_crc32", "chunk", "nth"]
             if carry_ids:
                 # pieces follow one another as their ids do
-                cols.append(pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(length))).astype(np.int32)), pa.array(full.astype(np.int32))))
+                bounds = np.concatenate(([0], np.cumsum(length)))
+                if as_bytes:
+                    width = 2 if max(len(bpe.length) - 1, end_id) < 1 << 16 else 4
+                    cols.append(pa.Array.from_buffers(pa.binary(), len(length), [None, pa.py_buffer((width * bounds).astype(np.int32)), pa.py_buffer(full.astype(f"<u{width}"))]))
+                else:
+                    cols.append(pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(full.astype(np.int32))))
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    schema = "doc_id long, piece int, start long, length long, ids_crc32 long, chunk int, nth long" + ", ids array<int>" * carry_ids
+    schema = "doc_id long, piece int, start long, length long, ids_crc32 long, chunk int, nth long" + carry_ids * (", ids binary" if as_bytes else ", ids array<int>")
     return docs.select(docs["doc_id"].cast("long"), docs["text"]).mapInArrow(run, schema)
 
 
@@ -246,6 +259,21 @@ def plan(count: dict[int, int], limit: int = LIMIT, groups: int = GROUPS) -> np.
 
 #: The largest plan that is sent to all tasks. Its runs grow with the distinct lengths, not with the corpus (README has counts).
 RUNS_BYTES = 64 << 20
+#: Up to so many bytes of shifts (8 kB for a part of the piece table) are sent to all tasks; beyond, Spark chooses how they meet the pieces.
+SHIFT_BYTES = 64 << 20
+
+
+def shifts(per_chunk: DataFrame, limit: int) -> DataFrame:
+    """(chunk, shift): for each length how many pieces the parts before have, from rows (chunk, length, n)."""
+    before = Window.partitionBy("length").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    each = per_chunk.select("chunk", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).cast("long").alias("base"))
+
+    def in_line(t: pa.Table) -> pa.Table:
+        row = np.zeros(limit + 1, dtype=np.int64)
+        row[t.column("length").to_numpy()] = t.column("base").to_numpy()
+        return pa.table({"chunk": t.column("chunk").slice(0, 1), "shift": pa.array([row], pa.list_(pa.int64()))})
+
+    return each.groupBy("chunk").applyInArrow(in_line, "chunk int, shift array<long>")
 
 
 def pack(cut: DataFrame, limit: int = LIMIT) -> DataFrame:
@@ -255,38 +283,52 @@ def pack(cut: DataFrame, limit: int = LIMIT) -> DataFrame:
     per_chunk = materialize(per_chunk, "packing-counts")
     count = {r["length"]: r["n"] for r in per_chunk.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most ``limit`` rows
     runs = plan(count, limit)
-    before = Window.partitionBy("length").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
-    base = per_chunk.select("chunk", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).cast("long").alias("base"))
-    ranked = cut.join(base, ["chunk", "length"]).withColumn("rank", F.col("base") + F.col("nth")).drop("chunk", "nth", "base")
     if runs.nbytes > RUNS_BYTES:
         raise RuntimeError(f"a plan of {len(runs)} runs is too large to send")
     shared = spark.sparkContext.broadcast(runs)
-    keep = [c for c in ranked.columns if c != "rank"]
+    shift = materialize(shifts(per_chunk, limit), "packing-shifts")
+    if shift.count() * (limit + 1) * 8 <= SHIFT_BYTES:
+        shift = F.broadcast(shift)
 
-    def run(batches) -> Iterator[pa.RecordBatch]:
-        table = shared.value
-        key = (table[:, 0] << 44) | table[:, 1] if len(table) else np.zeros(0, np.int64)
-        for b in batches:
-            length, rank = b.column("length").to_numpy(), b.column("rank").to_numpy()
-            at = np.searchsorted(key, (length << 44) | rank, side="right") - 1
-            seq = table[at, 2] + rank - table[at, 1]
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(seq), pa.array(table[at, 3])], names=[*keep, "sequence_id", "offset"])
+    def place(length: pa.Array, rank: pa.Array) -> pa.Array:
+        table, length, rank = shared.value, length.to_numpy(), rank.to_numpy()
+        if not len(length):
+            return pa.array([], pa.int64())
+        at = np.searchsorted((table[:, 0] << 44) | table[:, 1], (length << 44) | rank, side="right") - 1
+        return pa.array((table[at, 2] + rank - table[at, 1]) * limit + table[at, 3])
 
-    schema = ", ".join(f"{c} {t}" for c, t in ranked.dtypes if c != "rank") + ", sequence_id long, offset long"
-    return ranked.mapInArrow(run, schema)
+    rank = F.col("nth") + F.get("shift", F.col("length").cast("int"))
+    # only lengths and ranks go to Python, not the ids
+    placed = cut.join(shift, "chunk").withColumn("place", F.arrow_udf(place, T.LongType())("length", rank))
+    keep = [c for c in cut.columns if c not in ("chunk", "nth")]
+    return placed.select(*keep, F.expr(f"place div {limit}").alias("sequence_id"), (F.col("place") % limit).alias("offset"))
 
 
-def pack_documents(docs: DataFrame, vocabulary: str, limit: int = LIMIT, end_id: int = END_ID, carry_ids: bool = False) -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32, sequence_id, offset) for all documents; with carry_ids the ids too."""
-    return pack(materialize(pieces(docs, vocabulary, limit, end_id, carry_ids), "packing-pieces"), limit)
+def pack_documents(docs: DataFrame, vocabulary: str, limit: int = LIMIT, end_id: int = END_ID, carry_ids: bool = False, as_bytes: bool = False) -> DataFrame:
+    """(doc_id, piece, start, length, ids_crc32, sequence_id, offset) for all documents; with carry_ids the ids too, as pieces() has them."""
+    return pack(materialize(pieces(docs, vocabulary, limit, end_id, carry_ids, as_bytes), "packing-pieces"), limit)
 
 
-def sequences(packed: DataFrame) -> DataFrame:
+def sequences(packed: DataFrame, limit: int = LIMIT) -> DataFrame:
     """(sequence_id, n_tokens, ids, pieces) of what pack_documents(carry_ids=True) gives: each filled sequence, and what lies in it where."""
-    parts = F.sort_array(F.collect_list(F.struct("offset", "length", "doc_id", "piece", "start", "ids")))  # at most a limit of ids
-    return packed.groupBy("sequence_id").agg(parts.alias("parts")).select(
-        "sequence_id",
-        F.aggregate("parts", F.lit(0).cast("long"), lambda n, p: n + p["length"]).alias("n_tokens"),
-        F.flatten(F.transform("parts", lambda p: p["ids"])).alias("ids"),
-        F.transform("parts", lambda p: F.struct(*(p[c].alias(c) for c in ("doc_id", "piece", "start", "length", "offset")))).alias("pieces"),
-    )
+    inside = ("doc_id", "piece", "start", "length", "offset")
+
+    def run(batches) -> Iterator[pa.RecordBatch]:
+        for t, at in sorted_groups(batches, ["sequence_id"]):
+            length = t.column("length").to_numpy()
+            bounds = np.concatenate(([0], np.cumsum(length)))
+            ids = t.column("ids").combine_chunks()
+            if pa.types.is_binary(ids.type) or pa.types.is_large_binary(ids.type):
+                raw = b"".join(ids.to_pylist())
+                ids = pa.array(np.frombuffer(raw, f"<u{len(raw) // bounds[-1]}").astype(np.int32))
+            else:
+                ids = ids.flatten().cast(pa.int32())
+            own = pa.StructArray.from_arrays([t.column(c).combine_chunks() for c in inside], names=list(inside))
+            cols = [t.column("sequence_id").take(pa.array(at[:-1])).combine_chunks(), pa.array(np.diff(bounds[at])), pa.ListArray.from_arrays(pa.array(bounds[at].astype(np.int32)), ids), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), own)]
+            yield pa.RecordBatch.from_arrays(cols, names=["sequence_id", "n_tokens", "ids", "pieces"])
+
+    rows = packed.select("sequence_id", "ids", *inside)
+    schema = "sequence_id long, n_tokens long, ids array<int>, pieces array<struct<doc_id: long, piece: int, start: long, length: long, offset: long>>"
+    shared = rows.where(F.col("length") < limit).repartition("sequence_id").sortWithinPartitions("sequence_id", "offset")
+    # a piece that fills its sequence needs no other
+    return rows.where(F.col("length") == limit).mapInArrow(run, schema).unionByName(shared.mapInArrow(run, schema))
