@@ -1,5 +1,7 @@
 """Reading source files, resolving imports, and the analysis of several repositories."""
 
+import os
+import re
 import time
 
 import pytest
@@ -242,3 +244,67 @@ def test_operators_keep_repositories_apart(spark):
         assert got == sorted(map(str, want)) and got, name
     with pytest.raises(ValueError):
         graph.degrees(nodes, edges.drop("repo_id"))
+
+
+def places(base):
+    """Where an import of base may lead, one after another."""
+    ext = re.search(r"(\.[^./]+)$", base)
+    ext = ext[1] if ext else ""
+    twins = [base[: -len(ext)] + x for x in resolve.EMITTED.get(ext, ())]
+    probes = [] if ext in resolve.SOURCE_EXTENSIONS else [base + x for x in resolve.SOURCE_EXTENSIONS]
+    return [base, *twins, *probes, *((base + "/" if base else "") + "index" + x for x in resolve.SOURCE_EXTENSIONS)]
+
+
+def test_files_know_what_they_are_called(spark):
+    """Each import finds the file that trying all its places in turn finds, and travels as one row."""
+    stems = ["a", "a.b", "a.js", "a.mts", "d/a", "d/index", "index", "d/a.test", "d/.x", ".hid", "d", "d.d", "index.ts", "d/index.js"]
+    listing = [s + x for i, s in enumerate(stems) for k, x in enumerate((*resolve.SOURCE_EXTENSIONS, "", ".json", ".css", ".svg")) if (5 * i + 3 * k) % 7 not in (1, 4)]
+    sources = {p for p in listing if re.search(r"\.[cm]?[jt]sx?$", p) and len(p) % 5}
+    asked = [f"/{s}{x}" for s in stems for x in ("", ".js", ".jsx", ".mjs", ".cjs", ".ts", ".json", ".css", "/index", "/")] + ["/", "/.", "/..", "react", "./a", "../a", "../../../x", None]
+    rows = [(p, s) for p in ("main.ts", "d/in/x.ts", None) for s in asked] + [("main.ts", "/a")]
+    t = lambda paths: spark.createDataFrame([(p,) for p in paths], "path string")
+    imports = spark.createDataFrame(rows, "path string, specifier string")
+
+    def want(p, s):
+        own = s is not None and s[:1] in (".", "/")
+        if p is None or not own:
+            return p, s, None, "unresolved" if own else "external"
+        base = []
+        for x in (os.path.dirname(p) + "/" + s if s[0] == "." else s).split("/"):
+            if x == ".." and not base:
+                return p, s, None, "unresolved"
+            base = base[:-1] if x == ".." else base if x in ("", ".") else [*base, x]
+        base = "/".join(base)
+        for x in places(base):
+            if x in sources:
+                return p, s, x, "internal"
+        asset = any(x in listing and not x.endswith(resolve.SOURCE_EXTENSIONS) for x in (base, base + ".json"))
+        return p, s, None, "asset" if asset else "unresolved"
+
+    known = lambda r: tuple((x is not None, x) for x in r)
+    expected = sorted((want(*r) for r in rows), key=known)
+    assert len({x[3] for x in expected}) == 4 and sum(x[3] == "internal" for x in expected) > 100
+    aliases = spark.createDataFrame([("none/*", 0, "none/*", 0)], "alias string, nth int, target string, target_nth int")
+    for more in ({}, {"tasks": 7}, {"aliases": aliases}):
+        out = resolve.resolve_typescript(imports, t(sources), t([*listing, *listing[:5]]), **more)
+        assert sorted((tuple(r) for r in out.collect()), key=known) == expected
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = resolve.resolve_typescript(imports, t(sources), t(listing))
+        plan = out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert plan.count("SortMergeJoin") == 1  # before: four, two of them of every place of every import
+
+
+def test_imports_of_parts_are_dealt_out(spark, monkeypatch):
+    """With more lines than Spark's partitions would take, parts' edges and their resolution have more tasks, and the same rows."""
+    from weftgraph import adapters, queries
+
+    sf = "/root/testdata/sf0.001"
+    whole = queries.QUERIES["res1_typescript"](spark, sf).collect()
+    monkeypatch.setattr(adapters, "TASK_LINES", 500)
+    dealt = queries.QUERIES["res1_typescript"](spark, sf)
+    assert "REPARTITION_BY_NUM" in dealt._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, whole)) == sorted(map(tuple, dealt.collect())) and len(whole) > 1000

@@ -70,12 +70,25 @@ def part_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 PARTS = """parts AS (SELECT lower(p_brand) || '/' || replace(lower(p_type), ' ', '/') || '/part' || CAST(p_partkey AS VARCHAR) || '.ts' AS path, p_partkey FROM part)"""
 
 
+#: Lines that one task sorts, where the table has more of them than Spark's partitions would take.
+TASK_LINES = 200_000
+
+
+def line_tasks(spark: SparkSession, sf_dir: str) -> int | None:
+    """How many tasks the lines are dealt out to, so that none has to spill; none where Spark's own number is enough."""
+    tasks = -(-table(spark, sf_dir, "lineitem").count() // TASK_LINES)
+    return tasks if tasks > int(spark.conf.get("spark.sql.shuffle.partitions")) else None
+
+
 def part_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(src, dst): a part imports the part whose key is its supplier's in each of its lines (distinct)."""
     p = part_files(spark, sf_dir)
-    line = table(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey").distinct()
+    tasks = line_tasks(spark, sf_dir)
+    dealt = lambda rows, key: rows.repartition(tasks, key) if tasks else rows
+    # dealt out by part, lines are made distinct and met by their parts where they are
+    line = dealt(table(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey"), "l_partkey").distinct()
     a, b = p.select(F.col("p_partkey").alias("l_partkey"), F.col("path").alias("src")), p.select(F.col("p_partkey").alias("l_suppkey"), F.col("path").alias("dst"))
-    return line.join(a, "l_partkey").join(b, "l_suppkey").select("src", "dst")
+    return dealt(line.join(a, "l_partkey"), "l_suppkey").join(b, "l_suppkey").select("src", "dst")
 
 
 PART_EDGES = PARTS + """, pedges AS (SELECT a.path AS src, b.path AS dst FROM (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem) JOIN parts a ON a.p_partkey = l_partkey JOIN parts b ON b.p_partkey = l_suppkey)"""

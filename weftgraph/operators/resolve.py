@@ -19,24 +19,25 @@ NO_PACKAGES = ("__pycache__", ".venv", "venv", ".tox", ".nox", ".mypy_cache", ".
 SUFFIX = r"(\.[^./]+)$"
 
 
-def candidates(base: Column) -> Column:
-    """Paths that an import of ``base`` may mean, in order: itself, what an emitted name was made from, with an extension, an index file."""
-    ext = F.regexp_extract(base, SUFFIX, 1)
-    stem = F.regexp_replace(base, SUFFIX, "")
-    none = F.array().cast("array<string>")
-    twins = none
-    for e, sources in EMITTED.items():
-        twins = F.when(ext == e, F.array(*[F.concat(stem, F.lit(s)) for s in sources])).otherwise(twins)
-    probes = F.when(ext.isin(*SOURCE_EXTENSIONS), none).otherwise(F.array(*[F.concat(base, F.lit(s)) for s in SOURCE_EXTENSIONS]))
-    prefix = F.when(base == "", "").otherwise(F.concat(base, F.lit("/")))
-    return F.concat(F.array(base), twins, probes, F.array(*[F.concat(prefix, F.lit(f"index{s}")) for s in SOURCE_EXTENSIONS]))
-
+def named_by(path: Column) -> Column:
+    """(prio, base) of every ``base`` by which an import may mean the file at ``path``, an array.
 
-def first_hit(wanted: DataFrame, listing: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, target): of rows (keys, prio, candidate) the candidate of least prio that listing(path) has."""
-    g = scope(wanted, listing)
-    hit = wanted.join(listing.select(*g, F.col("path").alias("candidate")), [*g, "candidate"], "left_semi")
-    return hit.groupBy(*keys).agg(F.min_by("candidate", "prio").alias("target"))
+    A base means, in this order, itself, what an emitted name was made from, itself with a source extension (unless it
+    has one), an index file in it. Files are told what they may be called, and imports what they ask for, so an import
+    is one row of a join, not one for each place to look at.
+    """
+    ext = F.regexp_extract(path, SUFFIX, 1)
+    stem = F.regexp_replace(path, SUFFIX, "")
+    call = lambda prio, base: F.struct(F.lit(prio).alias("prio"), base.alias("base"))
+    none = F.lit(None).cast("struct<prio: int, base: string>")
+    calls = [call(0, path)]
+    for e, sources in EMITTED.items():
+        calls += [F.when(ext == x, call(10 + i, F.concat(stem, F.lit(e)))).otherwise(none) for i, x in enumerate(sources)]
+    more, folder = F.regexp_extract(stem, SUFFIX, 1), F.regexp_extract(stem, r"^([\s\S]+)/index\z", 1)
+    for i, x in enumerate(SOURCE_EXTENSIONS):
+        calls.append(F.when((ext == x) & ~more.isin(*SOURCE_EXTENSIONS), call(20 + i, stem)).otherwise(none))
+        calls.append(F.when((ext == x) & ((stem == "index") | (folder != "")), call(40 + i, folder)).otherwise(none))
+    return F.filter(F.array(*calls), lambda c: c.isNotNull())
 
 
 #: A JSON string; possessive, as strings may be long.
@@ -66,37 +67,43 @@ def aliases(configs: DataFrame) -> DataFrame:
     return each.select(*g, "alias", "nth", joined.alias("target"), "target_nth")
 
 
-def resolve_typescript(imports: DataFrame, sources: DataFrame, listing: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
+def resolve_typescript(imports: DataFrame, sources: DataFrame, listing: DataFrame, aliases: DataFrame | None = None, tasks: int | None = None) -> DataFrame:
     """(path, specifier, target, status) of imports(path, specifier): internal, asset (a file that is no source), unresolved or external.
 
     sources(path) are the files that were analysed, listing(path) all files. A specifier that begins with a dot or a
     slash is never external; it is an asset if a file of its name, or of its name and .json, is there and has no source
     extension. Of aliases(alias, nth, target, target_nth) the longest that fits goes first; one without a star fits
-    its own name only.
+    its own name only. Imports travel once, as they are; tasks: to how many tasks (without it, as many as Spark takes).
     """
     g = scope(imports, sources, listing, aliases)
     keys = [*g, "path", "specifier"]
     p, s = F.col("path"), F.col("specifier")
     own = s.startswith(".") | s.startswith("/")
     base = F.when(s.startswith("."), paths.normalised(F.concat_ws("/", paths.directory(p), s))).when(s.startswith("/"), paths.normalised(s))
-    asked = imports.select(*keys).distinct()
-    direct = asked.select(*keys, F.struct(F.lit(0).alias("a"), F.lit(0).alias("b"), F.lit(0).alias("c")).alias("round"), base.alias("base")).where("base is not null")
-    rounds = direct
+    is_, no = lambda base: F.concat(F.lit("="), base), lambda name: F.concat(F.lit("~"), name)
+    files = sources.select(*g, "path", F.explode(named_by(p)).alias("call")).select(*g, is_(F.col("call.base")).alias("key"), F.col("path").alias("candidate"), F.col("call.prio").alias("prio"), F.lit(False).alias("asset"))
+    plain = listing.where(~F.regexp_extract("path", SUFFIX, 1).isin(*SOURCE_EXTENSIONS))
+    names = F.array(p, F.when(p.endswith(".json"), F.regexp_replace("path", r"\.json$", "")))
+    assets = plain.select(*g, F.explode(F.filter(names, lambda x: x.isNotNull())).alias("base")).select(*g, is_(F.col("base")).alias("key"), F.lit(None).cast("string").alias("candidate"), F.lit(1000).alias("prio"), F.lit(True).alias("asset"))
+    every = files.unionByName(assets)
+    # what is neither a file's name nor an alias is met by nothing; it goes where its own name sends it, not all to one task
+    other = no(s) if aliases is not None else no(F.concat_ws("/", p, s))
     if aliases is not None:
         part = F.split("alias", r"\*")
         fits = F.when(F.col("alias").contains("*"), s.startswith(part[0]) & s.endswith(part[1])).otherwise(s == F.col("alias"))
-        hit = (asked.where(~own).join(aliases, g) if g else asked.where(~own).crossJoin(aliases)).where(fits)  # a configuration's few aliases
+        asked = imports.where(~own).select(*g, "specifier").distinct()
+        hit = (asked.join(aliases, g) if g else asked.crossJoin(aliases)).where(fits)  # a configuration's few aliases
         star = F.when(F.col("alias").contains("*"), F.substring(s, F.length(part[0]) + 1, F.greatest(F.length(s) - F.length(part[0]) - F.length(part[1]), F.lit(0)))).otherwise("")
         at = F.locate("*", F.col("target"))
         filled = F.when(at > 0, F.concat(F.substring(F.col("target"), F.lit(1), at - 1), star, F.substring(F.col("target"), at + 1, F.length("target")))).otherwise(F.col("target"))
         rank = F.struct((-F.length("alias")).alias("a"), F.col("nth").alias("b"), F.col("target_nth").alias("c"))
-        rounds = rounds.unionByName(hit.select(*keys, rank.alias("round"), paths.normalised(filled).alias("base")).where("base is not null"))
-    wanted = rounds.select(*keys, "round", F.posexplode(candidates(F.col("base"))).alias("pos", "candidate")).withColumn("prio", F.struct("round", "pos"))
-    found = first_hit(wanted, sources, keys)
-    plain = listing.select(*g, F.col("path").alias("candidate")).where(~F.regexp_extract("candidate", SUFFIX, 1).isin(*SOURCE_EXTENSIONS))
-    names = direct.select(*keys, F.explode(F.array(F.col("base"), F.concat("base", F.lit(".json")))).alias("candidate"))
-    asset = names.join(plain, [*g, "candidate"], "left_semi").select(*keys).distinct().withColumn("asset", F.lit(True))
-    out = imports.join(found, keys, "left").join(asset, keys, "left")
+        hit = hit.select(*g, "specifier", rank.alias("round"), is_(paths.normalised(filled)).alias("key"))
+        led = hit.join(files, [*g, "key"]).groupBy(*g, "specifier").agg(F.min_by("candidate", F.struct("round", "prio")).alias("candidate"))
+        every = every.unionByName(led.select(*g, no(s).alias("key"), "candidate", F.lit(0).alias("prio"), F.lit(False).alias("asset")))
+    dealt = lambda rows: rows.repartition(tasks, *g, "key") if tasks else rows
+    meant = dealt(every).groupBy(*g, "key").agg(F.min_by("candidate", "prio").alias("target"), F.max("asset").alias("asset"))
+    out = imports.select(*keys, F.when(p.isNotNull(), F.coalesce(is_(base), other)).alias("key"))
+    out = dealt(out).join(meant, [*g, "key"], "left")
     status = F.when(F.col("target").isNotNull(), "internal").when(F.col("asset"), "asset").when(own, "unresolved").otherwise("external")
     return out.select(*keys, "target", status.alias("status"))
 

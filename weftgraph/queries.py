@@ -827,7 +827,7 @@ def res7_python(s, d):
 def res1_typescript(s, d):
     p, e = ad.part_files(s, d), ad.part_edges(s, d)
     spec = F.concat(F.lit("/"), F.when(F.length("dst") % 2 == 0, F.replace("dst", F.lit(".ts"), F.lit(""))).otherwise(F.replace("dst", F.lit(".ts"), F.lit(".js"))))
-    return resolve.resolve_typescript(e.select(F.col("src").alias("path"), spec.alias("specifier")), p, p)
+    return resolve.resolve_typescript(e.select(F.col("src").alias("path"), spec.alias("specifier")), p, p, tasks=ad.line_tasks(s, d))
 
 
 @query(f"WITH {ad.PARTS} SELECT 'm/' || regexp_replace(path, '/?[^/]*$', '') AS import_path, min(replace(path, '.ts', '.go')) AS target, count(*) AS n_files FROM parts GROUP BY 1")
