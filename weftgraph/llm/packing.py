@@ -33,7 +33,6 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from weftgraph.llm.byte_bpe import byte_bpe
 from weftgraph.llm.common import materialize, sorted_groups, text_slices
@@ -290,18 +289,21 @@ def pack(cut: DataFrame, limit: int = LIMIT) -> DataFrame:
     if shift.count() * (limit + 1) * 8 <= SHIFT_BYTES:
         shift = F.broadcast(shift)
 
-    def place(length: pa.Array, rank: pa.Array) -> pa.Array:
-        table, length, rank = shared.value, length.to_numpy(), rank.to_numpy()
-        if not len(length):
-            return pa.array([], pa.int64())
-        at = np.searchsorted((table[:, 0] << 44) | table[:, 1], (length << 44) | rank, side="right") - 1
-        return pa.array((table[at, 2] + rank - table[at, 1]) * limit + table[at, 3])
-
     rank = F.col("nth") + F.get("shift", F.col("length").cast("int"))
-    # only lengths and ranks go to Python, not the ids
-    placed = cut.join(shift, "chunk").withColumn("place", F.arrow_udf(place, T.LongType())("length", rank))
     keep = [c for c in cut.columns if c not in ("chunk", "nth")]
-    return placed.select(*keep, F.expr(f"place div {limit}").alias("sequence_id"), (F.col("place") % limit).alias("offset"))
+    ranked = cut.join(shift, "chunk").select(*keep, rank.alias("rank"))
+
+    def run(batches) -> Iterator[pa.RecordBatch]:
+        table = shared.value
+        key = (table[:, 0] << 44) | table[:, 1] if len(table) else np.zeros(0, np.int64)
+        for b in batches:
+            length, rank = b.column("length").to_numpy(), b.column("rank").to_numpy()
+            at = np.searchsorted(key, (length << 44) | rank, side="right") - 1
+            seq = table[at, 2] + rank - table[at, 1]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(seq), pa.array(table[at, 3])], names=[*keep, "sequence_id", "offset"])
+
+    schema = ", ".join(f"{c} {t}" for c, t in ranked.dtypes if c != "rank") + ", sequence_id long, offset long"
+    return ranked.mapInArrow(run, schema)
 
 
 def pack_documents(docs: DataFrame, vocabulary: str, limit: int = LIMIT, end_id: int = END_ID, carry_ids: bool = False, as_bytes: bool = False) -> DataFrame:
